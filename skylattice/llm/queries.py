@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import mixing, secrets
 from .jaccard_join import jaccard_join
+from .substring_dedup import substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_documents(spark, sf_dir), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_secret_scan, op8_mix_sources, op9_jaccard_join)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_documents(spark, sf_dir), window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_secret_scan, op8_mix_sources, op9_jaccard_join, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op7_secret_scan": secrets.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL}
