@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import shared_folder
+from .textops import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of ``edges`` (a, b): component is the smallest node it reaches.
 
     Minimum labels spread along links and are then looked up once more through the node they name, so
-    the number of rounds stays near the logarithm of the longest path.  Every round is checkpointed.
+    the number of rounds stays near the logarithm of the longest path.  Every round is written to
+    the shared folder and read again: a checkpoint would carry the constraints of all rounds before into each plan.
     An empty table of edges gives an empty result; repeated edges and self-links change nothing.
     """
-    shared_folder(edges.sparkSession)
     both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    both = both.union(both.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node").checkpoint()
+    both = stored(both.union(both.select("b", "a")).distinct(), "links")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
     while True:
         heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
         near = labels.join(heard, labels.node == heard.a, "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         far = near.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        step = near.join(far, near.label == far.via, "left").select("node", "old", F.least("label", "beyond").alias("label")).checkpoint()
+        step = stored(near.join(far, near.label == far.via, "left").select("node", "old", F.least("label", "beyond").alias("label")), "labels")
         labels = step.select("node", "label")
         if not step.filter("label < old").limit(1).count():
             return labels.withColumnRenamed("label", "component")

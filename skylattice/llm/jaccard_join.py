@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textops import Words, list_array, mix, run_hashes, shared_folder, signed, small_batches, stored, texts_of
+from .textops import Words, list_array, mix, run_hashes, signed, small_batches, stored, texts_of
 
 #: Shingles in one block of a cluster: two blocks of 8-byte hashes fit easily beside a Python worker.
 BLOCK_SHINGLES = 1 << 20
@@ -257,14 +257,13 @@ def _placed(members: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links), class_id
     (smallest id with an equal set).  See the module for nulls, empty texts and repeated ids."""
-    shared_folder(docs.sparkSession)
     source = texts_of(docs, id_col, text_col)
     run, schema = _summaries(words, percent)
     rows = stored(source.mapInArrow(run, schema), "sets")
     grouped = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "d1", "d2")
     classes = stored(grouped.agg(F.min("doc_id").alias("doc_id"), F.any_value("band").alias("band"), F.any_value("keys").alias("keys"), F.xxhash64("n_shingles", "d1", "d2").alias("node")), "classes")
     cluster = clusters(classes).withColumnRenamed("component", "cluster")
-    members = classes.drop("keys").join(cluster, "node").checkpoint()
+    members = stored(classes.drop("keys").join(cluster, "node"), "members")
     run, schema = _sets(words)
     sets = source.join(_placed(members), "doc_id").mapInArrow(run, schema)
     reach = components(sets.groupBy("cluster", "pair").applyInArrow(_links(percent), "a long, b long"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import WORD, shared_folder
+from .textops import WORD, stored
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -22,11 +22,10 @@ WEIGHTS = (5, 2, 1)
 def running_sums(df: DataFrame, group: str, order: list[Column], value: str) -> DataFrame:
     """Add ``before``: the sum of ``value`` over the rows of the same ``group`` (a null is a group) that precede in ``order``.
 
-    Rows are dealt by range of (group, order), so no group has to fit into a task.  The result is checkpointed
+    Rows are dealt by range of (group, order), so no group has to fit into a task.  They are written
     between dealing and summing, so that both uses see the same ranges.
     """
-    shared_folder(df.sparkSession)
-    ranges = df.repartitionByRange(F.col(group).asc_nulls_last(), *order).withColumn("range", F.spark_partition_id()).checkpoint()
+    ranges = stored(df.repartitionByRange(F.col(group).asc_nulls_last(), *order).withColumn("range", F.spark_partition_id()), "ranges")
     totals = ranges.groupBy("range", group).agg(F.sum(value).alias("total"))  # one row for a range and group
     earlier = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("offset", F.coalesce(F.sum("total").over(earlier), F.lit(0))).select(F.col("range").alias("r"), F.col(group).alias("g"), "offset")
@@ -42,7 +41,7 @@ def targets(sources: DataFrame, share: float, most: int, weights: tuple[int, ...
     """
     ranked = running_sums(sources.withColumn("one", F.lit(1)).withColumn("all", F.lit(0)), "all", [F.col("source").asc_nulls_last()], "one")
     table = F.array(*map(F.lit, weights))
-    ranked = ranked.select("source", "source_size", table[(F.col("before") % len(weights)).cast("int")].cast("double").alias("weight"), (most * F.col("source_size")).cast("double").alias("limit")).checkpoint()
+    ranked = stored(ranked.select("source", "source_size", table[(F.col("before") % len(weights)).cast("int")].cast("double").alias("weight"), (most * F.col("source_size")).cast("double").alias("limit")), "sources")
     total = share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
     level = 0.0
     while True:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import Words, mix, run_hashes, shared_folder, signed, small_batches, stored, texts_of
+from .textops import Words, mix, run_hashes, signed, small_batches, stored, texts_of
 
 
 class Blocks:
@@ -185,7 +185,6 @@ def _decided(entries: DataFrame, key: str, value: str) -> DataFrame:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, seed: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, spans (start and end word of each removed passage,
     in turn) and kept (the other words, joined by one space)."""
-    shared_folder(docs.sparkSession)
     source = texts_of(docs, id_col, text_col)
     known_ids = source.filter("doc_id IS NOT NULL")
     run, schema = _entries(window, seed)

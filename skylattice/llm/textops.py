@@ -83,8 +83,8 @@ class Words:
         self.first = np.searchsorted(self.starts, self.bounds)
         self.counts = np.diff(self.first)
 
-    def hashes(self, seed: int = 1) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, seed: int = 1, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first ``most`` bytes."""
         if not len(self.starts):
             return np.empty(0, np.uint64)
         out = np.empty(len(self.starts), np.uint64)
@@ -98,6 +98,8 @@ class Words:
             total = np.zeros(len(piece) + 1, np.uint64)
             np.cumsum(table[piece] * up[:-1], out=total[1:])
             s, e = self.starts[at:upto] - begin, self.ends[at:upto] - begin
+            if most:
+                e = np.minimum(e, s + most)
             out[at:upto] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
             at = upto
         return out
