@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textops import Words, list_array, mix, run_hashes, signed, small_batches, stored, texts_of
+from .textops import WORD, Words, list_array, mix, run_hashes, signed, small_batches, stored, texts_of
 
 #: Shingles in one block of a cluster: two blocks of 8-byte hashes fit easily beside a Python worker.
 BLOCK_SHINGLES = 1 << 20
@@ -274,3 +274,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = rows.drop("keys").join(answer, ["n_shingles", "d1", "d2"], "left")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
     return out.select("doc_id", "n_shingles", own(F.coalesce("component_id", "class_id")).alias("component_id"), own(F.col("class_id")).alias("class_id"))
+
+
+def drop_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that stand for their component: one row each, of the smallest id.
+
+    Rows without words link with nothing and stay; of rows that repeat the kept id, the smallest text stays.
+    """
+    heads = jaccard_join(docs, words=words, percent=percent).filter("n_shingles > 0 AND component_id = doc_id").select(F.col("doc_id").alias("_doc")).distinct()
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    loose = docs.filter(blank | F.col("doc_id").isNull())
+    own = docs.filter(~blank & F.col("doc_id").isNotNull()).join(heads, F.col("doc_id") == F.col("_doc"), "left_semi")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    first = own.groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(c) for c in rest if c != "text"])).alias("row"))
+    return first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(loose)

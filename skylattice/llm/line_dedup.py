@@ -190,21 +190,21 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line
   FROM documents),
 words AS (SELECT doc_id, line, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM lines),
-firsts AS (SELECT w, len(w) AS n, min({'d': doc_id, 'l': line}) AS at FROM words WHERE len(w) > 0 GROUP BY w),
-cuts AS (SELECT w, n, at, unnest(range(n)) AS i FROM firsts WHERE n >= 5),
-keys AS (SELECT array_to_string(w[1:i], ' ') || ' ' || array_to_string(w[i + 2:], ' ') AS k, i, n, at FROM cuts),
-swapped AS (SELECT at, min(at) OVER (PARTITION BY k, i, n) AS near FROM keys),
+firsts AS (SELECT w, len(w) AS n, min({'d': doc_id, 'l': line}) AS pos FROM words WHERE len(w) > 0 GROUP BY w),
+cuts AS (SELECT w, n, pos, unnest(range(n)) AS i FROM firsts WHERE n >= 5),
+keys AS (SELECT array_to_string(w[1:i], ' ') || ' ' || array_to_string(w[i + 2:], ' ') AS k, i, n, pos FROM cuts),
+swapped AS (SELECT pos, min(pos) OVER (PARTITION BY k, i, n) AS near FROM keys),
 losses AS (
-  SELECT f.at AS whole, k.at AS longer
-  FROM (SELECT DISTINCT trim(k) AS k, at, n FROM keys) k JOIN firsts f ON f.n = k.n - 1 AND array_to_string(f.w, ' ') = k.k),
+  SELECT f.pos AS whole, k.pos AS longer
+  FROM (SELECT DISTINCT trim(k) AS k, pos, n FROM keys) k JOIN firsts f ON f.n = k.n - 1 AND array_to_string(f.w, ' ') = k.k),
 gone AS (
-  SELECT DISTINCT at FROM swapped WHERE near < at
+  SELECT DISTINCT pos FROM swapped WHERE near < pos
   UNION SELECT longer FROM losses WHERE whole < longer
   UNION SELECT whole FROM losses WHERE longer < whole),
 removed AS (
   SELECT doc_id, list(line::BIGINT ORDER BY line) AS removed FROM (
     SELECT s.doc_id, s.line FROM words s JOIN firsts f ON s.w = f.w
-    WHERE f.at < {'d': s.doc_id, 'l': s.line} OR f.at IN (SELECT at FROM gone))
+    WHERE f.pos < {'d': s.doc_id, 'l': s.line} OR f.pos IN (SELECT pos FROM gone))
   GROUP BY doc_id)
 SELECT d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::BIGINT AS n_lines, coalesce(len(r.removed), 0)::BIGINT AS n_removed, coalesce(r.removed, []) AS removed
 FROM documents d LEFT JOIN removed r USING (doc_id)

@@ -200,5 +200,17 @@ def score(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def kept(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with their columns.  Texts without words are rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, text_col, 4 << 20):
+            columns, counts = indicators(batch.column(text_col), shared.value.bits)
+            yield batch.filter(pa.array((shared.value.scores(columns, counts) >= threshold) & (counts > 0)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 8000) -> DataFrame:
     return score(docs, train(docs, labels, "quality", most), threshold)
