@@ -11,19 +11,26 @@ from .textops import stored
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of ``edges`` (a, b): component is the smallest node it reaches.
 
-    Minimum labels spread along links and are then looked up once more through the node they name, so
-    the number of rounds stays near the logarithm of the longest path.  Every round is written to
-    the shared folder and read again: a checkpoint would carry the constraints of all rounds before into each plan.
-    An empty table of edges gives an empty result; repeated edges and self-links change nothing.
+    In each round every node points to the smallest of itself and its neighbours, pointers are followed once more, and
+    the links are redrawn between the nodes pointed to; links within one node go.  At most half of the linked nodes
+    are left after a round, so the work shrinks geometrically.  Every round is written to the shared folder and read
+    again: a checkpoint would carry the constraints of all rounds before into each plan.  An empty table of links
+    gives an empty result; repeated links and links of a node to itself change nothing.
     """
-    both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    both = stored(both.union(both.select("b", "a")).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    links = stored(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "links")
+    labels = None
     while True:
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
-        near = labels.join(heard, labels.node == heard.a, "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        far = near.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        step = stored(near.join(far, near.label == far.via, "left").select("node", "old", F.least("label", "beyond").alias("label")), "labels")
-        labels = step.select("node", "label")
-        if not step.filter("label < old").limit(1).count():
-            return labels.withColumnRenamed("label", "component")
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("near")).union(links.select("b", "a"))
+        to = ends.groupBy("node").agg(F.least("node", F.min("near")).alias("to"))
+        beyond = to.select(F.col("node").alias("via"), F.col("to").alias("beyond"))
+        to = stored(to.join(beyond, to.to == beyond.via).select("node", F.col("beyond").alias("to")), "pointers")
+        if labels is None:
+            labels = to.withColumnRenamed("to", "component")
+        else:
+            labels = stored(labels.join(to, labels.component == to.node, "left").select(labels.node, F.coalesce("to", "component").alias("component")), "labels")
+        from_a, from_b = to.toDF("a", "x"), to.toDF("b", "y")
+        drawn = links.filter("a <> b").join(from_a, "a").join(from_b, "b").filter("x <> y")
+        links = stored(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        if not links.limit(1).count():
+            return labels

@@ -129,44 +129,59 @@ def _summaries(words: int, percent: int):
 
 
 class Block:
-    """Sets of one task in order of size, with index lists by shingle."""
+    """Sets of one task in order of size, as tokens numbered from the rarest here, with index lists by token.
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray]):
+    ``starts``/``holders`` list the sets that hold each token, ``prefix_starts``/``prefix_holders`` those that hold it among
+    the rarest tokens of which linked sets must share one.  Shingles that one set alone holds are not tokens.
+    """
+
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int):
         order = np.lexsort((ids, [len(s) for s in sets]))
-        self.ids, self.sets = ids[order], [sets[k] for k in order]
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        flat = np.concatenate(self.sets)
-        owner = np.repeat(np.arange(len(self.sets)), self.sizes)
-        by = np.argsort(flat, kind="stable")  # owners stay in ascending position within a list
-        self.owner = owner[by].astype(np.int32)
-        self.universe, begin, inverse = np.unique(flat[by], return_index=True, return_inverse=True)
-        self.begin = np.append(begin, len(flat))
-        token = np.empty(len(flat), np.int64)
-        token[by] = inverse
-        # a shingle that only one set holds meets nothing: it leaves the lists
-        shared = (np.diff(self.begin) > 1)[token]
-        cut = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.tokens = [token[a:b][shared[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-    def visit(self, tokens: np.ndarray) -> np.ndarray:
-        """How often each position occurs in the lists of these shingles."""
-        n = self.begin[tokens + 1] - self.begin[tokens]
-        at = np.repeat(self.begin[tokens] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.owner[at], minlength=len(self.sets))
+        self.ids = ids[order]
+        self.sizes = np.array([len(s) for s in sets], np.int64)[order]
+        flat = np.concatenate([sets[k] for k in order])
+        owner = np.repeat(np.arange(len(order)), self.sizes)
+        _, inverse, held = np.unique(flat, return_inverse=True, return_counts=True)
+        rank = np.empty(len(held), np.int64)
+        by_count = np.argsort(held, kind="stable")
+        alone = int((held == 1).sum())
+        rank[by_count] = np.arange(len(held)) - alone
+        token = rank[inverse]
+        owner, token = owner[token >= 0], token[token >= 0]
+        by = np.lexsort((token, owner))
+        self.owner, self.token = owner[by], token[by]
+        self.n = np.bincount(owner, minlength=len(order))
+        self.cut = np.concatenate([[0], np.cumsum(self.n)])
+        tokens = len(held) - alone
+        spare = self.sizes - self.n  # shingles of its own come first in every order by rarity
+        self.prefix = np.clip(self.sizes - -(-self.sizes * percent // 100) + 1 - spare, 0, self.n)
+        lists = lambda t, o: (np.searchsorted(t[k := np.lexsort((o, t))], np.arange(tokens + 1)), o[k])
+        self.starts, self.holders = lists(self.token, self.owner)
+        leading = np.arange(len(self.token)) - self.cut[self.owner] < self.prefix[self.owner]
+        self.prefix_starts, self.prefix_holders = lists(self.token[leading], self.owner[leading])
+
+    def tokens(self, x: int) -> np.ndarray:
+        return self.token[self.cut[x] : self.cut[x + 1]]
+
+
+def _gather(starts: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The entries of several lists, one after the other."""
+    n = starts[rows + 1] - starts[rows]
+    return values[np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 def linked_blocks(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Links (id, smaller position's id) that keep the components of all links among these sets.
+    """Links (id, id) that keep the components of all links among these sets.
 
-    Sets run in order of size.  A set's overlaps with all others come from its predecessor's by adding
-    the lists of shingles it has more and subtracting those it has less, whenever that visits fewer
-    entries than starting anew.  Positions outside the admissible sizes are skipped; sets already known
-    to be connected need no further link.
+    Sets run in order of size, and every set looks back at the positions of admissible sizes only.  Its overlaps come the
+    cheapest of three ways: from the lists of its rarest tokens, counting only the sets found there; from
+    the overlaps of the set before it, visiting only the lists of tokens in which the two differ; or from all its lists.
     """
-    b = Block(ids, sets)
-    m = len(b.sets)
-    lengths = np.diff(b.begin)
+    b = Block(ids, sets, percent)
+    m = len(b.sizes)
+    length, leading = np.diff(b.starts), np.diff(b.prefix_starts)
     parent = np.arange(m)
+    mark = np.zeros(len(length), bool)
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -174,23 +189,31 @@ def linked_blocks(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> Iter
             x = parent[x]
         return x
 
-    counts, before = None, None
+    def visit(tokens: np.ndarray) -> np.ndarray:
+        return np.bincount(_gather(b.starts, b.holders, tokens), minlength=m)
+
+    counts, before = None, None  # overlaps of an earlier set with all sets, and its tokens
     for x in range(m):
-        own = b.tokens[x]
-        fresh = int(lengths[own].sum())
+        own, n = b.tokens(x), b.sizes[x]
+        first = int(np.searchsorted(b.sizes, -(-n * percent // 100)))
+        if first >= x or not b.prefix[x]:
+            continue
+        rare = own[: b.prefix[x]]
+        ways = [int(leading[rare].sum() * n), int(length[own].sum()), 1 << 62]
         if counts is not None:
             more, less = np.setdiff1d(own, before, assume_unique=True), np.setdiff1d(before, own, assume_unique=True)
-            if lengths[more].sum() + lengths[less].sum() < fresh:
-                counts = counts + b.visit(more) - b.visit(less)
-            else:
-                counts = b.visit(own)
+            ways[2] = int(length[more].sum() + length[less].sum())
+        if min(ways) == ways[0]:
+            near = np.unique(_gather(b.prefix_starts, b.prefix_holders, rare))
+            near = near[(near >= first) & (near < x)]
+            mark[own] = True
+            inter = np.bincount(np.repeat(np.arange(len(near)), b.n[near]), weights=mark[_gather(b.cut, b.token, near)], minlength=len(near)).astype(np.int64)
+            mark[own] = False
         else:
-            counts = b.visit(own)
-        before = own
-        first = int(np.searchsorted(b.sizes, -(-b.sizes[x] * percent // 100)))
-        inter = counts[first:x]
-        hits = first + np.flatnonzero(100 * inter >= percent * (b.sizes[first:x] + b.sizes[x] - inter))
-        for y in hits.tolist():
+            counts = visit(own) if min(ways) == ways[1] else counts + visit(more) - visit(less)
+            before = own
+            near, inter = np.arange(first, x), counts[first:x]
+        for y in near[100 * inter >= percent * (b.sizes[near] + n - inter)].tolist():
             rx, ry = find(x), find(y)
             if rx != ry:
                 parent[max(rx, ry)] = min(rx, ry)
