@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         ends = links.select(F.col("a").alias("node"), F.col("b").alias("near")).union(links.select("b", "a"))
         to = ends.groupBy("node").agg(F.least("node", F.min("near")).alias("to"))
         beyond = to.select(F.col("node").alias("via"), F.col("to").alias("beyond"))
-        to = stored(to.join(beyond, to.to == beyond.via).select("node", F.col("beyond").alias("to")), "pointers")
+        to = stored(to.join(beyond, F.col("to") == F.col("via")).select("node", F.col("beyond").alias("to")), "pointers")
         if labels is None:
             labels = to.withColumnRenamed("to", "component")
         else:
