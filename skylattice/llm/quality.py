@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text"):
             got = shared.value.scores(*indicators(batch.column("text"), shared.value.bits))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], schema=schema)
 
@@ -205,7 +205,7 @@ def kept(docs: DataFrame, model: Model, threshold: float, text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text_col, 4 << 20):
+        for batch in small_batches(batches, text_col):
             columns, counts = indicators(batch.column(text_col), shared.value.bits)
             yield batch.filter(pa.array((shared.value.scores(columns, counts) >= threshold) & (counts > 0)))
 

@@ -33,18 +33,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(8)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and those of its inverse."""
-    inverse = pow(int(_BASE), -1, 1 << 64)
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(1 << max(10, int(n).bit_length()))
-    return up[:n], down[:n]
+    """The first n powers of an odd base modulo 2**64, and those of its inverse; one table for each Python worker."""
+    if len(_POWERS[0]) < n:
+        size = 1 << int(n - 1).bit_length()
+        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _POWERS[k] = np.multiply.accumulate(table)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 @lru_cache(4)
@@ -88,7 +88,7 @@ class Words:
         if not len(self.starts):
             return np.empty(0, np.uint64)
         out = np.empty(len(self.starts), np.uint64)
-        table, step = _byte_values(seed), 1 << 22
+        table, step = _byte_values(seed), 1 << 18
         at = 0
         while at < len(self.starts):  # in slices, so that the temporary sums stay small
             begin = self.starts[at]
@@ -125,7 +125,7 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of text (a longer text stands alone)."""
     for batch in batches:
         if not batch.num_rows:
