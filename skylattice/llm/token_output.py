@@ -12,6 +12,7 @@ Rows with a null id come first.  An empty table writes no block.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .textops import stored
 
 #: Distinct pieces of text whose ids a worker remembers before it starts anew.
-MEMORY = 300_000
+MEMORY = 500_000
+_LOOSE = re.compile(r"\s ")
 
 
 def bits_for(ids: int) -> int:
@@ -51,7 +53,8 @@ class Encoder:
     """Byte-level BPE of whole texts.
 
     No token spans a place where a space follows a character that is no white space, so a text is encoded piece by
-    piece between such places, and each distinct piece only once while it is remembered.
+    piece between such places, and each distinct piece only once while it is remembered.  New pieces are encoded many at a
+    time in one string; the lengths of the tokens in bytes tell which belong to which piece.
     """
 
     def __init__(self, path: str):
@@ -59,33 +62,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())], np.int64)
+        self.known: dict[str, bytes] = {}  # ids of a piece after a space
 
-    def pieces(self, text: str) -> list[str]:
+    def parts(self, text: str) -> list[str]:
+        """The pieces without the space before each but the first."""
         parts = text.split(" ")
-        out = [parts[0], *(" " + p for p in parts[1:])]
-        if any(p == "" or p[-1].isspace() for p in parts):  # white space before a space belongs with it
-            joined, open_end = [], True
-            for k, piece in enumerate(out):
-                if open_end and joined:
-                    joined[-1] += piece
-                else:
-                    joined.append(piece)
-                open_end = parts[k] == "" or parts[k][-1].isspace()
-            out = joined
-        return out
+        if not _LOOSE.search(text):
+            return parts
+        joined = parts[:1]
+        for p in parts[1:]:
+            if joined[-1] and not joined[-1][-1].isspace() or len(joined) == 1 and not joined[0]:
+                joined.append(p)
+            else:  # white space before a space belongs with it
+                joined[-1] += " " + p
+        return joined
+
+    def plainly(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        loose = [p for p in new if not p or p[-1].isspace()]
+        self.known.update(zip(loose, self.plainly([" " + p for p in loose]), strict=True))
+        new = [p for p in new if p and not p[-1].isspace()]
+        groups = [new[k : k + 64] for k in range(0, len(new), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum(self.lengths[ids])
+            want = np.cumsum([len(p.encode()) + 1 for p in group])
+            cut = np.searchsorted(ends, want) + 1
+            if not np.array_equal(ends[cut - 1], want):
+                raise ValueError("tokens do not end where pieces do")
+            raw, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
+            self.known.update(zip(group, (raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
         if len(self.known) > MEMORY:
             self.known = {}
+        cut = [self.parts(t) for t in texts]
+        new = set().union(*(c[1:] for c in cut)) - self.known.keys() if cut else set()
+        if new:
+            self.learn(list(new))
         known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([known[p] for p in pieces]), np.uint32) for pieces in cut]
+        heads = self.plainly([c[0] for c in cut])
+        return [np.frombuffer(b"".join([head, *map(known.__getitem__, c[1:])]), np.uint32) for head, c in zip(heads, cut, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
