@@ -1,10 +1,232 @@
-"""Registered queries outside the training-data subpackage."""
+"""Registered queries outside the training-data subpackage: each operator over all logs of ``events``, with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import actuator, altitude, lag, mapping, profile, segments, spectrum, steps, timing, transform
+from .operators.resample import detrended, uniform_grid
+from .plans import analysis, oracle
+from .plans.oracle import final
+from .settings import LagSettings
+from .sources.fixture import flight_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, without negative zero."""
+    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[DataFrame], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(flight_log(spark, sf_dir)))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def raw_log(log: DataFrame) -> DataFrame:
+    """The logs as text columns under names of their own, with gaps and bad values."""
+    whole = lambda c: F.round(c).cast("long").cast("string")
+    bad = F.when(F.col("ord") % 10 == 0, "").when(F.col("ord") % 17 == 0, "NA").when(F.col("ord") % 13 == 0, "bad")
+    return log.select(
+        "log_id", "ord", F.col("time_ms").cast("string").alias("time_ms"), whole(F.col("altitude_setpoint") * 100).alias("alt_sp"), whole(F.col("ekf_altitude") * 100).alias("ekf_alt"),
+        bad.otherwise(whole(F.col("throttle_correction"))).alias("alt_corr"), F.col("motor_1").cast("long").cast("string").alias("pwm_1"), F.col("motor_2").cast("long").cast("string").alias("pwm_2"),
+        F.when(F.col("armed"), "true").otherwise("false").alias("is_armed"), F.when(F.col("althold_active"), "1").otherwise("0").alias("alt_hold"), F.when(F.col("althold_active"), "cruise").otherwise("fault").alias("note"),
+    )
+
+
+RAW_PROFILE = mapping.Profile(
+    {
+        "timestamp": mapping.Mapping("time_ms"), "altitude_setpoint": mapping.Mapping("alt_sp", "centimeters"), "ekf_altitude": mapping.Mapping("ekf_alt", "centimeters", scale=2.0, offset=1.0, invert_sign=True),
+        "throttle_correction": mapping.Mapping("alt_corr", "us"), "motor_1": mapping.Mapping("pwm_1", "us"), "armed": mapping.Mapping("is_armed", "boolean"), "althold_active": mapping.Mapping("alt_hold", "boolean"),
+    }
+)
+
+
+@query(final(oracle.PROFILE, "prof", 'log_id position "column" type n n_distinct first_values', "missing_ratio minimum maximum mean std"))
+def b2_column_profile(log: DataFrame) -> DataFrame:
+    return profile.profile_columns(raw_log(log)).withColumn("first_values", F.array_join("first_values", "|")).drop("zero_one")
+
+
+@query()
+def c9_mapping_candidates(log: DataFrame) -> DataFrame:
+    """Candidates of every log: its few column profiles are one small group."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["position"])
+        found = mapping.detect([mapping.ColumnFacts(r["column"], r["type"], r["minimum"], r["maximum"], r["zero_one"]) for r in rows])
+        return pa.Table.from_pylist([{"log_id": key[0].as_py(), "parameter": c.parameter, "column": c.column, "confidence": c.confidence, "status": c.status} for c in found.values()], schema=pa.schema([("log_id", pa.int64()), ("parameter", pa.string()), ("column", pa.string()), ("confidence", pa.float64()), ("status", pa.string())]))
+
+    facts = profile.profile_columns(raw_log(log)).select("log_id", "position", "column", "type", "minimum", "maximum", "zero_one")
+    return facts.groupBy("log_id").applyInArrow(run, "log_id long, parameter string, column string, confidence double, status string")
+
+
+@query(final(oracle.RAW + r""",
+tr AS (SELECT log_id, ord, time_ms::DOUBLE * 0.001::DOUBLE AS timestamp, alt_sp::DOUBLE * 0.01::DOUBLE AS altitude_setpoint, (-1.0::DOUBLE * ekf_alt::DOUBLE * 2.0::DOUBLE + 1.0::DOUBLE) * 0.01::DOUBLE AS ekf_altitude,
+  CASE WHEN regexp_full_match(alt_corr, '[+-]?\d+') THEN alt_corr::DOUBLE END AS throttle_correction, pwm_1::DOUBLE AS motor_1, is_armed = 'true' AS armed, alt_hold = '1' AS althold_active FROM raw)""", "tr", "log_id ord armed althold_active", "timestamp altitude_setpoint ekf_altitude throttle_correction motor_1"))
+def d1_transform(log: DataFrame) -> DataFrame:
+    return transform.transform(raw_log(log), RAW_PROFILE)[0]
+
+
+@query(final(oracle.RAW + ", f AS (SELECT log_id, 'throttle_correction' AS parameter, count(*) AS n FROM raw WHERE alt_corr = 'bad' GROUP BY log_id)", "f", "log_id parameter n"))
+def d3_conversion_failures(log: DataFrame) -> DataFrame:
+    return transform.conversion_failures(raw_log(log), RAW_PROFILE)
+
+
+@query(final("""
+t0 AS (SELECT DISTINCT log_id, time_ms::DOUBLE AS t FROM flight_log), t1 AS (SELECT *, t - lag(t) OVER (PARTITION BY log_id ORDER BY t) AS step FROM t0),
+t2 AS (SELECT log_id, count(*) AS n_distinct, median(step) FILTER (step > 0) AS step, max(t) - min(t) AS span FROM t1 GROUP BY log_id),
+t3 AS (SELECT log_id, n_distinct, list_filter([CASE WHEN 1 / step BETWEEN 0.2 AND 2000 AND span > 0 AND span <= 172800 THEN 'seconds' END, CASE WHEN 1 / (step * 0.001::DOUBLE) BETWEEN 0.2 AND 2000 AND span > 0 AND span * 0.001::DOUBLE <= 172800 THEN 'milliseconds' END,
+  CASE WHEN 1 / (step * 0.000001::DOUBLE) BETWEEN 0.2 AND 2000 AND span > 0 AND span * 0.000001::DOUBLE <= 172800 THEN 'microseconds' END], lambda x: x IS NOT NULL) AS units FROM t2),
+t4 AS (SELECT log_id, CASE WHEN len(units) = 1 AND n_distinct >= 2 THEN units[1] END AS unit, CASE WHEN n_distinct < 2 THEN 0.0 WHEN len(units) = 1 AND n_distinct >= 3 THEN 0.85 WHEN len(units) = 1 THEN 0.6 WHEN len(units) > 1 THEN 0.4 ELSE 0.2 END::DOUBLE AS confidence, n_distinct, len(units)::BIGINT AS n_units FROM t3)""", "t4", "log_id unit n_distinct n_units", "confidence"))
+def d9_time_unit(log: DataFrame) -> DataFrame:
+    return transform.infer_time_unit(log.select("log_id", F.col("time_ms").cast("double").alias("timestamp")))
+
+
+@query(final(oracle.SEGMENTS, "segments", "log_id kind segment rows start_index end_index", "start_s end_s"))
+def e1_segments(log: DataFrame) -> DataFrame:
+    return segments.detect_segments(log)
+
+
+@query(final("w AS (SELECT log_id, ord, timestamp FROM flight_log WHERE timestamp BETWEEN 0.5::DOUBLE AND 2.0::DOUBLE)", "w", "log_id ord", "timestamp"))
+def e3_time_range(log: DataFrame) -> DataFrame:
+    return segments.select_time_range(log, F.lit(2.0), F.lit(0.5)).select("log_id", "ord", "timestamp")
+
+
+@query(final(oracle.SEGMENTS + ", pick AS (SELECT f.log_id, 'altitude_hold' AS phase, count(*) AS rows, min(f.timestamp) AS start_s, max(f.timestamp) AS end_s FROM flight_log f JOIN segments s ON f.log_id = s.log_id AND s.kind = 'althold' AND s.segment = 1 AND f.timestamp BETWEEN least(s.start_s, s.end_s) AND greatest(s.start_s, s.end_s) GROUP BY f.log_id)", "pick", "log_id phase rows", "start_s end_s"))
+def e4_segment_selection(log: DataFrame) -> DataFrame:
+    return segments.select_segment(log).groupBy("log_id", "phase").agg(F.count("*").alias("rows"), F.min("timestamp").alias("start_s"), F.max("timestamp").alias("end_s"))
+
+
+@query(final(oracle.STEPS_OF_TIME + """,
+fx AS (SELECT log_id, count(*) AS rows, count(*) FILTER (timestamp IS NULL) AS nulls, bool_or(armed) AS a, bool_or(althold_active) AS h FROM flight_log GROUP BY log_id), fy AS (SELECT * FROM fx JOIN tm USING (log_id)),
+ms AS (SELECT log_id, 'warning' AS severity, 'short_log' AS code, rows AS n FROM fy WHERE rows < 20 UNION ALL SELECT log_id, 'error', 'invalid_timestamp', nulls FROM fy WHERE nulls > 0
+  UNION ALL SELECT log_id, 'warning', 'duplicate_timestamp', n_duplicate FROM fy WHERE n_duplicate > 0 UNION ALL SELECT log_id, 'warning', 'reverse_timestamp', n_reverse FROM fy WHERE n_reverse > 0
+  UNION ALL SELECT log_id, 'warning', 'timestamp_gap_spikes', n_dropout FROM fy WHERE n_dropout > 0 UNION ALL SELECT log_id, 'warning', 'no_armed_segment', 1 FROM fy WHERE NOT a UNION ALL SELECT log_id, 'warning', 'no_althold_active_segment', 1 FROM fy WHERE NOT h)""", "ms", "log_id severity code n"))
+def e5_validation(log: DataFrame) -> DataFrame:
+    return segments.validate(log)
+
+
+@query(final("c AS (SELECT log_id, ord, timestamp, event_second FROM (SELECT log_id, ord, timestamp, ord // 2 AS event_second, row_number() OVER (PARTITION BY log_id, ord // 2 ORDER BY ord) AS nth FROM flight_log) WHERE nth = 1), d AS (SELECT c.log_id, c.ord, c.event_second::DOUBLE AS timestamp, g.n - g.m AS n_duplicate, 0::BIGINT AS n_reverse FROM c JOIN (SELECT log_id, count(*) AS n, count(DISTINCT ord // 2) AS m FROM flight_log GROUP BY log_id) g USING (log_id))", "d", "log_id ord n_duplicate n_reverse", "timestamp"))
+def e6_unique_time(log: DataFrame) -> DataFrame:
+    halved = log.select("log_id", "ord", F.floor(F.col("ord") / 2).cast("double").alias("timestamp"))
+    return segments.sorted_unique_time(halved).select("log_id", "ord", "timestamp", "n_duplicate", "n_reverse")
+
+
+@query(final(oracle.STEPS_OF_TIME, "tm", "log_id available n_duplicate n_reverse n_dropout", "mean_s median_s std_s frequency_hz jitter duration_s"))
+def f1_timing(log: DataFrame) -> DataFrame:
+    return timing.analyze_timing(log, log)
+
+
+@query(final(oracle.STEPS_OF_TIME, "dr", "log_id", "start_s end_s gap_s"))
+def f6_dropouts(log: DataFrame) -> DataFrame:
+    return timing.dropouts(log)
+
+
+@query(final(oracle.STEPS_OF_TIME + ", v AS (SELECT log_id, count(*) AS n, array_to_string(list(round(interval * 1000)::BIGINT ORDER BY timestamp), ',') AS intervals_ms FROM iv GROUP BY log_id)", "v", "log_id n intervals_ms"))
+def f7_intervals(log: DataFrame) -> DataFrame:
+    return timing.interval_vectors(log).select("log_id", F.size("intervals").cast("long").alias("n"), F.array_join(F.transform("intervals", lambda x: F.round(x * 1000).cast("long").cast("string")), ",").alias("intervals_ms"))
+
+
+@query(final(f"{oracle.TRACK}, {oracle.G1}", "g1", "log_id n", "rmse_m mae_m mean_error_m error_std_m max_abs_error_m p95_abs_error_m"))
+def g1_altitude_error(log: DataFrame) -> DataFrame:
+    return altitude.altitude_error(log)
+
+
+@query(final(f"{oracle.TRACK}, {oracle.G2}", "g2", "log_id", "steady_state_error_m"))
+def g2_steady_state(log: DataFrame) -> DataFrame:
+    return altitude.steady_state_error(log)
+
+
+@query(final(oracle.STEPS, "ev", "log_id first after", "t_first initial final amplitude"))
+def g4_step_events(log: DataFrame) -> DataFrame:
+    return steps.step_events(log).select("log_id", F.col("first").cast("long").alias("first"), F.col("after").cast("long").alias("after"), "t_first", "initial", "final", "amplitude")
+
+
+@query(final(oracle.STEPS, "sr_", "log_id step_pos direction reason", "timestamp_s initial_setpoint_m final_setpoint_m amplitude_m rise_time_s settling_time_s overshoot_m undershoot_m"))
+def g11_step_responses(log: DataFrame) -> DataFrame:
+    return steps.step_responses(log)
+
+
+@query(final(oracle.STEPS, "pm", "log_id primary_step_index n_steps step_reason", "amplitude_m rise_time_s settling_time_s overshoot_m undershoot_m"))
+def g14_primary_step(log: DataFrame) -> DataFrame:
+    return steps.primary_step(log)
+
+
+@query(final(oracle.ACTUATOR, "act", "log_id available", "mean_base_throttle_pwm mean_throttle_correction_pwm correction_std_pwm correction_saturation_ratio positive_saturation_ratio negative_saturation_ratio mean_motor_spread_pwm max_continuous_saturation_s max_motor_std_pwm max_motor_saturation_ratio"))
+def h1_actuators(log: DataFrame) -> DataFrame:
+    return actuator.analyze_actuators(log)
+
+
+@query(final(oracle.ACTUATOR, "mm", "log_id motor", "mean_pwm std_pwm saturation_ratio"))
+def h5_motors(log: DataFrame) -> DataFrame:
+    return actuator.motor_metrics(log)
+
+
+@query(final(oracle.SENSOR, "sn", "log_id n", "reference_mean_m ekf_mean_m reference_std_m ekf_std_m bias_m difference_std_m correlation motor_error_correlation correction_step_correlation"))
+def i1_sensor_statistics(log: DataFrame) -> DataFrame:
+    return lag.sensor_statistics(log)
+
+
+@query(final(oracle.LAG, "lg_d", "log_id k", "t ref ekf"))
+def i6_uniform_grid(log: DataFrame) -> DataFrame:
+    """The longest stretch of every log on its grid, detrended."""
+    samples, facts = lag.prepared(log, LagSettings())
+    enough = facts.filter("n_original >= 20 AND n_times >= 20 AND n_grid >= 20").select("log_id")
+    return detrended(uniform_grid(samples.join(enough, "log_id"), "n_grid", ("ref", "ekf")), ("ref", "ekf")).select("log_id", "k", "t", "ref", "ekf")
+
+
+@query(final(oracle.LAG, "lr", "log_id lag n", "r"))
+def i10_lag_correlations(log: DataFrame) -> DataFrame:
+    return lag.lag_correlations(log)[0]
+
+
+@query(final(oracle.LAG_BEST, "lagx", "log_id reliable confidence reason at_boundary overlap sign_mismatch n_original n_grid gap_excluded n_duplicate reordered", "estimated_lag_s max_correlation search_limit_s second_best peak_separation dt"))
+def i14_lag_analysis(log: DataFrame) -> DataFrame:
+    return lag.lag_analysis(log)
+
+
+@query(final(oracle.SPECTRUM, "sp", "log_id j", "frequency_hz power"))
+def j3_power_spectrum(log: DataFrame) -> DataFrame:
+    return spectrum.power_spectrum(log)
+
+
+@query(final(oracle.SPECTRUM, "sp", "log_id j", "frequency_hz power"))
+def j3_dft_spectrum(log: DataFrame) -> DataFrame:
+    return spectrum.dft_power(log)
+
+
+@query(final(oracle.SPECTRUM, "pk", "log_id rank", "frequency_hz power ratio total_power"))
+def j4_spectral_peaks(log: DataFrame) -> DataFrame:
+    return spectrum.spectral_peaks(spectrum.power_spectrum(log))
+
+
+@query(final(oracle.SPECTRUM, "fq", "log_id irregular n_grid available", "dominant_frequency_hz peak_ratio total_power nyquist_hz min_frequency_hz"))
+def j6_frequency(log: DataFrame) -> DataFrame:
+    return spectrum.analyze_frequency(log)
+
+
+@query(final(oracle.HYPOTHESIS_SQL, "hr", "log_id rank hypothesis score n_met n_unmet"))
+def l14_hypotheses(log: DataFrame) -> DataFrame:
+    return analysis.diagnose(log, log).select("log_id", "rank", "hypothesis", "score", "n_met", "n_unmet")
+
+
+@query()
+def m1_documents(log: DataFrame) -> DataFrame:
+    chosen = segments.select_segment(log)
+    return analysis.documents(log, chosen, messages=segments.validate(log))
+
+
+@query()
+def m3_payloads(log: DataFrame) -> DataFrame:
+    return analysis.summary_payload(log, segments.select_segment(log))
