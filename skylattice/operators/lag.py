@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, median, motor_mean, safe_corr
 from ..settings import MOTORS, LagSettings
+from ..storage import stored
 from .resample import detrended, uniform_grid
 from .segments import W
 
@@ -44,11 +45,12 @@ def prepared(log: DataFrame, s: LagSettings) -> tuple[DataFrame, DataFrame]:
     sizes = parts.groupBy("log_id", "part").agg(F.min("timestamp").alias("t0"), (F.max("timestamp") - F.min("timestamp")).alias("duration"), F.count("*").alias("n_part")).withColumn("n_gaps", F.max("part").over(Window.partitionBy("log_id")))
     best = sizes.filter("n_part >= 2").withColumn("_rank", F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("duration"), F.desc("n_part"), "t0"))).filter("_rank = 1").drop("_rank")
     facts = counts.join(usual, "log_id", "left").join(best, "log_id", "left").withColumn("n_grid", (F.floor(F.col("duration") / F.col("dt") + 1e-9) + 1).cast("long"))
+    facts = stored(facts, "lag_facts")  # one row a log
     return parts.join(facts.select("log_id", "part", "t0", "n_grid"), ["log_id", "part"]), facts
 
 
 def lag_correlations(log: DataFrame, s: LagSettings = LagSettings()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows (log_id, lag, n, r) of every admissible lag, facts of every log, the detrended grid)."""
+    """(rows (log_id, lag, n, r) of every admissible lag, facts of every log, the logs with a live signal)."""
     samples, facts = prepared(log, s)
     enough = facts.filter((F.col("n_original") >= max(4, s.min_overlap)) & (F.col("n_times") >= max(4, s.min_overlap)) & (F.col("n_grid") >= max(4, s.min_overlap)))
     grid = detrended(uniform_grid(samples.join(enough.select("log_id"), "log_id"), "n_grid", ("ref", "ekf")), ("ref", "ekf"))
@@ -60,12 +62,13 @@ def lag_correlations(log: DataFrame, s: LagSettings = LagSettings()) -> tuple[Da
     pairs = shifted.join(grid.select("log_id", "k", "ref"), ["log_id", "k"])
     by_lag = pairs.groupBy("log_id", "least", "lag").agg(F.count("*").alias("n"), F.stddev_pop("ref").alias("sr"), F.stddev_pop("ekf").alias("se"), F.covar_pop("ref", "ekf").alias("c"))
     by_lag = by_lag.filter((F.col("n") >= F.greatest("least", F.lit(3))) & (F.col("sr") >= s.min_std) & (F.col("se") >= s.min_std))
-    return by_lag.select("log_id", "lag", "n", (F.col("c") / (F.col("sr") * F.col("se"))).alias("r")), facts, grid
+    table = stored(by_lag.select("log_id", "lag", "n", (F.col("c") / (F.col("sr") * F.col("se"))).alias("r")), "lags")  # a row for each log and lag
+    return table, facts, grid.select("log_id").distinct()
 
 
 def lag_analysis(log: DataFrame, s: LagSettings = LagSettings()) -> DataFrame:
     """One row a log with finite triples: the lag of best correlation (positive: the reference is later), how far it can be relied on, and why not."""
-    table, facts, grid = lag_correlations(log, s)
+    table, facts, alive = lag_correlations(log, s)
     per = Window.partitionBy("log_id")
     at = per.orderBy("lag")
     c = table.withColumn("pos", F.row_number().over(at)).withColumn("n_lags", F.count("*").over(per)).withColumn("r_max", F.max("r").over(per)).withColumn("r_min", F.min("r").over(per))
@@ -81,7 +84,7 @@ def lag_analysis(log: DataFrame, s: LagSettings = LagSettings()) -> DataFrame:
     peaks = inner.select("log_id", "r", "best", "pos").union(edge.select("log_id", "r", "best", "pos"))
     second = peaks.filter(F.abs(F.col("pos") - F.col("best")) > s.guard).groupBy("log_id").agg(F.max("r").alias("second"))
     top = c.filter("rank = 1").join(second, "log_id", "left").select("log_id", "lag", F.col("n").alias("overlap"), "pos", "n_lags", "r_max", "r_min", "second")
-    live = grid.select("log_id").distinct().withColumn("live", F.lit(True))
+    live = alive.withColumn("live", F.lit(True))
     out = facts.join(top, "log_id", "left").join(live, "log_id", "left")
     few = (F.col("n_original") < max(4, s.min_overlap)) | (F.col("n_times") < max(4, s.min_overlap))
     limit = F.least("limit_s", F.col("most") * F.col("dt"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, median
 from ..settings import Settings
+from ..storage import stored
 from .altitude import tracking_rows
 
 def P():
@@ -69,7 +70,7 @@ def step_events(log: DataFrame) -> DataFrame:
 
 def step_responses(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row a step: rise and settling time, overshoot, undershoot, and the reason why a time is missing."""
-    rows, events = step_rows(log).select("log_id", "pos", "timestamp", "ekf_altitude"), step_events(log)
+    rows, events = step_rows(log).select("log_id", "pos", "timestamp", "ekf_altitude"), stored(step_events(log), "steps")
     in_step = events.join(rows, "log_id").filter((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("after")))
     way, size = F.signum("amplitude"), F.abs("amplitude")
     step = Window.partitionBy("log_id", "first").orderBy("pos")

@@ -12,6 +12,7 @@ from ..operators.spectrum import analyze_frequency
 from ..operators.steps import primary_step
 from ..operators.timing import analyze_timing
 from ..settings import PARAMETERS, Settings
+from ..storage import stored
 from .rules import METRICS, evaluate
 
 SCHEMA_VERSION = "1.1"
@@ -25,13 +26,13 @@ def log_metrics(full: DataFrame, analysis: DataFrame, settings: Settings = Setti
         lag = lag_analysis(analysis, settings.lag).select("log_id", "estimated_lag_s", "max_correlation", "reliable", "confidence", F.col("reason").alias("lag_reason"))
         parts += [sensor_statistics(analysis).drop("n", "reference_mean_m", "ekf_mean_m", "reference_std_m", "ekf_std_m"), lag]
     parts.append(analyze_frequency(analysis).drop("available", "n_grid"))
-    out = timing
-    for p in parts:
-        out = out.join(p, "log_id", "left")
+    out = stored(timing, "timing")
+    for p in parts:  # each is a small table of its own before they meet
+        out = out.join(stored(p, "section"), "log_id", "left")
     for m in METRICS:
         if m not in out.columns:
             out = out.withColumn(m, F.lit(None).cast("boolean" if m == "reliable" else "double"))
-    return out
+    return stored(out, "metrics")
 
 
 def diagnose(full: DataFrame, analysis: DataFrame, settings: Settings = Settings()) -> DataFrame:

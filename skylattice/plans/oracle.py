@@ -119,8 +119,8 @@ sp AS (SELECT log_id, j, j / (n_grid * dt) AS frequency_hz, (re * re + im * im)
 sp1 AS (SELECT *, lag(power) OVER w AS p0, lead(power) OVER w AS p1, frequency_hz - lag(frequency_hz) OVER w AS width FROM sp WINDOW w AS (PARTITION BY log_id ORDER BY j)),
 spa AS (SELECT log_id, sum((power + p0) / 2 * width) AS total, median(width) AS bin FROM sp1 GROUP BY log_id),
 sp2 AS (SELECT *, coalesce(power > p0 AND power > p1, false) AS peak FROM sp1),
-sp3 AS (SELECT *, bool_or(peak) OVER (PARTITION BY log_id) AS some, row_number() OVER (PARTITION BY log_id ORDER BY peak DESC, power DESC, j) AS rank FROM sp2),
-pk AS (SELECT log_id, rank, frequency_hz, power, coalesce(power * bin / nullif(total, 0), 0) AS ratio, total AS total_power FROM sp3 JOIN spa USING (log_id) WHERE CASE WHEN some THEN peak AND rank <= 3 ELSE rank = 1 END),
+sp3 AS (SELECT *, bool_or(peak) OVER (PARTITION BY log_id) AS anypeak, row_number() OVER (PARTITION BY log_id ORDER BY peak DESC, power DESC, j) AS rank FROM sp2),
+pk AS (SELECT log_id, rank, frequency_hz, power, coalesce(power * bin / nullif(total, 0), 0) AS ratio, total AS total_power FROM sp3 JOIN spa USING (log_id) WHERE CASE WHEN anypeak THEN peak AND rank <= 3 ELSE rank = 1 END),
 fq AS (SELECT p.log_id, p.frequency_hz AS dominant_frequency_hz, p.ratio AS peak_ratio, p.total_power, 0.5::DOUBLE / dt AS nyquist_hz, 1.0::DOUBLE / (dt * n_grid) AS min_frequency_hz, irregular, n_grid, true AS available
   FROM pk p JOIN (SELECT DISTINCT log_id, dt, n_grid, irregular FROM fs) s USING (log_id) WHERE rank = 1)"""
 )
