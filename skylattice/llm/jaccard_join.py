@@ -5,11 +5,10 @@ A document's set holds its distinct word shingles.  Two documents link when
 
 1. *Classes.*  Documents with equal sets form one class; only its smallest id goes on.  Thousands of
    copies therefore cost one row each and no pair.
-2. *Index lists by position.*  The universe of shingle hashes is cut into positions.  Two linked sets
-   differ in at most H shingles, so of H + 1 positions at least one holds the same shingles in both
-   (pigeonhole).  Each set enters the index list of every (size band, position, digest of what it
-   holds there).  A plain list per shingle would put every document with a popular passage into one
-   list; a list per position holds only sets that agree on all of that position.
+2. *Index lists by position.*  Shingles stand in the order of their hashes.  Linked sets of about n shingles share the first
+   l of their common shingles within their first n - ceil(t n) + l positions, so only these enter the index.  Each set may then leave
+   out its l - 1 most popular entries: the least popular of the shared ones is among what both sets keep, so no link is lost, while
+   a passage that many documents share leaves the index.
 3. *Candidate clusters.*  Lists are chained through their smallest member instead of being expanded
    into pairs; the components of these chains are clusters no link can leave.
 4. *Answers in blocks.*  A cluster is cut into blocks by size band and hash, each of bounded size; block
@@ -30,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -63,48 +62,19 @@ def band_edges(percent: int, upto: int = 1 << 31) -> np.ndarray:
     return np.array(edges, np.int64)
 
 
-def _positions(edges: np.ndarray, band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of positions for sets of ``band`` and the next one, and how many positions may be empty in both."""
-    largest = edges[np.minimum(band + 2, len(edges) - 1)] - 1
-    # |A xor B| <= (1 - t) |A or B| and (1 + t) |A or B| <= |A| + |B|, so |A xor B| <= 2 (1 - t) / (1 + t) times the larger size
-    differ = (100 - percent) * 2 * largest // (100 + percent)
-    slack = np.where(differ >= 3, 2, 1)
-    return np.where(differ > 0, differ + 1 + slack, 0), slack  # where nothing may differ, classes are the answer
+def slack(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many shared shingles beyond one the index prefix holds: a share of the set, half of what linked sets may lack."""
+    return sizes * (100 - percent) // 200
 
 
-def signatures(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of each set: (keys, number per set).  Linked, different sets share a key."""
-    edges = band_edges(percent)
-    band = np.searchsorted(edges, counts, "right") - 1
-    keys, owners = [], []
-    spread = mix(hashes ^ np.uint64(0xA24BAED4963EE407))
-    content = mix(hashes ^ np.uint64(0x9FB21C651E98DF25))
-    text = np.repeat(np.arange(len(counts)), counts)
-    for below in (0, 1):  # with sets of its own band and the next, and with sets of the band before
-        scheme = band - below
-        parts, slack = _positions(edges, np.maximum(scheme, 0), percent)
-        parts = np.where((counts > 0) & (scheme >= 0), parts, 0)
-        begin = np.cumsum(parts) - parts
-        live = parts[text] > 0
-        at = (spread[live] >> np.uint64(32)).astype(np.int64) * parts[text[live]] >> 32
-        cell = begin[text[live]] + at
-        total = int(parts.sum())
-        digest, held = np.zeros(total, np.uint64), np.bincount(cell, minlength=total)
-        order = np.argsort(cell, kind="stable")
-        filled = np.flatnonzero(held)
-        if len(filled):
-            digest[filled] = np.add.reduceat(content[live][order], np.searchsorted(cell[order], filled))
-        owner = np.repeat(np.arange(len(counts)), parts)
-        place = np.arange(total) - begin[owner]
-        empty = held == 0
-        empties = np.bincount(owner[empty], minlength=len(counts))
-        # agreeing positions outnumber the slack, so empty ones alone can agree only between sets with more empty ones than that
-        use = ~empty | (empties > slack)[owner]
-        keys.append(mix(digest + held.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix((scheme[owner].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)))[use])
-        owners.append(owner[use])
-    keys, owners = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return keys[order], np.bincount(owners, minlength=len(counts))
+def prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
+    least = -(-sizes * percent // 100)
+    return np.where(sizes > 0, sizes - least + 1 + slack(sizes, percent), 0)
+
+
+def droppable(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Popular entries that a set may leave out: no more than the smallest set it may link with holds beyond one."""
+    return slack(-(-sizes * percent // 100), percent)
 
 
 def digests(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
@@ -120,7 +90,9 @@ def _summaries(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             hashes, counts = shingle_sets(batch.column("text"), words)
-            keys, n = signatures(hashes, counts, percent)
+            n = prefix_lengths(counts, percent)
+            at = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+            keys = hashes[at < np.repeat(n, counts)]
             band = pa.array(np.searchsorted(edges, counts, "right") - 1, pa.int32())
             d1, d2 = digests(hashes, counts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(d1), pa.array(d2), band, list_array(signed(keys), n, pa.int64())], schema=schema)
@@ -252,11 +224,42 @@ def _sets(words: int):
     return run, "cluster long, pair string, node long, shingles array<long>"
 
 
-def clusters(classes: DataFrame) -> DataFrame:
+_ENTRIES = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("drop", pa.int64()), ("more", pa.list_(pa.struct([("node", pa.int64()), ("drop", pa.int64())])))])
+
+
+def _entries(percent: int):
+    """Index entries of a batch of classes: one row a key, so that a popular one is as many rows as there are batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            per = batch.column("keys").value_lengths().to_numpy(zero_copy_only=False)
+            key = batch.column("keys").flatten().to_numpy()
+            order = np.argsort(key, kind="stable")
+            node = np.repeat(batch.column("node").to_numpy(), per)[order]
+            drop = np.repeat(droppable(batch.column("n_shingles").to_numpy(), percent), per)[order]
+            key = key[order]
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(head)
+            rest = pa.StructArray.from_arrays([pa.array(node[~head]), pa.array(drop[~head])], names=["node", "drop"])
+            extra = np.diff(np.append(first, len(key))) - 1
+            more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(extra)]).astype(np.int32)), rest)
+            yield pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(node[head]), pa.array(drop[head]), more], schema=_ENTRIES)
+
+    return run, "key long, node long, drop long, more array<struct<node:long,drop:long>>"
+
+
+def clusters(classes: DataFrame, percent: int) -> DataFrame:
     """Rows (node, component) of candidate clusters: chains through the smallest member of each index list."""
-    entries = classes.select("node", F.explode("keys").alias("key"))
-    heads = entries.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
-    chains = entries.join(heads, "key").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    run, schema = _entries(percent)
+    lists = classes.select("node", "n_shingles", "keys").mapInArrow(run, schema)
+    lists = lists.withColumn("n", F.sum(F.size("more") + 1).over(Window.partitionBy("key"))).filter("n > 1")
+    one = F.array(F.struct("node", "drop"))
+    entries = lists.select("key", "n", F.explode(F.concat(one, "more")).alias("e")).select("key", "n", "e.node", "e.drop")
+    popular = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "key"))  # at most the prefix of one set
+    kept = stored(entries.withColumn("rank", popular).filter("rank > drop").select("key", "node"), "entries")
+    heads = kept.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
+    chains = kept.join(heads, "key").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     return components(chains)
 
 
@@ -285,7 +288,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(source.mapInArrow(run, schema), "sets")
     grouped = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "d1", "d2")
     classes = stored(grouped.agg(F.min("doc_id").alias("doc_id"), F.any_value("band").alias("band"), F.any_value("keys").alias("keys"), F.xxhash64("n_shingles", "d1", "d2").alias("node")), "classes")
-    cluster = clusters(classes).withColumnRenamed("component", "cluster")
+    cluster = clusters(classes, percent).withColumnRenamed("component", "cluster")
     members = stored(classes.drop("keys").join(cluster, "node"), "members")
     run, schema = _sets(words)
     sets = source.join(_placed(members), "doc_id").mapInArrow(run, schema)
