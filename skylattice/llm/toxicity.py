@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples (operator 4): exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and their prefixes of four to six bytes.  The examples are a bounded sample of labelled
-rows (``most``, a parameter); the terms of the space are those whose presence depends on the label in that sample
-(chi-square), at most ``terms`` of them.  Inverse document frequencies are counted over all documents.  The examples
+rows (``most``, a parameter); the terms of the space are those whose presence speaks for the label in that sample
+(chi-square and share), at most ``terms`` of them.  Inverse document frequencies are counted over all documents.  The examples
 lie in blocks of 64, and each term knows its largest weight in each block: blocks are visited by their bound until
 none can hold a nearer example, so the neighbours are exact.
 
@@ -134,8 +134,9 @@ def chi_square(with_1: np.ndarray, with_any: np.ndarray, n1: int, n: int) -> np.
     return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
 
 
-def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20000, terms: int = 2048, least: float = 20.0, rows: int = 4) -> Index:
-    """The index over at most ``most`` examples and ``terms`` terms: chi-square ``least`` or more, in ``rows`` examples or more.
+def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20000, terms: int = 2048, least: float = 20.0, rows: int = 4, lift: float = 3.0) -> Index:
+    """The index over at most ``most`` examples and ``terms`` terms: chi-square ``least`` or more, in ``rows`` examples or more, and
+    with a share of label 1 of ``lift`` times the base rate or more (words of every text are no evidence, however many there are).
 
     The driver holds the chosen terms and, for each example, the chosen terms it has: bounded by ``most`` and ``terms``.
     """
@@ -157,7 +158,7 @@ def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     counted = sample.mapInArrow(presence, "term long, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter(F.col("n") >= rows)
     a, b = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double")
     chi = F.lit(float(n)) * F.pow(a * (n - n1 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b) * n1 * (n - n1))
-    chosen = counted.filter((F.col("n") < n) & F.lit(0 < n1 < n)).withColumn("chi", chi).filter(F.col("chi") >= least).orderBy(F.desc("chi"), "term").limit(terms).collect() if 0 < n1 < n else []
+    chosen = counted.filter((F.col("n") < n) & F.lit(0 < n1 < n)).withColumn("chi", chi).filter((F.col("chi") >= least) & (F.col("n1") * n >= lift * n1 * F.col("n"))).orderBy(F.desc("chi"), "term").limit(terms).collect() if 0 < n1 < n else []
     vocabulary = np.sort(np.array([r.term for r in chosen], np.int64).view(np.uint64))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
