@@ -1,10 +1,11 @@
-"""Toxicity from the nearest labelled examples (operator 4): exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity from the nearest labelled examples (operator 4): exact TF-IDF cosine over an index of all their terms.
 
 Terms are lower-cased words and their prefixes of four to six bytes.  The examples are a bounded sample of labelled
-rows (``most``, a parameter); the terms of the space are those whose presence speaks for the label in that sample
-(chi-square and share), at most ``terms`` of them.  Inverse document frequencies are counted over all documents.  The examples
-lie in blocks of 64, and each term knows its largest weight in each block: blocks are visited by their bound until
-none can hold a nearer example, so the neighbours are exact.
+rows (``most``, a parameter); all terms of all of them make the space, and every document is compared with every example.
+Inverse document frequencies are counted over all documents.  Terms whose presence speaks for the label in the sample
+(chi-square and share) weigh more; no other term is left out.  Common terms are scored by a matrix product, rare ones by
+their lists, and the nearest once more in double precision, so the neighbours are exact.  Bounds by block skip next to
+nothing here (README), so there are none.
 
 A score is the distance-weighted share of toxic neighbours, drawn towards the base rate, and then calibrated on the
 examples themselves, each scored without itself.  Evidence names the neighbours.  Texts without any term of the
@@ -13,19 +14,25 @@ space (null and empty texts too) get the share of toxic examples among examples
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
+from hashlib import sha1
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labels import held_out, training_sample
 from .textops import Words, list_array, mix, signed, small_batches, texts_of
 
 PREFIXES = (4, 5, 6)
-BLOCK = 64
+COMMON = 0.1  #: a term in more than this share of the examples is a row of the matrix; the result is the same for any share
+QUERIES = 128
 
 
 def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,65 +61,125 @@ def term_counts(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np
 
 @dataclass
 class Index:
-    """Examples as TF-IDF vectors of unit length, term by term, with the largest weight of each term in each block."""
+    """Examples as TF-IDF vectors of unit length, example by example; the lists by term are made where they are used."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    begin: np.ndarray  # of each term's postings
-    example: np.ndarray
-    weight: np.ndarray
-    block_begin: np.ndarray  # of each term's blocks
-    block: np.ndarray
-    block_max: np.ndarray
-    block_first: np.ndarray  # first posting of each (term, block)
+    begin: np.ndarray  # of each example's terms
+    term: np.ndarray
+    count: np.ndarray
+    spare: np.ndarray  # examples that follow ``neighbours`` + 1 equal ones: never among the nearest, as ties go by id
     prior: float
     without: float  # score of texts without any term
-    levels: np.ndarray  # calibration: raw scores and what they mean
-    meaning: np.ndarray
     neighbours: int = 15
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        """Packed for the way to the executors: steps between terms, byte by byte, are mostly small."""
+        steps = np.diff(self.term, prepend=np.int32(0)).view(np.uint8).reshape(-1, 4)
+        packed = {"term": [zlib.compress(steps[:, k].tobytes(), 1) for k in range(4)], "count": (self.count.dtype.str, zlib.compress(self.count.tobytes(), 1)), "idf": zlib.compress(self.idf.astype(float).tobytes(), 1)}
+        return {f.name: getattr(self, f.name) for f in fields(self)} | packed
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        steps = np.stack([np.frombuffer(zlib.decompress(x), np.uint8) for x in state["term"]], axis=1)
+        self.term = np.cumsum(steps.view(np.int32).ravel(), dtype=np.int32)
+        kind, packed = state["count"]
+        self.count, self.idf = np.frombuffer(zlib.decompress(packed), kind), np.frombuffer(zlib.decompress(state["idf"]))
+
+    def vectors(self, text: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         v = (1 + np.log(counts)) * self.idf[terms]
-        return v / np.sqrt((v * v).sum())
+        return v / np.sqrt(np.bincount(text, weights=v * v))[text] if len(v) else v
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return self.vectors(np.zeros(len(terms), np.int64), terms, counts)
+
+    def slices(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """The postings of 500 examples at a time, and their examples."""
+        for k in range(0, len(self.ids), 500):
+            edge = self.begin[k : k + 501]
+            yield slice(edge[0], edge[-1]), np.repeat(np.arange(k, k + len(edge) - 1, dtype=np.int32), np.diff(edge))
+
+    @cached_property
+    def weight(self) -> np.ndarray:
+        out = np.empty(len(self.term), np.float32)
+        for part, owner in self.slices():
+            out[part] = self.vectors(owner - owner.min(initial=len(self.ids)), self.term[part], self.count[part])
+        return out
+
+    @cached_property
+    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the common terms (-1: rare), their weights as a matrix, and the lists of the rare terms."""
+        m = len(self.ids)
+        held = np.bincount(self.term, minlength=len(self.idf))
+        common = np.flatnonzero(held > COMMON * m)
+        row = np.full(len(self.idf), -1, np.int32)
+        row[common] = np.arange(len(common))
+        dense = np.zeros((len(common), m), np.float32)
+        begin = np.concatenate([[0], np.cumsum(np.where(row < 0, held, 0))])
+        upto = begin[:-1].copy()  # where the next posting of a term goes
+        owners, weights = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32)
+        for part, owner in self.slices():
+            term, weight = self.term[part], self.weight[part]
+            at = row[term]
+            rare = at < 0
+            dense[at[~rare], owner[~rare]] = weight[~rare]
+            order = np.argsort(term[rare], kind="stable")
+            term, n = np.unique(term[rare], return_counts=True)
+            x, _ = spans(upto[term], n)
+            owners[x], weights[x] = owner[rare][order], weight[rare][order]
+            upto[term] += n
+        return row, dense, begin, owners, weights
 
     def nearest(self, terms: np.ndarray, query: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine, by (cosine, example number): exact."""
-        n_blocks = len(self.ids) // BLOCK + 1
-        bound = np.zeros(n_blocks)
-        for t, q in zip(terms.tolist(), query.tolist(), strict=True):
-            a, b = self.block_begin[t], self.block_begin[t + 1]
-            bound[self.block[a:b]] += q * self.block_max[a:b]
-        order = np.argsort(-bound, kind="stable")
-        found_at, found_by, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for step in range(0, n_blocks, 8):
-            some = order[step : step + 8]
-            some = some[(bound[some] > 0) & (bound[some] >= least - 1e-9)]
-            if not len(some):
-                break
-            place = np.full(n_blocks, -1, np.int64)
-            place[some] = np.arange(len(some))
-            score = np.zeros(len(some) * BLOCK)
-            for t, q in zip(terms.tolist(), query.tolist(), strict=True):
-                a, b = self.block_begin[t], self.block_begin[t + 1]
-                for j in (a + np.flatnonzero(place[self.block[a:b]] >= 0)).tolist():
-                    lo, hi = self.block_first[j], self.block_first[j + 1]
-                    score[place[self.block[j]] * BLOCK + self.example[lo:hi] % BLOCK] += q * self.weight[lo:hi]
-            at = np.flatnonzero(score > 0)
-            example = some[at // BLOCK] * BLOCK + at % BLOCK
-            keep = example != skip
-            found_at, found_by = np.concatenate([found_at, example[keep]]), np.concatenate([found_by, np.round(score[at][keep], 12)])
-            best = np.lexsort((found_at, -found_by))[:k]
-            found_at, found_by = found_at[best], found_by[best]
-            least = found_by[-1] if len(found_by) == k else 0.0
-        return found_at, found_by
+        """The k examples of largest positive cosine, by (cosine, id): exact."""
+        return next(self.all_nearest(terms, query, np.array([0, len(terms)]), k, np.array([skip])))
+
+    def all_nearest(self, terms: np.ndarray, query: np.ndarray, cut: np.ndarray, k: int, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for each of the queries ``cut[i]:cut[i + 1]``.
+
+        Every example is scored in single precision: common terms by one matrix product for many queries, rare ones by their lists.
+        All examples within twice the rounding error of the k-th are then scored again in double precision.
+        """
+        row, dense, begin, owner, weight = self.postings
+        m, size, slack = len(self.ids), np.diff(begin), 1e-6 + 1.2e-7 * len(dense)
+        per, full = np.diff(self.begin), np.zeros(len(self.idf))
+        for g in range(0, len(cut) - 1, QUERIES):
+            edge = cut[g : g + QUERIES + 1]
+            a, b = edge[0], edge[-1]
+            at = row[terms[a:b]]
+            common = at >= 0
+            side = np.zeros((len(edge) - 1, len(dense)), np.float32)
+            side[np.repeat(np.arange(len(edge) - 1), np.diff(edge))[common], at[common]] = query[a:b][common]
+            scores = side @ dense
+            for i in range(len(edge) - 1):
+                lo, hi = edge[i], edge[i + 1]
+                t, q = terms[lo:hi], query[lo:hi]
+                rare = ~common[lo - a : hi - a]
+                x, n = spans(begin[t[rare]], size[t[rare]])
+                score = scores[i] + np.bincount(owner[x], weights=weight[x] * np.repeat(q[rare], n), minlength=m)
+                score[self.spare] = 0
+                if skip is not None and skip[g + i] >= 0:
+                    score[skip[g + i]] = 0
+                least = np.partition(score, m - k)[m - k] if m > k else 0.0
+                some = np.flatnonzero((score > 0) & (score >= least - slack))
+                x, n = spans(self.begin[some], per[some])
+                full[t] = q
+                by = np.round(np.bincount(np.repeat(np.arange(len(some)), n), weights=full[self.term[x]] * self.weight[x], minlength=len(some)), 12)
+                full[t] = 0
+                best = np.lexsort((self.ids[some], -by))[:k]
+                best = best[by[best] > 0]
+                yield some[best], by[best]
 
     def vote(self, near: np.ndarray, by: np.ndarray) -> float:
         return float(((by * self.labels[near]).sum() + self.prior) / (by.sum() + 1))
 
-    def calibrated(self, raw: np.ndarray) -> np.ndarray:
-        return np.interp(raw, self.levels, self.meaning) if len(self.levels) else raw
+
+def spans(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all slices ``first:first + n``, one after the other, and their lengths."""
+    upto = np.cumsum(n)
+    return np.repeat(first - upto + n, n) + np.arange(upto[-1] if len(n) else 0), n
 
 
 def _calibration(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,12 +201,14 @@ def chi_square(with_1: np.ndarray, with_any: np.ndarray, n1: int, n: int) -> np.
     return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
 
 
-def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20000, terms: int = 2048, least: float = 20.0, rows: int = 4, lift: float = 3.0) -> Index:
-    """The index over at most ``most`` examples and ``terms`` terms: chi-square ``least`` or more, in ``rows`` examples or more, and
-    with a share of label 1 of ``lift`` times the base rate or more (words of every text are no evidence, however many there are).
+def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20000, terms: int = 2048, least: float = 20.0, rows: int = 4, lift: float = 3.0, stress: float = 10.0) -> Index:
+    """The index over at most ``most`` examples and every term that one of them has.
 
-    The driver holds the chosen terms and, for each example, the chosen terms it has: bounded by ``most`` and ``terms``.
+    At most ``terms`` terms weigh ``stress`` times as much: chi-square ``least`` or more, in ``rows`` examples or more, and with a share
+    of label 1 of ``lift`` times the base rate or more.  The driver holds the terms of all examples: bounded by ``most`` texts.
+    Labels of one kind make no space: every neighbour says the same.
     """
+    context = docs.sparkSession.sparkContext
     sample = training_sample(docs, labels, label, most).persist()
     n, n1 = (int(x or 0) for x in sample.agg(F.count("*"), F.sum("label")).first())
     prior = (n1 + 0.5) / (n + 1)
@@ -155,68 +224,92 @@ def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             term, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
             yield pa.RecordBatch.from_pydict({"term": signed(term), "n": count.astype(np.int64), "n1": np.bincount(inverse, weights=y, minlength=len(term)).astype(np.int64)})
 
-    counted = sample.mapInArrow(presence, "term long, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter(F.col("n") >= rows)
-    a, b = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double")
-    chi = F.lit(float(n)) * F.pow(a * (n - n1 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b) * n1 * (n - n1))
-    chosen = counted.filter((F.col("n") < n) & F.lit(0 < n1 < n)).withColumn("chi", chi).filter((F.col("chi") >= least) & (F.col("n1") * n >= lift * n1 * F.col("n"))).orderBy(F.desc("chi"), "term").limit(terms).collect() if 0 < n1 < n else []
-    vocabulary = np.sort(np.array([r.term for r in chosen], np.int64).view(np.uint64))
+    counted = sample.mapInArrow(presence, "term long, n long, n1 long").groupBy("term").agg(F.sum("n").cast("int").alias("n"), F.sum("n1").cast("int").alias("n1"))
+    found = (counted if 0 < n1 < n else counted.limit(0)).toArrow()
+    hashed = found.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(hashed)
+    vocabulary, held, held1 = hashed[order], found.column("n").to_numpy()[order].astype(float), found.column("n1").to_numpy()[order].astype(float)
+    chi = chi_square(held1, held, n1, n)
+    leaning = np.flatnonzero((held >= rows) & (held < n) & (chi >= least) & (held1 * n >= lift * n1 * held))
+    leaning = leaning[np.lexsort((signed(vocabulary[leaning]), -chi[leaning]))[:terms]]
+    shared = context.broadcast(vocabulary)  # the terms of the examples
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(len(vocabulary), np.int64), 0
+        known = shared.value
+        total, seen = np.zeros(len(known) + 1, np.int32), 0
         for batch in small_batches(batches, "text"):
-            total += np.bincount(term_counts(batch.column("text"), vocabulary)[1], minlength=len(vocabulary))
+            total[:-1] += np.bincount(term_counts(batch.column("text"), known)[1], minlength=len(known)).astype(np.int32)
             seen += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"term": np.arange(len(vocabulary) + 1), "n": np.append(total, seen)})
+        total[-1] = seen
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": some.astype(np.int32), "n": total[some]})
 
-    df = texts_of(docs, "doc_id", "text").mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy("term").collect()
-    df = np.array([r.n for r in df] or [0], np.int64)
+    table = texts_of(docs, "doc_id", "text").mapInArrow(frequency, "term int, n int").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[table.column("term").to_numpy()] = table.column("n").to_numpy()
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+    idf[leaning] *= stress
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            text, term, count = term_counts(batch.column("text"), vocabulary)
+            text, term, count = term_counts(batch.column("text"), shared.value)
             per = np.bincount(text, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), list_array(term, per, pa.int64()), list_array(count, per, pa.int64())], names=["doc_id", "label", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), list_array(term, per, pa.int32()), list_array(count, per, pa.int32())], names=["doc_id", "label", "terms", "counts"])
 
-    table = sample.mapInArrow(vectors, "doc_id long, label int, terms array<long>, counts array<long>").toArrow().sort_by("doc_id")
+    table = sample.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>").toArrow()
     sample.unpersist()
+    shared.destroy()
     return _index(vocabulary, idf, table, prior)
 
 
 def _index(vocabulary: np.ndarray, idf: np.ndarray, table: pa.Table, prior: float) -> Index:
-    y = table.column("label").to_numpy().astype(np.int64)
-    filled = table.column("terms").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) > 0
+    y, ids = table.column("label").to_numpy().astype(np.int64), table.column("doc_id").to_numpy()
+    flat = lambda name, kind: np.concatenate([np.empty(0, kind), *(c.flatten().to_numpy().astype(kind) for c in table.column(name).chunks)])
+    per = np.concatenate([np.empty(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in table.column("terms").chunks)]).astype(np.int64)
+    filled = per > 0
     without = (y[~filled].sum() + prior) / ((~filled).sum() + 1)
-    table = table.filter(pa.array(filled))
-    y = y[filled]
-    m = len(y)
-    per = table.column("terms").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if m else np.empty(0, np.int64)
-    term = table.column("terms").combine_chunks().flatten().to_numpy() if m else np.empty(0, np.int64)
-    count = table.column("counts").combine_chunks().flatten().to_numpy() if m else np.empty(0, np.int64)
-    value = (1 + np.log(count)) * idf[term]
-    owner = np.repeat(np.arange(m), per)
-    value /= np.sqrt(np.bincount(owner, weights=value * value, minlength=m))[owner]
-    order = np.lexsort((owner, term))
-    term, owner, value = term[order], owner[order], value[order]
-    cell = term * (m // BLOCK + 1) + owner // BLOCK
-    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
-    size = len(vocabulary)
-    index = Index(
-        vocabulary, idf, table.column("doc_id").to_numpy(), y, np.searchsorted(term, np.arange(size + 1)), owner, value,
-        np.searchsorted(term[first], np.arange(size + 1)), (owner[first] // BLOCK), np.maximum.reduceat(value, first) if len(first) else np.empty(0), np.append(first, len(term)),
-        prior, float(without), np.empty(0), np.empty(0),
-    )
-    cut = np.concatenate([[0], np.cumsum(per)])
-    by_doc = np.lexsort((term, owner))
-    raw = np.array([index.vote(*index.nearest(term[by_doc[a:b]], value[by_doc[a:b]], index.neighbours, skip=k)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
-    if m:
-        index.levels, index.meaning = _calibration(raw, y)
+    begin = np.concatenate([[0], np.cumsum(per[filled])])
+    index = Index(vocabulary, idf, ids[filled], y[filled], begin, flat("terms", np.int32), flat("counts", np.int32), np.empty(0, np.int64), prior, float(without))
+    if index.count.max(initial=0) < 1 << 16:
+        index.count = index.count.astype(np.uint16)
+    equal: Counter[bytes] = Counter()
+    spare = []
+    for k in np.argsort(index.ids).tolist():
+        part = slice(begin[k], begin[k + 1])
+        key = sha1(index.term[part].tobytes() + index.count[part].tobytes()).digest()
+        equal[key] += 1
+        if equal[key] > index.neighbours + 1:
+            spare.append(k)
+    index.spare = np.array(spare, np.int64)
     return index
 
 
+def calibration(spark: SparkSession, shared: Broadcast, ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a vote means, from the examples, each voted on by the others."""
+    m = len(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            some = batch.column("id").to_numpy()
+            x, n = spans(index.begin[some], np.diff(index.begin)[some])
+            found = index.all_nearest(index.term[x], index.weight[x].astype(float), np.concatenate([[0], np.cumsum(n)]), index.neighbours, some)
+            yield pa.RecordBatch.from_pydict({"id": some, "raw": pa.array([index.vote(*f) for f in found], pa.float64())})
+
+    if not m:
+        return np.empty(0), np.empty(0)
+    votes = spark.range(0, m, 1, m // 512 + 1).mapInArrow(run, "id long, raw double").toArrow().sort_by("id")
+    order = np.argsort(ids)
+    return _calibration(votes.column("raw").to_numpy()[order], labels[order])
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, and evidence (neighbours: doc_id, similarity, label)."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(docs, labels, **options))  # bounded by the examples and terms
+    index = build(docs, labels, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the examples
+    ids, y = index.ids, index.labels
+    del index
+    levels, meaning = calibration(docs.sparkSession, shared, ids, y)
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", evidence)])
 
@@ -224,12 +317,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
         index = shared.value
         for batch in small_batches(batches, "text"):
             text, term, count = term_counts(batch.column("text"), index.vocabulary)
-            cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
             score, shown = np.full(batch.num_rows, index.without), [[] for _ in range(batch.num_rows)]
-            for i in np.unique(text).tolist():
-                terms = term[cut[i] : cut[i + 1]]
-                near, by = index.nearest(terms, index.vector(terms, count[cut[i] : cut[i + 1]]), index.neighbours)
-                score[i] = index.calibrated(np.array([index.vote(near, by)]))[0]
+            some, first = np.unique(text, return_index=True)
+            found = index.all_nearest(term, index.vectors(text, term, count), np.append(first, len(text)), index.neighbours)
+            for i, (near, by) in zip(some.tolist(), found, strict=True):
+                score[i] = np.interp(index.vote(near, by), levels, meaning)
                 shown[i] = [{"doc_id": int(index.ids[x]), "similarity": float(s), "label": int(index.labels[x])} for x, s in zip(near[:3], by[:3], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(shown, evidence)], schema=schema)
 

@@ -228,6 +228,27 @@ def test_nearest_examples_are_exact():
         assert np.allclose(by, cosine[want], atol=1e-9)
 
 
+def test_every_text_is_compared_with_every_example(spark):
+    import math
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["we", "go", "out", "and", "see", "the", "sea", "now"]) for _ in range(rng.randint(2, 9))) + (" vile" if k % 9 == 4 else "") for k in range(90)]
+    texts += ["we go out"] * 40  # more equal examples than neighbours
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int("vile" in t)) for k, t in enumerate(texts)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels, stress=1.0).collect()}
+    bags = [Counter(t.split()) for t in texts]
+    df = Counter(w for b in bags for w in b)
+    vectors = [{w: (1 + math.log(c)) * (math.log((len(texts) + 1) / (df[w] + 1)) + 1) for w, c in b.items()} for b in bags]
+    size = [math.sqrt(sum(v * v for v in x.values())) for x in vectors]
+    examples = [k for k in got if not got[k].held_out]
+    for k, x in enumerate(vectors):
+        cosine = {e: round(sum(v * vectors[e].get(w, 0) for w, v in x.items()) / size[k] / size[e], 5) for e in examples}
+        want = sorted(cosine.values(), reverse=True)[:3]
+        assert [round(e.similarity, 5) for e in got[k].evidence] == pytest.approx(want, abs=2e-5)
+        assert all(cosine[e.doc_id] == pytest.approx(e.similarity, abs=2e-5) for e in got[k].evidence)
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 200)
