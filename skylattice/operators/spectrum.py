@@ -1,7 +1,7 @@
 """Power spectrum of the altitude error (Welch), its peaks and their share.
 
-A log is one group of samples; its spectrum is a NumPy transform inside a grouped Arrow task.  Everything around it (the
-series, the grid, detrending, peaks) is DataFrame work.  ``dft_power`` is the same transform as a join, for logs of one segment.
+A segment of a log is one group of samples; its spectrum is a NumPy transform inside a grouped Arrow task.  Everything around it (the
+series, the grid, detrending, peaks) is DataFrame work.  ``dft_power`` is the same transform as sums.
 """
 
 from __future__ import annotations
@@ -47,27 +47,41 @@ def welch(x: np.ndarray, rate: float, longest: int = LONGEST) -> tuple[np.ndarra
     return np.arange(len(power)) * rate / size, power
 
 
+def welch_segments(log: DataFrame) -> DataFrame:
+    """The grid dealt to half-overlapping segments of at most ``LONGEST`` points: (log_id, segment, i, size, dt, x); a tail that fills none is left out."""
+    g = error_grid(log).withColumn("size", F.least("n_grid", F.lit(LONGEST).cast("long")))
+    g = g.withColumn("hop", F.col("size") - F.floor(F.col("size") / 2))
+    low = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("k") - F.col("size") + 1) / F.col("hop")).cast("long"))
+    high = F.least(F.floor((F.col("n_grid") - F.col("size")) / F.col("hop")), F.floor(F.col("k") / F.col("hop"))).cast("long")
+    g = g.withColumn("low", low).withColumn("high", high).filter("low <= high").withColumn("segment", F.explode(F.sequence("low", "high")))
+    return g.select("log_id", "segment", (F.col("k") - F.col("segment") * F.col("hop")).alias("i"), "size", "dt", "x")
+
+
+def _averaged(power: DataFrame) -> DataFrame:
+    return power.groupBy("log_id", "j").agg(F.min("frequency_hz").alias("frequency_hz"), F.avg("power").alias("power"))
+
+
 def power_spectrum(log: DataFrame) -> DataFrame:
-    """Rows (log_id, j, frequency_hz, power) without the constant term."""
+    """Rows (log_id, j, frequency_hz, power) without the constant term; a task holds one segment at a time."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("k")
+        table = table.sort_by("i")
         f, p = welch(table.column("x").to_numpy(), 1.0 / table.column("dt")[0].as_py())
         return pa.table({"log_id": pa.array([key[0].as_py()] * (len(f) - 1), pa.int64()), "j": pa.array(np.arange(1, len(f))), "frequency_hz": f[1:], "power": p[1:]})
 
-    return error_grid(log).select("log_id", "k", "dt", "x").groupBy("log_id").applyInArrow(run, "log_id long, j long, frequency_hz double, power double")
+    parts = welch_segments(log).select("log_id", "segment", "i", "dt", "x").groupBy("log_id", "segment")
+    return _averaged(parts.applyInArrow(run, "log_id long, j long, frequency_hz double, power double"))
 
 
 def dft_power(log: DataFrame) -> DataFrame:
-    """The spectrum of logs of at most one segment, as a sum over samples for each frequency: no Python at all."""
-    g = error_grid(log).filter(F.col("n_grid") <= LONGEST)
-    n, k = F.col("n_grid").cast("double"), F.col("k").cast("double")
-    window = 0.5 - 0.5 * F.cos(2 * math.pi * k / n)
-    g = g.select("log_id", "k", "n_grid", "dt", (F.col("x") * window).alias("xw"), (window * window).alias("ww")).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("n_grid") / 2).cast("long"))))
-    angle = 2 * math.pi * F.col("j") * F.col("k") / F.col("n_grid")
-    sums = g.groupBy("log_id", "n_grid", "dt", "j").agg(F.sum(F.col("xw") * F.cos(angle)).alias("re"), F.sum(F.col("xw") * F.sin(angle)).alias("im"), F.sum("ww").alias("ww"))
-    sides = F.when(F.col("j") * 2 == F.col("n_grid"), 1.0).otherwise(2.0)
-    return sums.select("log_id", "j", (F.col("j") / (F.col("n_grid") * F.col("dt"))).alias("frequency_hz"), ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * F.col("dt") / F.col("ww") * sides).alias("power"))
+    """The same spectrum of all logs, as a sum over the samples of each segment for each frequency: no Python at all."""
+    g = welch_segments(log)
+    window = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("i").cast("double") / F.col("size"))
+    g = g.select("log_id", "segment", "i", "size", "dt", (F.col("x") * window).alias("xw"), (window * window).alias("ww")).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("size") / 2).cast("long"))))
+    angle = 2 * math.pi * F.col("j") * F.col("i") / F.col("size")
+    sums = g.groupBy("log_id", "segment", "size", "dt", "j").agg(F.sum(F.col("xw") * F.cos(angle)).alias("re"), F.sum(F.col("xw") * F.sin(angle)).alias("im"), F.sum("ww").alias("ww"))
+    sides = F.when(F.col("j") * 2 == F.col("size"), 1.0).otherwise(2.0)
+    return _averaged(sums.select("log_id", "j", (F.col("j") / (F.col("size") * F.col("dt"))).alias("frequency_hz"), ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * F.col("dt") / F.col("ww") * sides).alias("power")))
 
 
 def spectral_peaks(spectrum: DataFrame, top: int = 3) -> DataFrame:

@@ -194,3 +194,13 @@ def test_settings_are_parameters(spark):
     assert actuator.analyze_actuators(x, Settings(correction_limit=50)).first().correction_saturation_ratio == pytest.approx(2 / 3)
     assert lag.lag_analysis(lag_log(spark, 0.32), LagSettings(max_lag_s=0.2)).first().reason == "at_boundary"
     assert x.filter(F.col("ord") < 0).count() == 0 and timing.analyze_timing(x.limit(0), x.limit(0)).count() == 0
+
+
+def test_spectrum_of_long_logs(spark):
+    t = [k / 25 for k in range(2700)]
+    x = log(spark, timestamp=t, ekf_altitude=[math.sin(2 * math.pi * 0.3 * v) + 0.2 * math.cos(9 * v) for v in t])
+    grid = np.array([r.x for r in spectrum.error_grid(x).orderBy("k").collect()])
+    f, p = spectrum.welch(grid, 25.0)
+    for of in (spectrum.power_spectrum, spectrum.dft_power):
+        got = of(x).orderBy("j").collect()
+        assert [r.frequency_hz for r in got] == pytest.approx(f[1:]) and [r.power for r in got] == pytest.approx(p[1:], abs=1e-9)
