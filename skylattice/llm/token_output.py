@@ -62,6 +62,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)  # for texts that hold the literal of an added token, which is one id
+        self.literals = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())], np.int64)
         self.known: dict[str, bytes] = {}  # ids of a piece after a space
 
@@ -105,7 +107,11 @@ class Encoder:
             self.learn(list(new))
         known = self.known
         heads = self.plainly([c[0] for c in cut])
-        return [np.frombuffer(b"".join([head, *map(known.__getitem__, c[1:])]), np.uint32) for head, c in zip(heads, cut, strict=True)]
+        out = [np.frombuffer(b"".join([head, *map(known.__getitem__, c[1:])]), np.uint32) for head, c in zip(heads, cut, strict=True)]
+        for k, t in enumerate(texts):
+            if any(x in t for x in self.literals):
+                out[k] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -37,6 +37,15 @@ def test_encoder_equals_whole_text():
         assert own.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_takes_special_literals_as_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path(VOCABULARY)
+    plain, own = tokenizers.Tokenizer.from_file(path), token_output.Encoder(path)
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "a<|endoftext|>", "no literal here", "x <|endoftext|>"]
+    got = [ids.tolist() for ids in own.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and 50256 in got[0]
+
+
 def test_token_output(with_null_id, nothing):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path(VOCABULARY)
