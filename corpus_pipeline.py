@@ -38,7 +38,7 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Pack the token ids of every row and return the index of the stored shards."""
     import public_tokenizers
 
-    shards = token_output.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocabulary=50257)
+    shards = token_output.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_output.token_index(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -23,7 +23,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    shards = token_output.write_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocabulary=50257)
+    shards = token_output.write_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_output.token_index(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -12,20 +12,22 @@ Rows with a null id come first.  An empty table writes no block.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import stored
+from .textops import mix, small_batches, stored
 
-#: Distinct pieces of text whose ids a worker remembers before it starts anew.
+#: Distinct pieces of text whose ids a worker remembers before it starts anew, and slots of its table of them.
 MEMORY = 500_000
-_LOOSE = re.compile(r"\s ")
+SLOTS = 1 << 21
+_LONG = 16  # bytes; a longer piece is looked up by itself
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def bits_for(ids: int) -> int:
@@ -34,7 +36,9 @@ def bits_for(ids: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids in ``bits`` bits each, lowest bit first."""
+    """Ids in ``bits`` bits each, lowest bit first.  An id that needs more bits is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     return np.packbits((ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
@@ -49,15 +53,41 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return (raw[low % 8 : low % 8 + high - low].reshape(-1, bits).astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
+def _solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place is surely no white space.
+
+    Beyond ASCII, the exceptions hold the white space of any definition, and some more: leaving a place out is always right.
+    """
+    one, two, three = data[at - 1], data[at - 2], data[at - 3]
+    loose = one <= 0x20
+    far = np.flatnonzero(one >= 0x80)
+    one, two, three = one[far], two[far], three[far]
+    latin = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    general = (three == 0xE2) & ((two == 0x80) & ((one <= 0x8F) | (one >= 0xA8) & (one <= 0xAF)) | (two == 0x81) & (one >= 0x9F) & (one <= 0xAF))
+    other = (three == 0xE1) & (((two == 0x9A) & (one == 0x80)) | ((two == 0xA0) & (one == 0x8E))) | (three == 0xE3) & (two == 0x80) & (one == 0x80) | (three == 0xEF) & (two == 0xBB) & (one == 0xBF)
+    loose[far] = latin | general | other
+    return ~loose
+
+
+def _fresh(*keys: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
+
+
 class Encoder:
     """Byte-level BPE of whole texts.
 
     No token spans a place where a space follows a character that is no white space, so a text is encoded piece by
-    piece between such places, and each distinct piece only once while it is remembered.  New pieces are encoded many at a
-    time in one string; the lengths of the tokens in bytes tell which belong to which piece.
+    piece between such places, and each distinct piece only once while it is remembered.  Pieces of up to 16 bytes are found many
+    at a time: their first and last eight bytes and their length are the key, compared exactly, and a hash of it the slot
+    of a table.  New pieces are encoded many at a time in one string; the lengths of the tokens in bytes tell which
+    belong to which piece.  Longer pieces are remembered within a batch only.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,62 +95,123 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)  # for texts that hold the literal of an added token, which is one id
         self.literals = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())], np.int64)
-        self.known: dict[str, bytes] = {}  # ids of a piece after a space
-
-    def parts(self, text: str) -> list[str]:
-        """The pieces without the space before each but the first."""
-        parts = text.split(" ")
-        if not _LOOSE.search(text):
-            return parts
-        joined = parts[:1]
-        for p in parts[1:]:
-            if joined[-1] and not joined[-1][-1].isspace() or len(joined) == 1 and not joined[0]:
-                joined.append(p)
-            else:  # white space before a space belongs with it
-                joined[-1] += " " + p
-        return joined
-
-    def plainly(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, new: list[str]) -> None:
-        loose = [p for p in new if not p or p[-1].isspace()]
-        self.known.update(zip(loose, self.plainly([" " + p for p in loose]), strict=True))
-        new = [p for p in new if p and not p[-1].isspace()]
-        groups = [new[k : k + 64] for k in range(0, len(new), 64)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            ends = np.cumsum(self.lengths[ids])
-            want = np.cumsum([len(p.encode()) + 1 for p in group])
-            cut = np.searchsorted(ends, want) + 1
-            if not np.array_equal(ends[cut - 1], want):
-                raise ValueError("tokens do not end where pieces do")
-            raw, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
-            self.known.update(zip(group, (raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MEMORY:
-            self.known = {}
-        cut = [self.parts(t) for t in texts]
-        new = set().union(*(c[1:] for c in cut)) - self.known.keys() if cut else set()
-        if new:
-            self.learn(list(new))
-        known = self.known
-        heads = self.plainly([c[0] for c in cut])
-        out = [np.frombuffer(b"".join([head, *map(known.__getitem__, c[1:])]), np.uint32) for head, c in zip(heads, cut, strict=True)]
-        for k, t in enumerate(texts):
-            if any(x in t for x in self.literals):
-                out[k] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
+        self.end = np.array([] if end_id is None else [end_id], np.uint32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.used = 1  # piece 0 is the end of a document
+        self.keys = np.zeros((3, 1 << 14), np.uint64)  # first and last eight bytes, length
+        self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.count[0] = len(self.end)
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), len(self.end)
+        self.ids[: self.n_ids] = self.end
+        self.slot = np.zeros(SLOTS, np.int32)  # piece of each slot; 0: none
+
+    def plainly(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces, with their ids in the table."""
+        joins = (data[start] == 0x20) & _solid(data, end)
+        together, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
+        upto = np.cumsum(size := (end - start)[together])
+        raw = data[np.repeat(start[together] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+        edge = [0, *upto[63::64].tolist(), *upto[-1:].tolist()]
+        parts = self.plainly([raw[i:j].decode() for i, j in zip(edge[:-1], edge[1:], strict=True) if i < j])
+        got = np.concatenate([np.empty(0, np.uint32), *parts])
+        ends = np.cumsum(self.lengths[got])
+        cut = np.searchsorted(ends, upto) + 1
+        if not np.array_equal(ends[cut - 1], upto):
+            raise ValueError("tokens do not end where pieces do")
+        single = self.plainly([data[i:j].tobytes().decode() for i, j in zip(start[alone].tolist(), end[alone].tolist(), strict=True)])
+        ids = np.concatenate([got, *single])
+        per = np.concatenate([np.diff(cut, prepend=0), np.array([len(x) for x in single], np.int64)]).astype(np.int64)
+        numbers = np.arange(self.used, self.used + len(per))
+        while self.used + len(per) > len(self.first):
+            self.first, self.count = np.append(self.first, np.zeros_like(self.first)), np.append(self.count, np.zeros_like(self.count))
+            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)], axis=1)
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.first[numbers], self.count[numbers] = self.n_ids + np.cumsum(per) - per, per
+        self.used, self.n_ids = self.used + len(per), self.n_ids + len(ids)
+        out = np.empty(len(start), np.int64)
+        out[np.concatenate([together, alone])] = numbers
         return out
 
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:  # one for each Python worker, kept between its tasks
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    def pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The numbers of pieces of ``data``, which has eight bytes before the first and after the last."""
+        size = (end - start).astype(np.uint64)
+        loads = np.ndarray(len(data) - 7, "<u8", data.data, strides=(1,))
+        within = np.minimum(size, np.uint64(8))
+        head = loads[start] & _MASK[within.astype(np.int64)]
+        tail = loads[end - 8] >> (np.uint64(64) - np.uint64(8) * within)  # no piece is empty
+        key = mix(head ^ mix(tail + size))
+        slots = [(key >> np.uint64(k)).astype(np.int64) & (SLOTS - 1) for k in (43, 20)]
+        number, ask = np.zeros(len(start), np.int64), np.flatnonzero(size <= _LONG)
+        for slot in slots:  # a piece stands in the first slot or, where another was there, in the second
+            n = self.slot[slot[ask]].astype(np.int64)
+            hit = (self.keys[0, n] == head[ask]) & (self.keys[1, n] == tail[ask]) & (self.keys[2, n] == size[ask])
+            number[ask] = np.where(hit, n, 0)
+            ask = ask[~hit]
+        order = ask[np.argsort(key[ask])]
+        fresh = _fresh(head[order], tail[order], size[order])
+        one = order[fresh]
+        if len(one):
+            made = self.learn(data, start[one], end[one])
+            self.keys[0, made], self.keys[1, made], self.keys[2, made] = head[one], tail[one], size[one]
+            number[order] = made[np.cumsum(fresh) - 1]
+            free = self.slot[slots[0][one]] == 0
+            self.slot[np.where(free, slots[0][one], slots[1][one])] = made  # who was there before is learned anew when it comes again
+        far = np.flatnonzero(size > _LONG)
+        if len(far):
+            at: dict[bytes, int] = {}
+            for i, k in enumerate(far.tolist()):
+                at.setdefault(data[start[k] : end[k]].tobytes(), i)
+            first = far[list(at.values())]
+            made = dict(zip(at, self.learn(data, start[first], end[first]).tolist(), strict=True))
+            number[far] = [made[data[start[k] : end[k]].tobytes()] for k in far.tolist()]
+        return number
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), each with the end id, one after the other, and how many each text has."""
+        if self.used > MEMORY or self.n_ids > 16 * MEMORY:
+            self.forget()
+        texts = texts.cast(pa.large_string()).fill_null("")
+        marked = np.zeros(len(texts), bool)
+        for literal in self.literals:
+            marked |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(marked), pa.scalar("", pa.large_string()), texts) if marked.any() else texts
+        _, offsets, values = plain.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[plain.offset : plain.offset + len(plain) + 1]
+        raw = np.frombuffer(values, np.uint8) if values is not None and values.size else np.empty(0, np.uint8)
+        data = np.concatenate([np.zeros(8, np.uint8), raw[bounds[0] : bounds[-1]], np.zeros(8, np.uint8)])
+        bounds = bounds - bounds[0] + 8
+        cut = np.flatnonzero(data[: bounds[-1]] == 0x20)
+        edges = np.sort(np.concatenate([bounds, cut[_solid(data, cut)]]))
+        edges = edges[_fresh(edges)]
+        number = self.pieces(data, edges[:-1], edges[1:])
+        last = np.searchsorted(edges, bounds)  # pieces before the end of each text
+        number = np.insert(number, last[1:], 0)
+        per = self.count[number]
+        upto = np.cumsum(per)
+        ids = self.ids[np.repeat(self.first[number] - upto + per, per) + np.arange(upto[-1] if len(per) else 0)]
+        counts = np.diff(np.concatenate([[0], upto])[last + np.arange(len(last))])
+        if marked.any():
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for k in np.flatnonzero(marked).tolist():
+                parts[k] = np.append(np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32), self.end)
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, counts
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(path: str, end_id: int) -> Encoder:
+    if (path, end_id) not in _ENCODERS:  # one for each Python worker, kept between its tasks
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 _BLOCK = pa.schema([("block", pa.int32()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -129,7 +220,7 @@ _BLOCK_SQL = "block int, n_ids long, bits int, first_doc long, last_doc long, do
 
 def _blocks(path: str, end_id: int, bits: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, docs, parts, held, number = _encoder(path), [], [], 0, 0
+        encoder, docs, parts, held, number = _encoder(path, end_id), [], [], 0, 0
 
         def block() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
@@ -137,24 +228,33 @@ def _blocks(path: str, end_id: int, bits: int, block_ids: int):
             row = [number, int(offsets[-1]), bits, known[0] if known else None, known[-1] if known else None, docs, offsets.tolist(), pack(np.concatenate(parts), bits)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()), strict=True):
-                    docs.append(doc)
-                    parts.append(np.append(ids, np.uint32(end_id)))
-                    held += len(parts[-1])
-                    if held >= block_ids:
-                        yield block()
-                        docs, parts, held, number = [], [], 0, number + 1
+        for batch in small_batches(batches, "text"):
+            ids, counts = encoder.encode(batch.column("text"))
+            at = 0
+            for doc, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
+                docs.append(doc)
+                parts.append(ids[at : at + n])
+                at, held = at + n, held + n
+                if held >= block_ids:
+                    yield block()
+                    docs, parts, held, number = [], [], 0, number + 1
         if docs:
             yield block()
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int, vocabulary: int, block_ids: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenize whole texts with the vocabulary file at ``path``, write the shards, and return them as read again."""
+def write_tokens(docs: DataFrame, path: str, end_id: int, vocabulary: int | None = None, block_ids: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokenize whole texts with the vocabulary file at ``path``, write the shards, and return them as read again.
+
+    ``vocabulary`` is the number of ids, that of the file where it is not given; a larger id is an error.
+    """
+    if vocabulary is None:
+        from tokenizers import Tokenizer
+
+        vocabulary = Tokenizer.from_file(path).get_vocab_size()
+    if not 0 <= end_id < vocabulary:
+        raise ValueError(f"end id {end_id} is outside the vocabulary of {vocabulary}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     shards = dealt.mapInArrow(_blocks(path, end_id, bits_for(vocabulary), block_ids), _BLOCK_SQL).withColumn("shard", F.spark_partition_id())

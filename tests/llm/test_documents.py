@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,26 +32,52 @@ def test_encoder_equals_whole_text():
     path = pytest.importorskip("public_tokenizers").path(VOCABULARY)
     plain, own = tokenizers.Tokenizer.from_file(path), token_output.Encoder(path)
     rng = random.Random(3)
-    bits = ["a", "bc", "É", "  ", "\n", "\t", " ", " ", "'s", "don't", "1", "23", ",", "!!", "　", "\xa0", "日本", "\x1f", " x", "\r\n", "🙂"]
-    for _ in range(1500):
-        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
-        assert own.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    bits = ["a", "bc", "É", "  ", "\n", "\t", " ", " ", "'s", "don't", "1", "23", ",", "!!", "\u3000", "\xa0", "日本", "\x1f", " x", "\r\n", "🙂", "<|endoftext|>", "\u2003", "\u200b", "”", "\x85", " abcdefghijklmnop", " abcdefghijklmno", " abcdefgh", "\0"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(40)]
+        assert [ids.tolist() for ids in encoded(own, texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_encoder_takes_special_literals_as_the_library():
+def encoded(encoder, texts):
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    return np.split(ids, np.cumsum(counts)[:-1])
+
+
+def test_encoder_with_a_crowded_table(monkeypatch):
+    """Pieces that lose their slot, and a memory that is emptied, change nothing."""
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path(VOCABULARY)
+    monkeypatch.setattr(token_output, "SLOTS", 8)
+    monkeypatch.setattr(token_output, "MEMORY", 60)
     plain, own = tokenizers.Tokenizer.from_file(path), token_output.Encoder(path)
-    texts = ["<|endoftext|>", "one <|endoftext|> two", "a<|endoftext|>", "no literal here", "x <|endoftext|>"]
-    got = [ids.tolist() for ids in own.encode(texts)]
-    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and 50256 in got[0]
+    rng = random.Random(1)
+    for _ in range(30):
+        texts = [" ".join(str(rng.randint(0, 60)) for _ in range(rng.randint(0, 30))) for _ in range(9)] + [None]
+        assert [ids.tolist() for ids in encoded(own, texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_takes_special_literals_as_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path(VOCABULARY)
+    plain, own = tokenizers.Tokenizer.from_file(path), token_output.Encoder(path, 2)
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "a<|endoftext|>", "no literal here", "x <|endoftext|>", ""]
+    got = [ids.tolist() for ids in encoded(own, texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts] and 50256 in got[0]
+
+
+def test_ids_beyond_the_vocabulary_are_refused(docs):
+    path = pytest.importorskip("public_tokenizers").path(VOCABULARY)
+    with pytest.raises(ValueError):
+        token_output.pack(np.array([1, 16], np.uint32), 4)
+    with pytest.raises(ValueError):
+        token_output.write_tokens(docs, path, 50257)
 
 
 def test_token_output(with_null_id, nothing):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path(VOCABULARY)
     plain = tokenizers.Tokenizer.from_file(path)
-    shards = token_output.write_tokens(with_null_id, path, 2, 50257, block_ids=500)
+    shards = token_output.write_tokens(with_null_id, path, 2, block_ids=500)
     got = token_output.token_index(shards).collect()
     ids = [(r.doc_id, plain.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in with_null_id.collect()]
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids)
@@ -60,7 +87,7 @@ def test_token_output(with_null_id, nothing):
         at += r.n_tokens
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
-    assert token_output.token_index(token_output.write_tokens(nothing, path, 2, 50257)).count() == 0
+    assert token_output.token_index(token_output.write_tokens(nothing, path, 2)).count() == 0
 
 
 def png(color: int) -> bytes:
