@@ -12,6 +12,7 @@ Rows with a null id come first.  An empty table writes no block.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,10 +25,24 @@ from pyspark.sql import functions as F
 from .textops import mix, small_batches, stored
 
 #: Distinct pieces of text whose ids a worker remembers before it starts anew, and slots of its table of them.
-MEMORY = 500_000
-SLOTS = 1 << 21
+MEMORY = 1_500_000
+SLOTS = 1 << 22
 _LONG = 16  # bytes; a longer piece is looked up by itself
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LETTER, _DIGIT, _SIGN, _QUOTE, _BLANK, _BREAK = range(1, 7)  # 0: control characters and all beyond ASCII
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58], _KIND[39], _KIND[32], _KIND[9:14] = _DIGIT, _QUOTE, _BLANK, _BREAK
+_DOUBTFUL = np.array([0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF], np.uint8)  # 127, and first bytes of white space beyond ASCII
+#: Kinds of two neighbours between which the pre-tokenizer always begins a token.  A quote may begin a contraction and a blank may belong to what follows.
+_PARTED = np.zeros((7, 7), bool)
+for _one, _next in {
+    _LETTER: (_DIGIT, _SIGN, _QUOTE, _BLANK, _BREAK), _DIGIT: (_LETTER, _SIGN, _QUOTE, _BLANK, _BREAK), _SIGN: (_LETTER, _DIGIT, _BLANK, _BREAK),
+    _QUOTE: (_BLANK, _BREAK), _BREAK: (_LETTER, _DIGIT, _SIGN, _QUOTE),
+}.items():
+    _PARTED[_one, _next] = True
+_PARTED = _PARTED.ravel()
 
 
 def bits_for(ids: int) -> int:
@@ -69,6 +84,16 @@ def _solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ~loose
 
 
+def _cuts(data: np.ndarray, low: int) -> np.ndarray:
+    """Places after ``low`` where a token begins whatever else the text holds."""
+    kind = _KIND[data[low:]]
+    at = np.flatnonzero(_PARTED[kind[:-1] * np.uint8(7) + kind[1:]])
+    before = kind[at - 1]  # of several breaks the last one is a token of its own, but not where a text ends there: only single ones part
+    at = at[(kind[at] != _BREAK) | (at > 0) & (before > 0) & (before < _BLANK)] + low + 1
+    far = np.flatnonzero((kind[1:] == _BLANK) & (kind[:-1] == 0)) + low + 1
+    return np.concatenate([at, far[_solid(data, far)]])
+
+
 def _fresh(*keys: np.ndarray) -> np.ndarray:
     """Which rows differ from the row before."""
     out = np.ones(len(keys[0]), bool)
@@ -80,8 +105,8 @@ def _fresh(*keys: np.ndarray) -> np.ndarray:
 class Encoder:
     """Byte-level BPE of whole texts.
 
-    No token spans a place where a space follows a character that is no white space, so a text is encoded piece by
-    piece between such places, and each distinct piece only once while it is remembered.  Pieces of up to 16 bytes are found many
+    A text is encoded piece by piece between places where a token begins whatever else the text holds (``_cuts``), and each
+    distinct piece only once while it is remembered.  Pieces of up to 16 bytes are found many
     at a time: their first and last eight bytes and their length are the key, compared exactly, and a hash of it the slot
     of a table.  New pieces are encoded many at a time in one string; the lengths of the tokens in bytes tell which
     belong to which piece.  Longer pieces are remembered within a batch only.
@@ -90,6 +115,7 @@ class Encoder:
     def __init__(self, path: str, end_id: int | None = None):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.whole = Tokenizer.from_file(path)  # for texts that hold the literal of an added token, which is one id
@@ -112,17 +138,21 @@ class Encoder:
 
     def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Numbers of new pieces, with their ids in the table."""
-        joins = (data[start] == 0x20) & _solid(data, end)
+        kind, then = _KIND[data[start]], data[start + 1]
+        joins = _solid(data, end) & (kind > 0) & (kind != _BREAK) & ((kind != _BLANK) | (then > 0x20) & ~np.isin(then, _DOUBTFUL))
         together, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
-        upto = np.cumsum(size := (end - start)[together])
-        raw = data[np.repeat(start[together] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
-        edge = [0, *upto[63::64].tolist(), *upto[-1:].tolist()]
+        upto = np.cumsum(size := (end - start)[together] + 1)  # each after a line feed, which stays a token of its own
+        text = data[np.repeat(start[together] - 1 - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        text[upto - size] = 0x0A
+        raw, edge = text.tobytes(), [0, *upto[63::64].tolist(), *upto[-1:].tolist()]
         parts = self.plainly([raw[i:j].decode() for i, j in zip(edge[:-1], edge[1:], strict=True) if i < j])
         got = np.concatenate([np.empty(0, np.uint32), *parts])
         ends = np.cumsum(self.lengths[got])
-        cut = np.searchsorted(ends, upto) + 1
-        if not np.array_equal(ends[cut - 1], upto):
+        begin, cut = np.searchsorted(ends, upto - size + 1) + 1, np.searchsorted(ends, upto) + 1
+        if not (np.array_equal(ends[cut - 1], upto) and np.array_equal(ends[begin - 1], upto - size + 1)):
             raise ValueError("tokens do not end where pieces do")
+        got = np.delete(got, begin - 1)
+        cut = cut - np.arange(1, len(cut) + 1)
         single = self.plainly([data[i:j].tobytes().decode() for i, j in zip(start[alone].tolist(), end[alone].tolist(), strict=True)])
         ids = np.concatenate([got, *single])
         per = np.concatenate([np.diff(cut, prepend=0), np.array([len(x) for x in single], np.int64)]).astype(np.int64)
@@ -147,7 +177,7 @@ class Encoder:
         head = loads[start] & _MASK[within.astype(np.int64)]
         tail = loads[end - 8] >> (np.uint64(64) - np.uint64(8) * within)  # no piece is empty
         key = mix(head ^ mix(tail + size))
-        slots = [(key >> np.uint64(k)).astype(np.int64) & (SLOTS - 1) for k in (43, 20)]
+        slots = [(key >> np.uint64(k)).astype(np.int64) & (SLOTS - 1) for k in (42, 20)]
         number, ask = np.zeros(len(start), np.int64), np.flatnonzero(size <= _LONG)
         for slot in slots:  # a piece stands in the first slot or, where another was there, in the second
             n = self.slot[slot[ask]].astype(np.int64)
@@ -187,8 +217,7 @@ class Encoder:
         raw = np.frombuffer(values, np.uint8) if values is not None and values.size else np.empty(0, np.uint8)
         data = np.concatenate([np.zeros(8, np.uint8), raw[bounds[0] : bounds[-1]], np.zeros(8, np.uint8)])
         bounds = bounds - bounds[0] + 8
-        cut = np.flatnonzero(data[: bounds[-1]] == 0x20)
-        edges = np.sort(np.concatenate([bounds, cut[_solid(data, cut)]]))
+        edges = np.sort(np.concatenate([bounds, _cuts(data[: bounds[-1]], 8)]))
         edges = edges[_fresh(edges)]
         number = self.pieces(data, edges[:-1], edges[1:])
         last = np.searchsorted(edges, bounds)  # pieces before the end of each text
