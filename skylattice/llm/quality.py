@@ -3,8 +3,9 @@ log-count ratios, fitted by dual coordinate descent on the hinge loss.
 
 Indicators are hashed into a fixed number of columns: words, and runs of one to three word *shapes* (case,
 symbols, digits, length, whether the word repeats the one before), with the order of magnitude of a shape's share.
-The fit takes a bounded sample of labelled rows (``most``, a parameter) in one task; scoring is one pass over all
-texts.  A quarter of the sample sets the sigmoid that turns margins into scores.
+The fit takes a bounded sample of labelled rows (``most``, a parameter): one task fits on all of it, and one for each of
+``FOLDS`` folds on the rest, which gives every row a margin from a model that has not seen it.  Those margins set the sigmoid
+that turns margins into scores.  Scoring is one pass over all texts; a score depends on nothing but its text.
 
 Null and empty texts get the score of a text without indicators; repeated rows get equal scores.  Without labels
 of both classes every score is the share of label 1 (0.5 without labels).
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, training_sample
-from .textops import Words, mix, small_batches, texts_of
+from .textops import Words, list_array, mix, small_batches, texts_of
+
+FOLDS = 5
 
 _KIND = np.ones(256, np.uint8)  # letters, and bytes of characters beyond ASCII
 _KIND[65:91] = 2
@@ -56,13 +59,10 @@ def indicators(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     columns, owners = [words & mask], [text]
     run = shape
     for k in (1, 2, 3):
-        columns.append(mix(run + np.uint64(k)) & mask)
-        owners.append(text[: len(run)])
-        nxt = mix(run[: max(0, n - k)] * np.uint64(3) + shape[k:])
-        run = nxt
-        if k < 3:
-            keep = text[: len(run)] == text[k:]
-            run = np.where(keep, run, np.uint64(0))  # a run across two texts becomes one fixed column
+        inside = text[: len(run)] == text[k - 1 :]  # runs within one text
+        columns.append(mix(run[inside] + np.uint64(k)) & mask)
+        owners.append(text[: len(run)][inside])
+        run = mix(run[: max(0, n - k)] * np.uint64(3) + shape[k:])
     pair = (text.astype(np.uint64) << np.uint64(32)) | (mix(shape + np.uint64(1)) >> np.uint64(32))
     seen, count = np.unique(pair, return_counts=True)
     owner = (seen >> np.uint64(32)).astype(np.int64)
@@ -73,6 +73,14 @@ def indicators(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (both & ((1 << bits) - 1)).astype(np.int32), np.bincount(both >> bits, minlength=len(w.counts))
 
 
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each text's values, the same whatever texts stand beside it."""
+    out, filled = np.zeros(len(counts)), counts > 0
+    if filled.any():
+        out[filled] = np.add.reduceat(values, (np.cumsum(counts) - counts)[filled])
+    return out
+
+
 @dataclass
 class Model:
     """Score of a text: sigmoid(slope * (sum of weights / length of the scaled vector + bias) + shift)."""
@@ -85,8 +93,7 @@ class Model:
     shift: float
 
     def margins(self, columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        cut = np.concatenate([[0], np.cumsum(counts)])
-        dot, square = (np.diff(np.concatenate([[0.0], np.cumsum(v[columns].astype(np.float64))])[cut]) for v in (self.weight, self.square))
+        dot, square = (sums(v[columns].astype(np.float64), counts) for v in (self.weight, self.square))
         return dot / np.sqrt(np.maximum(square, 1e-12)) + self.bias
 
     def scores(self, columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -100,8 +107,8 @@ def log_count_ratios(columns: np.ndarray, counts: np.ndarray, y: np.ndarray, siz
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def dual_coordinate_descent(columns: np.ndarray, counts: np.ndarray, y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Hinge-loss weights of unit-length scaled vectors with a bias; each step solves the dual for one row exactly."""
+def dual_coordinate_descent(columns: np.ndarray, counts: np.ndarray, y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int = 0) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Hinge-loss weights of unit-length scaled vectors with a bias; each step solves the dual for one row exactly.  Returns weights, bias, dual values and their limits."""
     cut = np.concatenate([[0], np.cumsum(counts)])
     rows = [columns[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
     values = []
@@ -126,10 +133,10 @@ def dual_coordinate_descent(columns: np.ndarray, counts: np.ndarray, y: np.ndarr
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return w, bias
+    return w, bias, alpha, limit
 
 
-def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a sigmoid by Newton steps on softened targets."""
     n1, n0 = y.sum(), len(y) - y.sum()
     goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -147,43 +154,66 @@ def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def one_class(y: np.ndarray, bits: int) -> Model:
+    """Without rows of both classes: every score is the share of label 1."""
+    share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+    return Model(bits, np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+
+
 def fit(columns: np.ndarray, counts: np.ndarray, y: np.ndarray, bits: int, cost: float = 1.0, epochs: int = 15) -> Model:
-    size = 1 << bits
-    if len(y) < 8 or y.min() == y.max():
-        share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-        return Model(bits, np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    aside = np.arange(len(y)) % 4 == 3
-    if y[aside].min() == y[aside].max():
-        aside[:] = False
-    owner = np.repeat(aside, counts)
-    ratio = log_count_ratios(columns[~owner], counts[~aside], y[~aside], size)
-    w, bias = dual_coordinate_descent(columns[~owner], counts[~aside], y[~aside], ratio, cost, epochs)
-    model = Model(bits, (w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), bias, 1.0, 0.0)
-    part = (columns[owner], counts[aside], y[aside]) if aside.any() else (columns, counts, y)
-    model.slope, model.shift = _sigmoid(model.margins(*part[:2]), part[2])
-    return model
+    """The margins; the sigmoid is still to be set."""
+    ratio = log_count_ratios(columns, counts, y, 1 << bits)
+    w, bias, _, _ = dual_coordinate_descent(columns, counts, y, ratio, cost, epochs)
+    return Model(bits, (w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), bias, 1.0, 0.0)
+
+
+def folds(y: np.ndarray) -> np.ndarray:
+    """The fold of each row: both classes are dealt in turn to as many folds as each has rows for."""
+    n = min(FOLDS, int((y == 0).sum()), int((y == 1).sum()))
+    out = np.zeros(len(y), np.int64)
+    for k in (0, 1):
+        out[y == k] = np.arange((y == k).sum()) % max(n, 1)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 8000, bits: int = 18) -> Model:
-    """Fit on at most ``most`` labelled rows.  One task holds their indicators; the driver gets 2**bits weights."""
+    """Fit on at most ``most`` labelled rows.  A task holds their indicators; the driver gets 2**bits weights and a margin a row."""
     sample = training_sample(docs, labels, label, most)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            columns, counts = indicators(batch.column("text"), bits)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), list_array(columns, counts, pa.int32())], names=["doc_id", "label", "columns"])
+
     def task(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("doc_id").to_numpy(),))
-        table = table.take(pa.array(order))
-        columns, counts = [], []
-        for batch in small_batches(table.to_batches(), "text"):
-            c, n = indicators(batch.column("text"), bits)
-            columns.append(c)
-            counts.append(n)
-        y = table.column("label").to_numpy().astype(np.int64)
-        m = fit(np.concatenate(columns), np.concatenate(counts), y, bits)
-        return pa.table({"weight": pa.array([m.weight.tobytes()], pa.binary()), "square": pa.array([m.square.tobytes()], pa.binary()), "numbers": pa.array([[m.bias, m.slope, m.shift]], pa.list_(pa.float64()))})
-
-    got = sample.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(task, "weight binary, square binary, numbers array<double>").collect()
-    if not got:
-        return fit(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0), bits)
-    return Model(bits, np.frombuffer(got[0].weight, np.float32), np.frombuffer(got[0].square, np.float32), *got[0].numbers)
+        """Fold -1 fits on all rows; another one on all but its own, for which it returns margins."""
+        table = table.sort_by("doc_id")
+        part, lists, y = table.column("part")[0].as_py(), table.column("columns").combine_chunks(), table.column("label").to_numpy().astype(np.int64)
+        counts, columns = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        fold = folds(y)
+        own = fold == part
+        weight, square, bias, margins = b"", b"", 0.0, np.empty(0)
+        if part < 0 and y.min() < y.max():
+            m = fit(columns, counts, y, bits)
+            weight, square, bias = m.weight.tobytes(), m.square.tobytes(), m.bias
+            if fold.max() == 0:  # a class of one row: no folds
+                own, margins = np.ones(len(y), bool), m.margins(columns, counts)
+        elif part >= 0 and own.any() and not own.all():
+            held = np.repeat(own, counts)
+            margins = fit(columns[~held], counts[~own], y[~own], bits).margins(columns[held], counts[own])
+        seen = y[own] if len(margins) else y if part < 0 and not weight else y[:0]
+        return pa.table({"weight": pa.array([weight], pa.binary()), "square": pa.array([square], pa.binary()), "bias": pa.array([bias]), "margins": pa.array([margins.tolist()], pa.list_(pa.float64())), "labels": pa.array([seen.tolist()], pa.list_(pa.int64()))})
+
+    parts = F.explode(F.sequence(F.lit(-1), F.lit(FOLDS - 1))).alias("part")
+    rows = sample.mapInArrow(read, "doc_id long, label int, columns array<int>").select("*", parts)
+    got = rows.groupBy("part").applyInArrow(task, "weight binary, square binary, bias double, margins array<double>, labels array<long>").collect()
+    y = np.array([x for r in got for x in r.labels], np.int64)
+    whole = [r for r in got if r.weight]
+    if not whole:
+        return one_class(y, bits)
+    model = Model(bits, np.frombuffer(whole[0].weight, np.float32), np.frombuffer(whole[0].square, np.float32), whole[0].bias, 1.0, 0.0)
+    model.slope, model.shift = sigmoid(np.array([x for r in got for x in r.margins]), y)
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -285,10 +285,65 @@ def test_every_text_is_compared_with_every_example(spark):
         assert all(cosine[e.doc_id] == pytest.approx(e.similarity, abs=2e-5) for e in got[k].evidence)
 
 
-def test_dual_coordinate_descent_separates():
-    rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 200)
-    rows = [np.unique(np.append(rng.integers(10, 60, 5), label)) for label in y]
-    columns, counts = np.concatenate(rows), np.array([len(r) for r in rows])
-    model = quality.fit(columns.astype(np.int32), counts, y, bits=6)
-    assert ((model.scores(columns, counts) >= 0.5) == y).mean() > 0.98
+def few_rows(seed=0, n=200):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, n)
+    rows = [np.unique(np.append(rng.integers(10, 60, 5), label if rng.random() < 0.9 else 1 - label)) for label in y]
+    return np.concatenate(rows).astype(np.int32), np.array([len(r) for r in rows]), y
+
+
+def test_log_count_ratios_by_hand():
+    columns, counts, y = few_rows()
+    got, owner = quality.log_count_ratios(columns, counts, y, 64), np.repeat(np.arange(len(y)), counts)
+    p, q = ([1 + sum(1 for c, o in zip(columns, owner) if c == j and y[o] == k) for j in range(64)] for k in (1, 0))
+    assert np.allclose(got, [np.log((a / sum(p)) / (b / sum(q))) for a, b in zip(p, q)])
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """The primal objective at the weights meets the dual objective, which bounds it from below."""
+    columns, counts, y = few_rows()
+    ratio = quality.log_count_ratios(columns, counts, y, 64)
+    w, bias, alpha, limit = quality.dual_coordinate_descent(columns, counts, y, ratio, 1.0, 3000)
+    dense, cut = np.zeros((len(y), 64)), np.concatenate([[0], np.cumsum(counts)])
+    for k in range(len(y)):
+        x = ratio[columns[cut[k] : cut[k + 1]]]
+        dense[k, columns[cut[k] : cut[k + 1]]] = x / np.sqrt((x * x).sum())
+    sign = np.where(y == 1, 1, -1)
+    assert (alpha >= 0).all() and (alpha <= limit + 1e-12).all() and np.allclose(w, (alpha * sign) @ dense) and bias == pytest.approx((alpha * sign).sum())
+    norm = (w @ w + bias * bias) / 2
+    primal, dual = norm + (limit * np.maximum(0, 1 - sign * (dense @ w + bias))).sum(), alpha.sum() - norm
+    assert primal - dual < 0.02 * primal
+    model = quality.fit(columns, counts, y, bits=6)
+    assert np.allclose(model.margins(columns, counts), dense @ model_weights(columns, counts, y) + model.bias, atol=1e-5)
+
+
+def model_weights(columns, counts, y):
+    ratio = quality.log_count_ratios(columns, counts, y, 64)
+    return quality.dual_coordinate_descent(columns, counts, y, ratio, 1.0, 15)[0]
+
+
+def test_indicators_of_a_text_do_not_depend_on_its_neighbours(rows):
+    texts = [r[1] for r in rows]
+    columns, counts = quality.indicators(pa.array(texts, pa.string()), 18)
+    cut = np.concatenate([[0], np.cumsum(counts)])
+    for k, t in enumerate(texts):
+        alone, _ = quality.indicators(pa.array([t], pa.string()), 18)
+        assert np.array_equal(alone, columns[cut[k] : cut[k + 1]])
+
+
+def test_equal_texts_have_equal_scores_under_any_partitioning(labelled):
+    docs, labels = labelled
+    docs = docs.union(docs.selectExpr("doc_id + 10000", "text"))
+    model = quality.train(docs, labels)
+    scores = defaultdict(set)
+    for parts in (1, 3, 11):
+        for r in quality.score(docs.repartition(parts), model, 0.3).join(docs.distinct(), "doc_id").collect():
+            scores[r.text].add(r.score)
+    assert len(scores) > 500 and all(len(x) == 1 for x in scores.values())
+    assert quality.train(docs.repartition(9), labels.repartition(5)).shift == pytest.approx(model.shift, abs=1e-9)
+
+
+def test_folds_hold_both_classes():
+    y = np.array([1] * 20 + [0] * 3)
+    fold = quality.folds(y)
+    assert fold.max() == 2 and all({0, 1} == set(y[fold == k]) for k in range(3)) and quality.folds(np.ones(4)).max() == 0

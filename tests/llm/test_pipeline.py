@@ -32,6 +32,15 @@ def test_pipeline(spark):
         docs = out
 
 
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the small tables")
+def test_few_labels_still_tell_both_classes(spark):
+    from skylattice.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.quality_scores(docs, labels).join(labels.filter("quality IS NOT NULL"), "doc_id").collect()
+    assert {r.predicted for r in got} == {0, 1} and sum(r.predicted == r.quality for r in got if r.held_out) >= 0.9 * sum(r.held_out for r in got)
+
+
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the small tables")
 def test_registered():
     import __spark_entry__
