@@ -1,11 +1,14 @@
-"""Toxicity from the nearest labelled examples (operator 4): exact TF-IDF cosine over an index of all their terms.
+"""Toxicity from the nearest labelled examples (operator 4): exact TF-IDF cosine over a block-max index of all their terms.
 
-Terms are lower-cased words and their prefixes of four to six bytes.  The examples are a bounded sample of labelled
-rows (``most``, a parameter); all terms of all of them make the space, and every document is compared with every example.
-Inverse document frequencies are counted over all documents.  Terms whose presence speaks for the label in the sample
-(chi-square and share) weigh more; no other term is left out.  Common terms are scored by a matrix product, rare ones by
-their lists, and the nearest once more in double precision, so the neighbours are exact.  Bounds by block skip next to
-nothing here (README), so there are none.
+Terms are lower-cased words and, of longer ones, their first five bytes.  The examples are a bounded sample of labelled
+rows (``most``, a parameter); all terms of all of them make the space.  Inverse document frequencies are counted over all
+documents.  Terms whose presence speaks for the label in the sample (chi-square and share) weigh more; no other term is left out.
+
+Examples are ordered so that each block holds alike ones: by cluster, then by length.  A term that is common in a block is a row
+of the block's matrix and has a maximum there; all other postings stand in inverted lists.  A query is first scored by the
+lists.  A block's bound is its best score so far plus the query against the block's maxima: blocks are visited from the largest
+bound on, and those whose bound stays below the k-th best score are skipped.  The nearest are scored once more in double
+precision, so the neighbours are exact.
 
 A score is the distance-weighted share of toxic neighbours, drawn towards the base rate, and then calibrated on the
 examples themselves, each scored without itself.  Evidence names the neighbours.  Texts without any term of the
@@ -30,9 +33,13 @@ from pyspark.sql import functions as F
 from .labels import held_out, training_sample
 from .textops import Words, list_array, mix, signed, small_batches, texts_of
 
-PREFIXES = (4, 5, 6)
-COMMON = 0.1  #: a term in more than this share of the examples is a row of the matrix; the result is the same for any share
-QUERIES = 128
+PREFIXES = (5,)
+COMMON = 0.1  #: a term in more than this share of a block is a row of the block's matrix; the result is the same for any share
+BLOCK = 512  #: examples of a block at most
+CLUSTERS = 32
+QUERIES = 256
+FEW = 32
+_LOG = 1 + np.log(np.maximum(np.arange(1 << 16), 1))
 
 
 def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -48,15 +55,40 @@ def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners)
 
 
+def positions(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash stands in the sorted vocabulary, and whether it does: a look at the place that its leading bits name, then a few to the right."""
+    bits = max(1, int(len(vocabulary)).bit_length())
+    first = _first_of(vocabulary, bits)
+    lead = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    at, end = first[lead], first[lead + 1]
+    hit, ask = np.zeros(len(hashes), bool), np.flatnonzero(at < end)
+    while len(ask):
+        found = vocabulary[at[ask]] == hashes[ask]
+        hit[ask[found]] = True
+        ask = ask[~found]
+        at[ask] += 1
+        ask = ask[at[ask] < end[ask]]
+    return at, hit
+
+
+_FIRST: list = [None, None]
+
+
+def _first_of(vocabulary: np.ndarray, bits: int) -> np.ndarray:
+    """The first place of each value of the leading bits; the last table is kept."""
+    if _FIRST[0] is not vocabulary:
+        _FIRST[:] = vocabulary, np.searchsorted(vocabulary >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    return _FIRST[1]
+
+
 def term_counts(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of the terms of a sorted vocabulary: (text number, term number, count), by text and term."""
+    """Occurrences of the terms of a sorted vocabulary: (text number, term number, count), by text and term; 65,535 stands for more."""
     hashes, owners = term_hashes(texts)
     if not len(vocabulary) or not len(hashes):
         return (np.empty(0, np.int64),) * 3
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    hit = vocabulary[at] == hashes
+    at, hit = positions(vocabulary, hashes)
     pair, count = np.unique(owners[hit] * len(vocabulary) + at[hit], return_counts=True)
-    return pair // len(vocabulary), pair % len(vocabulary), count
+    return pair // len(vocabulary), pair % len(vocabulary), np.minimum(count, len(_LOG) - 1)
 
 
 @dataclass
@@ -70,10 +102,13 @@ class Index:
     begin: np.ndarray  # of each example's terms
     term: np.ndarray
     count: np.ndarray
+    edges: np.ndarray  # first example of each block
     spare: np.ndarray  # examples that follow ``neighbours`` + 1 equal ones: never among the nearest, as ties go by id
     prior: float
     without: float  # score of texts without any term
     neighbours: int = 15
+    visited: int = 0  # pairs of a query and a block: scored in full, and all
+    asked: int = 0
 
     def __getstate__(self) -> dict:
         """Packed for the way to the executors: steps between terms, byte by byte, are mostly small."""
@@ -89,7 +124,7 @@ class Index:
         self.count, self.idf = np.frombuffer(zlib.decompress(packed), kind), np.frombuffer(zlib.decompress(state["idf"]))
 
     def vectors(self, text: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        v = (1 + np.log(counts)) * self.idf[terms]
+        v = _LOG[counts] * self.idf[terms]
         return v / np.sqrt(np.bincount(text, weights=v * v))[text] if len(v) else v
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -102,35 +137,54 @@ class Index:
             yield slice(edge[0], edge[-1]), np.repeat(np.arange(k, k + len(edge) - 1, dtype=np.int32), np.diff(edge))
 
     @cached_property
-    def weight(self) -> np.ndarray:
-        out = np.empty(len(self.term), np.float32)
+    def norm(self) -> np.ndarray:
+        """Length of each example's vector before it is scaled."""
+        out = np.empty(len(self.ids))
         for part, owner in self.slices():
-            out[part] = self.vectors(owner - owner.min(initial=len(self.ids)), self.term[part], self.count[part])
+            v = _LOG[self.count[part]] * self.idf[self.term[part]]
+            out[owner.min(initial=len(self.ids)) : owner.max(initial=-1) + 1] = np.sqrt(np.bincount(owner - owner.min(initial=len(self.ids)), weights=v * v))
         return out
 
+    def weights(self, examples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The postings of some examples: terms, weights, and how many each has."""
+        x, n = spans(self.begin[examples], np.diff(self.begin)[examples])
+        return self.term[x], _LOG[self.count[x]] * self.idf[self.term[x]] / np.repeat(self.norm[examples], n), n
+
     @cached_property
-    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of the common terms (-1: rare), their weights as a matrix, and the lists of the rare terms."""
-        m = len(self.ids)
-        held = np.bincount(self.term, minlength=len(self.idf))
-        common = np.flatnonzero(held > COMMON * m)
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each term that is common somewhere (-1: nowhere), each block's maxima by these, each block's numbers and matrix,
+        and the lists of all other postings (begin by term, examples, weights)."""
+        edge = np.append(self.edges, len(self.ids))
+        common, held = [], np.zeros(len(self.idf), np.int64)
+        for k in range(len(self.edges)):
+            n = np.bincount(self.term[self.begin[edge[k]] : self.begin[edge[k + 1]]], minlength=len(self.idf))
+            common.append(np.flatnonzero(n > COMMON * (edge[k + 1] - edge[k])))
+            n[common[-1]] = 0
+            held += n
+        every = np.unique(np.concatenate([np.empty(0, np.int64), *common]))
         row = np.full(len(self.idf), -1, np.int32)
-        row[common] = np.arange(len(common))
-        dense = np.zeros((len(common), m), np.float32)
-        begin = np.concatenate([[0], np.cumsum(np.where(row < 0, held, 0))])
+        row[every] = np.arange(len(every))
+        most = np.zeros((len(self.edges), len(every)), np.float32)
+        begin = np.concatenate([[0], np.cumsum(held)])
         upto = begin[:-1].copy()  # where the next posting of a term goes
-        owners, weights = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32)
-        for part, owner in self.slices():
-            term, weight = self.term[part], self.weight[part]
-            at = row[term]
-            rare = at < 0
-            dense[at[~rare], owner[~rare]] = weight[~rare]
-            order = np.argsort(term[rare], kind="stable")
-            term, n = np.unique(term[rare], return_counts=True)
-            x, _ = spans(upto[term], n)
-            owners[x], weights[x] = owner[rare][order], weight[rare][order]
-            upto[term] += n
-        return row, dense, begin, owners, weights
+        owners, scores, parts, place = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32), [], np.full(len(self.idf), -1, np.int32)
+        for k in range(len(self.edges)):
+            term, weight, n = self.weights(np.arange(edge[k], edge[k + 1]))
+            owner = np.repeat(np.arange(edge[k], edge[k + 1], dtype=np.int32), n)
+            place[common[k]] = np.arange(len(common[k]))
+            at = place[term]
+            place[common[k]] = -1
+            near = at >= 0
+            dense = np.zeros((edge[k + 1] - edge[k], len(common[k])), np.float32)
+            dense[owner[near] - edge[k], at[near]] = weight[near]
+            parts.append((row[common[k]].astype(np.int64), dense))
+            most[k, row[common[k]]] = dense.max(0, initial=0)
+            order = np.argsort(term[~near], kind="stable")
+            t, n = np.unique(term[~near], return_counts=True)
+            x, _ = spans(upto[t], n)
+            owners[x], scores[x] = owner[~near][order], weight[~near][order]
+            upto[t] += n
+        return row, most, parts, begin, owners, scores
 
     def nearest(self, terms: np.ndarray, query: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, by (cosine, id): exact."""
@@ -139,38 +193,62 @@ class Index:
     def all_nearest(self, terms: np.ndarray, query: np.ndarray, cut: np.ndarray, k: int, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` for each of the queries ``cut[i]:cut[i + 1]``.
 
-        Every example is scored in single precision: common terms by one matrix product for many queries, rare ones by their lists.
-        All examples within twice the rounding error of the k-th are then scored again in double precision.
+        Scores are single precision and never too large by more than the rounding error; all examples within twice that of
+        the k-th are scored again in double precision.
         """
-        row, dense, begin, owner, weight = self.postings
-        m, size, slack = len(self.ids), np.diff(begin), 1e-6 + 1.2e-7 * len(dense)
-        per, full = np.diff(self.begin), np.zeros(len(self.idf))
+        row, most, parts, begin, owner, weight = self.blocks
+        m, size, per = len(self.ids), np.diff(begin), np.diff(self.begin)
+        full, asked = np.zeros(len(self.idf)), np.zeros(len(self.idf), bool)
+        width = -(-m // FEW) * FEW
+        edge = np.append(self.edges, m)
         for g in range(0, len(cut) - 1, QUERIES):
-            edge = cut[g : g + QUERIES + 1]
-            a, b = edge[0], edge[-1]
-            at = row[terms[a:b]]
-            common = at >= 0
-            side = np.zeros((len(edge) - 1, len(dense)), np.float32)
-            side[np.repeat(np.arange(len(edge) - 1), np.diff(edge))[common], at[common]] = query[a:b][common]
-            scores = side @ dense
-            for i in range(len(edge) - 1):
-                lo, hi = edge[i], edge[i + 1]
-                t, q = terms[lo:hi], query[lo:hi]
-                rare = ~common[lo - a : hi - a]
-                x, n = spans(begin[t[rare]], size[t[rare]])
-                score = scores[i] + np.bincount(owner[x], weights=weight[x] * np.repeat(q[rare], n), minlength=m)
-                score[self.spare] = 0
-                if skip is not None and skip[g + i] >= 0:
-                    score[skip[g + i]] = 0
-                least = np.partition(score, m - k)[m - k] if m > k else 0.0
-                some = np.flatnonzero((score > 0) & (score >= least - slack))
-                x, n = spans(self.begin[some], per[some])
-                full[t] = q
-                by = np.round(np.bincount(np.repeat(np.arange(len(some)), n), weights=full[self.term[x]] * self.weight[x], minlength=len(some)), 12)
-                full[t] = 0
-                best = np.lexsort((self.ids[some], -by))[:k]
+            at = cut[g : g + QUERIES + 1]
+            some, slack = len(at) - 1, 1.2e-7 * (np.diff(at) + 16)  # products are positive, sums at most 1
+            t, q = terms[at[0] : at[-1]], query[at[0] : at[-1]]
+            number = row[t]
+            side = np.zeros((most.shape[1], some), np.float32)
+            side[number[number >= 0], np.repeat(np.arange(some), np.diff(at))[number >= 0]] = q[number >= 0]
+            scores = np.empty((some, width), np.float32)
+            for i in range(some):
+                lo, hi = at[i] - at[0], at[i + 1] - at[0]
+                x, n = spans(begin[t[lo:hi]], size[t[lo:hi]])
+                scores[i, :m] = np.bincount(owner[x], weights=weight[x] * np.repeat(q[lo:hi], n), minlength=m)
+            scores[:, self.spare] = scores[:, m:] = -np.inf
+            if skip is not None:
+                scores[np.arange(some), skip[g : g + some]] = -np.inf
+            top = np.maximum.reduceat(scores, self.edges, axis=1)
+            bound = np.maximum(top, 0) + (most @ side).T
+            todo, least = bound > 0, np.zeros(some)
+            for fewest in (1, 3, len(parts)):  # the blocks of largest bound first: they raise the k-th best score
+                ahead = todo & (bound >= (least - 2 * slack)[:, None])
+                if fewest < len(parts):
+                    ahead &= bound >= -np.partition(-np.where(ahead, bound, 0), fewest - 1, axis=1)[:, fewest - 1 : fewest]
+                todo &= ~ahead
+                for b in np.flatnonzero(ahead.any(0)).tolist():
+                    who, (rows, dense) = np.flatnonzero(ahead[:, b]), parts[b]
+                    scores[who, edge[b] : edge[b + 1]] += (dense @ side[rows][:, who]).T
+                self.visited += int(ahead.sum())
+                if k < width // FEW:  # the k-th best of the bests of few examples is no more than the k-th best of all
+                    few = scores.reshape(some, -1, FEW).max(2)
+                    least = np.maximum(np.partition(few, few.shape[1] - k, axis=1)[:, few.shape[1] - k], 0)
+            self.asked += some * len(parts)
+            for i in range(some):
+                lo, hi = at[i] - at[0], at[i + 1] - at[0]
+                near = np.flatnonzero((scores[i] > 0) & (scores[i] >= least[i] - 2 * slack[i]))
+                if len(near) > k:
+                    score = scores[i, near]
+                    near = near[score >= np.partition(score, len(near) - k)[len(near) - k] - 2 * slack[i]]
+                full[t[lo:hi]], asked[t[lo:hi]] = q[lo:hi], True
+                x, n = spans(self.begin[near], per[near])
+                hit = np.flatnonzero(asked[self.term[x]])
+                x, owner_of = x[hit], np.repeat(np.arange(len(near)), n)[hit]
+                term = self.term[x]
+                by = np.bincount(owner_of, weights=full[term] * (_LOG[self.count[x]] * self.idf[term]), minlength=len(near))
+                by = np.round(by / self.norm[near], 12)
+                asked[t[lo:hi]] = False
+                best = np.lexsort((self.ids[near], -by))[:k]
                 best = best[by[best] > 0]
-                yield some[best], by[best]
+                yield near[best], by[best]
 
     def vote(self, near: np.ndarray, by: np.ndarray) -> float:
         return float(((by * self.labels[near]).sum() + self.prior) / (by.sum() + 1))
@@ -262,25 +340,53 @@ def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return _index(vocabulary, idf, table, prior)
 
 
+def alike(dense: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows in which neighbours are alike, and where each block begins: a few rounds of k-means on directions, then by length."""
+    m = len(dense)
+    if not m:
+        return (np.empty(0, np.int64),) * 2
+    unit = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    middle = unit[np.linspace(0, m - 1, min(CLUSTERS, m)).astype(np.int64)]
+    group = np.zeros(m, np.int64)
+    for _ in range(6):
+        group = np.argmax(unit @ middle.T, axis=1)
+        for c in np.unique(group).tolist():
+            total = unit[group == c].sum(0)
+            middle[c] = total / max(float(np.linalg.norm(total)), 1e-9)
+    order = np.lexsort((np.arange(m), length, group))
+    new = np.flatnonzero(np.diff(group[order], prepend=-1))
+    return order, np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(new, np.append(new[1:], m), strict=True)])
+
+
 def _index(vocabulary: np.ndarray, idf: np.ndarray, table: pa.Table, prior: float) -> Index:
+    table = table.sort_by("doc_id")
     y, ids = table.column("label").to_numpy().astype(np.int64), table.column("doc_id").to_numpy()
     flat = lambda name, kind: np.concatenate([np.empty(0, kind), *(c.flatten().to_numpy().astype(kind) for c in table.column(name).chunks)])
     per = np.concatenate([np.empty(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in table.column("terms").chunks)]).astype(np.int64)
-    filled = per > 0
+    term, count, filled = flat("terms", np.int32), flat("counts", np.uint16), per > 0
+    del table
     without = (y[~filled].sum() + prior) / ((~filled).sum() + 1)
-    begin = np.concatenate([[0], np.cumsum(per[filled])])
-    index = Index(vocabulary, idf, ids[filled], y[filled], begin, flat("terms", np.int32), flat("counts", np.int32), np.empty(0, np.int64), prior, float(without))
-    if index.count.max(initial=0) < 1 << 16:
-        index.count = index.count.astype(np.uint16)
+    y, ids, per = y[filled], ids[filled], per[filled]
+    begin, m = np.concatenate([[0], np.cumsum(per)]), len(per)
+    common = np.flatnonzero(np.bincount(term, minlength=len(idf)) > COMMON * m)
+    place = np.full(len(idf), -1, np.int32)
+    place[common] = np.arange(len(common))
+    dense = np.zeros((m, len(common)), np.float32)
+    owner, at = np.repeat(np.arange(m, dtype=np.int32), per), place[term]
+    dense[owner[at >= 0], at[at >= 0]] = ((1 + np.log(count)) * idf[term])[at >= 0]
+    order, edges = alike(dense, per)
+    del dense, owner, at
+    x, per = spans(begin[:-1][order], per[order])
+    index = Index(vocabulary, idf, ids[order], y[order], np.concatenate([[0], np.cumsum(per)]), term[x], count[x], edges, np.empty(0, np.int64), prior, float(without))
     equal: Counter[bytes] = Counter()
     spare = []
     for k in np.argsort(index.ids).tolist():
-        part = slice(begin[k], begin[k + 1])
+        part = slice(index.begin[k], index.begin[k + 1])
         key = sha1(index.term[part].tobytes() + index.count[part].tobytes()).digest()
         equal[key] += 1
         if equal[key] > index.neighbours + 1:
             spare.append(k)
-    index.spare = np.array(spare, np.int64)
+    index.spare = np.array(sorted(spare), np.int64)
     return index
 
 
@@ -292,8 +398,8 @@ def calibration(spark: SparkSession, shared: Broadcast, ids: np.ndarray, labels:
         index = shared.value
         for batch in batches:
             some = batch.column("id").to_numpy()
-            x, n = spans(index.begin[some], np.diff(index.begin)[some])
-            found = index.all_nearest(index.term[x], index.weight[x].astype(float), np.concatenate([[0], np.cumsum(n)]), index.neighbours, some)
+            term, weight, n = index.weights(some)
+            found = index.all_nearest(term, weight, np.concatenate([[0], np.cumsum(n)]), index.neighbours, some)
             yield pa.RecordBatch.from_pydict({"id": some, "raw": pa.array([index.vote(*f) for f in found], pa.float64())})
 
     if not m:

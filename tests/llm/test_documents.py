@@ -264,6 +264,67 @@ def test_nearest_examples_are_exact():
         assert np.allclose(by, cosine[want], atol=1e-9)
 
 
+@pytest.mark.parametrize("block", [3, 16, 512])
+def test_blocks_are_skipped_without_loss(monkeypatch, block):
+    """Examples of four vocabularies: most blocks stay unvisited, and every query still meets its nearest."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "CLUSTERS", 8)
+    rng = np.random.default_rng(4)
+    m, rows = 400, []
+    for k in range(m):
+        terms = np.unique(np.append(rng.integers(0, 50, rng.integers(3, 20)) + 50 * (k % 4), rng.integers(0, 200)))
+        rows.append((terms, rng.integers(1, 4, len(terms))))
+    table = pa.table({"doc_id": pa.array(range(m), pa.int64()), "label": pa.array(rng.integers(0, 2, m), pa.int32()), "terms": pa.array([t.tolist() for t, _ in rows], pa.list_(pa.int64())), "counts": pa.array([c.tolist() for _, c in rows], pa.list_(pa.int64()))})
+    index = toxicity._index(np.arange(200, dtype=np.uint64), rng.random(200) + 1, table, 0.5)
+    dense = np.zeros((m, 200))
+    for k, (t, c) in enumerate(rows):
+        dense[k, t] = index.vector(t, c)
+    cut = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])])
+    found = index.all_nearest(np.concatenate([t for t, _ in rows]), np.concatenate([dense[k, t] for k, (t, _) in enumerate(rows)]), cut, 5)
+    for k, (near, by) in enumerate(found):
+        cosine = np.round(dense @ dense[k], 12)
+        want = np.lexsort((np.arange(m), -cosine))[:5]
+        assert np.allclose(by, cosine[want], atol=1e-9) and np.allclose(cosine[index.ids[near]], by, atol=1e-9)
+    assert index.visited < index.asked * (0.8 if block < 512 else 1.01)
+
+
+def test_scores_by_brute_force(spark):
+    """From texts to scores in plain Python: terms, weights, votes, and an isotonic fit by its max-min formula."""
+    import math
+
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["river", "rivers", "out", "and", "seaside", "seas", "the", "Vilest", "vileness"][: 9 if k % 4 == 0 else 7]) for _ in range(rng.randint(2, 12))) for k in range(120)]
+    toxic = [int("vile" in t.lower()) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, stress=1.0).collect()}
+    bags = [Counter(x for w in t.lower().split() for x in ([w, w[:5] + "*"] if len(w) > 5 else [w])) for t in texts]
+    df = Counter(w for b in bags for w in b)
+    examples = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 5]
+    space = {w for k in examples for w in bags[k]}
+    vectors = [{w: (1 + math.log(c)) * (math.log((len(texts) + 1) / (df[w] + 1)) + 1) for w, c in b.items() if w in space} for b in bags]
+    size = [math.sqrt(sum(v * v for v in x.values())) for x in vectors]
+    n1 = sum(toxic[k] for k in examples)
+    prior = (n1 + 0.5) / (len(examples) + 1)
+
+    def vote(k, others):
+        cosine = [(-round(sum(v * vectors[e].get(w, 0) for w, v in vectors[k].items()) / size[k] / size[e], 9), e) for e in others]
+        near = [(-c, e) for c, e in sorted(cosine)[:15] if c < 0]
+        return (sum(c * toxic[e] for c, e in near) + prior) / (sum(c for c, _ in near) + 1)
+
+    raw = sorted((vote(k, [e for e in examples if e != k]), k) for k in examples)
+    y = [toxic[k] for _, k in raw]
+    mean = lambda a, b: sum(y[a : b + 1]) / (b + 1 - a)
+    fitted = [max(min(mean(a, b) for b in range(i, len(y))) for a in range(i + 1)) for i in range(len(y))]
+    pools = defaultdict(list)
+    for f, (x, _), t in zip(fitted, raw, y):
+        pools[round(f, 12)].append((x, t))
+    levels = [sum(x for x, _ in p) / len(p) for _, p in sorted(pools.items())]
+    meaning = [(sum(t for _, t in p) + 0.5) / (len(p) + 1) for _, p in sorted(pools.items())]
+    for k in range(len(texts)):
+        assert got[k] == pytest.approx(float(np.interp(vote(k, examples), levels, meaning)), abs=1e-4), k
+
+
 def test_every_text_is_compared_with_every_example(spark):
     import math
 
