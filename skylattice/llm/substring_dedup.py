@@ -1,21 +1,27 @@
 """Removal of passages that a document with a smaller id has too (operator 10), by relative Lempel-Ziv factors.
 
-A window is ``window`` consecutive words.  It is anchored at the smallest seed hash inside it, so equal
-windows have equal anchors, and the windows that share an anchor form a *block*: the anchor with all the words
-around it that those windows cover.  The blocks of all documents are the reference.
-
-1. Every document is cut into its blocks.  Blocks meet by anchor; a block that a smaller document has too
-   is a factor.  Inside a long common passage all blocks agree, so it becomes one run of factors
-   without a look at its single windows.
-2. Where blocks with one anchor differ, a factor ends.  Only there the windows themselves are compared,
-   so that a passage is caught to the word whatever stands around it.
-3. Words under a factor or a matching window go.
-
-Within a batch, a block that a smaller document of the batch has is decided at once and does not enter the
-shuffle: the rows that a popular passage sends are bounded by the number of batches.
+The documents are factored against each other: a factor (start, words, ref_doc, ref_start) says that a run of words also stands
+in a document with a smaller id, from ``ref_start`` on.  A window is ``window`` consecutive words; a factor has that length or more.
+
+1. *Reference blocks.*  A window is anchored at the smallest seed hash inside it, so equal windows have equal anchors.  The
+   windows that share an anchor form a block: the anchor with all the words around it that those windows cover.  The
+   blocks of all documents, each with its document and place, are the index of the reference.
+2. *Hits.*  Blocks meet by anchor.  A block that a smaller document has too is a hit with a place in the reference: the first
+   document that has it.
+3. *Factor boundaries.*  Where blocks with one anchor differ, a factor may begin or end inside them.  Only there the
+   windows themselves are looked up, so that a passage is caught to the word whatever stands around it.
+4. *Parse.*  From left to right a factor takes up hit after hit, block or window, as long as the next one continues the same
+   reference document at the next word; else a new factor begins.  The spans of factors go.
+
+Of several documents that hold a hit, the first is the reference; a factor therefore ends where the first holder changes, and the
+next one goes on from there.  The words under factors do not depend on that choice.
+
+Within a batch, a hit in a smaller document of the batch is decided at once, and of blocks that share an anchor but differ only two
+take part in the shuffle; the others are boundaries.  So the rows that a popular passage or seed sends are bounded by twice the number of
+batches.
 
 A null or empty text has no words.  Rows with a null id are kept whole and remove nothing from others.  Rows that
-repeat an id are judged one by one against smaller ids.  An empty table gives an empty result.
+repeat an id are judged one by one against smaller ids.  An empty table gives an empty result.  Other columns play no part.
 """
 
 from __future__ import annotations
@@ -53,7 +59,7 @@ class Blocks:
         begin = np.flatnonzero(head)
         self.block = np.cumsum(head) - 1
         size = np.diff(np.append(begin, n))
-        first = self.start[begin]
+        self.begin = first = self.start[begin]
         self.of = self.text[begin]
         self.anchor = seeds[where[begin]]
         self.content = mix(run_hashes(self.hashes, first, size + window - 1) + (where[begin] - first).astype(np.uint64))
@@ -63,17 +69,16 @@ class Blocks:
         return run_hashes(self.hashes, self.start[which], self.window)
 
 
-def _first_here(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Among rows of a batch: those that are the first (one for each key, of the smallest id), and (for each row) whether a smaller id has its key."""
+def _first_here(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Among rows of a batch: those that are the first (one for each key, of the smallest id); whether a smaller id has a row's key; and the first row of its key."""
     order = np.lexsort((ids, *keys))
     fresh = np.ones(len(order), bool)
     if len(order):
         fresh[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
     group = np.cumsum(fresh) - 1
-    least = ids[order][fresh]
-    behind = np.empty(len(order), bool)
-    behind[order] = ids[order] > least[group]
-    return order[fresh], behind
+    first, of = order[fresh], np.empty(len(order), np.int64)
+    of[order] = first[group]
+    return first, ids > ids[of], of
 
 
 def _apart(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -85,79 +90,118 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+#: Rows that meet by ``key``.  A known one is decided: a hit at (ref, pos), or without ``ref`` a boundary; for others ``pos`` is their own place.
+_ROW = pa.schema([("key", pa.int64()), ("value", pa.int64()), ("doc_id", pa.int64()), ("known", pa.bool_()), ("ref", pa.int64()), ("pos", pa.int32())])
+_ROW_SQL = "key long, value long, doc_id long, known boolean, ref long, pos int"
+
+
+def _rows(key: np.ndarray, value: np.ndarray, ids: np.ndarray, place: np.ndarray, ask: np.ndarray, hit: np.ndarray, of: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+    """Rows that ask, rows whose hit is known (the row ``of`` them), and rows known as boundaries."""
+    rows = np.concatenate([ask, hit, edge])
+    n = len(ask)
+    dealt, pos, ref = key[rows], place[rows], np.zeros(len(rows), np.int64)
+    dealt[n:] = _apart(dealt[n:], ids[rows][n:])
+    known = slice(n, n + len(hit))
+    pos[known], ref[known] = place[of[hit]], ids[of[hit]]
+    blank = np.ones(len(rows), bool)
+    blank[known] = False
+    return pa.RecordBatch.from_arrays([pa.array(signed(dealt)), pa.array(signed(value)[rows]), pa.array(ids[rows]), pa.array(np.arange(len(rows)) >= n), pa.array(ref, mask=blank), pa.array(pos.astype(np.int32))], schema=_ROW)
+
+
 def _entries(window: int, seed: int):
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("known", pa.bool_())])
+    """The blocks of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             b = Blocks(batch.column("text"), window, seed)
             ids = _ids(batch)[b.of]
-            first, behind = _first_here(ids, b.content, b.anchor)
-            later = np.flatnonzero(behind)
-            rows = np.concatenate([first, later])
-            known = np.arange(len(rows)) >= len(first)
-            anchor = b.anchor[rows]
-            anchor[known] = _apart(anchor[known], ids[rows][known])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(signed(b.content)[rows]), pa.array(ids[rows]), pa.array(known)], schema=schema)
+            first, behind, of = _first_here(ids, b.content, b.anchor)
+            head = np.flatnonzero(np.diff(b.anchor[first], prepend=~b.anchor[first[:1]]) != 0)
+            nth = np.arange(len(first)) - np.repeat(head, np.diff(np.append(head, len(first))))
+            yield _rows(b.anchor, b.content, ids, b.begin - b.words.first[b.of], first[nth < 2], np.flatnonzero(behind), of, first[nth >= 2])
+
+    return run
+
+
+def _edges(window: int, seed: int):
+    """The single windows of blocks at the boundaries of factors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            b = Blocks(batch.column("text"), window, seed)
+            which = (_Marks(batch.column("open")).find(b.of, b.content) >= 0)[b.block]
+            key, ids = b.keys(which), _ids(batch)[b.text[which]]
+            first, behind, of = _first_here(ids, key)
+            yield _rows(key, key, ids, b.start[which] - b.words.first[b.text[which]], first, np.flatnonzero(behind), of, first[:0])
 
-    return run, "anchor long, content long, doc_id long, known boolean"
+    return run
 
 
 class _Marks:
-    """Per row of a batch, hashes from a list column: which (row, hash) pairs are in it."""
+    """Per row of a batch, hashes from a list column (of hashes, or of hash, ref and pos): which (row, hash) pairs are in it."""
 
     def __init__(self, column: pa.Array):
         counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = np.repeat(np.arange(len(counts)), counts)
-        self.have = np.unique(self._pair(rows, column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+        rows, flat = np.repeat(np.arange(len(counts)), counts), column.flatten()
+        plain = lambda a, kind: a.to_numpy(zero_copy_only=False).astype(kind)
+        hashes, self.ref, self.pos = (flat, None, None) if not pa.types.is_struct(flat.type) else flat.flatten()
+        pair = self._pair(rows, plain(hashes, np.int64).view(np.uint64))
+        order = np.argsort(pair, kind="stable")
+        self.have = pair[order]
+        if self.ref is not None:
+            self.ref, self.pos = plain(self.ref, np.int64)[order], plain(self.pos, np.int64)[order]
 
     @staticmethod
     def _pair(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         return mix(hashes + mix(rows.astype(np.uint64) + np.uint64(1)))
 
-    def has(self, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    def find(self, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each pair among the marks, -1 for none."""
         if not len(self.have):
-            return np.zeros(len(rows), bool)
+            return np.full(len(rows), -1)
         want = self._pair(rows, hashes)
-        at = np.searchsorted(self.have, want)
-        return self.have[np.minimum(at, len(self.have) - 1)] == want
-
-
-def _edges(window: int, seed: int):
-    """The single windows of blocks at the ends of factors."""
-    schema = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("doc_id", pa.int64()), ("known", pa.bool_())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            b = Blocks(batch.column("text"), window, seed)
-            open_block = _Marks(batch.column("open")).has(b.of, b.content)
-            which = open_block[b.block]
-            key, ids = b.keys(which), _ids(batch)[b.text[which]]
-            first, behind = _first_here(ids, key)
-            rows = np.concatenate([first, np.flatnonzero(behind)])
-            known = np.arange(len(rows)) >= len(first)
-            dealt = key[rows]
-            dealt[known] = _apart(dealt[known], ids[rows][known])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(dealt)), pa.array(signed(key)[rows]), pa.array(ids[rows]), pa.array(known)], schema=schema)
-
-    return run, "key long, same long, doc_id long, known boolean"
+        at = np.minimum(np.searchsorted(self.have, want), len(self.have) - 1)
+        return np.where(self.have[at] == want, at, -1)
+
+
+def _factors(b: Blocks, blocks: _Marks, windows: _Marks) -> tuple[np.ndarray, ...]:
+    """The parse of a batch: text, start, words, reference document and place of each factor, in order."""
+    block = blocks.find(b.of, b.content)[b.block]
+    ref, pos, hit = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64), block >= 0
+    inside = np.flatnonzero(hit)
+    if len(inside):
+        ref[inside], pos[inside] = blocks.ref[block[inside]], blocks.pos[block[inside]] + b.start[inside] - b.begin[b.block[inside]]
+    ask = np.flatnonzero(~hit)
+    if len(windows.have) and len(ask):
+        at = windows.find(b.text[ask], b.keys(ask))
+        ask, at = ask[at >= 0], at[at >= 0]
+        ref[ask], pos[ask], hit[ask] = windows.ref[at], windows.pos[at], True
+    on = np.flatnonzero(hit)
+    text, start, ref, pos = b.text[on], b.start[on], ref[on], pos[on]
+    head = np.ones(len(on), bool)
+    head[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (ref[1:] != ref[:-1]) | (pos[1:] != pos[:-1] + 1)
+    first = np.flatnonzero(head)
+    words = np.diff(np.append(first, len(on))) + b.window - 1
+    return text[first], start[first] - b.words.first[text[first]], words, ref[first], pos[first]
+
+
+_FACTOR = pa.struct([("start", pa.int64()), ("words", pa.int64()), ("ref_doc", pa.int64()), ("ref_start", pa.int64())])
 
 
 def _kept(window: int, seed: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.string()), ("factors", pa.list_(_FACTOR))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             b = Blocks(batch.column("text"), window, seed)
-            gone = _Marks(batch.column("factors")).has(b.of, b.content)[b.block]
-            single = _Marks(batch.column("windows"))
-            ask = np.flatnonzero(~gone)
-            if len(single.have) and len(ask):
-                gone[ask] = single.has(b.text[ask], b.keys(ask))
+            text, start, length, ref, pos = _factors(b, _Marks(batch.column("factors")), _Marks(batch.column("windows")))
             cover = np.zeros(len(b.hashes) + 1, np.int64)
-            np.add.at(cover, b.start[gone], 1)
-            np.add.at(cover, b.start[gone] + window, -1)
+            at = start + b.words.first[text]
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + length, -1)
             covered = np.cumsum(cover[:-1]) > 0
+            per = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype(np.int32)
+            factors = pa.ListArray.from_arrays(pa.array(per), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (start, length, ref, pos)], fields=list(_FACTOR)))
             texts, spans, kept, removed = batch.column("text"), [], [], []
             for i, (at, upto) in enumerate(zip(b.words.first[:-1], b.words.first[1:], strict=True)):
                 words, out = (texts[i].as_py() or "").encode().split(), covered[at:upto]
@@ -168,34 +212,32 @@ def _kept(window: int, seed: int):
                 else:
                     spans.append([])
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(b.words.counts), pa.array(removed, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(b.words.counts), pa.array(removed, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.string()), factors], schema=schema)
 
-    return run, "doc_id long, n_words long, n_removed long, spans array<long>, kept string"
+    return run, "doc_id long, n_words long, n_removed long, spans array<long>, kept string, factors array<struct<start:long,words:long,ref_doc:long,ref_start:long>>"
 
 
-def _decided(entries: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows (doc_id, value, factor, differs) of ``entries`` whose key others have: ``factor`` if a smaller document has the
-    same value, ``differs`` if values under the key differ.  Rows decided within their batch pass through."""
-    group, same = Window.partitionBy(key), Window.partitionBy(key, value)
-    met = entries.withColumn("n", F.count("*").over(group)).filter("n > 1 OR known")
-    met = met.withColumn("differs", F.min(value).over(group) != F.max(value).over(group)).withColumn("first", F.min("doc_id").over(same))
-    return met.select("doc_id", value, (F.col("known") | (F.col("first") < F.col("doc_id"))).alias("factor"), (F.col("differs") & ~F.col("known")).alias("differs"))
+def _decided(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, value, hit, ref, pos, edge): ``hit`` if a smaller document has the same value under the key, and where;
+    ``edge`` if only other values are there.  Rows known within their batch pass through."""
+    group, same = Window.partitionBy("key"), Window.partitionBy("key", "value")
+    met = rows.withColumn("n", F.count("*").over(group)).filter("n > 1 OR known")
+    met = met.withColumn("differs", F.min("value").over(group) != F.max("value").over(group)).withColumn("first", F.min(F.struct("doc_id", "pos")).over(same))
+    met = met.withColumn("hit", F.when(F.col("known"), F.col("ref").isNotNull()).otherwise(F.col("first.doc_id") < F.col("doc_id")))
+    place = lambda own, first: F.when(F.col("known"), F.col(own)).otherwise(F.col(f"first.{first}")).alias(own)
+    return met.select("doc_id", "value", "hit", place("ref", "doc_id"), place("pos", "pos"), (~F.col("hit") & (F.col("known") | F.col("differs"))).alias("edge"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, seed: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, spans (start and end word of each removed passage,
-    in turn) and kept (the other words, joined by one space)."""
+    in turn), kept (the other words, joined by one space) and factors (start, words, ref_doc, ref_start)."""
     source = texts_of(docs, id_col, text_col)
     known_ids = source.filter("doc_id IS NOT NULL")
-    run, schema = _entries(window, seed)
-    met = _decided(known_ids.mapInArrow(run, schema), "anchor", "content")
-    factor, open_block = F.col("factor"), F.col("differs") & ~F.col("factor")
-    notes = met.filter(factor | open_block).groupBy("doc_id").agg(F.collect_set(F.when(factor, F.col("content"))).alias("factors"), F.collect_set(F.when(open_block, F.col("content"))).alias("open"))
-    notes = stored(notes, "factors")
-    run, schema = _edges(window, seed)
-    edges = known_ids.join(notes.filter(F.size("open") > 0).select("doc_id", "open"), "doc_id").mapInArrow(run, schema)
-    found = _decided(edges, "key", "same").filter("factor")
-    windows = found.groupBy("doc_id").agg(F.collect_set("same").alias("windows"))
+    met = _decided(known_ids.mapInArrow(_entries(window, seed), _ROW_SQL)).filter("hit OR edge")
+    place = F.struct("value", "ref", "pos")
+    notes = stored(met.groupBy("doc_id").agg(F.collect_set(F.when(F.col("hit"), place)).alias("factors"), F.collect_set(F.when(F.col("edge"), F.col("value"))).alias("open")), "factors")
+    edges = known_ids.join(notes.filter(F.size("open") > 0).select("doc_id", "open"), "doc_id").mapInArrow(_edges(window, seed), _ROW_SQL)
+    windows = _decided(edges).filter("hit").groupBy("doc_id").agg(F.collect_set(place).alias("windows"))
     marks = notes.select("doc_id", "factors").join(windows, "doc_id", "full")
     run, schema = _kept(window, seed)
     return source.join(marks, "doc_id", "left").mapInArrow(run, schema)

@@ -373,9 +373,10 @@ def _index(vocabulary: np.ndarray, idf: np.ndarray, table: pa.Table, prior: floa
     place[common] = np.arange(len(common))
     dense = np.zeros((m, len(common)), np.float32)
     owner, at = np.repeat(np.arange(m, dtype=np.int32), per), place[term]
-    dense[owner[at >= 0], at[at >= 0]] = ((1 + np.log(count)) * idf[term])[at >= 0]
+    near = np.flatnonzero(at >= 0)
+    dense[owner[near], at[near]] = _LOG[count[near]] * idf[term[near]]
     order, edges = alike(dense, per)
-    del dense, owner, at
+    del dense, owner, at, near
     x, per = spans(begin[:-1][order], per[order])
     index = Index(vocabulary, idf, ids[order], y[order], np.concatenate([[0], np.cumsum(per)]), term[x], count[x], edges, np.empty(0, np.int64), prior, float(without))
     equal: Counter[bytes] = Counter()

@@ -113,6 +113,29 @@ def test_substring_dedup(with_null_id, nothing):
     assert substring_dedup.substring_dedup(nothing).count() == 0
 
 
+def test_factors_are_a_parse_against_the_reference(spark, rows):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 400, n)]
+    passage = word(150)
+    texts = [(1, passage + word(20)), (2, word(30)), (7, word(40) + passage[10:140] + word(9)), (9, passage[5:60] + word(3) + passage[80:]), (12, word(15) + passage[:13]), (13, passage[20:32])]
+    texts += [(20 + k, ["x", "the", "same", "five", "word", "seed"] * 1 + word(20)) for k in range(40)]  # one anchor in ever new surroundings
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in texts] + [r[:2] for r in rows if r[0] > 100], "doc_id long, text string")
+    words = {}
+    for r in table.collect():
+        words.setdefault(r.doc_id, []).append(WORD.findall(r.text))
+    longest = Counter()
+    for r in substring_dedup.substring_dedup(table.repartition(3)).collect():
+        covered = set()
+        for f in r.factors:
+            assert f.ref_doc < r.doc_id and f.words >= 13
+            own = [w[f.start : f.start + f.words] for w in words[r.doc_id]]
+            assert any(w[f.ref_start : f.ref_start + f.words] in own for w in words[f.ref_doc])
+            covered |= set(range(f.start, f.start + f.words))
+            longest[r.doc_id] = max(longest[r.doc_id], f.words)
+        assert len(covered) == r.n_removed
+    assert longest[7] == 130 and longest[9] == 70 and longest[12] == 13 and longest[13] == 0  # far longer than a block of one anchor
+
+
 def one_edit(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1
