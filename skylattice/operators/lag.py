@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +42,46 @@ def prepared(log: DataFrame, s: LagSettings) -> tuple[DataFrame, DataFrame]:
     means = rows.groupBy("log_id", "timestamp").agg(F.avg("reference_altitude").alias("ref"), F.avg("ekf_altitude").alias("ekf"))
     wt = Window.partitionBy("log_id").orderBy("timestamp")
     means = means.withColumn("step", F.col("timestamp") - F.lag("timestamp").over(wt))
-    usual = means.groupBy("log_id").agg(F.count("*").alias("n_times"), median(F.col("step")).alias("dt"))
-    parts = means.join(usual.select("log_id", "dt"), "log_id").withColumn("part", F.sum(F.coalesce((F.col("step") > s.gap_multiplier * F.col("dt")).cast("int"), F.lit(0))).over(wt))
+    per = Window.partitionBy("log_id")
+    means = means.withColumn("n_times", F.count("*").over(per)).withColumn("dt", median(F.col("step")).over(per))
+    parts = means.withColumn("part", F.sum(F.coalesce((F.col("step") > s.gap_multiplier * F.col("dt")).cast("int"), F.lit(0))).over(wt))
+    parts = stored(parts, "lag_samples")  # read by the facts and by the grid
+    usual = parts.groupBy("log_id").agg(F.first("n_times").alias("n_times"), F.first("dt").alias("dt"))
     sizes = parts.groupBy("log_id", "part").agg(F.min("timestamp").alias("t0"), (F.max("timestamp") - F.min("timestamp")).alias("duration"), F.count("*").alias("n_part")).withColumn("n_gaps", F.max("part").over(Window.partitionBy("log_id")))
     best = sizes.filter("n_part >= 2").withColumn("_rank", F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("duration"), F.desc("n_part"), "t0"))).filter("_rank = 1").drop("_rank")
     facts = counts.join(usual, "log_id", "left").join(best, "log_id", "left").withColumn("n_grid", (F.floor(F.col("duration") / F.col("dt") + 1e-9) + 1).cast("long"))
     facts = stored(facts, "lag_facts")  # one row a log
-    return parts.join(facts.select("log_id", "part", "t0", "n_grid"), ["log_id", "part"]), facts
+    return parts.drop("n_times").join(facts.select("log_id", "part", "t0", "n_grid"), ["log_id", "part"]), facts
+
+
+#: Grid points of a log that one task compares; longer logs are cut, each piece with as many neighbours as the largest lag.
+PIECE = 8192
+
+
+def _sums(key: tuple, table: pa.Table) -> pa.Table:
+    """Of one piece, for each lag: pairs of an estimate at k and a reference at k + lag, and the sums of their moments."""
+    table = table.sort_by("k")
+    k, own = table.column("k").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
+    ref, most = table.column("ref").to_numpy(), table.column("most")[0].as_py()
+    at, ekf = np.flatnonzero(own), table.column("ekf").to_numpy()[own]
+    total = [np.concatenate([[0.0], np.cumsum(x)]) for x in (ref, ref * ref, ekf, ekf * ekf)]
+    rows = []
+    for lag in range(-most, most + 1):
+        lo, hi = max(0, -int(at[0]) - lag), min(len(at), len(k) - int(at[0]) - lag)  # the grid has no holes
+        if lo < hi:
+            r, e = slice(at[0] + lo + lag, at[0] + hi + lag), slice(lo, hi)
+            rows.append((lag, hi - lo, *(t[s.stop] - t[s.start] for t, s in zip(total, (r, r, e, e), strict=True)), float(ref[r] @ ekf[e])))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+    values = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.float64()] * 5), strict=True)]
+    return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), *values], names=["log_id", "lag", "n", "r1", "r2", "e1", "e2", "re"])
 
 
 def lag_correlations(log: DataFrame, s: LagSettings = LagSettings()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows (log_id, lag, n, r) of every admissible lag, facts of every log, the logs with a live signal)."""
+    """(rows (log_id, lag, n, r) of every admissible lag, facts of every log, the logs with a live signal).
+
+    The grid is dealt to pieces of a log once, with the neighbours that its lags reach; the lags are run through inside a piece, and
+    only the moments of each lag are added up across pieces.
+    """
     samples, facts = prepared(log, s)
     enough = facts.filter((F.col("n_original") >= max(4, s.min_overlap)) & (F.col("n_times") >= max(4, s.min_overlap)) & (F.col("n_grid") >= max(4, s.min_overlap)))
     grid = detrended(uniform_grid(samples.join(enough.select("log_id"), "log_id"), "n_grid", ("ref", "ekf")), ("ref", "ekf"))
@@ -58,12 +89,18 @@ def lag_correlations(log: DataFrame, s: LagSettings = LagSettings()) -> tuple[Da
     bound = F.least(F.lit(max(0.0, s.max_lag_s)), F.col("duration") * 0.25)
     facts = facts.withColumn("limit_s", bound).withColumn("most", F.floor(F.col("limit_s") / F.col("dt") + 1e-9).cast("long")).withColumn("least", F.greatest(F.lit(s.min_overlap), F.ceil(s.min_overlap_share * F.col("n_grid"))).cast("long"))
     lags = facts.select("log_id", "most", "least").filter("most >= 1")
-    shifted = grid.join(lags, "log_id").withColumn("lag", F.explode(F.sequence(-F.col("most"), F.col("most")))).select("log_id", "least", "lag", (F.col("k") + F.col("lag")).alias("k"), "ekf")
-    pairs = shifted.join(grid.select("log_id", "k", "ref"), ["log_id", "k"])
-    by_lag = pairs.groupBy("log_id", "least", "lag").agg(F.count("*").alias("n"), F.stddev_pop("ref").alias("sr"), F.stddev_pop("ekf").alias("se"), F.covar_pop("ref", "ekf").alias("c"))
-    by_lag = by_lag.filter((F.col("n") >= F.greatest("least", F.lit(3))) & (F.col("sr") >= s.min_std) & (F.col("se") >= s.min_std))
+    size = F.greatest(F.lit(PIECE).cast("long"), F.col("most"))
+    piece = lambda k: F.floor(k / size).cast("long")
+    near = F.sequence(piece(F.greatest(F.col("k") - F.col("most"), F.lit(0))), piece(F.least(F.col("k") + F.col("most"), F.col("n_grid") - 1)))
+    dealt = grid.join(lags, "log_id").withColumn("piece", F.explode(near)).withColumn("own", F.col("piece") == piece(F.col("k")))
+    sums = dealt.select("log_id", "piece", "k", "own", "most", "ref", "ekf").groupBy("log_id", "piece").applyInArrow(_sums, "log_id long, lag long, n long, r1 double, r2 double, e1 double, e2 double, re double")
+    by_lag = sums.groupBy("log_id", "lag").agg(*[F.sum(c).alias(c) for c in ("n", "r1", "r2", "e1", "e2", "re")])
+    mean = lambda c: F.col(c) / F.col("n")
+    spread = lambda one, two: F.sqrt(F.greatest(mean(two) - mean(one) * mean(one), F.lit(0.0)))
+    by_lag = by_lag.withColumn("sr", spread("r1", "r2")).withColumn("se", spread("e1", "e2")).withColumn("c", mean("re") - mean("r1") * mean("e1"))
+    by_lag = by_lag.join(lags.select("log_id", "least"), "log_id").filter((F.col("n") >= F.greatest("least", F.lit(3))) & (F.col("sr") >= s.min_std) & (F.col("se") >= s.min_std))
     table = stored(by_lag.select("log_id", "lag", "n", (F.col("c") / (F.col("sr") * F.col("se"))).alias("r")), "lags")  # a row for each log and lag
-    return table, facts, grid.select("log_id").distinct()
+    return table, facts, facts.join(grid.filter("k = 0").select("log_id"), "log_id").select("log_id")
 
 
 def lag_analysis(log: DataFrame, s: LagSettings = LagSettings()) -> DataFrame:

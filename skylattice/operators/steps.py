@@ -1,108 +1,133 @@
 """Step responses: changes of the setpoint between plateaus, and how the altitude follows each.
 
-All steps are windows over a log in row order or aggregates over (log, change group); the rows of a response are joined to
-their step by range of row position within the log.
+Every row of a log carries its ``group``: how many change groups have begun up to it.  The rows of a group from its last change
+point on are the plateau behind it and, at the same time, the plateau before the next group.  So everything is a window over a
+log or over (log, group), on one shuffle by log: rows are never joined to steps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, median
 from ..settings import Settings
-from ..storage import stored
 from .altitude import tracking_rows
 
-def P():
-    return Window.partitionBy("log_id").orderBy("pos")
+#: Seconds of a plateau that count, gap that merges changes, longest change, fewest plateau rows, and the floors of the threshold.
 WINDOW_S, MERGE_S, LONGEST_S, NEAREST = 0.5, 0.25, 0.75, 2
 FLOOR_M, SHARE, NOISE = 0.05, 0.05, 5.0
 
 
-def step_rows(log: DataFrame) -> DataFrame:
-    """Rows of logs fit for steps: five or more, finite, strictly increasing times; with ``pos`` from 0."""
-    rows = tracking_rows(log).withColumn("pos", F.row_number().over(Window.partitionBy("log_id").orderBy("ord")) - 1)
-    rows = rows.withColumn("dt", F.col("timestamp") - F.lag("timestamp").over(P())).withColumn("dsp", F.col("altitude_setpoint") - F.lag("altitude_setpoint").over(P()))
-    fit = rows.groupBy("log_id").agg(F.count("*").alias("n"), F.min("dt").alias("least"), F.count_if(finite(F.col("timestamp")).isNull() | finite(F.col("altitude_setpoint")).isNull()).alias("bad"))
-    return rows.join(fit.filter("n >= 5 AND least > 0 AND bad = 0").select("log_id", "n"), "log_id")
+def per_log():
+    return Window.partitionBy("log_id")
+
 
+def per_group():
+    return Window.partitionBy("log_id", "group")
 
-def thresholds(rows: DataFrame) -> DataFrame:
-    """Rows (log_id, noise, threshold): noise is the scaled median deviation of the changes."""
-    mid = rows.groupBy("log_id").agg(median(F.col("dsp")).alias("mid"), (F.max("altitude_setpoint") - F.min("altitude_setpoint")).alias("range"))
-    noise = rows.filter("dsp IS NOT NULL").join(mid, "log_id").groupBy("log_id").agg((1.4826 * median(F.abs(F.col("dsp") - F.col("mid")))).alias("noise"), F.first("range").alias("range"))
-    return noise.filter("range > 0").select("log_id", "noise", F.greatest(F.lit(FLOOR_M), SHARE * F.col("range"), NOISE * F.col("noise")).alias("threshold"))
 
+def up_to(window, last: int = 0):
+    return window.rowsBetween(Window.unboundedPreceding, last)
 
-def transitions(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """Groups of change points that follow each other within the merge gap: first and last position and time, and the
-    bounds that the neighbouring groups set (rejected ones too)."""
-    points = rows.join(limits, "log_id").filter(F.abs("dsp") >= F.col("threshold"))
-    points = points.withColumn("new", F.coalesce((F.col("timestamp") - F.lag("timestamp").over(P()) > MERGE_S).cast("long"), F.lit(1)))
-    points = points.withColumn("group", F.sum("new").over(P()))
-    groups = points.groupBy("log_id", "group", "noise", "threshold", "n").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("timestamp").alias("t_first"), F.max("timestamp").alias("t_last"))
-    g = Window.partitionBy("log_id").orderBy("group")
-    return groups.withColumn("before", F.coalesce(F.lag("last").over(g), F.lit(0))).withColumn("after", F.coalesce(F.lead("first").over(g), F.col("n"))).filter(F.col("t_last") - F.col("t_first") <= LONGEST_S)
+
+def step_rows(log: DataFrame) -> DataFrame:
+    """Rows of logs fit for steps (five or more, finite, strictly increasing times) with ``pos`` from 0, ``n``, and the noise and threshold of
+    their log; noise is the scaled median deviation of the changes."""
+    at = per_log().orderBy("pos")
+    rows = tracking_rows(log).select("log_id", "ord", "timestamp", "altitude_setpoint", "ekf_altitude")
+    rows = rows.withColumn("pos", F.row_number().over(per_log().orderBy("ord")) - 1)
+    rows = rows.withColumn("dt", F.col("timestamp") - F.lag("timestamp").over(at)).withColumn("dsp", F.col("altitude_setpoint") - F.lag("altitude_setpoint").over(at))
+    bad = finite(F.col("timestamp")).isNull() | finite(F.col("altitude_setpoint")).isNull()
+    rows = rows.withColumn("n", F.count("*").over(per_log())).withColumn("least", F.min("dt").over(per_log())).withColumn("bad", F.count_if(bad).over(per_log())).filter("n >= 5 AND least > 0 AND bad = 0")
+    rows = rows.withColumn("range", F.max("altitude_setpoint").over(per_log()) - F.min("altitude_setpoint").over(per_log())).filter("range > 0")
+    rows = rows.withColumn("mid", median(F.col("dsp")).over(per_log()))
+    rows = rows.withColumn("noise", 1.4826 * median(F.abs(F.col("dsp") - F.col("mid"))).over(per_log()))
+    threshold = F.greatest(F.lit(FLOOR_M), SHARE * F.col("range"), NOISE * F.col("noise"))
+    return rows.withColumn("threshold", threshold).drop("ord", "dt", "least", "bad", "mid", "range")
+
+
+def grouped_rows(log: DataFrame) -> DataFrame:
+    """Step rows with ``point`` (a change above the threshold), ``group``, and of the group: ``first`` and ``last`` position, ``t_first``,
+    ``t_last``; of the next one ``after`` and ``t_next`` (position and time where it begins)."""
+    at = per_log().orderBy("pos")
+    rows = step_rows(log).withColumn("point", F.coalesce(F.abs("dsp") >= F.col("threshold"), F.lit(False)))
+    before = F.last(F.when(F.col("point"), F.col("timestamp")), ignorenulls=True).over(up_to(at, -1))
+    rows = rows.withColumn("new", F.col("point") & F.coalesce(F.col("timestamp") - before > MERGE_S, F.lit(True)))
+    rows = rows.withColumn("group", F.sum(F.col("new").cast("long")).over(up_to(at)))
+    own = lambda f, c: f(F.when(F.col("point"), F.col(c))).over(per_group())
+    rows = rows.withColumn("first", own(F.min, "pos")).withColumn("last", own(F.max, "pos")).withColumn("t_first", own(F.min, "timestamp")).withColumn("t_last", own(F.max, "timestamp"))
+    back = up_to(per_log().orderBy(F.desc("pos")), -1)
+    ahead = lambda c: F.last(F.when(F.col("new"), F.col(c)), ignorenulls=True).over(back)
+    return rows.withColumn("after", F.coalesce(ahead("pos"), F.col("n"))).withColumn("t_next", ahead("timestamp"))
+
+
+def plateaus(log: DataFrame) -> DataFrame:
+    """Grouped rows with ``initial``, ``final`` and ``amplitude`` of their group where it is a step with stable plateaus on both sides; rows
+    of other groups are left out.  Rejected groups still bound their neighbours."""
+    rows = grouped_rows(log).withColumn("flat", F.coalesce(F.col("pos") >= F.col("last"), F.lit(True)))
+    side = Window.partitionBy("log_id", "group", "flat")
+    behind, ahead = F.col("timestamp") <= F.col("t_last") + WINDOW_S, F.col("timestamp") >= F.col("t_next") - WINDOW_S
+    rows = rows.withColumn("n_flat", F.count("*").over(side))
+
+    def chosen(near: Column, order: Column) -> Column:
+        """The rows within the time window if they are enough, else the nearest ones."""
+        enough = F.sum(near.cast("long")).over(side) >= NEAREST
+        return F.col("flat") & (F.col("n_flat") >= NEAREST) & F.when(enough, near).otherwise(F.row_number().over(side.orderBy(order)) <= NEAREST)
+
+    rows = rows.withColumn("_behind", chosen(behind, F.asc("pos"))).withColumn("_ahead", chosen(ahead, F.desc("pos")))
+    for name in ("_behind", "_ahead"):
+        value = F.when(F.col(name), F.col("altitude_setpoint"))
+        rows = rows.withColumn(f"{name}_mid", median(value).over(per_group())).withColumn(f"{name}_swing", F.max(value).over(per_group()) - F.min(value).over(per_group()))
+    prior = lambda c: F.max(F.when(F.col("new"), F.col(f"_prior{c}"))).over(per_group())
+    for c in ("_mid", "_swing"):
+        rows = rows.withColumn(f"_prior{c}", F.lag(f"_ahead{c}").over(per_log().orderBy("pos")))
+    rows = rows.withColumn("initial", prior("_mid")).withColumn("final", F.col("_behind_mid")).withColumn("amplitude", F.col("final") - F.col("initial"))
+    slack = F.greatest(F.lit(FLOOR_M * 0.5), F.abs("amplitude") * 0.02, F.col("noise") * NOISE)
+    steady = (prior("_swing") <= slack) & (F.col("_behind_swing") <= slack)
+    step = rows.withColumn("_step", (F.col("t_last") - F.col("t_first") <= LONGEST_S) & (F.abs("amplitude") >= F.col("threshold")) & steady).filter("_step")
+    return step.select("log_id", "group", "pos", "timestamp", "ekf_altitude", "first", "t_first", "after", "initial", "final", "amplitude")
 
 
 def step_events(log: DataFrame) -> DataFrame:
     """Rows (log_id, first, t_first, after, initial, final, amplitude) of steps with stable plateaus on both sides."""
-    rows = step_rows(log)
-    groups = transitions(rows, thresholds(rows))
-    near = groups.join(rows.select("log_id", "pos", "timestamp", "altitude_setpoint"), "log_id").filter((F.col("pos") >= F.col("before")) & (F.col("pos") < F.col("after")) & ((F.col("pos") < F.col("first")) | (F.col("pos") >= F.col("last"))))
-    left = F.col("pos") < F.col("first")
-    near = near.withColumn("left", left).withColumn("distance", F.when(left, F.col("first") - F.col("pos")).otherwise(F.col("pos") - F.col("last")))
-    near = near.withColumn("timed", F.when(left, F.col("timestamp") >= F.col("t_first") - WINDOW_S).otherwise(F.col("timestamp") <= F.col("t_last") + WINDOW_S))
-    side = Window.partitionBy("log_id", "group", "left")
-    near = near.withColumn("n_timed", F.sum(F.col("timed").cast("long")).over(side)).withColumn("n_all", F.count("*").over(side)).withColumn("rank", F.row_number().over(side.orderBy("distance")))
-    near = near.filter((F.col("n_all") >= NEAREST) & F.when(F.col("n_timed") >= NEAREST, F.col("timed")).otherwise(F.col("rank") <= NEAREST))
-    keys = ("log_id", "group", "first", "t_first", "after", "noise", "threshold")
-    value = lambda on: F.when(on, F.col("altitude_setpoint"))
-    at_left, at_right = F.col("left"), ~F.col("left")
-    both = near.groupBy(*keys).agg(
-        median(value(at_left)).alias("initial"), median(value(at_right)).alias("final"),
-        (F.max(value(at_left)) - F.min(value(at_left))).alias("swing_left"), (F.max(value(at_right)) - F.min(value(at_right))).alias("swing_right"),
-    ).withColumn("amplitude", F.col("final") - F.col("initial"))
-    slack = F.greatest(F.lit(FLOOR_M * 0.5), F.abs("amplitude") * 0.02, F.col("noise") * NOISE)
-    return both.filter((F.abs("amplitude") >= F.col("threshold")) & (F.col("swing_left") <= slack) & (F.col("swing_right") <= slack)).select("log_id", "first", "t_first", "after", "initial", "final", "amplitude")
+    return plateaus(log).filter("pos = first").select("log_id", "first", "t_first", "after", "initial", "final", "amplitude")
 
 
 def step_responses(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row a step: rise and settling time, overshoot, undershoot, and the reason why a time is missing."""
-    rows, events = step_rows(log).select("log_id", "pos", "timestamp", "ekf_altitude"), stored(step_events(log), "steps")
-    in_step = events.join(rows, "log_id").filter((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("after")))
-    way, size = F.signum("amplitude"), F.abs("amplitude")
-    step = Window.partitionBy("log_id", "first").orderBy("pos")
-    in_step = in_step.withColumn("progress", way * (F.col("ekf_altitude") - F.col("initial"))).withColumn("t0", F.lag("timestamp").over(step)).withColumn("p0", F.lag("progress").over(step))
+    way, size, step = F.signum("amplitude"), F.abs("amplitude"), per_group().orderBy("pos")
+    rows = plateaus(log).withColumn("progress", way * (F.col("ekf_altitude") - F.col("initial"))).withColumn("t0", F.lag("timestamp").over(step)).withColumn("p0", F.lag("progress").over(step))
 
-    def crossing(share: float):
+    def crossing(share: float) -> Column:
         goal = share * size
         part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(goal - F.col("p0"), F.col("progress") - F.col("p0"))))
         at = F.when(F.col("p0").isNull() | (F.col("progress") <= F.col("p0")), F.col("timestamp")).otherwise(F.col("t0") + part * (F.col("timestamp") - F.col("t0")))
-        return F.min_by(F.when(F.col("progress") >= goal, at), F.when(F.col("progress") >= goal, F.col("pos")))
+        return F.min_by(F.when(F.col("progress") >= goal, at), F.when(F.col("progress") >= goal, F.col("pos"))).over(per_group())
 
-    keys = ["log_id", "first", "t_first", "initial", "final", "amplitude"]
-    times = in_step.groupBy(*keys).agg(crossing(0.1).alias("t10"), crossing(0.9).alias("t90"), F.max("timestamp").alias("t_end"), F.greatest(F.lit(0.0), F.max(way * (F.col("ekf_altitude") - F.col("final")))).alias("overshoot_m"))
-    early = in_step.join(times.select("log_id", "first", F.coalesce("t10", "t_end").alias("limit")), ["log_id", "first"]).filter(F.col("timestamp") <= F.col("limit"))
-    under = early.groupBy("log_id", "first").agg(F.greatest(F.lit(0.0), F.max(-F.col("progress"))).alias("undershoot_m"))
+    rows = rows.withColumn("t10", crossing(0.1)).withColumn("t90", crossing(0.9)).withColumn("t_end", F.max("timestamp").over(per_group()))
     inside = F.abs(F.col("ekf_altitude") - F.col("final")) <= F.greatest(size * settings.settle_fraction, F.lit(settings.settle_floor))
-    calm = in_step.withColumn("_in", inside).withColumn("run", F.sum((~F.col("_in")).cast("long")).over(step)).filter("_in")
-    runs = calm.groupBy("log_id", "first", "run").agg(F.min("timestamp").alias("from_s"), F.max("timestamp").alias("to_s")).filter(F.col("to_s") - F.col("from_s") >= settings.dwell_s)
-    settled = runs.groupBy("log_id", "first").agg(F.min("from_s").alias("settled_at"))
-    out = times.join(under, ["log_id", "first"], "left").join(settled, ["log_id", "first"], "left")
+    rows = rows.withColumn("calm", F.coalesce(inside, F.lit(False))).withColumn("run", F.sum((~F.col("calm")).cast("long")).over(up_to(step)))
+    run, calm_at = Window.partitionBy("log_id", "group", "run"), F.when(F.col("calm"), F.col("timestamp"))
+    rows = rows.withColumn("from_s", F.min(calm_at).over(run)).withColumn("to_s", F.max(calm_at).over(run))
+    early = F.when(F.col("timestamp") <= F.coalesce("t10", "t_end"), -F.col("progress"))
+    same = lambda c: F.any_value(c).alias(c)
+    out = rows.groupBy("log_id", "group").agg(
+        *map(same, ("first", "t_first", "initial", "final", "amplitude", "t10", "t90")), F.min(F.when(F.col("to_s") - F.col("from_s") >= settings.dwell_s, F.col("from_s"))).alias("settled_at"),
+        F.greatest(F.lit(0.0), F.max(way * (F.col("ekf_altitude") - F.col("final")))).alias("overshoot_m"), F.greatest(F.lit(0.0), F.max(early)).alias("undershoot_m"),
+    )
     reason = F.when(F.col("t10").isNull(), "below_10_percent").when(F.col("t90").isNull(), "below_90_percent").when(F.col("settled_at").isNull(), "not_settled")
     return out.select(
         "log_id", F.col("first").cast("long").alias("step_pos"), F.col("t_first").alias("timestamp_s"), F.when(F.col("amplitude") > 0, "up").otherwise("down").alias("direction"),
         F.col("initial").alias("initial_setpoint_m"), F.col("final").alias("final_setpoint_m"), F.col("amplitude").alias("amplitude_m"),
         F.when(F.col("t90") >= F.col("t10"), F.col("t90") - F.col("t10")).alias("rise_time_s"), (F.col("settled_at") - F.col("t_first")).alias("settling_time_s"),
-        "overshoot_m", F.coalesce("undershoot_m", F.lit(0.0)).alias("undershoot_m"), reason.alias("reason"),
+        "overshoot_m", "undershoot_m", reason.alias("reason"),
     )
 
 
 def primary_step(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row a log with steps: the step of largest amplitude, the earliest of equals, with its index among the steps."""
-    w = Window.partitionBy("log_id")
+    w = per_log()
     steps = step_responses(log, settings).withColumn("primary_step_index", F.row_number().over(w.orderBy("step_pos")) - 1).withColumn("n_steps", F.count("*").over(w))
     best = steps.withColumn("_rank", F.row_number().over(w.orderBy(F.desc(F.abs("amplitude_m")), "step_pos"))).filter("_rank = 1")
     return best.select("log_id", F.col("primary_step_index").cast("long").alias("primary_step_index"), "n_steps", "amplitude_m", "rise_time_s", "settling_time_s", "overshoot_m", "undershoot_m", F.col("reason").alias("step_reason"))

@@ -20,15 +20,18 @@ SCHEMA_VERSION = "1.1"
 
 def log_metrics(full: DataFrame, analysis: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One wide row a log of ``full``.  Timing counts see the full log, everything else the analysis rows; sections join by log_id, one to one."""
+    same = analysis is full
+    full = stored(full, "logs")  # read by every section
+    analysis = full if same else stored(analysis, "analysis")
     timing = analyze_timing(full, analysis, settings).withColumnRenamed("available", "timing_available").withColumnRenamed("duration_s", "timing_duration_s")
     parts = [altitude_error(analysis).drop("n"), steady_state_error(analysis, settings), primary_step(analysis, settings), analyze_actuators(analysis, settings).drop("available")]
     if {"reference_altitude", "ekf_altitude"} <= set(analysis.columns):
         lag = lag_analysis(analysis, settings.lag).select("log_id", "estimated_lag_s", "max_correlation", "reliable", "confidence", F.col("reason").alias("lag_reason"))
         parts += [sensor_statistics(analysis).drop("n", "reference_mean_m", "ekf_mean_m", "reference_std_m", "ekf_std_m"), lag]
     parts.append(analyze_frequency(analysis).drop("available", "n_grid"))
-    out = stored(timing, "timing")
-    for p in parts:  # each is a small table of its own before they meet
-        out = out.join(stored(p, "section"), "log_id", "left")
+    out = timing
+    for p in parts:
+        out = out.join(p, "log_id", "left")
     for m in METRICS:
         if m not in out.columns:
             out = out.withColumn(m, F.lit(None).cast("boolean" if m == "reliable" else "double"))
