@@ -44,7 +44,7 @@ def prepared(log: DataFrame, s: LagSettings) -> tuple[DataFrame, DataFrame]:
     means = means.withColumn("step", F.col("timestamp") - F.lag("timestamp").over(wt))
     per = Window.partitionBy("log_id")
     means = means.withColumn("n_times", F.count("*").over(per)).withColumn("dt", median(F.col("step")).over(per))
-    parts = means.withColumn("part", F.sum(F.coalesce((F.col("step") > s.gap_multiplier * F.col("dt")).cast("int"), F.lit(0))).over(wt))
+    parts = means.withColumn("part", F.sum(F.coalesce((F.col("step") > s.gap * F.col("dt")).cast("int"), F.lit(0))).over(wt))
     parts = stored(parts, "lag_samples")  # read by the facts and by the grid
     usual = parts.groupBy("log_id").agg(F.first("n_times").alias("n_times"), F.first("dt").alias("dt"))
     sizes = parts.groupBy("log_id", "part").agg(F.min("timestamp").alias("t0"), (F.max("timestamp") - F.min("timestamp")).alias("duration"), F.count("*").alias("n_part")).withColumn("n_gaps", F.max("part").over(Window.partitionBy("log_id")))
@@ -83,11 +83,11 @@ def lag_correlations(log: DataFrame, s: LagSettings = LagSettings()) -> tuple[Da
     only the moments of each lag are added up across pieces.
     """
     samples, facts = prepared(log, s)
-    enough = facts.filter((F.col("n_original") >= max(4, s.min_overlap)) & (F.col("n_times") >= max(4, s.min_overlap)) & (F.col("n_grid") >= max(4, s.min_overlap)))
+    enough = facts.filter((F.col("n_original") >= max(4, s.pairs[0])) & (F.col("n_times") >= max(4, s.pairs[0])) & (F.col("n_grid") >= max(4, s.pairs[0])))
     grid = detrended(uniform_grid(samples.join(enough.select("log_id"), "log_id"), "n_grid", ("ref", "ekf")), ("ref", "ekf"))
-    grid = grid.filter((F.col("ref_std") >= s.min_std) & (F.col("ekf_std") >= s.min_std)).select("log_id", "k", "n_grid", "dt", (F.col("ref") / F.col("ref_std")).alias("ref"), (F.col("ekf") / F.col("ekf_std")).alias("ekf"))
-    bound = F.least(F.lit(max(0.0, s.max_lag_s)), F.col("duration") * 0.25)
-    facts = facts.withColumn("limit_s", bound).withColumn("most", F.floor(F.col("limit_s") / F.col("dt") + 1e-9).cast("long")).withColumn("least", F.greatest(F.lit(s.min_overlap), F.ceil(s.min_overlap_share * F.col("n_grid"))).cast("long"))
+    grid = grid.filter((F.col("ref_std") >= s.still) & (F.col("ekf_std") >= s.still)).select("log_id", "k", "n_grid", "dt", (F.col("ref") / F.col("ref_std")).alias("ref"), (F.col("ekf") / F.col("ekf_std")).alias("ekf"))
+    bound = F.least(F.lit(max(0.0, s.reach_s)), F.col("duration") * 0.25)
+    facts = facts.withColumn("limit_s", bound).withColumn("most", F.floor(F.col("limit_s") / F.col("dt") + 1e-9).cast("long")).withColumn("least", F.greatest(F.lit(s.pairs[0]), F.ceil(s.pairs[1] * F.col("n_grid"))).cast("long"))
     lags = facts.select("log_id", "most", "least").filter("most >= 1")
     size = F.greatest(F.lit(PIECE).cast("long"), F.col("most"))
     piece = lambda k: F.floor(k / size).cast("long")
@@ -98,7 +98,7 @@ def lag_correlations(log: DataFrame, s: LagSettings = LagSettings()) -> tuple[Da
     mean = lambda c: F.col(c) / F.col("n")
     spread = lambda one, two: F.sqrt(F.greatest(mean(two) - mean(one) * mean(one), F.lit(0.0)))
     by_lag = by_lag.withColumn("sr", spread("r1", "r2")).withColumn("se", spread("e1", "e2")).withColumn("c", mean("re") - mean("r1") * mean("e1"))
-    by_lag = by_lag.join(lags.select("log_id", "least"), "log_id").filter((F.col("n") >= F.greatest("least", F.lit(3))) & (F.col("sr") >= s.min_std) & (F.col("se") >= s.min_std))
+    by_lag = by_lag.join(lags.select("log_id", "least"), "log_id").filter((F.col("n") >= F.greatest("least", F.lit(3))) & (F.col("sr") >= s.still) & (F.col("se") >= s.still))
     table = stored(by_lag.select("log_id", "lag", "n", (F.col("c") / (F.col("sr") * F.col("se"))).alias("r")), "lags")  # a row for each log and lag
     return table, facts, facts.join(grid.filter("k = 0").select("log_id"), "log_id").select("log_id")
 
@@ -119,21 +119,21 @@ def lag_analysis(log: DataFrame, s: LagSettings = LagSettings()) -> DataFrame:
     inner = flat.filter((F.col("r") > F.col("r0")) & (F.col("r") > F.col("r1"))).select("log_id", "r", "best", F.floor((F.col("lo") + F.col("hi")) / 2).alias("pos"))
     edge = c.withColumn("r_next", F.lead("r").over(at)).withColumn("r_prior", F.lag("r").over(at)).filter(((F.col("pos") == 1) & (F.coalesce(F.col("r") >= F.col("r_next"), F.lit(True)))) | ((F.col("pos") == F.col("n_lags")) & F.coalesce(F.col("r") >= F.col("r_prior"), F.lit(True))))
     peaks = inner.select("log_id", "r", "best", "pos").union(edge.select("log_id", "r", "best", "pos"))
-    second = peaks.filter(F.abs(F.col("pos") - F.col("best")) > s.guard).groupBy("log_id").agg(F.max("r").alias("second"))
+    second = peaks.filter(F.abs(F.col("pos") - F.col("best")) > s.near).groupBy("log_id").agg(F.max("r").alias("second"))
     top = c.filter("rank = 1").join(second, "log_id", "left").select("log_id", "lag", F.col("n").alias("overlap"), "pos", "n_lags", "r_max", "r_min", "second")
     live = alive.withColumn("live", F.lit(True))
     out = facts.join(top, "log_id", "left").join(live, "log_id", "left")
-    few = (F.col("n_original") < max(4, s.min_overlap)) | (F.col("n_times") < max(4, s.min_overlap))
+    few = (F.col("n_original") < max(4, s.pairs[0])) | (F.col("n_times") < max(4, s.pairs[0]))
     limit = F.least("limit_s", F.col("most") * F.col("dt"))
     apart = F.col("r_max") - F.col("second")
-    boundary = (F.col("pos") - 1 <= s.boundary) | (F.col("pos") >= F.col("n_lags") - s.boundary)
-    sign = (F.col("r_min") <= -s.min_correlation) & (F.abs("r_min") > F.col("r_max") + s.min_separation)
-    short = F.col("duration").isNull() | (F.col("n_grid") < max(4, s.min_overlap))
+    boundary = (F.col("pos") - 1 <= s.ends) | (F.col("pos") >= F.col("n_lags") - s.ends)
+    sign = (F.col("r_min") <= -s.usable.correlation) & (F.abs("r_min") > F.col("r_max") + s.usable.apart)
+    short = F.col("duration").isNull() | (F.col("n_grid") < max(4, s.pairs[0]))
     reason = (
         F.when(few, "too_few_samples").when(F.col("dt").isNull(), "no_interval").when(short, "segment_too_short").when(F.col("live").isNull(), "flat_signal").when(F.col("most") < 1, "segment_too_short")
-        .when(F.col("lag").isNull(), "no_candidate").when(boundary, "at_boundary").when(sign, "sign_mismatch").when(F.col("r_max") < s.min_correlation, "weak").when(apart < s.min_separation, "ambiguous").when(F.col("overlap") < F.col("least"), "small_overlap")
+        .when(F.col("lag").isNull(), "no_candidate").when(boundary, "at_boundary").when(sign, "sign_mismatch").when(F.col("r_max") < s.usable.correlation, "weak").when(apart < s.usable.apart, "ambiguous").when(F.col("overlap") < F.col("least"), "small_overlap")
     )
-    high = (F.col("r_max") >= s.high_correlation) & F.coalesce(apart >= s.high_separation, F.lit(True))
+    high = (F.col("r_max") >= s.good.correlation) & F.coalesce(apart >= s.good.apart, F.lit(True))
     out = out.withColumn("reason", reason)
     confidence = F.when(F.col("lag").isNull(), "unavailable").when(F.col("reason").isNotNull(), "low").when(high, "high").otherwise("medium")
     return out.select(

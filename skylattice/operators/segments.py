@@ -25,9 +25,14 @@ def islands(df: DataFrame, flag: Column, keys: tuple[str, ...] = ("log_id",), or
 def detect_segments(log: DataFrame) -> DataFrame:
     """Rows (log_id, kind, segment, start_s, end_s, rows, start_index, end_index): runs of armed, and of altitude hold while armed.
 
-    Start and end are the times of the first and last row of a run, not its least and greatest times.
+    Start and end are the times of the first and last row of a run, not its least and greatest times.  Logs without times, or
+    without either flag, have no segments.
     """
     kinds = []
+    if not has(log, "timestamp"):
+        log = log.withColumn("timestamp", F.lit(None).cast("double")).limit(0)
+    if not has(log, "armed") and not has(log, "althold_active"):
+        log = log.withColumn("armed", F.lit(False)).limit(0)
     armed = F.coalesce(F.col("armed"), F.lit(False)) if has(log, "armed") else F.lit(True)
     if has(log, "armed"):
         kinds.append(("armed", armed))
@@ -62,6 +67,8 @@ def select_segment(log: DataFrame, mode: str = "auto_althold", segment: int = 1,
     kind = "armed" if mode == "armed" else "althold"
     runs = detect_segments(log).filter((F.col("kind") == kind) & (F.col("segment") == (1 if mode == "auto_althold" else segment)))
     runs = runs.select("log_id", F.col("start_s").alias("_from"), F.col("end_s").alias("_to"))
+    if not has(log, "timestamp"):
+        return log.limit(0).withColumn("phase", phase)
     return select_time_range(log.join(runs, "log_id"), F.col("_from"), F.col("_to")).drop("_from", "_to").withColumn("phase", phase)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,15 +59,8 @@ def b2_column_profile(log: DataFrame) -> DataFrame:
 
 @query()
 def c9_mapping_candidates(log: DataFrame) -> DataFrame:
-    """Candidates of every log: its few column profiles are one small group."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["position"])
-        found = mapping.detect([mapping.ColumnFacts(r["column"], r["type"], r["minimum"], r["maximum"], r["zero_one"]) for r in rows])
-        return pa.Table.from_pylist([{"log_id": key[0].as_py(), "parameter": c.parameter, "column": c.column, "confidence": c.confidence, "status": c.status} for c in found.values()], schema=pa.schema([("log_id", pa.int64()), ("parameter", pa.string()), ("column", pa.string()), ("confidence", pa.float64()), ("status", pa.string())]))
-
     facts = profile.profile_columns(raw_log(log)).select("log_id", "position", "column", "type", "minimum", "maximum", "zero_one")
-    return facts.groupBy("log_id").applyInArrow(run, "log_id long, parameter string, column string, confidence double, status string")
+    return mapping.candidates(facts).select("log_id", "parameter", "column", "confidence", "status")
 
 
 @query(final(oracle.RAW + r""",

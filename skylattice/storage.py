@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), the context's checkpoint folder or one of our own."""
+    """The folder of ``spark.checkpoint.dir``, or the context's checkpoint folder.  Where neither is set, a local session (tests) gets one of
+    its own; a cluster has no folder that all its machines see, and that is an error."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return folder or context.getCheckpointDir()

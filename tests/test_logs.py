@@ -192,7 +192,7 @@ def test_documents(spark):
 def test_settings_are_parameters(spark):
     x = log(spark, timestamp=[0, 1, 2], throttle_correction=[50, 60, 0])
     assert actuator.analyze_actuators(x, Settings(correction_limit=50)).first().correction_saturation_ratio == pytest.approx(2 / 3)
-    assert lag.lag_analysis(lag_log(spark, 0.32), LagSettings(max_lag_s=0.2)).first().reason == "at_boundary"
+    assert lag.lag_analysis(lag_log(spark, 0.32), LagSettings(reach_s=0.2)).first().reason == "at_boundary"
     assert x.filter(F.col("ord") < 0).count() == 0 and timing.analyze_timing(x.limit(0), x.limit(0)).count() == 0
 
 
@@ -204,3 +204,11 @@ def test_spectrum_of_long_logs(spark):
     for of in (spectrum.power_spectrum, spectrum.dft_power):
         got = of(x).orderBy("j").collect()
         assert [r.frequency_hz for r in got] == pytest.approx(f[1:]) and [r.power for r in got] == pytest.approx(p[1:], abs=1e-9)
+
+
+def test_logs_without_times_or_flags_have_no_segments(spark):
+    from skylattice.operators import segments
+
+    log = spark.createDataFrame([(1, 0, 0.5, True)], "log_id long, ord long, timestamp double, armed boolean")
+    for some in (log.drop("timestamp"), log.drop("armed")):
+        assert segments.detect_segments(some).count() == 0 and segments.select_segment(some).count() == 0 and "phase" in segments.select_segment(some).columns
