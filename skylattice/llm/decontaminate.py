@@ -2,24 +2,26 @@
 
 Words are compared in lower case and without ASCII punctuation.  A document meets a benchmark item if they share a seed of
 ``least`` words (a shorter item is its own seed).  The seeds of all items set bits of a filter of fixed size, which is
-all that is broadcast; the documents it lets through join the items by seed.  For each pair, tiling then marks the
-longest matches first, found by Karp-Rabin hashes of runs of unmarked words, so that an item cut up and reordered is covered
+all that is broadcast; the documents it lets through join the items by seed.  Covering an item takes a number of its seeds, so
+each item may leave its most common ones out of the index, and pairs that share too few seeds go: neither loses a leak.
+What is left meets once a document, with the items beside its text.  Tiling then marks the longest matches first, found by Karp-Rabin hashes of runs of unmarked words, so that an item cut up and reordered is covered
 as well.  An item whose words are covered to ``coverage`` or more has leaked.
 
-Null and empty texts and items meet nothing.  Rows that repeat an id are judged one by one.  Empty tables give an
+Null and empty texts and items meet nothing.  Columns beyond id and text play no part and stay as they are.  Rows that repeat an id are judged one by one.  Empty tables give an
 empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import Words, list_array, run_hashes, signed, small_batches, stored
+from .textops import Words, list_array, own_columns, run_hashes, signed, small_batches, spare_names, stored
 
 #: The filter has 2**FILTER_BITS bits, whatever the size of the benchmark.
 FILTER_BITS = 23
@@ -67,14 +69,19 @@ def tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int,
         if matches and max(matches)[0] > 2 * size:
             size = max(matches)[0]
             continue
-        marked = False
-        for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_p[i : i + n].all() and free_t[j : j + n].all():
-                free_p[i : i + n] = free_t[j : j + n] = False
-                found.append((i, j, n))
-                marked = True
-        if marked:
-            continue  # what is left of matches that were partly marked
+        queue = [(-n, i, j) for n, i, j in matches]
+        heapq.heapify(queue)
+        while queue:  # the longest first; of one that is marked in part, what is left comes up again by its length
+            n, i, j = heapq.heappop(queue)
+            free = free_p[i : i - n] & free_t[j : j - n]
+            if free.all():
+                free_p[i : i - n] = free_t[j : j - n] = False
+                found.append((i, j, -n))
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], free, [0]])))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if b - a >= size:
+                    heapq.heappush(queue, (a - b, i + a, j + a))
         if size == least:
             return found
         size = max(least, size // 2)
@@ -90,8 +97,12 @@ def _seeds(w: Words, least: int, lengths: list[int]) -> tuple[np.ndarray, np.nda
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def item_seeds(items: DataFrame, least: int) -> DataFrame:
-    """Rows (seed, length, item) of every item; ``item`` is a key of its id and text."""
+def item_seeds(items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """Rows (seed, length, item, m, spare, need): the seeds by which items are found, and how often each stands in its item.
+
+    An item of n words has leaked if its tiles cover ``coverage * n`` of them.  A tile holds a seed for every ``length`` words at least, so
+    ``need`` seeds are shared.  Of the most common seeds, up to ``need - 1`` (``spare`` in all) stay out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "item_text"):
@@ -102,16 +113,23 @@ def item_seeds(items: DataFrame, least: int) -> DataFrame:
             seeds = np.concatenate([run_hashes(h, start, least), run_hashes(h, w.first[short], w.counts[short])])
             length = np.concatenate([np.full(len(start), least), w.counts[short]])
             owner = np.concatenate([owner, short])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(seeds)), pa.array(length.astype(np.int64)), batch.column("item").take(pa.array(owner))], names=["seed", "length", "item"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(seeds)), pa.array(length.astype(np.int64)), batch.column("item").take(pa.array(owner)), pa.array(w.counts[owner].astype(np.int64))], names=["seed", "length", "item", "n"])
 
-    return items.mapInArrow(run, "seed long, length long, item long")
+    found = items.mapInArrow(run, "seed long, length long, item long, n long").groupBy("seed", "length", "item", "n").agg(F.count("*").alias("m"))
+    need = F.ceil(F.lit(coverage) * F.col("n") / F.col("length") - 1e-9).cast("long")
+    popular = found.groupBy("seed", "length").agg(F.count("*").alias("held"))
+    common = Window.partitionBy("item").orderBy(F.desc("held"), "seed")
+    ranked = found.join(popular, ["seed", "length"]).withColumn("need", need).withColumn("upto", F.sum("m").over(common.rowsBetween(Window.unboundedPreceding, 0)))
+    out = (F.col("upto") < F.col("need")) & (F.col("held") > 1)
+    spare = F.coalesce(F.max(F.when(out, F.col("upto"))).over(Window.partitionBy("item")), F.lit(0))
+    return ranked.withColumn("spare", spare).filter(~out).select("seed", "length", "item", "m", "spare", "need")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per leaked pair: doc_id, row (key of the document's text), item_id, coverage, and tiles (start in the item, start in the document, words; in turn)."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text").cast("string").alias("item_text"))
     items = items.filter("item_text IS NOT NULL").withColumn("item", F.xxhash64("item_id", "item_text")).dropDuplicates(["item"])
-    seeds = stored(item_seeds(items.select("item", "item_text"), least).distinct(), "seeds")
+    seeds = stored(item_seeds(items.select("item", "item_text"), least, coverage), "seeds")
     lengths = sorted(r.length for r in seeds.select("length").distinct().collect())  # at most ``least`` numbers
     slot = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
     words = seeds.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 AS INT))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
@@ -136,24 +154,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("text"))
     near = stored(rows.select("doc_id", "row", "text").mapInArrow(passing, "doc_id long, row long, text string, seeds array<long>"), "near").dropDuplicates(["doc_id", "row"])
-    pairs = near.select("doc_id", "row", F.explode("seeds").alias("seed")).join(seeds, "seed").select("doc_id", "row", "item").distinct()
-    pairs = pairs.withColumnsRenamed({"doc_id": "d", "row": "r"})
-    both = near.drop("seeds").join(pairs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).drop("d", "r").join(items, "item")
+    pairs = near.select("doc_id", "row", F.explode("seeds").alias("seed")).join(seeds.drop("length"), "seed")
+    pairs = pairs.groupBy("doc_id", "row", "item").agg(F.sum("m").alias("shared"), F.first("spare").alias("spare"), F.first("need").alias("need")).filter("shared + spare >= need")
+    beside = pairs.join(items, "item").groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items")).withColumnsRenamed({"doc_id": "d", "row": "r"})
+    both = near.drop("seeds").join(beside, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            doc, item = normalized(batch.column("text")), normalized(batch.column("item_text"))
+            doc, held = normalized(batch.column("text")), batch.column("items")
+            rows, flat = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy(zero_copy_only=False)), held.flatten()
+            item = normalized(flat.field("item_text"))
             hd, hi = doc.hashes(), item.hashes()
             share, found = [], []
-            for k in range(batch.num_rows):
-                pattern = hi[item.first[k] : item.first[k + 1]]
+            for i, k in enumerate(rows.tolist()):
+                pattern = hi[item.first[i] : item.first[i + 1]]
                 got = tiles(pattern, hd[doc.first[k] : doc.first[k + 1]], least)
                 share.append(sum(n for *_, n in got) / len(pattern))
                 found.append([x for t in got for x in t])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "item_id")), pa.array(share, pa.float64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "row", "item_id", "coverage", "tiles"])
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row").take(at), flat.field("item_id"), pa.array(share, pa.float64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "row", "item_id", "coverage", "tiles"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    tiled = both.select("doc_id", "row", "text", "item_id", "item_text").mapInArrow(tile, f"doc_id long, row long, item_id {kind}, coverage double, tiles array<long>")
+    tiled = both.select("doc_id", "row", "text", "items").mapInArrow(tile, f"doc_id long, row long, item_id {kind}, coverage double, tiles array<long>")
     return tiled.filter(F.col("coverage") >= coverage)
 
 
@@ -164,6 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no leaked item, with their columns."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"))
-    own = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return own.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_row")), "left_anti").select(*docs.columns)
+    doc, row, key = spare_names(docs, "of_doc", "of_row", "text_key")
+    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(doc), F.col("row").alias(row))
+    own = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return own.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(row)), "left_anti").select(*own_columns(docs))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textops import WORD, Words, list_array, mix, run_hashes, signed, small_batches, stored, texts_of
+from .textops import list_array, mix, own_columns, run_hashes, signed, small_batches, spare_names, stored, texts_of, WORD, Words
 
 #: Shingles in one block of a cluster: two blocks of 8-byte hashes fit easily beside a Python worker.
 BLOCK_SHINGLES = 1 << 20
@@ -307,10 +307,12 @@ def drop_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Rows without words link with nothing and stay; of rows that repeat the kept id, the smallest text stays.
     """
-    heads = jaccard_join(docs, words=words, percent=percent).filter("n_shingles > 0 AND component_id = doc_id").select(F.col("doc_id").alias("_doc")).distinct()
+    (head,) = spare_names(docs, "of_doc")
+    heads = jaccard_join(docs, words=words, percent=percent).filter("n_shingles > 0 AND component_id = doc_id").select(F.col("doc_id").alias(head)).distinct()
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
     loose = docs.filter(blank | F.col("doc_id").isNull())
-    own = docs.filter(~blank & F.col("doc_id").isNotNull()).join(heads, F.col("doc_id") == F.col("_doc"), "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    first = own.groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(c) for c in rest if c != "text"])).alias("row"))
-    return first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(loose)
+    own = docs.filter(~blank & F.col("doc_id").isNotNull()).join(heads, F.col("doc_id") == F.col(head), "left_semi")
+    columns = own_columns(docs)
+    row = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)])  # of any types: as JSON they have an order
+    first = own.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+    return first.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)]).union(loose)

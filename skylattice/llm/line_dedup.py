@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import Words, mix, powers, run_hashes, signed, small_batches, stored, texts_of
+from .textops import mix, own_columns, powers, run_hashes, signed, small_batches, spare_names, stored, texts_of, Words
 
 EDGE = 8
 
@@ -178,11 +178,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_lines(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and any others) without the lines that ``line_dedup`` removes."""
-    gone = decisions.filter("n_removed > 0").select(F.col("doc_id").alias("_doc"), "removed")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("removed", k.cast("long")))
-    joined = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left")
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    """``docs`` (doc_id, text and any others) without the lines that ``line_dedup`` removes; other columns stay as they are."""
+    doc, lines = spare_names(docs, "of_doc", "removed_lines")
+    gone = decisions.filter("n_removed > 0").select(F.col("doc_id").alias(doc), F.col("removed").alias(lines))
+    kept = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(lines, k.cast("long")))
+    joined = docs.join(gone, F.col("doc_id") == F.col(doc), "left")
+    return joined.withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*own_columns(docs))
 
 
 ORACLE_SQL = r"""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import small_batches, stored, texts_of
+from .textops import own_columns, small_batches, stored, texts_of
 
 UNIT = 192
 
@@ -96,7 +96,14 @@ def _bmp_end(b: bytes, at: int) -> int | None:
     if len(b) < at + 30:
         return None
     size, _, start, header = struct.unpack_from("<IIII", b, at + 2)
-    return at + size if header in (12, 40, 52, 56, 108, 124) and 14 + header <= start <= size and at + size <= len(b) else None
+    if header not in (12, 40, 52, 56, 108, 124) or not 14 + header <= start <= size or at + size > len(b):
+        return None
+    width, height, planes, bits = struct.unpack_from("<HHHH" if header == 12 else "<iiHH", b, at + 18)
+    packed = 0 if header == 12 else struct.unpack_from("<I", b, at + 30)[0] if len(b) >= at + 34 else 9
+    if planes != 1 or bits not in (1, 4, 8, 16, 24, 32) or width <= 0 or height == 0 or packed > 6:
+        return None
+    plain = packed in (0, 3, 6)  # rows of whole four bytes each
+    return at + size if not plain or start + (width * bits + 31) // 32 * 4 * abs(height) <= size else None
 
 
 def _jpeg_end(b: bytes, at: int) -> int | None:
@@ -119,8 +126,14 @@ def _jpeg_end(b: bytes, at: int) -> int | None:
 
 
 def _pdf_end(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end > 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) > 0 else None
+    """The last end mark of the file: an update adds another one, after a cross-reference of its own."""
+    if not b[at + 5 : at + 6].isdigit():
+        return None
+    end, limit = None, b.find(b"%PDF-", at + 5)
+    limit, k = len(b) if limit < 0 else limit, at
+    while (mark := b.find(b"%%EOF", k, limit)) >= 0 and b.find(b"startxref", k, mark) >= 0:
+        end = k = mark + 5
+    return end
 
 
 def _zip_end(b: bytes, at: int) -> int | None:
@@ -134,16 +147,80 @@ def _zip_end(b: bytes, at: int) -> int | None:
 def _gzip_end(b: bytes, at: int) -> int | None:
     if b[at + 3 : at + 4] and b[at + 3] & 0xE0:
         return None
+    d, view, k = zlib.decompressobj(31), memoryview(b), at
     try:
-        d = zlib.decompressobj(31)
-        d.decompress(b[at:])
-        return len(b) - len(d.unused_data) if d.eof else None
+        while not d.eof and k < len(b):
+            rest = view[k : k + 65536]
+            k += len(rest)
+            while rest and not d.eof:  # what comes out is dropped a megabyte at a time
+                d.decompress(rest, 1 << 20)
+                rest = d.unconsumed_tail
+        while not d.eof and d.decompress(b"", 1 << 20):
+            pass
     except zlib.error:
         return None
+    return k - len(d.unused_data) if d.eof else None
+
+
+def _crc_table(bits: int, poly: int) -> list[int]:
+    top, out = 1 << (bits - 1), []
+    for k in range(256):
+        c = k << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ poly) if c & top else c << 1
+        out.append(c & ((1 << bits) - 1))
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(8, 0x07), _crc_table(16, 0x8005)
+
+
+def _flac_frame(b: bytes, k: int) -> int | None:
+    """Samples of the frame whose header stands at k: its sync, its fields and its checksum hold."""
+    if len(b) < k + 6 or b[k] != 0xFF or b[k + 1] & 0xFE != 0xF8:
+        return None
+    size, rate = b[k + 2] >> 4, b[k + 2] & 15
+    if size == 0 or rate == 15 or b[k + 3] >> 4 > 10 or b[k + 3] & 1:
+        return None
+    lead = b[k + 4]
+    more = 0 if lead < 0x80 else next((n for n in range(1, 7) if lead >> (6 - n) == (1 << (n + 2)) - 2), 99)
+    at = k + 5 + more
+    extra = {6: 1, 7: 2}.get(size, 0)
+    end = at + extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if more == 99 or len(b) <= end:
+        return None
+    c = 0
+    for x in b[k:end]:
+        c = _CRC8[c ^ x]
+    if c != b[end]:
+        return None
+    return int.from_bytes(b[at : at + extra], "big") + 1 if extra else 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
 
 
 def _flac_end(b: bytes, at: int) -> int | None:
-    return len(b) if len(b) >= at + 42 and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22" else None
+    """Metadata blocks, then frames that follow each other: each ends where its checksum comes out."""
+    if len(b) < at + 42 or b[at + 4] & 0x7F or b[at + 5 : at + 8] != b"\0\0\x22":
+        return None
+    low, high = struct.unpack_from(">HH", b, at + 8)
+    longest, packed = int.from_bytes(b[at + 15 : at + 18], "big"), int.from_bytes(b[at + 18 : at + 26], "big")
+    if low < 16 or high < low or not packed >> 44:
+        return None
+    left, k, last = packed & ((1 << 36) - 1), at + 4, False
+    while not last:
+        if len(b) < k + 4:
+            return None
+        last, k = bool(b[k] & 0x80), k + 4 + int.from_bytes(b[k + 1 : k + 4], "big")
+    unknown, frames = left == 0, 0
+    while (n := _flac_frame(b, k)) is not None and (unknown or left > 0):
+        c, end = 0, min(len(b), k + (longest or 1 << 20))
+        for j in range(k, end):
+            c = (c << 8 & 0xFF00) ^ _CRC16[c >> 8 ^ b[j]]
+            if c == 0 and j > k + 6 and (j + 1 == len(b) or left <= n and not unknown or _flac_frame(b, j + 1) is not None):
+                k, left, frames = j + 1, left - n, frames + 1
+                break
+        else:
+            break
+    return k if frames and (unknown or left <= 0) else None
 
 
 def _mp4_end(b: bytes, at: int) -> int | None:
@@ -207,12 +284,14 @@ def sniff(data: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
 
 def sniff_media(files: DataFrame, data_col: str = "media", type_col: str = "declared") -> DataFrame:
     """Add to each row: ``found`` type (null: none is valid), ``corrected`` (whether it differs from the declared one) and
-    ``carved`` files (type, start, end, sha256).  Null data has no type and nothing carved."""
+    ``carved`` files (type, start, end, sha256).  Null data has no type and nothing carved.  Columns of these three names are replaced, all
+    others stay."""
     out_type = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("sha256", pa.string())]))
+    files = files.select(*[c for c, name in zip(own_columns(files), files.columns, strict=True) if name.lower() not in ("found", "corrected", "carved")])
     sql = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields) + ", found string, corrected boolean, carved array<struct<type:string,start:long,end:long,sha256:string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, data_col, 4 << 20):
             found, carved = [], []
             for x in batch.column(data_col):
                 data = x.as_py()
@@ -239,7 +318,7 @@ _MEASURED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payloa
 
 
 def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches, "media", 4 << 20):
         rows = []
         for doc, n, declared, media in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "declared", "media")), strict=True):
             media = media.as_py()

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import WORD, stored
+from .textops import own_columns, spare_names, stored, WORD
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -78,19 +78,20 @@ def mix_documents(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int
     first words.  Rows equal in id, source and text count as one document whose copies add up.
     """
     plan = mix_plan(docs, share=share, most=most, seed=seed).groupBy("doc_id", "source", "fingerprint").agg(F.sum("taken").alias("taken"), F.max("size").alias("size")).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("fingerprint").alias("_print"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
-    own = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    own = own.dropDuplicates(["doc_id", "source", "_key"])
-    joined = own.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_print")))
-    part = F.col("_taken") % F.col("_size")
-    words = F.concat(F.array_repeat(F.col("_size"), F.expr("CAST(_taken div _size AS INT)")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    doc, source, print_, taken, size, key, n = spare_names(docs, "of_doc", "of_source", "of_print", "n_taken", "n_size", "text_key", "n_words")
+    plan = plan.select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("fingerprint").alias(print_), F.col("taken").alias(taken), F.col("size").alias(size))
+    own = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    own = own.dropDuplicates(["doc_id", "source", key])
+    joined = own.join(plan, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(key) == F.col(print_)))
+    part = F.col(taken) % F.col(size)
+    words = F.concat(F.array_repeat(F.col(size), F.expr(f"CAST({taken} div {size} AS INT)")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     # where the cut falls inside a document, the text runs to the end of its last word taken
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), ""))
-    out = joined.withColumn("_words", F.explode(words)).withColumn("text", text)
+    text = F.when(F.col(n) == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col(n).cast("int")), ""))
+    out = joined.withColumn(n, F.explode(words)).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*own_columns(docs))
 
 
 ORACLE_SQL = """

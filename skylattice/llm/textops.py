@@ -11,9 +11,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored as stored  # noqa: PLC0414
+
 #: Words are maximal runs of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
@@ -126,11 +128,11 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``most`` bytes of text (a longer text stands alone)."""
+    """Cut batches so that each holds about ``most`` bytes of a text or binary column (a longer value stands alone)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = batch.column(column).cast(pa.large_string())
+        sizes = batch.column(column).cast(pa.large_binary())
         total = np.cumsum(np.diff(np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]))
         at = 0
         while at < batch.num_rows:
@@ -152,22 +154,16 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, that all executors share; where it is unset (tests), one of our own."""
-    import tempfile
-
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return folder or context.getCheckpointDir()
-
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage ends there."""
-    import uuid
 
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

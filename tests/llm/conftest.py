@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, size long, label string, band int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, size long, label string, band int, of_doc string, _doc long, _id long, _key string, _words int, found string, removed int, items map<string,int>"
+MORE = ("r", "k", 1, "l", 1, "o", 7, 7, "k", 3, "f", 2, {"a": 1})
 
 
 def corpus(seed: int = 0, n: int = 60) -> list[tuple]:
@@ -30,7 +31,7 @@ def corpus(seed: int = 0, n: int = 60) -> list[tuple]:
         texts.append(" ".join(words).replace(" beta", rng.choice(["\nbeta", "\t beta", " beta"])))
     rows = [(3 * k + 1, t) for k, t in enumerate(texts)]
     rows += [(2, None), (5, ""), (8, " \n\t "), (11, "one"), (14, "One two"), (17, texts[0] + " " + " ".join(word() for _ in range(3000))), (20, "日本 語 🙂"), rows[4], rows[9], (rows[5][0], "another text under the same id " * 5)]
-    return [(i, t, "en", f"s{j % 3}" if j % 7 else None, len(t or ""), "r", "k", 1, "l", 1) for j, (i, t) in enumerate(rows)]
+    return [(i, t, "en", f"s{j % 3}" if j % 7 else None, len(t or ""), *MORE) for j, (i, t) in enumerate(rows)]
 
 
 @pytest.fixture(scope="session")
@@ -45,7 +46,7 @@ def docs(spark, rows):
 
 @pytest.fixture(scope="session")
 def with_null_id(spark, rows):
-    return spark.createDataFrame([*rows, (None, rows[0][1], "en", "s0", 1, "r", "k", 1, "l", 1), (None, None, None, None, None, None, None, None, None, None)], SCHEMA)
+    return spark.createDataFrame([*rows, (None, rows[0][1], "en", "s0", 1, *MORE), (None,) * (5 + len(MORE))], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -114,6 +114,44 @@ def test_sniffing():
     assert media.sniff(b"") == (None, []) and media.sniff(b"RIFF PNG GIF89a BM") == (None, [])
 
 
+def crc(table, data, bits):
+    c = 0
+    for x in data:
+        c = (c << 8 & (1 << bits) - 1) ^ table[c >> (bits - 8) ^ x]
+    return c.to_bytes(bits // 8, "big")
+
+
+def flac(frames=3):
+    """A file of constant frames of 192 samples: metadata, then each frame with its two checksums."""
+    info = struct.pack(">HH", 192, 192) + bytes(6) + ((44100 << 44) | (15 << 36) | 192 * frames).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info
+    for k in range(frames):
+        head = b"\xff\xf8\x19\x08" + bytes([k])
+        frame = head + crc(media._CRC8, head, 8) + b"\x00\x12\x34"
+        out += frame + crc(media._CRC16, frame, 16)
+    return out
+
+
+def test_validators_find_the_end():
+    whole = flac()
+    assert media.sniff(whole + b"q" * 200)[0] == "audio/flac" and media.sniff(b"xx" + whole + b"q" * 200)[1] == [("audio/flac", 2, 2 + len(whole))]
+    assert media.sniff(whole[:42] + b"q" * 200) == (None, []) and media.sniff(whole[:-3])[0] is None
+    pdf = b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF"
+    assert media.sniff(b"x" + pdf + b"\n2 0 obj\nstartxref\n30\n%%EOF" + b" more %%EOF")[1] == [("application/pdf", 1, 1 + len(pdf) + 27)]
+    bmp = lambda width, bits: b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + 8, 0, 0, 54, 40, width, 2, 1, bits, 0, 8, 0, 0, 0, 0) + bytes(8)
+    assert media.sniff(bmp(1, 24))[0] == "image/bmp" and media.sniff(bmp(9, 24))[0] is None and media.sniff(bmp(1, 5))[0] is None
+    import gzip
+
+    packed = gzip.compress(bytes(5_000_000))
+    assert media.sniff(b"zz" + packed + b"tail" * 9)[1] == [("application/gzip", 2, 2 + len(packed))]
+
+
+def test_sniff_media_replaces_its_columns(spark):
+    rows = [(png(3), "image/gif", "x", {"a": 1}), (b"\xff\xfe" * 9, None, None, None)]
+    got = media.sniff_media(spark.createDataFrame(rows, "media binary, declared string, found string, carved map<string,int>"))
+    assert got.columns == ["media", "declared", "found", "corrected", "carved"] and [r.found for r in got.collect()] == ["image/png", None]
+
+
 def test_sniff_media(spark):
     rows = [(1, png(3), "image/gif"), (2, png(3), "image/png"), (3, None, "image/png"), (4, b"x" * 9 + png(4), None), (1, b"", "a")]
     got = {(r.id, r.found, r.corrected, len(r.carved)) for r in media.sniff_media(spark.createDataFrame(rows, "id long, media binary, declared string")).collect()}

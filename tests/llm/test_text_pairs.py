@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from skylattice.llm import decontaminate, graph, jaccard_join, line_dedup, substring_dedup
 from skylattice.llm.textops import Words
 
@@ -170,6 +172,7 @@ def test_line_dedup(spark, docs, rows, nothing):
     assert gone and line_dedup.line_dedup(nothing).count() == 0
     kept = {r.doc_id: r.text for r in line_dedup.drop_lines(table, line_dedup.line_dedup(table)).collect()}
     assert kept[1003] == "" and kept[1001].endswith("short two")
+    assert line_dedup.drop_lines(docs, line_dedup.line_dedup(docs)).columns == docs.columns and decontaminate.clean_documents(docs, docs.select(F.col("doc_id").alias("item_id"), "text").limit(3)).columns == docs.columns
 
 
 def test_tiles_cover_reordered_passages():
@@ -183,6 +186,68 @@ def test_tiles_cover_reordered_passages():
     assert sum(n for *_, n in decontaminate.tiles(item, np.concatenate([item[:7], noise, item[9:13]]), 5)) == 7
 
 
+def plain_tiles(p, t, least):
+    """Greedy string tiling as defined: the longest match of free words, the first of equals, until none is long enough."""
+    free_p, free_t, found, least = [True] * len(p), [True] * len(t), [], max(1, min(least, len(p)))
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(p)):
+            for j in range(len(t)):
+                n = 0
+                while i + n < len(p) and j + n < len(t) and p[i + n] == t[j + n] and free_p[i + n] and free_t[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return found
+        found.append((i, j, n))
+        for k in range(n):
+            free_p[i + k] = free_t[j + k] = False
+
+
+def test_tiles_equal_plain_greedy_tiling():
+    rng = np.random.default_rng(3)
+    for k in range(150):
+        p, t = (rng.integers(1, 3 + k % 4, rng.integers(1, n)).astype(np.uint64) for n in (16, 40))
+        assert sorted(decontaminate.tiles(p, t, 3)) == sorted(plain_tiles(p.tolist(), t.tolist(), 3)), (p, t)
+
+
+def test_leaks_equal_tiling_of_all_pairs(spark):
+    """Neither the seed filter, nor the seeds left out, nor the pruning of pairs loses a leak."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(25)]
+    some = lambda n: [words[x] for x in rng.integers(0, 25, n)]
+    common = some(6)
+    items = [(k, common + some(int(n))) for k, n in enumerate(rng.integers(0, 18, 25))] + [(30, some(3)), (31, common)]
+    docs = []
+    for k in range(80):
+        text = some(12)
+        for _ in range(rng.integers(0, 3)):
+            item = items[rng.integers(0, len(items))][1]
+            cut = int(rng.integers(0, len(item) + 1))
+            text += item[cut:] + some(int(rng.integers(0, 4))) + item[:cut]
+        docs.append((k, text))
+    table = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{key} long, text string")
+    number = {w: k + 1 for k, w in enumerate(words)}
+    code = lambda w: [number[x] for x in w]
+    want = {(d, i) for d, text in docs for i, item in items if sum(n for *_, n in plain_tiles(code(item), code(text), 5)) >= 0.8 * len(item)}
+    got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(table(docs, "doc_id").repartition(3), table(items, "item_id")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+
+
+def test_very_long_texts():
+    """Texts of several megabytes, of one word, of one line, or of ever the same words."""
+    from skylattice.llm import quality
+
+    texts = pa.array(["x" * 3_000_000, "same words again " * 200_000, " ".join(map(str, range(300_000))), "", None])
+    for text in texts:
+        batch = pa.array([text.as_py()], pa.string())
+        assert len(substring_dedup.Blocks(batch, 13, 5).start) == max(0, len(WORD.findall(text.as_py() or "")) - 12)
+        assert jaccard_join.shingle_sets(batch, 5)[1][0] <= 300_000 and quality.indicators(batch, 18)[1][0] < 1 << 18
+    assert decontaminate.tiles(np.full(40, 7, np.uint64), np.full(20_000, 7, np.uint64), 5) == [(0, 0, 40)]
+
+
 def test_leaks(spark, docs, nothing):
     bench = [(1, "The quick, brown fox jumps over the lazy dog near the old river bank"), (2, "Completely different words that nobody else would ever write down here"), (3, "Tiny item"), (4, None), (5, "")]
     items = spark.createDataFrame(bench, "item_id long, text string")
