@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, media, mixing, quality, secrets, token_output, toxicity
+from . import decontaminate, line_dedup, media, mixing, pair_sql, quality, secrets, token_output, toxicity
 from .jaccard_join import jaccard_join
 from .substring_dedup import substring_dedup
 
@@ -79,4 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op7_secret_scan": secrets.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_secret_scan": secrets.ORACLE_SQL,
+    "op8_mix_sources": mixing.ORACLE_SQL,
+    "op9_jaccard_join": pair_sql.JACCARD,
+    "op10_substring_dedup": pair_sql.SUBSTRINGS,
+}

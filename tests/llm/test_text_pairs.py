@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from skylattice.llm import decontaminate, graph, jaccard_join, line_dedup, substring_dedup
+from skylattice.llm import decontaminate, graph, jaccard_join, line_dedup, pair_sql, substring_dedup
 from skylattice.llm.textops import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -266,3 +266,16 @@ def test_hash_of_kept_words(docs):
 
     row = substring_dedup.substring_dedup(docs).select("kept", F.sha2("kept", 256).alias("h")).first()
     assert row.h == hashlib.sha256(row.kept.encode()).hexdigest()
+
+
+def test_sql_gives_the_same_rows(spark, rows):
+    import duckdb
+    import pandas as pd
+
+    unique = {r[0]: r[1] for r in rows}
+    documents = pd.DataFrame({"doc_id": list(unique), "text": list(unique.values())})  # noqa: F841 - read by the SQL
+    table = spark.createDataFrame(list(unique.items()), "doc_id long, text string").repartition(3)
+    pairs = jaccard_join.jaccard_join(table).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, pairs.collect())) == sorted(duckdb.sql(pair_sql.JACCARD).fetchall())
+    kept = substring_dedup.substring_dedup(table).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert sorted(map(tuple, kept.collect())) == sorted(duckdb.sql(pair_sql.SUBSTRINGS).fetchall())
