@@ -113,9 +113,11 @@ fu AS (SELECT log_id, median(step) AS dt, stddev_pop(step) AS sd, min(timestamp)
 fs AS (SELECT log_id, timestamp, x, t0, dt, sd / dt > 0.01::DOUBLE AS irregular, ceil((t1 + dt / 2 - t0) / dt)::BIGINT AS n_grid FROM fr JOIN fu USING (log_id)),"""
     + _grid("fg", "fs", ["x"])
     + """,
-fw AS (SELECT log_id, k, dt, n_grid, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / n_grid)) AS xw, pow(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / n_grid), 2) AS ww FROM fg_d),
-fj AS (SELECT log_id, j, dt, n_grid, sum(xw * cos(2 * pi() * j * k / n_grid)) AS re, sum(xw * sin(2 * pi() * j * k / n_grid)) AS im, sum(ww) AS ww FROM (SELECT *, unnest(range(1, n_grid // 2 + 1)) AS j FROM fw) GROUP BY log_id, j, dt, n_grid),
-sp AS (SELECT log_id, j, j / (n_grid * dt) AS frequency_hz, (re * re + im * im) * dt / ww * CASE WHEN 2 * j = n_grid THEN 1 ELSE 2 END AS power FROM fj),
+fe AS (SELECT *, size - size // 2 AS hop FROM (SELECT *, least(n_grid, 1024)::BIGINT AS size FROM fg_d)),
+fi AS (SELECT log_id, segment, k - segment * hop AS i, size, dt, x FROM (SELECT *, unnest(range(greatest(0, ceil((k - size + 1)::DOUBLE / hop)::BIGINT), least((n_grid - size) // hop, k // hop) + 1)) AS segment FROM fe)),
+fw AS (SELECT log_id, segment, i, size, dt, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / size)) AS xw, pow(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / size), 2) AS ww FROM fi),
+fj AS (SELECT log_id, segment, j, dt, size, sum(xw * cos(2 * pi() * j * i / size)) AS re, sum(xw * sin(2 * pi() * j * i / size)) AS im, sum(ww) AS ww FROM (SELECT *, unnest(range(1, size // 2 + 1)) AS j FROM fw) GROUP BY ALL),
+sp AS (SELECT log_id, j, min(j / (size * dt)) AS frequency_hz, avg((re * re + im * im) * dt / ww * CASE WHEN 2 * j = size THEN 1 ELSE 2 END) AS power FROM fj GROUP BY log_id, j),
 sp1 AS (SELECT *, lag(power) OVER w AS p0, lead(power) OVER w AS p1, frequency_hz - lag(frequency_hz) OVER w AS width FROM sp WINDOW w AS (PARTITION BY log_id ORDER BY j)),
 spa AS (SELECT log_id, sum((power + p0) / 2 * width) AS total, median(width) AS bin FROM sp1 GROUP BY log_id),
 sp2 AS (SELECT *, coalesce(power > p0 AND power > p1, false) AS peak FROM sp1),
