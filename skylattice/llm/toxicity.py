@@ -39,6 +39,7 @@ BLOCK = 512  #: examples of a block at most
 CLUSTERS = 32
 QUERIES = 256
 FEW = 32
+REMEMBERED = 4096  #: texts whose answers a task keeps for copies that follow
 _LOG = 1 + np.log(np.maximum(np.arange(1 << 16), 1))
 
 
@@ -151,9 +152,9 @@ class Index:
         return self.term[x], _LOG[self.count[x]] * self.idf[self.term[x]] / np.repeat(self.norm[examples], n), n
 
     @cached_property
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
         """Number of each term that is common somewhere (-1: nowhere), each block's maxima by these, each block's numbers and matrix,
-        and the lists of all other postings (begin by term, examples, weights)."""
+        and the lists of all other postings (begin by term; example and weight side by side in eight bytes)."""
         edge = np.append(self.edges, len(self.ids))
         common, held = [], np.zeros(len(self.idf), np.int64)
         for k in range(len(self.edges)):
@@ -167,7 +168,8 @@ class Index:
         most = np.zeros((len(self.edges), len(every)), np.float32)
         begin = np.concatenate([[0], np.cumsum(held)])
         upto = begin[:-1].copy()  # where the next posting of a term goes
-        owners, scores, parts, place = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32), [], np.full(len(self.idf), -1, np.int32)
+        held_by, parts, place = np.empty(begin[-1], np.int64), [], np.full(len(self.idf), -1, np.int32)
+        owners, scores = held_by.view(np.int32)[::2], held_by.view(np.float32)[1::2]
         for k in range(len(self.edges)):
             term, weight, n = self.weights(np.arange(edge[k], edge[k + 1]))
             owner = np.repeat(np.arange(edge[k], edge[k + 1], dtype=np.int32), n)
@@ -184,7 +186,7 @@ class Index:
             x, _ = spans(upto[t], n)
             owners[x], scores[x] = owner[~near][order], weight[~near][order]
             upto[t] += n
-        return row, most, parts, begin, owners, scores
+        return row, most, parts, begin, held_by
 
     def nearest(self, terms: np.ndarray, query: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, by (cosine, id): exact."""
@@ -196,7 +198,7 @@ class Index:
         Scores are single precision and never too large by more than the rounding error; all examples within twice that of
         the k-th are scored again in double precision.
         """
-        row, most, parts, begin, owner, weight = self.blocks
+        row, most, parts, begin, held_by = self.blocks
         m, size, per = len(self.ids), np.diff(begin), np.diff(self.begin)
         full, asked = np.zeros(len(self.idf)), np.zeros(len(self.idf), bool)
         width = -(-m // FEW) * FEW
@@ -212,7 +214,8 @@ class Index:
             for i in range(some):
                 lo, hi = at[i] - at[0], at[i + 1] - at[0]
                 x, n = spans(begin[t[lo:hi]], size[t[lo:hi]])
-                scores[i, :m] = np.bincount(owner[x], weights=weight[x] * np.repeat(q[lo:hi], n), minlength=m)
+                posting = held_by[x]
+                scores[i, :m] = np.bincount(posting.view(np.int32)[::2], weights=posting.view(np.float32)[1::2] * np.repeat(q[lo:hi], n), minlength=m)
             scores[:, self.spare] = scores[:, m:] = -np.inf
             if skip is not None:
                 scores[np.arange(some), skip[g : g + some]] = -np.inf
@@ -226,10 +229,10 @@ class Index:
                 todo &= ~ahead
                 for b in np.flatnonzero(ahead.any(0)).tolist():
                     who, (rows, dense) = np.flatnonzero(ahead[:, b]), parts[b]
-                    scores[who, edge[b] : edge[b + 1]] += (dense @ side[rows][:, who]).T
+                    scores[who, edge[b] : edge[b + 1]] += (dense @ side[rows[:, None], who]).T
                 self.visited += int(ahead.sum())
-                if k < width // FEW:  # the k-th best of the bests of few examples is no more than the k-th best of all
-                    few = scores.reshape(some, -1, FEW).max(2)
+                if k < width // FEW:  # the k-th best of the bests of few examples is no more than the k-th best of all; alike ones stand in different groups
+                    few = scores.reshape(some, FEW, -1).max(1)
                     least = np.maximum(np.partition(few, few.shape[1] - k, axis=1)[:, few.shape[1] - k], 0)
             self.asked += some * len(parts)
             for i in range(some):
@@ -240,10 +243,10 @@ class Index:
                     near = near[score >= np.partition(score, len(near) - k)[len(near) - k] - 2 * slack[i]]
                 full[t[lo:hi]], asked[t[lo:hi]] = q[lo:hi], True
                 x, n = spans(self.begin[near], per[near])
-                hit = np.flatnonzero(asked[self.term[x]])
-                x, owner_of = x[hit], np.repeat(np.arange(len(near)), n)[hit]
                 term = self.term[x]
-                by = np.bincount(owner_of, weights=full[term] * (_LOG[self.count[x]] * self.idf[term]), minlength=len(near))
+                hit = np.flatnonzero(asked[term])
+                term, owner_of = term[hit], np.repeat(np.arange(len(near)), n)[hit]
+                by = np.bincount(owner_of, weights=full[term] * (_LOG[self.count[x[hit]]] * self.idf[term]), minlength=len(near))
                 by = np.round(by / self.norm[near], 12)
                 asked[t[lo:hi]] = False
                 best = np.lexsort((self.ids[near], -by))[:k]
@@ -421,16 +424,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", evidence)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index, known = shared.value, {}
         for batch in small_batches(batches, "text"):
-            text, term, count = term_counts(batch.column("text"), index.vocabulary)
-            score, shown = np.full(batch.num_rows, index.without), [[] for _ in range(batch.num_rows)]
+            coded = batch.column("text").fill_null("").dictionary_encode()
+            keys = [sha1(x.as_buffer()).digest() for x in coded.dictionary]
+            answers = [known.pop(key, None) for key in keys]
+            fresh = [i for i, answer in enumerate(answers) if answer is None]
+            text, term, count = term_counts(coded.dictionary.take(pa.array(fresh, pa.int64())), index.vocabulary)
             some, first = np.unique(text, return_index=True)
             found = index.all_nearest(term, index.vectors(text, term, count), np.append(first, len(text)), index.neighbours)
             for i, (near, by) in zip(some.tolist(), found, strict=True):
-                score[i] = np.interp(index.vote(near, by), levels, meaning)
-                shown[i] = [{"doc_id": int(index.ids[x]), "similarity": float(s), "label": int(index.labels[x])} for x, s in zip(near[:3], by[:3], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(shown, evidence)], schema=schema)
+                shown = [{"doc_id": int(index.ids[x]), "similarity": float(s), "label": int(index.labels[x])} for x, s in zip(near[:3], by[:3], strict=True)]
+                answers[fresh[i]] = float(np.interp(index.vote(near, by), levels, meaning)), shown
+            answers = [answer or (index.without, []) for answer in answers]
+            known.update(zip(keys, answers, strict=True))
+            for key in list(known)[: max(0, len(known) - REMEMBERED)]:
+                del known[key]
+            score, shown = zip(*(answers[i] for i in coded.indices.to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(shown, evidence)], schema=schema)
 
     scored = texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
