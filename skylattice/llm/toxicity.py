@@ -37,7 +37,7 @@ PREFIXES = (5,)
 COMMON = 0.1  #: a term in more than this share of a block is a row of the block's matrix; the result is the same for any share
 BLOCK = 512  #: examples of a block at most
 CLUSTERS = 32
-QUERIES = 256
+QUERIES = 512
 FEW = 32
 REMEMBERED = 4096  #: texts whose answers a task keeps for copies that follow
 _LOG = 1 + np.log(np.maximum(np.arange(1 << 16), 1))
