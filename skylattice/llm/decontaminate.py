@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import Words, list_array, own_columns, run_hashes, signed, small_batches, spare_names, stored
+from .textops import Words, list_array, own_columns, rolling_hashes, run_hashes, signed, small_batches, spare_names, stored
 
 #: The filter has 2**FILTER_BITS bits, whatever the size of the benchmark.
 FILTER_BITS = 23
@@ -42,7 +42,7 @@ def tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int,
         starts = np.arange(max(0, len(values) - size + 1))
         taken = np.concatenate([[0], np.cumsum(~free)])
         starts = starts[taken[starts + size] == taken[starts]] if len(starts) else starts
-        return starts, run_hashes(values, starts, size)
+        return starts, rolling_hashes(values, starts, size)
 
     def longest() -> list[tuple[int, int, int]]:
         """Left-most matches of ``size`` free words or more, extended to the right."""

@@ -18,6 +18,8 @@ A document's set holds its distinct word shingles.  Two documents link when
    in which the two differ.  Each task returns at most one link per set, which keeps its components.
 5. Components over those links give the result.
 
+Equal sets are told by their size and two independent sums of 64 bits; shingles in a block by one hash of 64 bits.
+
 Nulls and empty texts have empty sets: 0 shingles, linked with nothing.  Rows with a null id are
 returned with a null component and link with nothing.  Rows that repeat an id are answered one by one, each by its own
 text.
@@ -39,19 +41,24 @@ from .textops import list_array, mix, own_columns, run_hashes, signed, small_bat
 BLOCK_SHINGLES = 1 << 20
 
 
-def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text, its distinct shingle hashes in ascending order: (hashes, number of them per text)."""
+def shingle_sets(texts: pa.Array, words: int, twice: bool = False) -> tuple[np.ndarray, ...]:
+    """Per text, its distinct shingle hashes in ascending order: (hashes, number of them per text), and ``twice`` a second,
+    independent hash of each of them."""
     w = Words(texts, lower=True)
-    h = w.hashes()
     start, owner = w.owners(words)
     short = np.flatnonzero((w.counts > 0) & (w.counts < words))
-    got = np.concatenate([run_hashes(h, start, words), run_hashes(h, w.first[short], w.counts[short])])
-    owner = np.concatenate([owner, short])
+
+    def all_hashes(seed: int) -> np.ndarray:
+        h = w.hashes(seed + 1)
+        return np.concatenate([run_hashes(h, start, words, seed), run_hashes(h, w.first[short], w.counts[short], seed)])
+
+    got, owner = all_hashes(0), np.concatenate([owner, short])
     order = np.lexsort((got, owner))
     got, owner = got[order], owner[order]
     fresh = np.ones(len(got), bool)
     fresh[1:] = (got[1:] != got[:-1]) | (owner[1:] != owner[:-1])
-    return got[fresh], np.bincount(owner[fresh], minlength=len(w.counts)).astype(np.int64)
+    counts = np.bincount(owner[fresh], minlength=len(w.counts)).astype(np.int64)
+    return (got[fresh], counts, all_hashes(1)[order][fresh]) if twice else (got[fresh], counts)
 
 
 def band_edges(percent: int, upto: int = 1 << 31) -> np.ndarray:
@@ -77,27 +84,28 @@ def droppable(sizes: np.ndarray, percent: int) -> np.ndarray:
     return slack(-(-sizes * percent // 100), percent)
 
 
-def digests(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit sums that, with its size, stand for each set."""
+def digests(counts: np.ndarray, *hashes: np.ndarray) -> list[np.ndarray]:
+    """Sums of 64 bits, one for each kind of hash, that with its size stand for each set."""
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    return [signed(np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(k)))])[bounds])) for k in (1, 2)]
+    return [signed(np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])[bounds])) for h in hashes]
 
 
 def _summaries(words: int, percent: int):
     edges = band_edges(percent)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("band", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    fields = [("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("band", pa.int32()), ("keys", pa.list_(pa.int64()))]
+    schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            hashes, counts = shingle_sets(batch.column("text"), words)
+            hashes, counts, others = shingle_sets(batch.column("text"), words, twice=True)
             n = prefix_lengths(counts, percent)
             at = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
             keys = hashes[at < np.repeat(n, counts)]
             band = pa.array(np.searchsorted(edges, counts, "right") - 1, pa.int32())
-            d1, d2 = digests(hashes, counts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(d1), pa.array(d2), band, list_array(signed(keys), n, pa.int64())], schema=schema)
+            d1, d2 = digests(counts, hashes, others)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(counts), pa.array(d1), pa.array(d2), band, list_array(signed(keys), n, pa.int64())], schema=schema)
 
-    return run, "doc_id long, n_shingles long, d1 long, d2 long, band int, keys array<long>"
+    return run, "doc_id long, t1 long, t2 long, n_shingles long, d1 long, d2 long, band int, keys array<long>"
 
 
 class Block:
@@ -210,13 +218,8 @@ def _sets(words: int):
         for batch in small_batches(batches, "text"):
             hashes, counts = shingle_sets(batch.column("text"), words)
             lists = list_array(signed(hashes), counts, pa.int64())
-            same = np.ones(batch.num_rows, bool)  # of rows that repeat an id, those with the set of this class
-            for name, digest in zip(("d1", "d2"), digests(hashes, counts), strict=True):
-                same &= batch.column(name).to_numpy() == digest
             pairs = batch.column("pairs")
-            rows = np.repeat(np.arange(batch.num_rows), pairs.value_lengths().to_numpy(zero_copy_only=False))
-            keep = same[rows]
-            rows, names = pa.array(rows[keep]), pairs.flatten().filter(pa.array(keep))
+            rows, names = pa.array(np.repeat(np.arange(batch.num_rows), pairs.value_lengths().to_numpy(zero_copy_only=False))), pairs.flatten()
             for at in range(0, len(rows), 256):
                 some = rows.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([batch.column("cluster").take(some), names.slice(at, 256), batch.column("node").take(some), lists.take(some)], schema=schema)
@@ -277,42 +280,64 @@ def _placed(members: DataFrame) -> DataFrame:
         each(band + 1, lambda j: F.concat_ws("-", band, slot, band + 1, j)),
         each(band - 1, lambda j: F.concat_ws("-", band - 1, j, band, slot)),
     )
-    return members.join(whole, "cluster").join(blocks, "cluster").select("doc_id", "node", "d1", "d2", "cluster", F.when(F.col("all") <= BLOCK_SHINGLES, F.array(F.lit("all"))).otherwise(split).alias("pairs"))
+    return members.join(whole, "cluster").join(blocks, "cluster").select(*_ROW, "node", "cluster", F.when(F.col("all") <= BLOCK_SHINGLES, F.array(F.lit("all"))).otherwise(split).alias("pairs"))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links), class_id
-    (smallest id with an equal set).  See the module for nulls, empty texts and repeated ids."""
-    source = texts_of(docs, id_col, text_col)
+#: A row of the input by its id and two independent hashes of its text, so that rows that repeat an id stay apart.
+_ROW = ("doc_id", "t1", "t2")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64(F.lit(1), "text").alias("t1"), F.xxhash64(F.lit(2), "text").alias("t2"), "text")
+
+
+def _answers(source: DataFrame, words: int, percent: int) -> DataFrame:
+    """Rows (doc_id, t1, t2, n_shingles, class, component): the first rows, as structs of id and text hashes, with an equal set and within reach.
+    Both are null for empty sets and null ids."""
+    source = _marked(source)
     run, schema = _summaries(words, percent)
     rows = stored(source.mapInArrow(run, schema), "sets")
     grouped = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "d1", "d2")
-    classes = stored(grouped.agg(F.min("doc_id").alias("doc_id"), F.any_value("band").alias("band"), F.any_value("keys").alias("keys"), F.xxhash64("n_shingles", "d1", "d2").alias("node")), "classes")
+    first = F.min(F.struct(*_ROW)).alias("class")
+    classes = grouped.agg(first, F.any_value("band").alias("band"), F.any_value("keys").alias("keys"))
+    classes = stored(classes.select("n_shingles", "d1", "d2", "class", "class.*", "band", "keys", F.xxhash64("d1", "d2", "n_shingles").alias("node")), "classes")
     cluster = clusters(classes, percent).withColumnRenamed("component", "cluster")
     members = stored(classes.drop("keys").join(cluster, "node"), "members")
     run, schema = _sets(words)
-    sets = source.join(_placed(members), "doc_id").mapInArrow(run, schema)
+    sets = source.join(_placed(members), list(_ROW)).mapInArrow(run, schema)
     reach = components(sets.groupBy("cluster", "pair").applyInArrow(_links(percent), "a long, b long"))
     linked = members.join(reach, "node")
-    first = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = linked.join(first, "component").select("n_shingles", "d1", "d2", "component_id")
-    answer = classes.select("n_shingles", "d1", "d2", F.col("doc_id").alias("class_id")).join(linked, ["n_shingles", "d1", "d2"], "left")
-    out = rows.drop("keys").join(answer, ["n_shingles", "d1", "d2"], "left")
-    own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
-    return out.select("doc_id", "n_shingles", own(F.coalesce("component_id", "class_id")).alias("component_id"), own(F.col("class_id")).alias("class_id"))
+    heads = linked.groupBy("component").agg(F.min("class").alias("head"))
+    linked = linked.join(heads, "component").select("n_shingles", "d1", "d2", "head")
+    answer = classes.select("n_shingles", "d1", "d2", "class").join(linked, ["n_shingles", "d1", "d2"], "left")
+    answer = answer.select("n_shingles", "d1", "d2", "class", F.coalesce("head", "class").alias("component"))
+    known = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    return rows.drop("keys").join(answer, ["n_shingles", "d1", "d2"], "left").select(*_ROW, "n_shingles", known("class"), known("component"))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links), class_id
+    (smallest id with an equal set).  See the module for nulls, empty texts and repeated ids."""
+    out = _answers(texts_of(docs, id_col, text_col), words, percent)
+    return out.select("doc_id", "n_shingles", F.coalesce("component.doc_id", "doc_id").alias("component_id"), F.coalesce("class.doc_id", "doc_id").alias("class_id"))
 
 
 def drop_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) that stand for their component: one row each, of the smallest id.
+    """The rows of ``docs`` (doc_id, text and any others) that stand for their component: one row each, that of the smallest id.
 
-    Rows without words link with nothing and stay; of rows that repeat the kept id, the smallest text stays.
+    Of rows that repeat that id within one component, the one whose text comes first by its hashes stays; rows that repeat an
+    id but belong to other components are decided there.  Of rows equal in id and text, the first by all its columns as JSON stays.
+    Rows without words or id link with nothing and stay.
     """
-    (head,) = spare_names(docs, "of_doc")
-    heads = jaccard_join(docs, words=words, percent=percent).filter("n_shingles > 0 AND component_id = doc_id").select(F.col("doc_id").alias(head)).distinct()
-    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    t1, t2, a, b, doc = spare_names(docs, "t1", "t2", "head_t1", "head_t2", "of_doc")
+    heads = _answers(texts_of(docs, "doc_id", "text"), words, percent).filter(F.col("class").isNotNull() & (F.col("component") == F.struct(*_ROW)))
+    heads = heads.select(F.col("doc_id").alias(doc), F.col("t1").alias(a), F.col("t2").alias(b)).distinct()
+    text = F.col("text").cast("string")
+    blank = ~F.coalesce(text, F.lit("")).rlike(WORD)
     loose = docs.filter(blank | F.col("doc_id").isNull())
-    own = docs.filter(~blank & F.col("doc_id").isNotNull()).join(heads, F.col("doc_id") == F.col(head), "left_semi")
+    own = docs.filter(~blank & F.col("doc_id").isNotNull()).withColumns({t1: F.xxhash64(F.lit(1), text), t2: F.xxhash64(F.lit(2), text)})
+    own = own.join(heads, (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(t1) == F.col(a)) & (F.col(t2) == F.col(b)), "left_semi")
     columns = own_columns(docs)
     row = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)])  # of any types: as JSON they have an order
-    first = own.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+    first = own.groupBy("doc_id", t1, t2).agg(F.min_by(row, F.to_json(row)).alias("row"))
     return first.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)]).union(loose)

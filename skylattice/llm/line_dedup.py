@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import mix, own_columns, powers, run_hashes, signed, small_batches, spare_names, stored, texts_of, Words
+from .textops import factors, mix, own_columns, run_hashes, signed, small_batches, spare_names, stored, texts_of, Words
 
 EDGE = 8
 
@@ -46,8 +46,9 @@ class Lines:
         self.text, self.number = text[self.first], number[self.first]
         self.hashes = w.hashes()
 
-    def hash(self, salt: int = 0) -> np.ndarray:
-        return run_hashes(mix(self.hashes + np.uint64(salt)) if salt else self.hashes, self.first, self.count)
+    def hash(self, seed: int = 0) -> np.ndarray:
+        """Hashes of the lines; with a seed, of other hashes of the words and independent of those without."""
+        return run_hashes(self.words.hashes(seed + 1) if seed else self.hashes, self.first, self.count, seed)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,9 +64,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_each(hashes: np.ndarray) -> np.ndarray:
     """Hash of a line without word i, for each i, equal to that of the shorter line itself."""
     n = len(hashes)
-    up, _ = powers(n + 1)
-    left = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n])])
-    right = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[1:] * up[: n - 1])])
+    by = factors(n)
+    left = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * by)])
+    right = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[1:] * by[: n - 1])])
     return mix(left[:n] + (right[n - 1] - right) + np.uint64(n - 1))
 
 

@@ -62,12 +62,16 @@ class Blocks:
         self.begin = first = self.start[begin]
         self.of = self.text[begin]
         self.anchor = seeds[where[begin]]
-        self.content = mix(run_hashes(self.hashes, first, size + window - 1) + (where[begin] - first).astype(np.uint64))
+        self.content = mix(run_hashes(self.hashes, first, size + window - 1, 1) + (where[begin] - first).astype(np.uint64))
 
     def keys(self, which: np.ndarray) -> np.ndarray:
         """Hashes of the windows selected by a mask."""
         return run_hashes(self.hashes, self.start[which], self.window)
 
+    def checks(self, which: np.ndarray) -> np.ndarray:
+        """Second hashes of those windows, independent of the first: two windows count as equal if both agree."""
+        return run_hashes(self.hashes, self.start[which], self.window, 1)
+
 
 def _first_here(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Among rows of a batch: those that are the first (one for each key, of the smallest id); whether a smaller id has a row's key; and the first row of its key."""
@@ -130,9 +134,9 @@ def _edges(window: int, seed: int):
         for batch in small_batches(batches, "text"):
             b = Blocks(batch.column("text"), window, seed)
             which = (_Marks(batch.column("open")).find(b.of, b.content) >= 0)[b.block]
-            key, ids = b.keys(which), _ids(batch)[b.text[which]]
-            first, behind, of = _first_here(ids, key)
-            yield _rows(key, key, ids, b.start[which] - b.words.first[b.text[which]], first, np.flatnonzero(behind), of, first[:0])
+            key, check, ids = b.keys(which), b.checks(which), _ids(batch)[b.text[which]]
+            first, behind, of = _first_here(ids, check, key)
+            yield _rows(key, check, ids, b.start[which] - b.words.first[b.text[which]], first, np.flatnonzero(behind), of, first[:0])
 
     return run
 
@@ -173,7 +177,7 @@ def _factors(b: Blocks, blocks: _Marks, windows: _Marks) -> tuple[np.ndarray, ..
         ref[inside], pos[inside] = blocks.ref[block[inside]], blocks.pos[block[inside]] + b.start[inside] - b.begin[b.block[inside]]
     ask = np.flatnonzero(~hit)
     if len(windows.have) and len(ask):
-        at = windows.find(b.text[ask], b.keys(ask))
+        at = windows.find(b.text[ask], b.checks(ask))
         ask, at = ask[at >= 0], at[at >= 0]
         ref[ask], pos[ask], hit[ask] = windows.ref[at], windows.pos[at], True
     on = np.flatnonzero(hit)

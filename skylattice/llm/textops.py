@@ -1,7 +1,7 @@
 """Vectorised word handling on Arrow batches, shared by the operators of this subpackage.
 
 A batch of texts is viewed as one byte buffer.  Word boundaries, word hashes and hashes of runs of
-consecutive words all come from prefix sums over that buffer, so no Python code runs per word.
+consecutive words all come from sums over that buffer, so no Python code runs per word.
 """
 
 from __future__ import annotations
@@ -35,23 +35,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_NEAR = 64  # bytes of a word whose values come from a table
+_FACTORS: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and those of its inverse; one table for each Python worker."""
-    if len(_POWERS[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _POWERS[k] = np.multiply.accumulate(table)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def factors(n: int, seed: int = 0) -> np.ndarray:
+    """The first n of a fixed sequence of odd random numbers: what the k-th element of a run counts.
+
+    They are unrelated to each other, unlike the powers of one base, whose sums modulo 2**64 agree on well-known pairs
+    of runs (those of Thue and Morse) whatever the base is.  One table for each seed and Python worker, as long as the longest run.
+    """
+    if len(_FACTORS.get(seed, ())) < n:
+        at = np.arange(1 << max(5, int(n - 1).bit_length()), dtype=np.uint64)
+        _FACTORS[seed] = mix(mix(at + np.uint64(1)) + np.uint64((seed + 1) * int(_BASE) & ((1 << 64) - 1))) | np.uint64(1)
+    return _FACTORS[seed][:n]
+
+
+def _byte_values(byte: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    return mix((byte.astype(np.uint64) + np.uint64(256) * place.astype(np.uint64) + np.uint64(1)) * _BASE + np.uint64(seed * 0xD6E8FEB86659FD93 & ((1 << 64) - 1)))
 
 
 @lru_cache(4)
-def _byte_values(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
+def _near_values(seed: int) -> np.ndarray:
+    k = np.arange(256 * _NEAR)
+    return _byte_values(k & 255, k >> 8, seed)
 
 
 class Words:
@@ -86,23 +93,26 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self, seed: int = 1, most: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first ``most`` bytes."""
+        """A 64-bit hash of each word, or of its first ``most`` bytes: a sum over its bytes of random values of (byte, place in the word)."""
         if not len(self.starts):
             return np.empty(0, np.uint64)
         out = np.empty(len(self.starts), np.uint64)
-        table, step = _byte_values(seed), 1 << 18
+        table, step = _near_values(seed), 1 << 18
         at = 0
         while at < len(self.starts):  # in slices, so that the temporary sums stay small
             begin = self.starts[at]
             upto = max(at + 1, int(np.searchsorted(self.ends, begin + step, "right")))
             piece = self.data[begin : self.ends[upto - 1]]
-            up, down = powers(len(piece) + 1)
-            total = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(table[piece] * up[:-1], out=total[1:])
             s, e = self.starts[at:upto] - begin, self.ends[at:upto] - begin
+            place = np.arange(len(piece)) - np.repeat(s, np.diff(np.append(s, len(piece))))
+            value = table[np.minimum(place, _NEAR - 1) << 8 | piece]
+            far = np.flatnonzero(place >= _NEAR)
+            value[far] = _byte_values(piece[far], place[far], seed)
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(value, out=total[1:])
             if most:
                 e = np.minimum(e, s + most)
-            out[at:upto] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+            out[at:upto] = mix(total[e] - total[s] + (e - s).astype(np.uint64))
             at = upto
         return out
 
@@ -114,12 +124,67 @@ class Words:
         return self.first[text] + offset, text
 
 
-def run_hashes(hashes: np.ndarray, starts: np.ndarray, lengths) -> np.ndarray:
-    """A 64-bit hash of each run of words, given hashes of the words."""
-    up, down = powers(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=total[1:])
-    return mix((total[starts + lengths] - total[starts]) * down[starts] + np.asarray(lengths, np.uint64))
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, lengths, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of words, given hashes of the words.  Another seed gives an independent one.
+
+    Every word of every run is visited: runs that overlap much and are long are for ``rolling_hashes``.
+    """
+    if np.ndim(lengths) == 0 and lengths <= 32:
+        total = np.zeros(len(starts), np.uint64)
+        for k, factor in enumerate(factors(32, seed)[:lengths]):
+            total += hashes[starts + k] * factor
+        return mix(total + np.uint64(lengths))
+    lengths = np.broadcast_to(np.asarray(lengths, np.int64), len(starts))
+    total = np.zeros(len(starts), np.uint64)
+    few = np.flatnonzero(lengths <= 32)
+    for k, factor in enumerate(factors(32, seed)):
+        few = few[lengths[few] > k]
+        if not len(few):
+            break
+        total[few] += hashes[starts[few] + k] * factor
+    many = np.flatnonzero(lengths > 32)
+    upto = np.cumsum(lengths[many])
+    at = 0
+    while at < len(many):  # in slices, so that the products stay small
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 20), "right")))
+        some = many[at:end]
+        n = lengths[some]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        total[some] = np.add.reduceat(hashes[np.repeat(starts[some], n) + place] * factors(int(n.max()), seed)[place], first)
+        at = end
+    return mix(total + lengths.astype(np.uint64))
+
+
+_PRIME = np.uint64((1 << 31) - 1)
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """Remainders modulo the prime 2**31 - 1 of numbers below 2**63."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+@lru_cache(8)
+def _powers(base: int, n: int) -> np.ndarray:
+    power, value = np.ones(1, np.uint64), base
+    while len(power) < n:
+        power, value = np.concatenate([power, _modulo(power * np.uint64(value))]), value * value % int(_PRIME)
+    return power
+
+
+def rolling_hashes(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Karp-Rabin hashes of the runs of one length, by two polynomials modulo a prime: the work does not grow with the length."""
+    out, n = np.zeros(len(starts), np.uint64), len(hashes)
+    size = 1 << n.bit_length()
+    for half, base in ((0, 1_103_515_245), (32, 1_220_703_125)):
+        value = _modulo(hashes >> np.uint64(half) & np.uint64(0xFFFFFFFF)) + np.uint64(1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_modulo(value * _powers(base, size)[:n]), out=total[1:])  # terms below 2**31: no overflow up to 2**32 words
+        run = _modulo(_modulo(total[starts + length] - total[starts]) * _powers(pow(base, -1, int(_PRIME)), size)[starts])
+        out = (out << np.uint64(31)) ^ run
+    return mix(out + np.uint64(length))
 
 
 def signed(h: np.ndarray) -> np.ndarray:

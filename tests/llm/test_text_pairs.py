@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.llm import decontaminate, graph, jaccard_join, line_dedup, pair_sql, substring_dedup
-from skylattice.llm.textops import Words
+from skylattice.llm.textops import rolling_hashes, run_hashes, Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,11 +79,63 @@ def test_jaccard_edge_cases(with_null_id, nothing):
     assert jaccard_join.jaccard_join(nothing).count() == 0
 
 
-def test_drop_duplicates(docs, rows):
-    kept = jaccard_join.drop_duplicates(docs, words=5, percent=80).collect()
-    assert set(kept[0].asDict()) == set(docs.columns)
-    by_id = Counter(r.doc_id for r in kept)
-    assert all(n == 1 for i, n in by_id.items()) and by_id[2] == by_id[5] == by_id[8] == 1
+def representatives(items, words, percent):
+    """(doc_id, text) pairs that stay: blanks, and of each component one row of the smallest id."""
+    rows = sorted({(i, t) for i, t in items if i is not None and WORD.search(t or "")})
+    sets = [shingles(t, words) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    groups = {}
+    for k, g in reach(range(len(rows)), links).items():
+        groups.setdefault(g, []).append(rows[k])
+    return [{r for r in g if r[0] == min(g)[0]} for g in groups.values()]
+
+
+def test_drop_duplicates(with_null_id):
+    kept = jaccard_join.drop_duplicates(with_null_id, words=5, percent=80).collect()
+    assert set(kept[0].asDict()) == set(with_null_id.columns)
+    items = [(r.doc_id, r.text) for r in with_null_id.collect()]
+    loose = Counter(x for x in items if x[0] is None or not WORD.search(x[1] or ""))
+    got = Counter((r.doc_id, r.text) for r in kept)
+    assert all(got.pop(x) == n for x, n in loose.items())
+    groups = representatives(items, 5, 80)
+    assert sum(got.values()) == len(groups) and all(sum(got[x] for x in g) == 1 for g in groups)
+
+
+def test_texts_whose_ids_repeat_are_not_lost(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    table = spark.createDataFrame([(1, a, 7), (1, b, 7), (2, b, 7), (3, c, 7), (3, c, 7)], "doc_id long, text string, `a.b` int")
+    kept = jaccard_join.drop_duplicates(table)
+    assert kept.columns == table.columns and sorted(map(tuple, kept.collect())) == [(1, a, 7), (1, b, 7), (3, c, 7)]
+
+
+def thue_morse(n, a="a", b="b"):
+    return [(a, b)[k.bit_count() & 1] for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_and_lines_after_thue_and_morse(spark, n):
+    """Pairs on which every sum of powers modulo 2**64 agrees: long words of two letters, and lines of two words."""
+    one, two = ("".join(thue_morse(n, *x)) for x in ("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(12))
+    table = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, one), (4, two), (5, " ".join(thue_morse(n, "x", "yy"))), (6, " ".join(thue_morse(n, "yy", "x")))], "doc_id long, text string")
+    items = [(r.doc_id, r.text) for r in table.collect()]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(table).collect()}
+    assert got == {i: tuple(rest) for i, *rest in remaining(items)}
+    joined = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(table).collect()}
+    assert joined == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}  # the last two have the same few shingles
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_dedup(table).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}  # one word replaced in 13
+    leaks = decontaminate.leaks(table, table.filter("doc_id IN (1, 5)").select(F.col("doc_id").alias("item_id"), "text"), least=5, coverage=0.95).collect()
+    assert {(r.doc_id, r.item_id) for r in leaks} == {(1, 1), (5, 5)} | ({(6, 5)} if sum(t[2] for t in decontaminate.tiles(*(Words(pa.array([x])).hashes() for x in (items[4][1], items[5][1])), 5)) >= 0.95 * n else set())
+
+
+def test_hashes_of_runs_agree_wherever_they_stand():
+    rng = np.random.default_rng(3)
+    h = np.tile(rng.integers(1, 1 << 63, 700, dtype=np.uint64), 2)
+    for n in (1, 3, 32, 33, 500):
+        for hashes in (run_hashes(h, np.arange(700), n), rolling_hashes(h, np.arange(700), n), run_hashes(h, np.arange(700), n, 1)):
+            assert len(set(hashes.tolist())) == 700
+        assert np.array_equal(run_hashes(h, np.arange(100), n), run_hashes(h, np.arange(700, 800), n)) and np.array_equal(rolling_hashes(h, np.arange(100), n), rolling_hashes(h[690:], np.arange(10, 110), n))
+        assert np.array_equal(run_hashes(h, np.array([5, 9, 20]), np.array([n, 1, 40])), np.concatenate([run_hashes(h, np.array([a]), b) for a, b in ((5, n), (9, 1), (20, 40))]))
 
 
 def remaining(items, window=13):
