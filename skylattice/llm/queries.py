@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, media, mixing, pair_sql, quality, secrets, token_output, toxicity
+from . import bpe, decontaminate, line_dedup, media, mixing, pair_sql, periodic, quality, secrets, token_output, toxicity, turn_repair
 from .jaccard_join import jaccard_join
 from .substring_dedup import substring_dedup
 
@@ -63,6 +63,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir), window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return turn_repair.repair_report(turn_repair.damaged(turns), turns)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(periodic.with_planted_runs(_documents(spark, sf_dir)), least=24, power=3)
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mix_sources,
         op9_jaccard_join,
         op10_substring_dedup,
+        op11_conversation_repair,
+        op12_periodic_runs,
+        op13_bpe_round_trip,
     )
 }
 
@@ -85,4 +103,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_mix_sources": mixing.ORACLE_SQL,
     "op9_jaccard_join": pair_sql.JACCARD,
     "op10_substring_dedup": pair_sql.SUBSTRINGS,
+    "op12_periodic_runs": periodic.ORACLE_SQL,
 }

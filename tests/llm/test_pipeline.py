@@ -46,5 +46,5 @@ def test_registered():
     import __spark_entry__
 
     queries = __spark_entry__.queries()
-    assert "pipeline" in queries and all(any(q.startswith(f"op{n}_") for q in queries) for n in range(1, 11))
+    assert "pipeline" in queries and all(any(q.startswith(f"op{n}_") for q in queries) for n in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(queries)
