@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, motor_spread
@@ -13,13 +13,13 @@ from .segments import islands
 def saturation_runs(log: DataFrame, settings: Settings = Settings(), samples_without_time: bool = False) -> DataFrame:
     """Rows (log_id, max_continuous_saturation_s): the longest run in row order of corrections at the limit (a null ends it), from its
     first to its last row.  Without times: null, or the number of rows if asked for."""
-    rows = log.withColumn("_pos", F.row_number().over(Window.partitionBy("log_id").orderBy("ord")))
-    runs = islands(rows, F.abs("throttle_correction") >= settings.correction_limit)
+    kept = log.select("log_id", "ord", "throttle_correction", *(["timestamp"] if "timestamp" in log.columns else []))
+    runs = islands(kept, full=F.abs("throttle_correction") >= settings.correction_limit).filter("on_full")
     if "timestamp" not in log.columns:
         length = F.count("*").cast("double") if samples_without_time else F.lit(None).cast("double")
     else:
-        length = F.coalesce(F.greatest(F.lit(0.0), finite(F.max_by("timestamp", "_pos")) - finite(F.min_by("timestamp", "_pos"))), F.lit(0.0))
-    longest = runs.groupBy("log_id", "island").agg(length.alias("length")).groupBy("log_id").agg(F.max("length").alias("length"))
+        length = F.coalesce(F.greatest(F.lit(0.0), finite(F.max_by("timestamp", "pos")) - finite(F.min_by("timestamp", "pos"))), F.lit(0.0))
+    longest = runs.groupBy("log_id", "run_full").agg(length.alias("length")).groupBy("log_id").agg(F.max("length").alias("length"))
     known = log.groupBy("log_id").agg(F.count("throttle_correction").alias("_n")).filter("_n > 0")
     zero = F.lit(0.0) if "timestamp" in log.columns or samples_without_time else F.lit(None).cast("double")
     return known.join(longest, "log_id", "left").select("log_id", F.coalesce("length", zero).alias("max_continuous_saturation_s"))

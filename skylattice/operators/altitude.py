@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import Settings
+from .pieces import by_row, quantiles, scan
 
 
 def tracking_rows(log: DataFrame) -> DataFrame:
@@ -15,19 +16,20 @@ def tracking_rows(log: DataFrame) -> DataFrame:
 
 def altitude_error(log: DataFrame) -> DataFrame:
     """One row a log with two or more rows of both values: size and spread of the error."""
-    e = F.col("error")
-    return tracking_rows(log).groupBy("log_id").agg(
+    e, rows = F.col("error"), tracking_rows(log)
+    sums = rows.groupBy("log_id").agg(
         F.sqrt(F.avg(e * e)).alias("rmse_m"), F.avg(F.abs(e)).alias("mae_m"), F.avg(e).alias("mean_error_m"), F.stddev_pop(e).alias("error_std_m"),
-        F.max(F.abs(e)).alias("max_abs_error_m"), F.percentile(F.abs(e), 0.95).alias("p95_abs_error_m"), F.count("*").alias("n"),
+        F.max(F.abs(e)).alias("max_abs_error_m"), F.count("*").alias("n"),
     ).filter("n >= 2")
+    high = quantiles(rows.select("log_id", F.abs(e).alias("size")), "size", {"p95_abs_error_m": 0.95})
+    return sums.join(high, "log_id").select("log_id", "rmse_m", "mae_m", "mean_error_m", "error_std_m", "max_abs_error_m", "p95_abs_error_m", "n")
 
 
 def steady_state_error(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Rows (log_id, steady_state_error_m): mean error of the last rows in row order, a fraction of all (half to even), one at least."""
-    rows, per_log = tracking_rows(log), Window.partitionBy("log_id")
-    rows = rows.withColumn("_n", F.count("*").over(per_log)).withColumn("_back", F.row_number().over(per_log.orderBy(F.desc("ord"))))
+    rows = scan(tracking_rows(log).select("log_id", "ord", "error"), by_row(), ("ord",), sums={"_place": F.lit(1)}, totals={"_n": F.lit(1)})
     last = F.greatest(F.lit(1), F.expr(f"bround(_n * {settings.steady_fraction}D)"))
-    return rows.filter((F.col("_back") <= last) & (F.col("_n") >= 2)).groupBy("log_id").agg(F.avg("error").alias("steady_state_error_m"))
+    return rows.filter((F.col("_n") - F.col("_place") < last) & (F.col("_n") >= 2)).groupBy("log_id").agg(F.avg("error").alias("steady_state_error_m"))
 
 
 def analyze_altitude(log: DataFrame, settings: Settings = Settings()) -> DataFrame:

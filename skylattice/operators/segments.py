@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import present
 from ..settings import BOOLEAN, MOTORS, NUMERIC, Settings
+from .pieces import by_row, scan
+
 
 def W():
     return Window.partitionBy("log_id").orderBy("ord")
@@ -15,11 +18,12 @@ def has(df: DataFrame, *names: str) -> bool:
     return set(names) <= set(df.columns)
 
 
-def islands(df: DataFrame, flag: Column, keys: tuple[str, ...] = ("log_id",), order: str = "ord") -> DataFrame:
-    """Rows where ``flag`` is true, with ``island``: the number of its maximal run (a null is false).  A window per key, no join."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    on = F.coalesce(flag, F.lit(False))
-    return df.withColumn("_on", on).withColumn("island", F.sum((~F.col("_on")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_on").drop("_on")
+def islands(df: DataFrame, **flags: Column) -> DataFrame:
+    """Rows with ``pos``, their place in the log from 0, and for each flag ``on_<name>`` and ``run_<name>``, the number of its maximal run (a null is
+    false).  Runs go on across the pieces of a long log."""
+    on = {n: F.coalesce(f, F.lit(False)) for n, f in flags.items()}
+    counted = scan(df, by_row(), ("ord",), sums={"pos": F.lit(1)} | {f"run_{n}": ~f for n, f in on.items()})
+    return counted.withColumns({"pos": F.col("pos") - 1} | {f"on_{n}": f for n, f in on.items()})
 
 
 def detect_segments(log: DataFrame) -> DataFrame:
@@ -28,24 +32,21 @@ def detect_segments(log: DataFrame) -> DataFrame:
     Start and end are the times of the first and last row of a run, not its least and greatest times.  Logs without times, or
     without either flag, have no segments.
     """
-    kinds = []
     if not has(log, "timestamp"):
         log = log.withColumn("timestamp", F.lit(None).cast("double")).limit(0)
     if not has(log, "armed") and not has(log, "althold_active"):
         log = log.withColumn("armed", F.lit(False)).limit(0)
+    flags = {}
     armed = F.coalesce(F.col("armed"), F.lit(False)) if has(log, "armed") else F.lit(True)
     if has(log, "armed"):
-        kinds.append(("armed", armed))
+        flags["armed"] = armed
     if has(log, "althold_active"):
-        kinds.append(("althold", armed & F.coalesce(F.col("althold_active"), F.lit(False))))
-    ranked = log.withColumn("pos", F.row_number().over(W()) - 1)
-    out = None
-    for kind, flag in kinds:
-        at = F.min("pos")
-        runs = islands(ranked, flag).groupBy("log_id", "island").agg(F.min_by("timestamp", "pos").alias("start_s"), F.max_by("timestamp", "pos").alias("end_s"), F.count("*").alias("rows"), at.cast("long").alias("start_index"), F.max("pos").cast("long").alias("end_index"))
-        runs = runs.withColumn("segment", F.row_number().over(Window.partitionBy("log_id").orderBy("start_index")).cast("long")).select("log_id", F.lit(kind).alias("kind"), "segment", "start_s", "end_s", "rows", "start_index", "end_index")
-        out = runs if out is None else out.union(runs)
-    return out
+        flags["althold"] = armed & F.coalesce(F.col("althold_active"), F.lit(False))
+    kind = F.explode(F.filter(F.array(*[F.when(F.col(f"on_{n}"), F.struct(F.lit(n).alias("kind"), F.col(f"run_{n}").alias("run"))) for n in flags]), lambda k: k.isNotNull()))
+    rows = islands(log.select("log_id", "ord", "timestamp", *(c for c in BOOLEAN if has(log, c))), **flags).select("log_id", "pos", "timestamp", kind.alias("k"))
+    runs = rows.groupBy("log_id", "k.kind", "k.run").agg(F.min_by("timestamp", "pos").alias("start_s"), F.max_by("timestamp", "pos").alias("end_s"), F.count("*").alias("rows"), F.min("pos").alias("start_index"), F.max("pos").alias("end_index"))
+    numbered = scan(runs, by_row(F.col("start_index")), ("start_index",), ("log_id", "kind"), sums={"segment": F.lit(1)})
+    return numbered.select("log_id", "kind", "segment", "start_s", "end_s", "rows", "start_index", "end_index")
 
 
 def select_time_range(log: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -75,11 +76,10 @@ def select_segment(log: DataFrame, mode: str = "auto_althold", segment: int = 1,
 def sorted_unique_time(log: DataFrame) -> DataFrame:
     """Rows with a time, the first of each time, and ``n_duplicate``/``n_reverse`` of their log."""
     timed = log.filter(F.col("timestamp").isNotNull())
-    timed = timed.withColumn("_back", (F.col("timestamp") < F.lag("timestamp").over(W())).cast("long"))
-    per_log, same = Window.partitionBy("log_id"), Window.partitionBy("log_id", "timestamp").orderBy("ord")
-    timed = timed.withColumn("_nth", F.row_number().over(same))
-    timed = timed.withColumn("n_duplicate", F.sum((F.col("_nth") > 1).cast("long")).over(per_log)).withColumn("n_reverse", F.coalesce(F.sum("_back").over(per_log), F.lit(0)))
-    return timed.filter("_nth = 1").drop("_nth", "_back")
+    timed = scan(timed, by_row(), ("ord",), priors={"_before": F.col("timestamp")})
+    timed = timed.withColumn("_nth", F.row_number().over(Window.partitionBy("log_id", "timestamp").orderBy("ord")))
+    counts = timed.groupBy("log_id").agg(F.count_if(F.col("_nth") > 1).alias("n_duplicate"), F.count_if(F.col("timestamp") < F.col("_before")).alias("n_reverse"))
+    return timed.filter("_nth = 1").drop("_nth", "_before").join(counts, "log_id")
 
 
 def validate(log: DataFrame, settings: Settings = Settings(), raw: DataFrame | None = None, duplicate_columns: tuple[str, ...] = ()) -> DataFrame:

@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import median
 from ..settings import Settings
-from .segments import W
-
-def WT():
-    return Window.partitionBy("log_id").orderBy("timestamp")
+from .pieces import by_row, by_time, quantiles, scan
 
 
 def intervals(log: DataFrame) -> DataFrame:
     """Rows (log_id, timestamp, interval): positive steps between the distinct times of each log, in order."""
     times = log.filter(F.col("timestamp").isNotNull()).select("log_id", "timestamp").distinct()
-    return times.withColumn("interval", F.col("timestamp") - F.lag("timestamp").over(WT())).filter("interval > 0")
+    steps = scan(times, by_time(F.col("timestamp")), ("timestamp",), priors={"_before": F.col("timestamp")})
+    return steps.select("log_id", "timestamp", (F.col("timestamp") - F.col("_before")).alias("interval")).filter("interval > 0")
 
 
 def dropouts(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Rows (log_id, start_s, end_s, gap_s): intervals above the multiple of the log's median."""
     steps = intervals(log)
-    usual = steps.groupBy("log_id").agg(median(F.col("interval")).alias("median_s"))
+    usual = quantiles(steps, "interval", {"median_s": 0.5})
     far = steps.join(usual, "log_id").filter(F.col("interval") > F.col("median_s") * settings.dropout_multiplier)
     return far.select("log_id", (F.col("timestamp") - F.col("interval")).alias("start_s"), F.col("timestamp").alias("end_s"), F.col("interval").alias("gap_s"))
 
@@ -30,9 +27,9 @@ def dropouts(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def order_counts(log: DataFrame) -> DataFrame:
     """Rows (log_id, n_rows, n_duplicate, n_reverse) over all rows in row order.  Null is one of the values that repeat; a step
     from or to a null is no reversal."""
-    steps = log.select("log_id", "ord", "timestamp").withColumn("_back", (F.col("timestamp") < F.lag("timestamp").over(W())).cast("long"))
-    empty = F.max(F.col("timestamp").isNull().cast("long"))
-    return steps.groupBy("log_id").agg(F.count("*").alias("n_rows"), (F.count("*") - F.count_distinct("timestamp") - empty).alias("n_duplicate"), F.coalesce(F.sum("_back"), F.lit(0)).alias("n_reverse"))
+    steps = scan(log.select("log_id", "ord", "timestamp"), by_row(), ("ord",), priors={"_before": F.col("timestamp")})
+    by_value = steps.groupBy("log_id", "timestamp").agg(F.count("*").alias("n"), F.count_if(F.col("timestamp") < F.col("_before")).alias("back"))
+    return by_value.groupBy("log_id").agg(F.sum("n").alias("n_rows"), (F.sum("n") - F.count("*")).alias("n_duplicate"), F.sum("back").alias("n_reverse"))
 
 
 def analyze_timing(full: DataFrame, analysis: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -40,11 +37,10 @@ def analyze_timing(full: DataFrame, analysis: DataFrame, settings: Settings = Se
     distinct times)."""
     counts = order_counts(full)
     steps = intervals(analysis)
-    usual = steps.groupBy("log_id").agg(
-        F.avg("interval").alias("mean_s"), median(F.col("interval")).alias("median_s"), F.stddev_pop("interval").alias("std_s"), (F.max("timestamp") - F.min(F.col("timestamp") - F.col("interval"))).alias("duration_s")
-    )
-    n = dropouts(analysis, settings).groupBy("log_id").agg(F.count("*").alias("n_dropout"))
-    out = counts.join(usual, "log_id", "left").join(n, "log_id", "left")
+    usual = steps.groupBy("log_id").agg(F.avg("interval").alias("mean_s"), F.stddev_pop("interval").alias("std_s"), (F.max("timestamp") - F.min(F.col("timestamp") - F.col("interval"))).alias("duration_s"))
+    middle = quantiles(steps, "interval", {"median_s": 0.5})
+    n = steps.join(middle, "log_id").groupBy("log_id").agg(F.count_if(F.col("interval") > F.col("median_s") * settings.dropout_multiplier).alias("n_dropout"))
+    out = counts.join(usual, "log_id", "left").join(middle, "log_id", "left").join(n, "log_id", "left")
     available = F.col("median_s").isNotNull()
     return out.select(
         "log_id", available.alias("available"), "n_duplicate", "n_reverse", "mean_s", "median_s", "std_s", F.try_divide(F.lit(1.0), F.col("median_s")).alias("frequency_hz"),

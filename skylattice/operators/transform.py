@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite, median, present, to_boolean, to_number
+from ..functions.scalars import finite, present, to_boolean, to_number
 from ..settings import BOOLEAN, GROUPS, PARAMETERS, UNITS
 from .mapping import Mapping, Profile
+from .pieces import by_value, quantiles, scan
 
 #: Last tokens of column names that state a unit of time.
 TIME_TOKENS = {t: u for u, ts in {"seconds": "s sec secs second seconds", "milliseconds": "ms msec millisecond milliseconds", "microseconds": "us usec microsecond microseconds"}.items() for t in ts.split()}
@@ -30,8 +31,10 @@ def time_unit_of_name(column: str | None) -> str | None:
 def infer_time_unit(log: DataFrame) -> DataFrame:
     """Rows (log_id, unit, confidence, n_distinct, n_units): units in which the usual step and the duration of a log are plausible."""
     t = log.select("log_id", finite(F.col("timestamp")).alias("t")).dropna().distinct()
-    t = t.withColumn("step", F.col("t") - F.lag("t").over(Window.partitionBy("log_id").orderBy("t")))
-    f = t.groupBy("log_id").agg(F.count("*").alias("n_distinct"), median(F.when(F.col("step") > 0, F.col("step"))).alias("step"), (F.max("t") - F.min("t")).alias("span"))
+    spans = t.groupBy("log_id").agg(F.count("*").alias("n_distinct"), (F.max("t") - F.min("t")).alias("span"))
+    # pieces by value, as the unit is not known; a step is never zero between distinct times
+    steps = scan(t, by_value(F.col("t")), ("t",), priors={"before": F.col("t")}).select("log_id", (F.col("t") - F.col("before")).alias("step"))
+    f = spans.join(quantiles(steps, "step", {"step": 0.5}), "log_id", "left")
     fits = []
     for unit, factor in UNITS["time"].items():
         if factor:
