@@ -4,7 +4,7 @@ Words are compared in lower case and without ASCII punctuation.  A document meet
 ``least`` words (a shorter item is its own seed).  The seeds of all items set bits of a filter of fixed size, which is
 all that is broadcast; the documents it lets through join the items by seed.  Covering an item takes a number of its seeds, so
 each item may leave its most common ones out of the index, and pairs that share too few seeds go: neither loses a leak.
-What is left meets once a document, with the items beside its text.  Tiling then marks the longest matches first, found by Karp-Rabin hashes of runs of unmarked words, so that an item cut up and reordered is covered
+What is left meets in one sorted stream: a document's text, then its items one by one.  Tiling then marks the longest matches first, found by Karp-Rabin hashes of runs of unmarked words, so that an item cut up and reordered is covered
 as well.  An item whose words are covered to ``coverage`` or more has leaked.
 
 Null and empty texts and items meet nothing.  Columns beyond id and text play no part and stay as they are.  Rows that repeat an id are judged one by one.  Empty tables give an
@@ -153,29 +153,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("text"))
-    near = stored(rows.select("doc_id", "row", "text").mapInArrow(passing, "doc_id long, row long, text string, seeds array<long>"), "near").dropDuplicates(["doc_id", "row"])
-    pairs = near.select("doc_id", "row", F.explode("seeds").alias("seed")).join(seeds.drop("length"), "seed")
+    near = stored(rows.select("doc_id", "row", "text").mapInArrow(passing, "doc_id long, row long, text string, seeds array<long>"), "near")
+    pairs = near.select("doc_id", "row", "seeds").dropDuplicates(["doc_id", "row"]).select("doc_id", "row", F.explode("seeds").alias("seed")).join(seeds.drop("length"), "seed")
     pairs = pairs.groupBy("doc_id", "row", "item").agg(F.sum("m").alias("shared"), F.first("spare").alias("spare"), F.first("need").alias("need")).filter("shared + spare >= need")
-    beside = pairs.join(items, "item").groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items")).withColumnsRenamed({"doc_id": "d", "row": "r"})
-    both = near.drop("seeds").join(beside, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
+    kind = items.schema["item_id"].dataType.simpleString()
+    # a document and then its items, one row each, stream through a task: no row holds more than one text
+    asked = pairs.join(items, "item").select("doc_id", "row", F.lit(True).alias("asks"), "item_id", F.col("item_text").alias("text"))
+    texts = near.select("doc_id", "row", F.lit(False).alias("asks"), F.lit(None).cast(kind).alias("item_id"), "text")
+    both = texts.union(asked).repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "asks")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, text = None, np.empty(0, np.uint64)
         for batch in small_batches(batches, "text"):
-            doc, held = normalized(batch.column("text")), batch.column("items")
-            rows, flat = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy(zero_copy_only=False)), held.flatten()
-            item = normalized(flat.field("item_text"))
-            hd, hi = doc.hashes(), item.hashes()
-            share, found = [], []
-            for i, k in enumerate(rows.tolist()):
-                pattern = hi[item.first[i] : item.first[i + 1]]
-                got = tiles(pattern, hd[doc.first[k] : doc.first[k + 1]], least)
-                share.append(sum(n for *_, n in got) / len(pattern))
-                found.append([x for t in got for x in t])
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row").take(at), flat.field("item_id"), pa.array(share, pa.float64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "row", "item_id", "coverage", "tiles"])
-
-    kind = items.schema["item_id"].dataType.simpleString()
-    tiled = both.select("doc_id", "row", "text", "items").mapInArrow(tile, f"doc_id long, row long, item_id {kind}, coverage double, tiles array<long>")
+            w, share, found, at = normalized(batch.column("text")), [], [], []
+            h = w.hashes()
+            for k, (doc, row, asks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "asks")), strict=True)):
+                own = h[w.first[k] : w.first[k + 1]]
+                if not asks:
+                    key, text = (doc, row), own.copy()
+                elif key == (doc, row):
+                    got = tiles(own, text, least)
+                    share.append(sum(n for *_, n in got) / len(own))
+                    found.append([x for t in got for x in t])
+                    at.append(k)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("doc_id", "row", "item_id")), pa.array(share, pa.float64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "row", "item_id", "coverage", "tiles"])
+
+    tiled = both.mapInArrow(tile, f"doc_id long, row long, item_id {kind}, coverage double, tiles array<long>")
     return tiled.filter(F.col("coverage") >= coverage)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import own_columns, small_batches, stored, texts_of
+from .textops import own_columns, plainly_named, small_batches, stored, texts_of
 
 UNIT = 192
 
@@ -288,20 +288,22 @@ def sniff_media(files: DataFrame, data_col: str = "media", type_col: str = "decl
     others stay."""
     out_type = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("sha256", pa.string())]))
     files = files.select(*[c for c, name in zip(own_columns(files), files.columns, strict=True) if name.lower() not in ("found", "corrected", "carved")])
-    sql = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields) + ", found string, corrected boolean, carved array<struct<type:string,start:long,end:long,sha256:string>>"
+    plain = plainly_named(files)
+    data_at, type_at = (f"c{files.columns.index(c)}" for c in (data_col, type_col))
+    sql = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields) + ", found string, corrected boolean, carved array<struct<type:string,start:long,end:long,sha256:string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, data_col, 4 << 20):
+        for batch in small_batches(batches, data_at, 4 << 20):
             found, carved = [], []
-            for x in batch.column(data_col):
+            for x in batch.column(data_at):
                 data = x.as_py()
                 kind, inner = sniff(data) if data else (None, [])
                 found.append(kind)
                 carved.append([{"type": t, "start": a, "end": b, "sha256": hashlib.sha256(data[a:b]).hexdigest()} for t, a, b in inner])
-            corrected = [f is not None and f != d for f, d in zip(found, batch.column(type_col).to_pylist(), strict=True)]
+            corrected = [f is not None and f != d for f, d in zip(found, batch.column(type_at).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(corrected), pa.array(carved, out_type)], names=[*batch.schema.names, "found", "corrected", "carved"])
 
-    return files.mapInArrow(run, sql)
+    return plain.mapInArrow(run, sql).toDF(*files.columns, "found", "corrected", "carved")
 
 
 def _stores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, training_sample
-from .textops import Words, list_array, mix, small_batches, texts_of
+from .textops import list_array, mix, plainly_named, small_batches, texts_of, Words
 
 FOLDS = 5
 
@@ -231,15 +231,16 @@ def score(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id
 
 
 def kept(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, with their columns.  Texts without words are rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs`` whose score reaches the threshold, with their columns.  Null texts and texts without words are rejected; rows that repeat an id
+    or are equal are judged one by one; an empty table gives an empty result."""
+    shared, plain, text = docs.sparkSession.sparkContext.broadcast(model), plainly_named(docs), f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text_col):
-            columns, counts = indicators(batch.column(text_col), shared.value.bits)
+        for batch in small_batches(batches, text):
+            columns, counts = indicators(batch.column(text), shared.value.bits)
             yield batch.filter(pa.array((shared.value.scores(columns, counts) >= threshold) & (counts > 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 8000) -> DataFrame:

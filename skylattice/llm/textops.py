@@ -232,3 +232,9 @@ def spare_names(df: DataFrame, *names: str) -> list[str]:
 
 def own_columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def plainly_named(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1 and so on, for functions on Arrow batches that return rows as they are: names may hold dots or backquotes.
+    ``toDF(*df.columns)`` gives the names back."""
+    return df.select(*[c.alias(f"c{k}") for k, c in enumerate(own_columns(df))])

@@ -147,9 +147,9 @@ def test_validators_find_the_end():
 
 
 def test_sniff_media_replaces_its_columns(spark):
-    rows = [(png(3), "image/gif", "x", {"a": 1}), (b"\xff\xfe" * 9, None, None, None)]
-    got = media.sniff_media(spark.createDataFrame(rows, "media binary, declared string, found string, carved map<string,int>"))
-    assert got.columns == ["media", "declared", "found", "corrected", "carved"] and [r.found for r in got.collect()] == ["image/png", None]
+    rows = [(png(3), "image/gif", "x", {"a": 1}, 1, "y"), (b"\xff\xfe" * 9, None, None, None, 2, "z")]
+    got = media.sniff_media(spark.createDataFrame(rows, "media binary, declared string, found string, carved map<string,int>, `a.b` int, `c``d` string"))
+    assert got.columns == ["media", "declared", "a.b", "c`d", "found", "corrected", "carved"] and [r.found for r in got.collect()] == ["image/png", None]
 
 
 def test_sniff_media(spark):
