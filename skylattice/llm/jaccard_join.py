@@ -48,8 +48,10 @@ def shingle_sets(texts: pa.Array, words: int, twice: bool = False) -> tuple[np.n
     start, owner = w.owners(words)
     short = np.flatnonzero((w.counts > 0) & (w.counts < words))
 
+    words_hashed = w.several((1, 2) if twice else (1,))
+
     def all_hashes(seed: int) -> np.ndarray:
-        h = w.hashes(seed + 1)
+        h = words_hashed[seed]
         return np.concatenate([run_hashes(h, start, words, seed), run_hashes(h, w.first[short], w.counts[short], seed)])
 
     got, owner = all_hashes(0), np.concatenate([owner, short])

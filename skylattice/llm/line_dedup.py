@@ -44,11 +44,11 @@ class Lines:
         self.first = np.flatnonzero(head)
         self.count = np.diff(np.append(self.first, len(text)))
         self.text, self.number = text[self.first], number[self.first]
-        self.hashes = w.hashes()
+        self.hashes, self.others = w.several((1, 2))
 
     def hash(self, seed: int = 0) -> np.ndarray:
         """Hashes of the lines; with a seed, of other hashes of the words and independent of those without."""
-        return run_hashes(self.words.hashes(seed + 1) if seed else self.hashes, self.first, self.count, seed)
+        return run_hashes(self.others if seed else self.hashes, self.first, self.count, seed)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

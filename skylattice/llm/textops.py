@@ -94,25 +94,33 @@ class Words:
 
     def hashes(self, seed: int = 1, most: int | None = None) -> np.ndarray:
         """A 64-bit hash of each word, or of its first ``most`` bytes: a sum over its bytes of random values of (byte, place in the word)."""
-        if not len(self.starts):
-            return np.empty(0, np.uint64)
-        out = np.empty(len(self.starts), np.uint64)
-        table, step = _near_values(seed), 1 << 18
-        at = 0
+        return self.several((seed,), most)[0]
+
+    def several(self, seeds: tuple[int, ...], most: int | None = None) -> list[np.ndarray]:
+        """Independent hashes of each word, one array for each seed."""
+        out = [np.empty(len(self.starts), np.uint64) for _ in seeds]
+        step, at = 1 << 17, 0
         while at < len(self.starts):  # in slices, so that the temporary sums stay small
             begin = self.starts[at]
             upto = max(at + 1, int(np.searchsorted(self.ends, begin + step, "right")))
             piece = self.data[begin : self.ends[upto - 1]]
+            kind = np.int32 if len(piece) < 1 << 31 else np.int64
             s, e = self.starts[at:upto] - begin, self.ends[at:upto] - begin
-            place = np.arange(len(piece)) - np.repeat(s, np.diff(np.append(s, len(piece))))
-            value = table[np.minimum(place, _NEAR - 1) << 8 | piece]
-            far = np.flatnonzero(place >= _NEAR)
-            value[far] = _byte_values(piece[far], place[far], seed)
-            total = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(value, out=total[1:])
+            place = np.arange(len(piece), dtype=kind)
+            place -= np.repeat(s.astype(kind), np.diff(np.append(s, len(piece))))
+            long = int((e - s).max()) > _NEAR
+            near = (np.minimum(place, _NEAR - 1) << 8) | piece  # blanks after a word count for nothing
+            far = np.flatnonzero(place >= _NEAR) if long else None
             if most:
                 e = np.minimum(e, s + most)
-            out[at:upto] = mix(total[e] - total[s] + (e - s).astype(np.uint64))
+            for hashes, seed in zip(out, seeds, strict=True):
+                total = np.empty(len(piece) + 1, np.uint64)
+                total[0] = 0
+                value = _near_values(seed).take(near)
+                if long:
+                    value[far] = _byte_values(piece[far], place[far], seed)
+                np.cumsum(value, out=total[1:])
+                hashes[at:upto] = mix(total[e] - total[s] + (e - s).astype(np.uint64))
             at = upto
         return out
 
