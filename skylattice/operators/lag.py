@@ -45,13 +45,16 @@ def prepared(log: DataFrame, s: LagSettings) -> tuple[DataFrame, DataFrame]:
     per = Window.partitionBy("log_id")
     means = means.withColumn("n_times", F.count("*").over(per)).withColumn("dt", median(F.col("step")).over(per))
     parts = means.withColumn("part", F.sum(F.coalesce((F.col("step") > s.gap * F.col("dt")).cast("int"), F.lit(0))).over(wt))
+    inside = Window.partitionBy("log_id", "part")
+    due = F.min("timestamp").over(inside) + (F.row_number().over(inside.orderBy("timestamp")) - 1) * F.col("dt")
+    parts = parts.withColumn("off", F.abs(F.col("timestamp") - due) - F.greatest(F.lit(1e-12), F.col("dt") * 1e-7) - 1e-7 * F.abs(due))  # above zero: beside the grid
     parts = stored(parts, "lag_samples")  # read by the facts and by the grid
     usual = parts.groupBy("log_id").agg(F.first("n_times").alias("n_times"), F.first("dt").alias("dt"))
-    sizes = parts.groupBy("log_id", "part").agg(F.min("timestamp").alias("t0"), (F.max("timestamp") - F.min("timestamp")).alias("duration"), F.count("*").alias("n_part")).withColumn("n_gaps", F.max("part").over(Window.partitionBy("log_id")))
+    sizes = parts.groupBy("log_id", "part").agg(F.min("timestamp").alias("t0"), (F.max("timestamp") - F.min("timestamp")).alias("duration"), F.count("*").alias("n_part"), F.max("off").alias("off")).withColumn("n_gaps", F.max("part").over(Window.partitionBy("log_id")))
     best = sizes.filter("n_part >= 2").withColumn("_rank", F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("duration"), F.desc("n_part"), "t0"))).filter("_rank = 1").drop("_rank")
     facts = counts.join(usual, "log_id", "left").join(best, "log_id", "left").withColumn("n_grid", (F.floor(F.col("duration") / F.col("dt") + 1e-9) + 1).cast("long"))
     facts = stored(facts, "lag_facts")  # one row a log
-    return parts.drop("n_times").join(facts.select("log_id", "part", "t0", "n_grid"), ["log_id", "part"]), facts
+    return parts.drop("n_times", "off").join(facts.select("log_id", "part", "t0", "n_grid"), ["log_id", "part"]), facts
 
 
 #: Grid points of a log that one task compares; longer logs are cut, each piece with as many neighbours as the largest lag.
@@ -103,8 +106,9 @@ def lag_correlations(log: DataFrame, s: LagSettings = LagSettings()) -> tuple[Da
     return table, facts, facts.join(grid.filter("k = 0").select("log_id"), "log_id").select("log_id")
 
 
-def lag_analysis(log: DataFrame, s: LagSettings = LagSettings()) -> DataFrame:
-    """One row a log with finite triples: the lag of best correlation (positive: the reference is later), how far it can be relied on, and why not."""
+def lag_analysis(log: DataFrame, s: LagSettings = LagSettings(), source: str = "other") -> DataFrame:
+    """One row a log with finite triples: the lag of best correlation (positive: the reference is later), how far it can be relied on, and why not;
+    whether the samples had to be interpolated onto the grid, and what to mind about a reference of that ``source``."""
     table, facts, alive = lag_correlations(log, s)
     per = Window.partitionBy("log_id")
     at = per.orderBy("lag")
@@ -136,8 +140,9 @@ def lag_analysis(log: DataFrame, s: LagSettings = LagSettings()) -> DataFrame:
     high = (F.col("r_max") >= s.good.correlation) & F.coalesce(apart >= s.good.apart, F.lit(True))
     out = out.withColumn("reason", reason)
     confidence = F.when(F.col("lag").isNull(), "unavailable").when(F.col("reason").isNotNull(), "low").when(high, "high").otherwise("medium")
+    gridded = ~few & ~F.coalesce(short, F.lit(True))
     return out.select(
-        "log_id", F.greatest(-limit, F.least(limit, F.col("lag") * F.col("dt"))).alias("estimated_lag_s"), F.col("r_max").alias("max_correlation"), (F.col("lag").isNotNull() & F.col("reason").isNull()).alias("reliable"),
+        "log_id", F.when(gridded, (F.col("n_part") != F.col("n_grid")) | (F.col("off") > 0)).alias("interpolated"), F.lit(CAVEATS[source]).alias("caveat"), F.greatest(-limit, F.least(limit, F.col("lag") * F.col("dt"))).alias("estimated_lag_s"), F.col("r_max").alias("max_correlation"), (F.col("lag").isNotNull() & F.col("reason").isNull()).alias("reliable"),
         confidence.alias("confidence"), "reason", F.when(~few & ~F.coalesce(short, F.lit(True)) & F.col("live"), limit).alias("search_limit_s"), F.when(F.col("lag").isNotNull(), boundary).alias("at_boundary"),
         F.col("second").alias("second_best"), apart.alias("peak_separation"), "overlap", F.when(F.col("lag").isNotNull(), sign).alias("sign_mismatch"), "n_original", F.when(~few, F.col("n_grid")).alias("n_grid"), F.when(~few, F.col("dt")).alias("dt"),
         F.when(~few, F.coalesce(F.col("n_gaps"), F.lit(0)) > 0).alias("gap_excluded"), "n_duplicate", "reordered",

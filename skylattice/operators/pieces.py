@@ -67,22 +67,26 @@ def scan(rows: DataFrame, piece: Column, order: tuple[str, ...], keys: tuple[str
     return out.drop("_piece", *[f"_{k}_{n}" for n in sums for k in ("in", "sum")], *[f"_{k}_{n}" for n in priors for k in ("in", "last")])
 
 
-def quantiles(rows: DataFrame, value: str, wanted: Mapping[str, float], keys: tuple[str, ...] = ("log_id",)) -> DataFrame:
-    """One row for each of ``keys`` with a value: exact quantiles of a double column, between two values by linear interpolation.
+def ranked(rows: DataFrame, value: str, keys: tuple[str, ...] = ("log_id",)) -> DataFrame:
+    """Rows (keys, v, n, upto, of): the distinct values of a double column with their number, the number of values up to and with them, and of all.
 
-    Equal values are counted before they travel.  Counts by pieces of the values, added up, tell the piece of each rank, and only inside
-    a piece values are put in order; no state holds the values of a log.
+    Equal values are counted before they travel.  Counts by pieces of the values, added up, tell what lies before a piece, and only inside a piece
+    values are put in order; no state holds the values of a log.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    placed = scan(counts, by_value(F.col("_v")), ("_v",), keys, sums={"_upto": F.col("_n")}, totals={"_of": F.col("_n")})
-    picks = []
-    for name, p in wanted.items():
-        place = F.lit(float(p)) * (F.col("_of") - 1)  # from 0
-        low = F.floor(place).cast("long")
-        held = lambda k: (F.col("_upto") > k) & (F.col("_upto") - F.col("_n") <= k)
-        part = place - low
-        picks.append((name, held(low), held(F.least(low + 1, F.col("_of") - 1)), part))
-    some = placed.filter(F.greatest(*[(a | b).cast("int") for _, a, b, _ in picks], F.lit(0)) > 0)
-    ends = some.groupBy(*keys).agg(*[e for name, a, b, part in picks for e in (F.max(F.when(a, F.col("_v"))).alias(f"_{name}_a"), F.max(F.when(b, F.col("_v"))).alias(f"_{name}_b"), F.max(part).alias(f"_{name}_p"))])
-    between = lambda n: F.when(F.col(f"_{n}_p") == 0, F.col(f"_{n}_a")).otherwise((1 - F.col(f"_{n}_p")) * F.col(f"_{n}_a") + F.col(f"_{n}_p") * F.col(f"_{n}_b"))
-    return ends.select(*keys, *[between(n).alias(n) for n in wanted])
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    return scan(counts, by_value(F.col("v")), ("v",), keys, sums={"upto": F.col("n")}, totals={"of": F.col("n")})
+
+
+def picked(p: float) -> Column:
+    """The exact quantile of a key of ``ranked`` rows as an aggregate: between two values by linear interpolation."""
+    place = F.lit(float(p)) * (F.col("of") - 1)  # from 0
+    low = F.floor(place).cast("long")
+    held = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("v")))
+    part = F.max(place - low)
+    a, b = held(low), held(F.least(low + 1, F.col("of") - 1))
+    return F.when(part == 0, a).otherwise((1 - part) * a + part * b)
+
+
+def quantiles(rows: DataFrame, value: str, wanted: Mapping[str, float], keys: tuple[str, ...] = ("log_id",)) -> DataFrame:
+    """One row for each of ``keys`` with a value: exact quantiles of a double column."""
+    return ranked(rows, value, keys).groupBy(*keys).agg(*[picked(p).alias(n) for n, p in wanted.items()])

@@ -82,8 +82,12 @@ def sorted_unique_time(log: DataFrame) -> DataFrame:
     return timed.filter("_nth = 1").drop("_nth", "_before").join(counts, "log_id")
 
 
-def validate(log: DataFrame, settings: Settings = Settings(), raw: DataFrame | None = None, duplicate_columns: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (log_id, severity, code, n) of findings, one aggregate a log.  ``raw``: the log's text columns, for checks of the file."""
+def validate(log: DataFrame, settings: Settings = Settings(), raw: DataFrame | None = None, duplicate_columns: tuple[str, ...] = (), expected: DataFrame | None = None) -> DataFrame:
+    """Rows (log_id, severity, code, n) of findings, one aggregate a log.
+
+    ``raw``: the log's text columns, for checks of the file; texts that stand for missing values are missing there, and ``file_hash`` is no column of the file.
+    ``expected``: log ids (``log_id``) that should be there; those without a row have ``empty_csv`` and nothing else.
+    """
     columns = set(log.columns)
     numeric = [c for c in NUMERIC if c in columns]
     aggs = [F.count("*").alias("rows")]
@@ -103,9 +107,9 @@ def validate(log: DataFrame, settings: Settings = Settings(), raw: DataFrame | N
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
     always = F.lit(1).cast("long")
     if raw is not None:
-        texts = [c for c in raw.columns if c not in ("log_id", "ord")]
-        constant = sum(((F.count_distinct(F.col(c)) <= 1).cast("long") for c in texts), F.lit(0))
-        missing = sum((F.count_if(F.col(c).isNull()) for c in texts), F.lit(0))
+        texts = [present(F.col("`" + c.replace("`", "``") + "`").cast("string")) for c in raw.columns if c not in ("log_id", "ord", "file_hash")]
+        constant = sum(((F.count_distinct(c) <= 1).cast("long") for c in texts), F.lit(0))
+        missing = sum((F.count_if(c.isNull()) for c in texts), F.lit(0))
         facts = facts.join(raw.groupBy("log_id").agg(constant.alias("constant"), missing.alias("missing")), "log_id", "left")
         checks += [("warning", "constant_columns", positive("constant")), ("warning", "missing_values", positive("missing"))]
     if duplicate_columns:
@@ -125,4 +129,8 @@ def validate(log: DataFrame, settings: Settings = Settings(), raw: DataFrame | N
         if flag in columns:
             checks.append(("warning", code, F.when(~F.col(f"any_{flag}"), always)))
     found = F.filter(F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(c).alias("code"), n.cast("long").alias("n")) for s, c, n in checks]), lambda x: x["n"].isNotNull())
-    return facts.select("log_id", F.explode(found).alias("m")).select("log_id", "m.severity", "m.code", "m.n")
+    out = facts.select("log_id", F.explode(found).alias("m")).select("log_id", "m.severity", "m.code", "m.n")
+    if expected is None:
+        return out
+    lacking = expected.select("log_id").distinct().join(log.select("log_id").distinct(), "log_id", "left_anti")
+    return out.union(lacking.select("log_id", F.lit("error"), F.lit("empty_csv"), F.lit(0).cast("long")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import Settings
-from .pieces import by_row, by_time, quantiles, scan
+from .pieces import by_row, by_time, picked, quantiles, ranked, scan
 
 
 def intervals(log: DataFrame) -> DataFrame:
@@ -36,11 +36,15 @@ def analyze_timing(full: DataFrame, analysis: DataFrame, settings: Settings = Se
     """One row a log of ``full``: counts over the full log, and timing of the analysis rows (null and not available below two
     distinct times)."""
     counts = order_counts(full)
-    steps = intervals(analysis)
-    usual = steps.groupBy("log_id").agg(F.avg("interval").alias("mean_s"), F.stddev_pop("interval").alias("std_s"), (F.max("timestamp") - F.min(F.col("timestamp") - F.col("interval"))).alias("duration_s"))
-    middle = quantiles(steps, "interval", {"median_s": 0.5})
-    n = steps.join(middle, "log_id").groupBy("log_id").agg(F.count_if(F.col("interval") > F.col("median_s") * settings.dropout_multiplier).alias("n_dropout"))
-    out = counts.join(usual, "log_id", "left").join(middle, "log_id", "left").join(n, "log_id", "left")
+    steps = ranked(intervals(analysis), "interval")
+    middle = steps.groupBy("log_id").agg(picked(0.5).alias("median_s"))
+    off = F.col("v") - F.col("median_s")  # moments about the median: exact zeros stay zero
+    sums = steps.join(middle, "log_id").groupBy("log_id").agg(
+        F.first("median_s").alias("median_s"), F.sum(F.col("n") * F.col("v")).alias("duration_s"), (F.sum(F.col("n") * off) / F.sum("n")).alias("shift"), (F.sum(F.col("n") * off * off) / F.sum("n")).alias("square"),
+        F.sum(F.when(F.col("v") > F.col("median_s") * settings.dropout_multiplier, F.col("n"))).alias("n_dropout"),
+    )
+    usual = sums.withColumns({"mean_s": F.col("median_s") + F.col("shift"), "std_s": F.sqrt(F.greatest(F.col("square") - F.col("shift") * F.col("shift"), F.lit(0.0)))})
+    out = counts.join(usual, "log_id", "left")
     available = F.col("median_s").isNotNull()
     return out.select(
         "log_id", available.alias("available"), "n_duplicate", "n_reverse", "mean_s", "median_s", "std_s", F.try_divide(F.lit(1.0), F.col("median_s")).alias("frequency_hz"),

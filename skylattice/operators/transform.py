@@ -14,7 +14,11 @@ from .mapping import Mapping, Profile
 from .pieces import by_value, quantiles, scan
 
 #: Last tokens of column names that state a unit of time.
-TIME_TOKENS = {t: u for u, ts in {"seconds": "s sec secs second seconds", "milliseconds": "ms msec millisecond milliseconds", "microseconds": "us usec microsecond microseconds"}.items() for t in ts.split()}
+TIME_TOKENS = {
+    "s": "seconds", "sec": "seconds", "secs": "seconds", "second": "seconds", "seconds": "seconds",
+    "ms": "milliseconds", "msec": "milliseconds", "millisecond": "milliseconds", "milliseconds": "milliseconds",
+    "us": "microseconds", "usec": "microseconds", "microsecond": "microseconds", "microseconds": "microseconds",
+}
 FASTEST_HZ, SLOWEST_HZ, LONGEST_S = 2000.0, 0.2, 48 * 3600.0
 
 
@@ -63,6 +67,22 @@ def resolve_time_unit(profile: Profile, mapping: Mapping, values: DataFrame | No
     raise AmbiguousTime("the unit of time cannot be told; choose one")
 
 
+def time_units(values: DataFrame, profile: Profile, mapping: Mapping, least: float = 0.85) -> DataFrame:
+    """Rows (log_id, unit, confidence, n_distinct, n_units, decided_by) of every log of ``values`` (log_id, timestamp): the unit that the profile, the mapping or the
+    column's name states, else what a log's own values say with ``least`` confidence; ``unit`` is null where that is ambiguous."""
+    stated = [(by, u) for by, u in (("profile", profile.time_unit), ("mapping", mapping.unit or "auto"), ("name", time_unit_of_name(mapping.column) or "auto")) if u != "auto"]
+    for _, unit in stated:
+        if unit not in UNITS["time"]:
+            raise ValueError(f"unknown time unit: {unit}")
+    if stated:
+        by, unit = stated[0]
+        none = F.lit(None)
+        return values.select("log_id").distinct().select("log_id", F.lit(unit).alias("unit"), none.cast("double").alias("confidence"), none.cast("long").alias("n_distinct"), none.cast("long").alias("n_units"), F.lit(by).alias("decided_by"))
+    logs = values.select("log_id").distinct().join(infer_time_unit(values), "log_id", "left")
+    sure = F.coalesce(F.col("confidence") >= least, F.lit(False))
+    return logs.select("log_id", F.when(sure, F.col("unit")).alias("unit"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct"), F.coalesce("n_units", F.lit(0).cast("long")).alias("n_units"), F.when(sure, "values").alias("decided_by"))
+
+
 def _value(parameter: str, m: Mapping) -> Column:
     raw = present(F.col(f"`{m.column}`").cast("string"))
     if parameter in BOOLEAN:
@@ -85,6 +105,25 @@ def transform(raw: DataFrame, profile: Profile) -> tuple[DataFrame, list[str]]:
     return raw.select("log_id", "ord", *[v.alias(p) for p, v in values.items()]), warnings
 
 
+def transform_each(raw: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(canonical logs, refused logs, warnings about missing columns): as ``transform``, but with a unit of time for each log.
+
+    Logs whose unit cannot be told are rows (log_id, reason, confidence, n_distinct, n_units) of the second table; the others are converted.
+    """
+    m = profile.parameters.get("timestamp")
+    if m is None or m.column not in raw.columns:
+        out, warnings = transform(raw, profile)
+        kinds = "log_id long, reason string, confidence double, n_distinct long, n_units long"
+        return out, raw.sparkSession.createDataFrame([], kinds), warnings
+    units = time_units(raw.select("log_id", _value("timestamp", m).alias("timestamp")), profile, m)
+    plain, warnings = transform(raw, Profile(profile.parameters, "seconds"))
+    factor = F.coalesce(*[F.when(F.col("unit") == u, F.lit(f)) for u, f in UNITS["time"].items() if f])
+    known = plain.join(units.filter("unit IS NOT NULL").select("log_id", "unit"), "log_id")
+    out = known.withColumn("timestamp", F.col("timestamp") * factor).select(*plain.columns)
+    reason = F.when(F.col("n_distinct") < 2, "too_few_times").when(F.col("n_units") > 1, "several_units_fit").when(F.col("n_units") == 0, "no_unit_fits").otherwise("low_confidence")
+    return out, units.filter("unit IS NULL").select("log_id", reason.alias("reason"), "confidence", "n_distinct", "n_units"), warnings
+
+
 def conversion_failures(raw: DataFrame, profile: Profile) -> DataFrame:
     """Rows (log_id, parameter, n): known texts that are no value of their parameter."""
     maps = {p: m for p, m in profile.parameters.items() if m.column in raw.columns}

@@ -76,7 +76,8 @@ lc AS (SELECT log_id, count(*) AS n_original, count(*) - count(DISTINCT timestam
 lstep AS (SELECT *, timestamp - lag(timestamp) OVER (PARTITION BY log_id ORDER BY timestamp) AS step FROM lm),
 lu AS (SELECT log_id, count(*) AS n_times, median(step) AS dt FROM lstep GROUP BY log_id),
 lp AS (SELECT l.*, dt, sum(coalesce((step > 3.0::DOUBLE * dt)::INT, 0)) OVER (PARTITION BY l.log_id ORDER BY timestamp)::BIGINT AS part FROM lstep l JOIN lu USING (log_id)),
-lz AS (SELECT *, max(part) OVER (PARTITION BY log_id) AS n_gaps FROM (SELECT log_id, part, min(timestamp) AS t0, max(timestamp) - min(timestamp) AS duration, count(*) AS n_part FROM lp GROUP BY log_id, part)),
+lpo AS (SELECT *, abs(timestamp - due) - greatest(1e-12, dt * 1e-7) - 1e-7 * abs(due) AS off FROM (SELECT *, min(timestamp) OVER (PARTITION BY log_id, part) + (row_number() OVER (PARTITION BY log_id, part ORDER BY timestamp) - 1) * dt AS due FROM lp)),
+lz AS (SELECT *, max(part) OVER (PARTITION BY log_id) AS n_gaps FROM (SELECT log_id, part, min(timestamp) AS t0, max(timestamp) - min(timestamp) AS duration, count(*) AS n_part, max(off) AS off FROM lpo GROUP BY log_id, part)),
 lb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY duration DESC, n_part DESC, t0) AS rk FROM lz WHERE n_part >= 2) WHERE rk = 1),
 lf AS (SELECT *, least(2.0::DOUBLE, duration * 0.25::DOUBLE) AS limit_s, (floor(duration / dt + 1e-9) + 1)::BIGINT AS n_grid FROM lc LEFT JOIN lu USING (log_id) LEFT JOIN lb USING (log_id)),
 lf2 AS (SELECT *, floor(limit_s / dt + 1e-9)::BIGINT AS most, greatest(20, ceil(0.3::DOUBLE * n_grid))::BIGINT AS least_n FROM lf),
@@ -100,7 +101,7 @@ q5 AS (SELECT f.*, q.lag, q.n AS overlap, q.pos, q.n_lags, q.r_max, q.r_min, sec
 q6 AS (SELECT *, n_original < 20 OR n_times < 20 AS few, (pos - 1 <= 1 OR pos >= n_lags - 1) AS edge, (r_min <= -0.5::DOUBLE AND abs(r_min) > r_max + 0.05::DOUBLE) AS wrong FROM q5),
 q7 AS (SELECT *, CASE WHEN few THEN 'too_few_samples' WHEN dt IS NULL THEN 'no_interval' WHEN duration IS NULL OR n_grid < 20 THEN 'segment_too_short' WHEN NOT live THEN 'flat_signal' WHEN most < 1 THEN 'segment_too_short' WHEN lag IS NULL THEN 'no_candidate'
   WHEN edge THEN 'at_boundary' WHEN wrong THEN 'sign_mismatch' WHEN r_max < 0.5::DOUBLE THEN 'weak' WHEN apart < 0.05::DOUBLE THEN 'ambiguous' WHEN overlap < least_n THEN 'small_overlap' END AS reason FROM q6),
-lagx AS (SELECT log_id, greatest(-lim, least(lim, lag * dt)) AS estimated_lag_s, r_max AS max_correlation, lag IS NOT NULL AND reason IS NULL AS reliable,
+lagx AS (SELECT log_id, CASE WHEN NOT few AND duration IS NOT NULL AND n_grid >= 20 THEN n_part <> n_grid OR off > 0 END AS interpolated, 'check the sensor type and the datum of the reference' AS caveat, greatest(-lim, least(lim, lag * dt)) AS estimated_lag_s, r_max AS max_correlation, lag IS NOT NULL AND reason IS NULL AS reliable,
   CASE WHEN lag IS NULL THEN 'unavailable' WHEN reason IS NOT NULL THEN 'low' WHEN r_max >= 0.7::DOUBLE AND coalesce(apart >= 0.1::DOUBLE, true) THEN 'high' ELSE 'medium' END AS confidence, reason,
   CASE WHEN NOT few AND live THEN lim END AS search_limit_s, CASE WHEN lag IS NOT NULL THEN edge END AS at_boundary, second AS second_best, apart AS peak_separation, overlap, CASE WHEN lag IS NOT NULL THEN wrong END AS sign_mismatch,
   n_original, CASE WHEN NOT few THEN n_grid END AS n_grid, CASE WHEN NOT few THEN dt END AS dt, CASE WHEN NOT few THEN coalesce(n_gaps, 0) > 0 END AS gap_excluded, n_duplicate, reordered FROM q7)"""
@@ -180,7 +181,7 @@ RAW = """raw AS (SELECT log_id, ord, time_ms::VARCHAR AS time_ms, round(altitude
   CASE WHEN althold_active THEN 'cruise' ELSE 'fault' END AS note FROM flight_log)"""
 _RAW_COLUMNS = ("time_ms", "alt_sp", "ekf_alt", "alt_corr", "pwm_1", "pwm_2", "is_armed", "alt_hold", "note")
 PROFILE = RAW + ",\ncells AS (" + " UNION ALL ".join(f"SELECT log_id, ord, {k} AS position, '{c}' AS \"column\", CASE WHEN {c} NOT IN ('', 'NA') THEN {c} END AS v FROM raw" for k, c in enumerate(_RAW_COLUMNS)) + r"""),
-cells2 AS (SELECT *, CASE WHEN regexp_full_match(v, '[+-]?\d+') THEN v::DOUBLE END AS x, sum((v IS NOT NULL)::INT) OVER (PARTITION BY log_id, position ORDER BY ord) AS nth FROM cells),
+cells2 AS (SELECT *, CASE WHEN regexp_full_match(v, '[+-]?\d+') THEN v::DOUBLE END AS x, sum((v IS NOT NULL)::INT) OVER (PARTITION BY log_id, position ORDER BY ord) AS nth, row_number() OVER (PARTITION BY log_id, position ORDER BY ord) AS place FROM cells),
 prof AS (SELECT log_id, position, "column", CASE WHEN count(v) = 0 THEN 'unknown' WHEN bool_and(lower(v) IN ('true','false','0','1','yes','no','on','off')) FILTER (v IS NOT NULL AND nth <= 500) THEN 'boolean'
   WHEN avg((x IS NOT NULL)::INT) FILTER (v IS NOT NULL) >= 0.95 THEN 'numeric' ELSE 'string' END AS type, count(v) AS n, avg((v IS NULL)::INT) AS missing_ratio, min(x) AS minimum, max(x) AS maximum, avg(x) AS mean, CASE WHEN count(x) > 1 THEN stddev_samp(x) END AS std,
-  count(DISTINCT v) AS n_distinct, array_to_string(list(v ORDER BY nth) FILTER (v IS NOT NULL AND nth <= 5), '|') AS first_values FROM cells2 GROUP BY log_id, position, "column")"""
+  count(DISTINCT v) AS n_distinct, array_to_string(list(coalesce(v, 'null') ORDER BY ord) FILTER (place <= 5), '|') AS first_values FROM cells2 GROUP BY log_id, position, "column")"""

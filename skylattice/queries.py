@@ -54,7 +54,7 @@ RAW_PROFILE = mapping.Profile(
 
 @query(final(oracle.PROFILE, "prof", 'log_id position "column" type n n_distinct first_values', "missing_ratio minimum maximum mean std"))
 def b2_column_profile(log: DataFrame) -> DataFrame:
-    return profile.profile_columns(raw_log(log)).withColumn("first_values", F.array_join("first_values", "|")).drop("zero_one")
+    return profile.profile_columns(raw_log(log)).withColumn("first_values", F.array_join("first_values", "|", "null")).drop("zero_one")
 
 
 @query()
@@ -85,6 +85,24 @@ def d9_time_unit(log: DataFrame) -> DataFrame:
     return transform.infer_time_unit(log.select("log_id", F.col("time_ms").cast("double").alias("timestamp")))
 
 
+@query(final("""
+u0 AS (SELECT log_id, CASE log_id % 3 WHEN 0 THEN time_ms::DOUBLE WHEN 1 THEN time_ms::DOUBLE * 1000 ELSE ord::DOUBLE END AS raw FROM flight_log),
+u1 AS (SELECT *, raw - lag(raw) OVER (PARTITION BY log_id ORDER BY raw) AS step FROM (SELECT DISTINCT log_id, raw FROM u0)),
+u2 AS (SELECT log_id, count(*) AS n_distinct, median(step) FILTER (step > 0) AS step, max(raw) - min(raw) AS span FROM u1 GROUP BY log_id),
+u3 AS (SELECT log_id, n_distinct, list_filter([CASE WHEN 1 / step BETWEEN 0.2 AND 2000 AND span > 0 AND span <= 172800 THEN 1.0::DOUBLE END, CASE WHEN 1 / (step * 0.001::DOUBLE) BETWEEN 0.2 AND 2000 AND span > 0 AND span * 0.001::DOUBLE <= 172800 THEN 0.001::DOUBLE END,
+  CASE WHEN 1 / (step * 0.000001::DOUBLE) BETWEEN 0.2 AND 2000 AND span > 0 AND span * 0.000001::DOUBLE <= 172800 THEN 0.000001::DOUBLE END], lambda x: x IS NOT NULL) AS units FROM u2),
+u4 AS (SELECT u.log_id, CASE WHEN len(units) = 1 AND n_distinct >= 3 THEN raw * units[1] END AS time, CASE WHEN len(units) = 1 AND n_distinct >= 3 THEN NULL WHEN n_distinct < 2 THEN 'too_few_times' WHEN len(units) > 1 THEN 'several_units_fit' WHEN len(units) = 0 THEN 'no_unit_fits' ELSE 'low_confidence' END AS reason FROM u0 u JOIN u3 USING (log_id)),
+u5 AS (SELECT log_id, reason, count(*) AS n, min(time) AS start_s, max(time) AS end_s FROM u4 GROUP BY log_id, reason)""", "u5", "log_id reason n", "start_s end_s"))
+def d10_units_of_logs(log: DataFrame) -> DataFrame:
+    """Logs in milliseconds, microseconds and row numbers together: each is converted by its own unit or refused with the reason."""
+    clock = F.when(F.col("log_id") % 3 == 0, F.col("time_ms")).when(F.col("log_id") % 3 == 1, F.col("time_ms") * 1000).otherwise(F.col("ord"))
+    raw = log.select("log_id", "ord", clock.cast("string").alias("clock"))
+    good, refused, _ = transform.transform_each(raw, mapping.Profile({"timestamp": mapping.Mapping("clock")}))
+    done = good.groupBy("log_id").agg(F.count("*").alias("n"), F.min("timestamp").alias("start_s"), F.max("timestamp").alias("end_s"))
+    left = refused.join(raw, "log_id").groupBy("log_id", "reason").agg(F.count("*").alias("n"))
+    return done.unionByName(left, allowMissingColumns=True).select("log_id", "reason", "n", "start_s", "end_s")
+
+
 @query(final(oracle.SEGMENTS, "segments", "log_id kind segment rows start_index end_index", "start_s end_s"))
 def e1_segments(log: DataFrame) -> DataFrame:
     return segments.detect_segments(log)
@@ -109,6 +127,30 @@ def e5_validation(log: DataFrame) -> DataFrame:
     return segments.validate(log)
 
 
+@query(final("""rw AS (SELECT log_id, ord, CASE WHEN ord % 31 = 0 THEN NULL ELSE (time_ms // 80 * 80 - CASE WHEN ord % 23 = 0 THEN 1000 ELSE 0 END)::DOUBLE * 0.001::DOUBLE END AS t, CASE WHEN ord % 29 = 0 THEN 'inf' WHEN ord % 7 = 0 THEN NULL ELSE 'x' END AS ref, event_kind FROM (SELECT *, CASE WHEN althold_active THEN 'cruise' ELSE 'fault' END AS event_kind FROM flight_log)),
+st AS (SELECT log_id, t, t - lag(t) OVER (PARTITION BY log_id ORDER BY t) AS step FROM (SELECT DISTINCT log_id, t FROM rw WHERE t IS NOT NULL)), md AS (SELECT log_id, median(step) AS m FROM st WHERE step > 0 GROUP BY log_id),
+sp AS (SELECT log_id, count(*) AS n FROM st JOIN md USING (log_id) WHERE step > 3 * m GROUP BY log_id),
+fa AS (SELECT log_id, count(*) AS rows, count(*) FILTER (t IS NULL) AS no_time, count(*) - count(DISTINCT t) - max((t IS NULL)::INT) AS dup, count(*) FILTER (back) AS rev, count(*) FILTER (ref = 'inf') AS inf, count(*) FILTER (ref IS NULL) AS no_ref, (count(DISTINCT event_kind) <= 1)::INT + (count(DISTINCT t) <= 1)::INT + (count(DISTINCT CASE WHEN ref = 'inf' THEN ref WHEN ref = 'x' THEN ord::VARCHAR END) <= 1)::INT + 1 AS constant
+  FROM (SELECT *, t < lag(t) OVER (PARTITION BY log_id ORDER BY ord) AS back FROM rw) GROUP BY log_id),
+va AS (
+  SELECT 'whole' AS variant, log_id, 'error' AS severity, 'duplicate_columns' AS code, 1 AS n FROM fa UNION ALL SELECT 'whole', log_id, 'warning', 'short_log', rows FROM fa WHERE rows < 20 UNION ALL SELECT 'whole', log_id, 'warning', 'constant_columns', constant FROM fa
+  UNION ALL SELECT 'whole', log_id, 'warning', 'missing_values', no_time + no_ref FROM fa WHERE no_time + no_ref > 0 UNION ALL SELECT 'whole', log_id, 'error', 'invalid_timestamp', no_time FROM fa WHERE no_time > 0 UNION ALL SELECT 'whole', log_id, 'warning', 'duplicate_timestamp', dup FROM fa WHERE dup > 0
+  UNION ALL SELECT 'whole', log_id, 'warning', 'reverse_timestamp', rev FROM fa WHERE rev > 0 UNION ALL SELECT 'whole', log_id, 'warning', 'timestamp_gap_spikes', n FROM sp UNION ALL SELECT 'whole', log_id, 'warning', 'infinite_values', inf FROM fa WHERE inf > 0
+  UNION ALL SELECT 'whole', log_id, 'error', 'missing_ekf', 1 FROM fa UNION ALL SELECT 'whole', log_id, 'info', 'missing_motors', 1 FROM fa UNION ALL SELECT 'whole', -1 - log_id, 'error', 'empty_csv', 0 FROM fa
+  UNION ALL SELECT 'bare', log_id, 'warning', 'short_log', rows FROM fa WHERE rows < 20 UNION ALL SELECT 'bare', log_id, s, c, 1 FROM fa, (VALUES ('error', 'missing_timestamp'), ('error', 'missing_ekf'), ('warning', 'missing_reference_altitude'), ('info', 'missing_motors'), ('warning', 'no_armed_segment'), ('warning', 'no_althold_active_segment')) v(s, c))""", "va", "variant log_id severity code n"))
+def e5_file_validation(log: DataFrame) -> DataFrame:
+    """Every code: logs as texts with gaps and infinities and logs that lack most columns, and ids without rows."""
+    time = F.floor(F.col("time_ms") / 80) * 80 - F.when(F.col("ord") % 23 == 0, 1000).otherwise(0)
+    raw = log.select(
+        "log_id", "ord", F.lit("abc").alias("file_hash"), F.when(F.col("ord") % 31 == 0, F.lit("NA")).otherwise(time.cast("string")).alias("time_ms"),
+        F.when(F.col("ord") % 29 == 0, "inf").when(F.col("ord") % 7 == 0, "").otherwise(F.col("ord").cast("string")).alias("baro"), F.when(F.col("althold_active"), "cruise").otherwise("fault").alias("note"), F.lit("A").alias("site"),
+    )
+    read = transform.transform(raw, mapping.Profile({"timestamp": mapping.Mapping("time_ms", "milliseconds"), "reference_altitude": mapping.Mapping("baro")}))[0]
+    whole = segments.validate(read, raw=raw, duplicate_columns=("note",), expected=log.select("log_id").union(log.select(-1 - F.col("log_id"))))
+    bare = segments.validate(log.select("log_id", "ord", F.lit(False).alias("armed"), F.lit(None).cast("boolean").alias("althold_active")))
+    return whole.withColumn("variant", F.lit("whole")).union(bare.withColumn("variant", F.lit("bare"))).select("variant", "log_id", "severity", "code", "n")
+
+
 @query(final("c AS (SELECT log_id, ord, timestamp, event_second FROM (SELECT log_id, ord, timestamp, ord // 2 AS event_second, row_number() OVER (PARTITION BY log_id, ord // 2 ORDER BY ord) AS nth FROM flight_log) WHERE nth = 1), d AS (SELECT c.log_id, c.ord, c.event_second::DOUBLE AS timestamp, g.n - g.m AS n_duplicate, 0::BIGINT AS n_reverse FROM c JOIN (SELECT log_id, count(*) AS n, count(DISTINCT ord // 2) AS m FROM flight_log GROUP BY log_id) g USING (log_id))", "d", "log_id ord n_duplicate n_reverse", "timestamp"))
 def e6_unique_time(log: DataFrame) -> DataFrame:
     halved = log.select("log_id", "ord", F.floor(F.col("ord") / 2).cast("double").alias("timestamp"))
@@ -183,7 +225,7 @@ def i10_lag_correlations(log: DataFrame) -> DataFrame:
     return lag.lag_correlations(log)[0]
 
 
-@query(final(oracle.LAG_BEST, "lagx", "log_id reliable confidence reason at_boundary overlap sign_mismatch n_original n_grid gap_excluded n_duplicate reordered", "estimated_lag_s max_correlation search_limit_s second_best peak_separation dt"))
+@query(final(oracle.LAG_BEST, "lagx", "log_id interpolated caveat reliable confidence reason at_boundary overlap sign_mismatch n_original n_grid gap_excluded n_duplicate reordered", "estimated_lag_s max_correlation search_limit_s second_best peak_separation dt"))
 def i14_lag_analysis(log: DataFrame) -> DataFrame:
     return lag.lag_analysis(log)
 
