@@ -2,7 +2,8 @@
 
 Terms are lower-cased words and, of longer ones, their first five bytes.  The examples are a bounded sample of labelled
 rows (``most``, a parameter); all terms of all of them make the space.  Inverse document frequencies are counted over all
-documents.  Terms whose presence speaks for the label in the sample (chi-square and share) weigh more; no other term is left out.
+documents.  Terms whose presence speaks for the label in the sample (chi-square and share) weigh ``stress`` times as much, so the cosine is
+exact in a space that the labels have weighted (plain TF-IDF at ``stress`` 1); no other term is left out.
 
 Examples are ordered so that each block holds alike ones: by cluster, then by length.  A term that is common in a block is a row
 of the block's matrix and has a maximum there; all other postings stand in inverted lists.  A query is first scored by the

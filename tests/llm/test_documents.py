@@ -326,8 +326,9 @@ def test_blocks_are_skipped_without_loss(monkeypatch, block):
     assert index.visited < index.asked * (0.8 if block < 512 else 1.01)
 
 
-def test_scores_by_brute_force(spark):
-    """From texts to scores in plain Python: terms, weights, votes, and an isotonic fit by its max-min formula."""
+@pytest.mark.parametrize("stress", [1.0, 10.0])
+def test_scores_by_brute_force(spark, stress):
+    """From texts to scores in plain Python: terms, weights (the query's own stress too), votes, and an isotonic fit by its max-min formula."""
     import math
 
     rng = random.Random(21)
@@ -335,14 +336,23 @@ def test_scores_by_brute_force(spark):
     toxic = [int("vile" in t.lower()) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
-    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, stress=1.0).collect()}
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, stress=stress).collect()}
     bags = [Counter(x for w in t.lower().split() for x in ([w, w[:5] + "*"] if len(w) > 5 else [w])) for t in texts]
     df = Counter(w for b in bags for w in b)
     examples = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 5]
     space = {w for k in examples for w in bags[k]}
-    vectors = [{w: (1 + math.log(c)) * (math.log((len(texts) + 1) / (df[w] + 1)) + 1) for w, c in b.items() if w in space} for b in bags]
+    n, n1 = len(examples), sum(toxic[k] for k in examples)
+
+    def leans(w):
+        a, held = sum(toxic[k] for k in examples if w in bags[k]), sum(w in bags[k] for k in examples)
+        b, c, d = held - a, n1 - a, (n - n1) - (held - a)
+        chi = n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * (a + c) * (b + d), 1)
+        return held >= 4 and chi >= 20 and a / held >= 3 * n1 / n
+
+    times = {w: stress if leans(w) else 1.0 for w in space}
+    assert stress == 1 or max(times.values()) == stress
+    vectors = [{w: times[w] * (1 + math.log(c)) * (math.log((len(texts) + 1) / (df[w] + 1)) + 1) for w, c in b.items() if w in space} for b in bags]
     size = [math.sqrt(sum(v * v for v in x.values())) for x in vectors]
-    n1 = sum(toxic[k] for k in examples)
     prior = (n1 + 0.5) / (len(examples) + 1)
 
     def vote(k, others):
