@@ -9,12 +9,11 @@ import json
 from typing import Any, Protocol
 from urllib.parse import urlsplit, urlunsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys that would carry rows of a log.
 FORBIDDEN = ("raw_csv", "csv", "rows", "raw_data", "dataframe", "records")
-ANSWER = "summary string, findings array<struct<title:string,priority:int,evidence:array<string>,tests:array<string>>>, limitations array<string>"
 
 
 class Explainer(Protocol):
@@ -58,9 +57,52 @@ def error_code(e: Exception) -> str:
     return next((code for part, code in (("timeout", "timeout"), ("auth", "authentication"), ("connection", "connection"), ("ratelimit", "rate_limit")) if part in name), "unknown")
 
 
-def parsed(answers: DataFrame, column: str = "answer") -> DataFrame:
-    """Answers (JSON texts) as columns; a text of another shape stops the query."""
-    return answers.withColumn("parsed", F.from_json(column, ANSWER, {"mode": "FAILFAST"}))
+#: The shape of an answer.  A list of one shape is a list of such objects; no other keys may occur, and none may lack.
+TEXT, TEXTS, COUNT = "text", "texts", "count"
+REVIEW = {"hypothesis_id": TEXT, "priority": COUNT, "explanation": TEXT, "supporting_evidence": TEXTS, "counter_evidence": TEXTS, "uncertainties": TEXTS}
+EXPERIMENT = {"title": TEXT, "purpose": TEXT, "variables_to_change": TEXTS, "variables_to_log": TEXTS, "expected_observation": TEXT, "safety_notes": TEXTS}
+ANSWER = {"summary": TEXT, "hypothesis_review": [REVIEW], "additional_hypotheses": TEXTS, "recommended_experiments": [EXPERIMENT], "missing_data_requests": TEXTS}
+
+
+def shape_type(shape: dict | list | str) -> str:
+    """The Spark type of a shape."""
+    if isinstance(shape, dict):
+        return "struct<" + ",".join(f"{k}:{shape_type(v)}" for k, v in shape.items()) + ">"
+    return f"array<{shape_type(shape[0])}>" if isinstance(shape, list) else {TEXT: "string", TEXTS: "array<string>", COUNT: "bigint"}[shape]
+
+
+def faults(value: Column, shape: dict | list | str, path: Column) -> Column:
+    """Where a variant departs from a shape, as an array of (path, code): unknown_key, missing_key, wrong_type, below_one; in the order of the shape."""
+    one = lambda code, at=path: F.struct(at.alias("path"), F.lit(code).alias("code"))
+    none = F.array().cast("array<struct<path:string,code:string>>")
+    kind = F.schema_of_variant(value)
+    wrong = lambda ok, inner: F.when(F.coalesce(ok, F.lit(False)), inner).otherwise(F.array(one("wrong_type")))
+    if isinstance(shape, dict):
+        held, known = value.try_cast("map<string,variant>"), F.array(*map(F.lit, shape))
+        key = lambda k: F.concat(path, F.lit("."), k)
+        others = F.transform(F.array_sort(F.array_except(F.map_keys(held), known)), lambda k: one("unknown_key", key(k)))
+        lacking = F.transform(F.array_except(known, F.map_keys(held)), lambda k: one("missing_key", key(k)))
+        inner = [F.when(F.map_contains_key(held, k), faults(F.try_element_at(held, F.lit(k)), sub, key(F.lit(k)))).otherwise(none) for k, sub in shape.items()]
+        return wrong(kind.startswith("OBJECT"), F.concat(others, lacking, *inner))
+    if shape in (TEXT, COUNT):
+        if shape == TEXT:
+            return wrong(kind == "STRING", none)
+        return wrong(kind == "BIGINT", F.when(value.try_cast("bigint") < 1, F.array(one("below_one"))).otherwise(none))
+    item = shape[0] if isinstance(shape, list) else TEXT
+    each = F.transform(value.try_cast("array<variant>"), lambda x, k: faults(x, item, F.concat(path, F.lit("["), k.cast("string"), F.lit("]"))))
+    return wrong(kind.startswith("ARRAY"), F.flatten(each))
+
+
+def strict(answers: DataFrame, column: str = "answer", shape: dict = ANSWER) -> DataFrame:
+    """``answers`` (JSON texts in ``column``) with ``faults``, an array of (path, code), and ``parsed``, the typed answer where there are none.
+
+    A text that is no JSON, or repeats a key, has the one fault not_json; null counts as such a text.  Types are not bent: "1" and 1.0 are no
+    priority.  A bad row is reported and stops nothing.
+    """
+    value = F.try_parse_json(column)
+    found = F.when(value.isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("not_json").alias("code")))).otherwise(faults(value, shape, F.lit("$")))
+    checked = answers.withColumn("faults", found)
+    return checked.withColumn("parsed", F.when(F.size("faults") == 0, F.from_json(column, shape_type(shape))))
 
 
 def base_url(url: str) -> str:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import actuator, altitude, lag, mapping, profile, segments, spectrum, steps, timing, transform
+from .operators import actuator, altitude, catalogue, lag, mapping, profile, segments, spectrum, steps, timing, transform
 from .operators.resample import detrended, uniform_grid
-from .plans import analysis, oracle
+from .plans import analysis, explain, oracle
 from .plans.oracle import final
 from .settings import LagSettings
 from .sources.fixture import flight_log
@@ -261,6 +261,62 @@ def m1_documents(log: DataFrame) -> DataFrame:
     return analysis.documents(log, chosen, messages=segments.validate(log))
 
 
+def _every_table(sql: str):
+    """Registers a query that reads other tables than ``events``."""
+
+    def register(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+_ANSWER_SQL = """
+t AS (SELECT conv_id, turn, (conv_id * 7 + turn * 3) % 9 AS k, '{"summary":"' || role || '","hypothesis_review":[{"hypothesis_id":"h' || turn || '","priority":' || (turn + 1) || ',"explanation":"e","supporting_evidence":["a"],"counter_evidence":[],"uncertainties":[]}],"additional_hypotheses":[],"recommended_experiments":[],"missing_data_requests":["x"]}' AS base FROM conversations),
+a AS (SELECT conv_id, turn, CASE k WHEN 1 THEN replace(base, '{"summary"', '{"extra":1,"summary"') WHEN 2 THEN replace(base, '"additional_hypotheses":[],', '') WHEN 3 THEN replace(base, '"additional_hypotheses":[]', '"additional_hypotheses":"x"') WHEN 4 THEN replace(base, '"explanation":"e"', '"explanation":"e","more":[]')
+  WHEN 5 THEN substring(base, 1, length(base) - 1) WHEN 6 THEN replace(base, '["x"]', '["x",7]') WHEN 7 THEN replace(base, '"priority":', '"priority":-') WHEN 8 THEN replace(base, '"uncertainties":[]', '"uncertainties":null') ELSE base END AS answer FROM t)"""
+
+
+@_every_table("WITH" + _ANSWER_SQL + """,
+b AS (SELECT conv_id, turn, CASE WHEN json_valid(answer) THEN answer END AS j FROM a),
+f AS (
+  SELECT conv_id, turn, '$:not_json' AS fault FROM b WHERE j IS NULL
+  UNION ALL SELECT conv_id, turn, '$.' || k || ':unknown_key' FROM (SELECT *, unnest(json_keys(j)) AS k FROM b WHERE j IS NOT NULL) WHERE k NOT IN ('summary', 'hypothesis_review', 'additional_hypotheses', 'recommended_experiments', 'missing_data_requests')
+  UNION ALL SELECT conv_id, turn, '$.' || k || ':missing_key' FROM b, (VALUES ('summary'), ('hypothesis_review'), ('additional_hypotheses'), ('recommended_experiments'), ('missing_data_requests')) v(k) WHERE j IS NOT NULL AND NOT list_contains(json_keys(j), k)
+  UNION ALL SELECT conv_id, turn, '$.' || k || ':wrong_type' FROM b, (VALUES ('summary', 'VARCHAR'), ('hypothesis_review', 'ARRAY'), ('additional_hypotheses', 'ARRAY'), ('recommended_experiments', 'ARRAY'), ('missing_data_requests', 'ARRAY')) v(k, kind) WHERE j IS NOT NULL AND list_contains(json_keys(j), k) AND json_type(j, '$.' || k) <> kind
+  UNION ALL SELECT conv_id, turn, '$.missing_data_requests[' || i || ']:wrong_type' FROM (SELECT *, unnest(range(json_array_length(j, '$.missing_data_requests')::BIGINT)) AS i FROM b WHERE j IS NOT NULL) WHERE json_type(j, '$.missing_data_requests[' || i || ']') <> 'VARCHAR'
+  UNION ALL SELECT conv_id, turn, '$.hypothesis_review[0].' || k || ':unknown_key' FROM (SELECT *, unnest(json_keys(j, '$.hypothesis_review[0]')) AS k FROM b WHERE j IS NOT NULL) WHERE k NOT IN ('hypothesis_id', 'priority', 'explanation', 'supporting_evidence', 'counter_evidence', 'uncertainties')
+  UNION ALL SELECT conv_id, turn, '$.hypothesis_review[0].uncertainties:wrong_type' FROM b WHERE json_type(j, '$.hypothesis_review[0].uncertainties') <> 'ARRAY'
+  UNION ALL SELECT conv_id, turn, '$.hypothesis_review[0].priority:below_one' FROM b WHERE (j->>'$.hypothesis_review[0].priority')::BIGINT < 1),
+g AS (SELECT conv_id, turn, string_agg(fault, ' ' ORDER BY fault) AS faults, count(*) AS n FROM f GROUP BY conv_id, turn)
+SELECT b.conv_id, b.turn, coalesce(g.n, 0)::BIGINT AS n_faults, coalesce(g.faults, '') AS faults, CASE WHEN g.n IS NULL THEN (j->>'$.hypothesis_review[0].priority')::BIGINT END AS priority FROM b LEFT JOIN g USING (conv_id, turn)""")
+def m10_strict_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made from every turn, most with one fault: good ones are typed, bad ones reported."""
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").createOrReplaceTempView("conversations")
+    checked = explain.strict(spark.sql("WITH" + _ANSWER_SQL + " SELECT * FROM a"))
+    said = F.array_join(F.array_sort(F.transform("faults", lambda f: F.concat_ws(":", f.path, f.code))), " ")
+    return checked.select("conv_id", "turn", F.size("faults").cast("long").alias("n_faults"), said.alias("faults"), F.col("parsed.hypothesis_review")[0]["priority"].alias("priority"))
+
+
+_NAMES = ("time", "alt_sp", "alt_est", "baro", "pwm_1", "pwm_2", "armed", "hold")
+
+
+@query(final("""
+cn AS (SELECT log_id, position, "column" FROM (SELECT DISTINCT log_id FROM flight_log), (VALUES """ + ", ".join(f"({k}, '{n}')" for k, n in enumerate(_NAMES)) + """) v(position, "column") WHERE (log_id // 3 + position) % 5 <> 0 UNION ALL SELECT DISTINCT log_id, 99, 'extra_' || (log_id % 6) FROM flight_log),
+hd AS (SELECT log_id, list("column" ORDER BY position) AS held FROM cn GROUP BY log_id),
+pf AS (SELECT 'p' || log_id AS profile, (SELECT held FROM hd h WHERE h.log_id = l.log_id) AS saved_for, list_filter(['time', 'alt_est', CASE WHEN log_id % 2 = 0 THEN 'baro' END, CASE WHEN log_id % 3 = 0 THEN 'pwm_2' END, CASE WHEN log_id % 5 = 0 THEN 'extra_' || (log_id % 6) END], lambda x: x IS NOT NULL) AS wanted FROM (SELECT DISTINCT log_id FROM flight_log) l),
+mt AS (SELECT h.log_id, profile, saved_for = held AS exact, len(wanted) AS n_columns, list_sort(list_filter(wanted, lambda x: NOT list_contains(held, x))) AS missing FROM hd h, pf),
+mk AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY exact DESC, len(missing), n_columns DESC, profile) AS rank, profile, exact, n_columns, array_to_string(missing, ' ') AS missing FROM mt WHERE len(missing) <= 1 OR exact)""", "mk", "log_id rank profile exact n_columns missing"))
+def m16_profile_matches(log: DataFrame) -> DataFrame:
+    """Every log against a profile saved for each log: exact headers first, then profiles that lack at most one column."""
+    ids = log.select("log_id").distinct()
+    named = F.array(*[F.when((F.floor(F.col("log_id") / 3) + k) % 5 != 0, F.struct(F.lit(k).alias("position"), F.lit(n).alias("column"))) for k, n in enumerate(_NAMES)], F.struct(F.lit(99).alias("position"), F.concat(F.lit("extra_"), (F.col("log_id") % 6).cast("string")).alias("column")))
+    columns = ids.select("log_id", F.explode(F.filter(named, lambda c: c.isNotNull())).alias("c")).select("log_id", "c.*")
+    wanted = F.array(F.lit("time"), F.lit("alt_est"), F.when(F.col("log_id") % 2 == 0, "baro"), F.when(F.col("log_id") % 3 == 0, "pwm_2"), F.when(F.col("log_id") % 5 == 0, F.concat(F.lit("extra_"), (F.col("log_id") % 6).cast("string"))))
+    profiles = catalogue.headers_of(columns).select(F.concat(F.lit("p"), F.col("log_id").cast("string")).alias("profile"), "header_hash", F.filter(wanted, lambda c: c.isNotNull()).alias("columns"))
+    return catalogue.matches(columns, profiles, lacks=1).withColumn("missing", F.array_join("missing", " "))
+
+
 @query()
 def m3_payloads(log: DataFrame) -> DataFrame:
     return analysis.summary_payload(log, segments.select_segment(log))
