@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite, median
 from ..settings import Settings
 from .altitude import tracking_rows
+from .pieces import by_row, scan
 
 #: Seconds of a plateau that count, gap that merges changes, longest change, fewest plateau rows, and the floors of the threshold.
 WINDOW_S, MERGE_S, LONGEST_S, NEAREST = 0.5, 0.25, 0.75, 2
@@ -125,6 +126,44 @@ def step_responses(log: DataFrame, settings: Settings = Settings()) -> DataFrame
     )
 
 
+def step_state(log: DataFrame) -> DataFrame:
+    """Rows (log_id, input_reason) of every log: why no step can be looked for (no_timestamp, too_few_rows, times_not_increasing), else null.
+
+    As the logs are as long as they like, the order of times is looked at in pieces.
+    """
+    if "timestamp" not in log.columns or not {"altitude_setpoint", "ekf_altitude"} <= set(log.columns):
+        reason = "no_timestamp" if "timestamp" not in log.columns else "too_few_rows"
+        return log.select("log_id").distinct().withColumn("input_reason", F.lit(reason))
+    rows = scan(tracking_rows(log).select("log_id", "ord", "timestamp"), by_row(), ("ord",), sums={"_place": F.lit(1)}, priors={"_before": F.col("timestamp")})
+    wrong = finite(F.col("timestamp")).isNull() | ((F.col("_place") > 1) & ~F.coalesce(F.col("timestamp") > F.col("_before"), F.lit(False)))
+    facts = rows.groupBy("log_id").agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"))
+    reason = F.when(F.coalesce("n", F.lit(0)) < 5, "too_few_rows").when(F.col("wrong") > 0, "times_not_increasing")
+    return log.select("log_id").distinct().join(facts, "log_id", "left").select("log_id", reason.alias("input_reason"))
+
+
+def step_report(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row for every log: its steps in order (``step_responses``), the index of the primary one, and why dynamic measures are missing:
+    the reason of the input, no_step, or that of the primary step (null: none is missing)."""
+    state = step_state(log)
+    if not {"timestamp", "altitude_setpoint", "ekf_altitude"} <= set(log.columns):
+        return state.select("log_id", F.col("input_reason").alias("dynamic_metrics_reason"), F.lit(None).cast("long").alias("primary_step_index"), F.array().cast(STEP_LIST).alias("step_responses"))
+    steps = step_responses(log, settings)
+    found = steps.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct(*(c for c in steps.columns if c != "log_id")))).alias("step_responses"))  # step_pos leads
+    found = found.withColumn("_most", F.array_max(F.transform("step_responses", lambda r: F.abs(r["amplitude_m"]))))
+    place = F.array_position(F.transform("step_responses", lambda r: F.abs(r["amplitude_m"])), F.col("_most")) - 1  # the first of equals
+    found = found.withColumn("primary_step_index", place)
+    out = state.join(found, "log_id", "left")
+    reason = F.coalesce("input_reason", F.when(F.col("step_responses").isNull(), "no_step").otherwise(F.get("step_responses", F.col("primary_step_index").cast("int"))["reason"]))
+    return out.select("log_id", reason.alias("dynamic_metrics_reason"), "primary_step_index", F.coalesce("step_responses", F.array().cast(STEP_LIST)).alias("step_responses"))
+
+
+#: The type of ``step_responses`` in a report.
+STEP_LIST = (
+    "array<struct<step_pos:bigint,timestamp_s:double,direction:string,initial_setpoint_m:double,final_setpoint_m:double,amplitude_m:double,rise_time_s:double,settling_time_s:double,"
+    "overshoot_m:double,undershoot_m:double,reason:string>>"
+)
+
+
 def primary_step(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row a log with steps: the step of largest amplitude, the earliest of equals, with its index among the steps."""
     w = per_log()

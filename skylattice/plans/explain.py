@@ -11,6 +11,7 @@ from urllib.parse import urlsplit, urlunsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: Keys that would carry rows of a log.
 FORBIDDEN = ("raw_csv", "csv", "rows", "raw_data", "dataframe", "records")
@@ -34,6 +35,16 @@ def forbidden_keys(value: Any, path: str = "") -> list[str]:
     return [p for v in value for p in forbidden_keys(v, path)] if isinstance(value, (list, tuple)) else []
 
 
+def forbidden_fields(kind: DataType, path: str = "") -> list[str]:
+    """Paths of fields with a forbidden name in the type of a payload."""
+    if isinstance(kind, ArrayType):
+        return forbidden_fields(kind.elementType, path)
+    if isinstance(kind, MapType):
+        return forbidden_fields(kind.valueType, path)
+    fields = kind.fields if isinstance(kind, StructType) else []
+    return [p for f in fields for p in ([f"{path}{f.name}"] if f.name.lower() in FORBIDDEN else []) + forbidden_fields(f.dataType, f"{path}{f.name}.")]
+
+
 def guarded(payload: str) -> str:
     if found := forbidden_keys(json.loads(payload)):
         raise ValueError(f"raw data must stay here: {', '.join(found)}")

@@ -261,6 +261,46 @@ def m1_documents(log: DataFrame) -> DataFrame:
     return analysis.documents(log, chosen, messages=segments.validate(log))
 
 
+_DOCUMENT_SQL = oracle.HYPOTHESIS_SQL + """,
+er AS (SELECT log_id, ord, timestamp, timestamp - lag(timestamp) OVER (PARTITION BY log_id ORDER BY ord) AS dt FROM flight_log),
+es AS (SELECT log_id, count(*) AS rows, min(dt) AS least, min(timestamp) AS start_s, max(timestamp) AS end_s FROM er GROUP BY log_id),
+dl AS (SELECT hr.log_id, string_agg(hypothesis || '=' || score, ' ' ORDER BY rank) AS hypotheses FROM hr GROUP BY hr.log_id),
+do_ AS (SELECT es.log_id, 'custom' AS phase, 'other' AS source, rows, coalesce(tm.n_dropout, 0)::BIGINT AS n_dropouts, coalesce(pm.n_steps, 0)::BIGINT AS n_steps, pm.primary_step_index::BIGINT AS primary_step_index,
+  CASE WHEN rows < 5 THEN 'too_few_rows' WHEN least <= 0 THEN 'times_not_increasing' WHEN pm.log_id IS NULL THEN 'no_step' ELSE pm.step_reason END AS reason, 4::BIGINT AS n_motors, dl.hypotheses,
+  g1.rmse_m IS NOT NULL AS altitude_available, fq.dominant_frequency_hz IS NOT NULL AS frequency_available, start_s, end_s, g1.rmse_m, pm.settling_time_s, act.mean_throttle_correction_pwm, act.correction_saturation_ratio, fq.dominant_frequency_hz, sn.bias_m
+  FROM es LEFT JOIN tm USING (log_id) LEFT JOIN pm USING (log_id) LEFT JOIN dl USING (log_id) LEFT JOIN g1 USING (log_id) LEFT JOIN act USING (log_id) LEFT JOIN sn USING (log_id) LEFT JOIN fq USING (log_id))"""
+
+
+@query(final(_DOCUMENT_SQL, "do_", "log_id phase source rows n_dropouts n_steps primary_step_index reason n_motors hypotheses altitude_available frequency_available", "start_s end_s rmse_m settling_time_s"))
+def m1_sections(log: DataFrame) -> DataFrame:
+    """The documents of whole logs, read back: states, lists and reasons of every section."""
+    kind = (
+        "struct<flight_phase:string,reference_altitude_source:string,analysis_window:struct<start_s:double,end_s:double,rows:bigint>,rule_based_hypotheses:array<struct<hypothesis:string,score:bigint>>,metrics:struct<timing:struct<dropouts:array<struct<gap_s:double>>>,"
+        "altitude:struct<available:boolean,rmse_m:double,settling_time_s:double,primary_step_index:bigint,dynamic_metrics_reason:string,step_responses:array<struct<step_pos:bigint>>>,actuator:struct<motors:array<struct<motor:string>>>,frequency:struct<available:boolean>>>"
+    )
+    read = analysis.documents(log, log).select("log_id", F.from_json("document", kind).alias("d")).select("log_id", "d.*")
+    ranked = F.array_join(F.transform("rule_based_hypotheses", lambda h: F.concat(h.hypothesis, F.lit("="), h.score.cast("string"))), " ")
+    size = lambda c: F.size(c).cast("long")
+    return read.select(
+        "log_id", F.col("flight_phase").alias("phase"), F.col("reference_altitude_source").alias("source"), "analysis_window.rows", size("metrics.timing.dropouts").alias("n_dropouts"), size("metrics.altitude.step_responses").alias("n_steps"),
+        "metrics.altitude.primary_step_index", F.col("metrics.altitude.dynamic_metrics_reason").alias("reason"), size("metrics.actuator.motors").alias("n_motors"), ranked.alias("hypotheses"), F.col("metrics.altitude.available").alias("altitude_available"),
+        F.col("metrics.frequency.available").alias("frequency_available"), "analysis_window.start_s", "analysis_window.end_s", "metrics.altitude.rmse_m", "metrics.altitude.settling_time_s",
+    )
+
+
+@query(final(_DOCUMENT_SQL, "do_", "log_id phase source rows hypotheses", "rmse_m mean_throttle_correction_pwm correction_saturation_ratio dominant_frequency_hz bias_m"))
+def m3_features(log: DataFrame) -> DataFrame:
+    """The payloads of whole logs, read back."""
+    kind = (
+        "struct<flight_phase:string,reference_altitude_source:string,analysis_window:struct<row_count:bigint>,rule_based_hypotheses:array<struct<hypothesis:string,score:bigint>>,features:struct<altitude_rmse_m:double,mean_throttle_correction_pwm:double,correction_saturation_ratio:double,"
+        "dominant_frequency_hz:double,reference_ekf_bias_m:double>>"
+    )
+    read = analysis.summary_payload(log, log, language="English").select("log_id", F.from_json("payload", kind).alias("d")).select("log_id", "d.*")
+    ranked = F.array_join(F.transform("rule_based_hypotheses", lambda h: F.concat(h.hypothesis, F.lit("="), h.score.cast("string"))), " ")
+    own = ("features.mean_throttle_correction_pwm", "features.correction_saturation_ratio", "features.dominant_frequency_hz")
+    return read.select("log_id", F.col("flight_phase").alias("phase"), F.col("reference_altitude_source").alias("source"), F.col("analysis_window.row_count").alias("rows"), ranked.alias("hypotheses"), F.col("features.altitude_rmse_m").alias("rmse_m"), *own, F.col("features.reference_ekf_bias_m").alias("bias_m"))
+
+
 def _every_table(sql: str):
     """Registers a query that reads other tables than ``events``."""
 

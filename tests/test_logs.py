@@ -186,7 +186,7 @@ def test_documents(spark):
     x = log(spark, timestamp=t, altitude_setpoint=[1.0] * 100, ekf_altitude=[rich(a) for a in t], reference_altitude=[rich(a) for a in t], armed=[1] * 100, althold_active=[1] * 100)
     doc = json.loads(analysis.documents(x, segments.select_segment(x), messages=segments.validate(x)).first().document)
     assert doc["schema_version"] == "1.1" and doc["flight_phase"] == "altitude_hold" and doc["analysis_window"]["rows"] == 100
-    assert len(doc["rule_based_hypotheses"]) == 12 and doc["metrics"]["max_motor_std_pwm"] is None and "missing_motors" in [m["code"] for m in doc["validation_messages"]]
+    assert len(doc["rule_based_hypotheses"]) == 12 and doc["metrics"]["actuator"]["max_motor_std_pwm"] is None and "missing_motors" in [m["code"] for m in doc["validation_messages"]]
 
 
 def test_settings_are_parameters(spark):
