@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .textops import list_array, mix, own_columns, run_hashes, signed, small_batches, spare_names, stored, texts_of, WORD, Words
 
-#: Shingles in one block of a cluster: two blocks of 8-byte hashes fit easily beside a Python worker.
-BLOCK_SHINGLES = 1 << 20
+#: Shingles in one block of a cluster.  A task compares two blocks and works on some twenty arrays of eight bytes a shingle: about 80 MB.
+BLOCK_SHINGLES = 1 << 18
 
 
 def shingle_sets(texts: pa.Array, words: int, twice: bool = False) -> tuple[np.ndarray, ...]:
