@@ -26,6 +26,11 @@ def _number(v) -> str:
     return "–" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
 
 
+def _measures(metrics: dict) -> list[tuple[str, object]]:
+    """Plain measures by name, those of a section after its name."""
+    return [m for k, v in metrics.items() for m in ([(f"{k}, {n}", x) for n, x in _measures(v)] if isinstance(v, dict) else [] if isinstance(v, list) else [(k, v)])]
+
+
 def markdown(document: dict, texts: dict[str, str] = TEXTS) -> str:
     """A document as Markdown; list-valued metrics are left to the JSON."""
     say = lambda code: texts.get(code, TEXTS.get(code, code))
@@ -33,7 +38,7 @@ def markdown(document: dict, texts: dict[str, str] = TEXTS) -> str:
     titles = {h.id: h.title for h in HYPOTHESES}
     out = [f"# {say('title')}", "", f"## {say('window')}", "", f"- {document.get('flight_phase')}: {_number(window.get('start_s'))} – {_number(window.get('end_s'))} s, {window.get('rows')} rows", "", f"## {say('quality')}", ""]
     out += [f"- {m['severity']}: {say(m['code'])} ({m['n']})" for m in document.get("validation_messages", [])] or [f"- {say('none')}"]
-    out += ["", f"## {say('metrics')}", ""] + [f"- {section}, {k}: {_number(v)}" for section, fields in (document.get("metrics") or {}).items() for k, v in (fields or {}).items() if not isinstance(v, (list, dict))]
+    out += ["", f"## {say('metrics')}", ""] + [f"- {k}: {_number(v)}" for k, v in _measures(document.get("metrics") or {})]
     out += ["", f"## {say('hypotheses')}", ""]
     for h in document.get("rule_based_hypotheses", []):
         out += [f"### {titles.get(h['hypothesis'], h['hypothesis'])} ({h['score']}/100)", ""]

@@ -1,6 +1,8 @@
 """Reports, the border to an explaining service, and streams."""
 
+import inspect
 import json
+import re
 
 import pytest
 
@@ -49,3 +51,32 @@ def test_live_windows(spark, tmp_path):
         q.stop()
     got = spark.sql("SELECT * FROM windows").collect()
     assert sum(r.rows for r in got) == 8 and all(r.rmse_m == 0.5 for r in got)
+
+
+def test_every_code_has_a_text_in_both_languages():
+    from skylattice.operators import lag, segments, steps
+    from skylattice.plans import language, rules
+
+    said = {c for m in (segments, steps) for c in re.findall(r'"([a-z]+(?:_[a-z0-9]+)+)"', inspect.getsource(m.validate if m is segments else m.step_state) + (inspect.getsource(steps.step_responses) if m is steps else ""))}
+    codes = {c for c in said if c in language.TEXTS} | set(lag.REASONS) | set(lag.CAVEATS.values()) | {r.name for r in rules.RULES} | {"met", "unmet", "not computable", "empty_csv", "no_step", "too_few_rows", "times_not_increasing", "no_timestamp"}
+    codes |= set(re.findall(r'\("(?:error|warning|info)", "([a-z_]+)"', inspect.getsource(segments.validate))) | set(re.findall(r'"(below_10_percent|below_90_percent|not_settled)"', inspect.getsource(steps.step_responses)))
+    assert len(codes) > 55 and all(len(language.TEXTS[c]) == 2 and all(language.TEXTS[c]) for c in codes)
+    for en, ko in language.TEXTS.values():
+        assert set(re.findall(r"{\w+}", en)) == set(re.findall(r"{\w+}", ko))
+
+
+def test_documents_in_a_language(spark):
+    from skylattice.plans import language
+
+    document = {"flight_phase": "lag", "metrics": {"altitude": {"dynamic_metrics_reason": "no_step", "n": 1}}, "messages": [{"severity": "warning", "code": "short_log", "n": 7}, {"code": "new_code"}], "rule_based_hypotheses": [{"hypothesis": "lag", "details": [{"rule": "lag", "result": "met"}]}]}
+    table = spark.createDataFrame([(1, json.dumps(document), "x"), (2, None, "y")], "log_id long, document string, `a.b` string")
+    got = language.localised(table, language.texts(spark), "ko")
+    assert got.columns == table.columns
+    rows = {r.log_id: r.document for r in got.collect()}
+    said = json.loads(rows[1])
+    assert rows[2] is None and said["messages"] == [{"severity": "warning", "code": "로그가 7행으로 짧음", "n": 7}, {"code": "new_code"}] and said["flight_phase"] == "lag"
+    assert said["rule_based_hypotheses"] == [{"hypothesis": "lag", "details": [{"rule": "지연", "result": "충족"}]}] and said["metrics"]["altitude"] == {"dynamic_metrics_reason": language.TEXTS["no_step"][1], "n": 1}
+    own = spark.createDataFrame([("de", "no_step", "Kein Sprung")], "language string, code string, text string")
+    assert json.loads(language.localised(table, language.texts(spark).union(own), "de").filter("log_id = 1").first().document)["metrics"]["altitude"]["dynamic_metrics_reason"] == "Kein Sprung"
+    with pytest.raises(ValueError, match="no texts"):
+        language.localised(table, own, "fr")
