@@ -161,7 +161,7 @@ def test_profile(spark):
     rows = [(1, 0, "1", "yes", "x", None), (1, 1, "2.5", "no", "1d", None), (1, 2, "NA", "", "3", None), (1, 3, "inf", "on", "4", None)]
     got = {r.column: r for r in profile.profile_columns(spark.createDataFrame(rows, "log_id long, ord long, a string, b string, c string, d string")).collect()}
     assert [got[c].type for c in "abcd"] == ["numeric", "boolean", "string", "unknown"]
-    assert got["a"].maximum == 2.5 and got["a"].missing_ratio == 0.25 and got["a"].first_values == ["1", "2.5", "inf"] and got["c"].minimum == 3
+    assert got["a"].maximum == 2.5 and got["a"].missing_ratio == 0.25 and got["a"].first_values == ["1", "2.5", None, "inf"] and got["c"].minimum == 3
 
 
 def metrics(spark, **values):
