@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .textops import mix, small_batches, stored
 
-#: Distinct pieces of text whose ids a worker remembers before it starts anew, and slots of its table of them.
-MEMORY = 1_500_000
+#: Distinct pieces of text whose ids a worker remembers before it starts anew (some 150 bytes each), and slots of its table of them.
+MEMORY = 600_000
 SLOTS = 1 << 22
 _LONG = 16  # bytes; a longer piece is looked up by itself
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -118,8 +118,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.whole = Tokenizer.from_file(path)  # for texts that hold the literal of an added token, which is one id
-        self.literals = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path, self.whole = path, None
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())], np.int64)
         self.end = np.array([] if end_id is None else [end_id], np.uint32)
         self.forget()
@@ -133,6 +133,14 @@ class Encoder:
         self.ids[: self.n_ids] = self.end
         self.slot = np.zeros(SLOTS, np.int32)  # piece of each slot; 0: none
 
+    def with_literals(self, text: str) -> list[int]:
+        """Ids of a text that holds the literal of an added token, which is one id: such texts are rare, so their tokenizer waits for the first one."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def plainly(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -229,7 +237,7 @@ class Encoder:
         if marked.any():
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for k in np.flatnonzero(marked).tolist():
-                parts[k] = np.append(np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32), self.end)
+                parts[k] = np.append(np.array(self.with_literals(texts[k].as_py()), np.uint32), self.end)
             ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return ids, counts
 
