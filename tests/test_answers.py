@@ -61,3 +61,15 @@ def test_profiles_that_fit(spark):
     plan = catalogue.matches(columns, saved, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and "Join Cross" not in plan
     assert catalogue.matches(columns.limit(0), saved).count() == 0 and catalogue.matches(columns, saved.limit(0)).select(F.count("*")).first()[0] == 0
+
+
+def test_popular_headers_are_spread_over_tasks(spark, monkeypatch):
+    """One header of all logs, and profiles of few kinds: every task makes a part of the answers, and logs without an id keep theirs."""
+    monkeypatch.setattr(catalogue, "LIST", 4, raising=False)
+    columns = spark.createDataFrame([(i or None, k, c) for i in range(60) for k, c in enumerate("abc")], "log_id long, position int, column string")
+    saved = spark.createDataFrame([(f"p{k:02}", None, ["a", "b"] if k % 2 else ["a", "x"]) for k in range(50)], "profile string, header_hash string, columns array<string>")
+    got = catalogue.matches(columns, saved, 1).withColumn("task", F.spark_partition_id()).collect()
+    order = [f"p{k:02}" for k in (*range(1, 50, 2), *range(0, 50, 2))]
+    assert sorted((r.log_id or 0, r.rank, r.profile, r.missing) for r in got) == [(i, k + 1, p, ["x"] if k >= 25 else []) for i in range(60) for k, p in enumerate(order)]
+    tasks = [sum(r.task == t for r in got) for t in {r.task for r in got}]
+    assert len(tasks) == 4 and max(tasks) < len(got) / 2
