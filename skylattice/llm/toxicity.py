@@ -314,6 +314,8 @@ def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     chi = chi_square(held1, held, n1, n)
     leaning = np.flatnonzero((held >= rows) & (held < n) & (chi >= least) & (held1 * n >= lift * n1 * held))
     leaning = leaning[np.lexsort((signed(vocabulary[leaning]), -chi[leaning]))[:terms]]
+    del found, hashed, order, held, held1, chi
+    pa.default_memory_pool().release_unused()
     shared = context.broadcast(vocabulary)  # the terms of the examples
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,6 +333,8 @@ def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     df[table.column("term").to_numpy()] = table.column("n").to_numpy()
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
     idf[leaning] *= stress
+    del table, df
+    pa.default_memory_pool().release_unused()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -338,18 +342,22 @@ def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             per = np.bincount(text, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), list_array(term, per, pa.int32()), list_array(count, per, pa.int32())], names=["doc_id", "label", "terms", "counts"])
 
-    table = sample.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>").toArrow()
-    sample.unpersist()
-    shared.destroy()
-    return _index(vocabulary, idf, table, prior)
+    def collected() -> pa.Table:  # named nowhere else, so that it goes while the index is made
+        table = sample.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>").toArrow()
+        sample.unpersist()
+        shared.destroy()
+        return table
+
+    return _index(vocabulary, idf, collected(), prior)
 
 
 def alike(dense: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the rows in which neighbours are alike, and where each block begins: a few rounds of k-means on directions, then by length."""
+    """An order of the rows in which neighbours are alike, and where each block begins: a few rounds of k-means on directions, then by length.  ``dense`` is used up."""
     m = len(dense)
     if not m:
         return (np.empty(0, np.int64),) * 2
-    unit = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    unit = dense  # scaled where it stands: the driver has no room for two
+    unit /= np.maximum(np.sqrt(np.einsum("ij,ij->i", unit, unit)), 1e-9)[:, None]
     middle = unit[np.linspace(0, m - 1, min(CLUSTERS, m)).astype(np.int64)]
     group = np.zeros(m, np.int64)
     for _ in range(6):
@@ -369,6 +377,7 @@ def _index(vocabulary: np.ndarray, idf: np.ndarray, table: pa.Table, prior: floa
     per = np.concatenate([np.empty(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in table.column("terms").chunks)]).astype(np.int64)
     term, count, filled = flat("terms", np.int32), flat("counts", np.uint16), per > 0
     del table
+    pa.default_memory_pool().release_unused()
     without = (y[~filled].sum() + prior) / ((~filled).sum() + 1)
     y, ids, per = y[filled], ids[filled], per[filled]
     begin, m = np.concatenate([[0], np.cumsum(per)]), len(per)
@@ -376,13 +385,21 @@ def _index(vocabulary: np.ndarray, idf: np.ndarray, table: pa.Table, prior: floa
     place = np.full(len(idf), -1, np.int32)
     place[common] = np.arange(len(common))
     dense = np.zeros((m, len(common)), np.float32)
-    owner, at = np.repeat(np.arange(m, dtype=np.int32), per), place[term]
-    near = np.flatnonzero(at >= 0)
-    dense[owner[near], at[near]] = _LOG[count[near]] * idf[term[near]]
+    for k in range(0, m, 500):  # some at a time: sums and places of all postings are several times as large as these
+        part = slice(begin[k], begin[min(k + 500, m)])
+        owner, at = np.repeat(np.arange(k, min(k + 500, m)), per[k : k + 500]), place[term[part]]
+        near = np.flatnonzero(at >= 0)
+        dense[owner[near], at[near]] = (_LOG[count[part]] * idf[term[part]])[near]
     order, edges = alike(dense, per)
-    del dense, owner, at, near
-    x, per = spans(begin[:-1][order], per[order])
-    index = Index(vocabulary, idf, ids[order], y[order], np.concatenate([[0], np.cumsum(per)]), term[x], count[x], edges, np.empty(0, np.int64), prior, float(without))
+    del dense
+    first, per = begin[:-1][order], per[order]
+    own_term, own_count, upto = np.empty_like(term), np.empty_like(count), np.concatenate([[0], np.cumsum(per)])
+    for k in range(0, m, 500):
+        x, _ = spans(first[k : k + 500], per[k : k + 500])
+        part = slice(upto[k], upto[min(k + 500, m)])
+        own_term[part], own_count[part] = term[x], count[x]
+    del term, count
+    index = Index(vocabulary, idf, ids[order], y[order], upto, own_term, own_count, edges, np.empty(0, np.int64), prior, float(without))
     equal: Counter[bytes] = Counter()
     spare = []
     for k in np.argsort(index.ids).tolist():

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skylattice.llm import media, mixing, quality, secrets, token_output, toxicity
 from skylattice.llm.labels import held_out
+from skylattice.llm.textops import list_array
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -326,6 +328,21 @@ def test_blocks_are_skipped_without_loss(monkeypatch, block):
     assert index.visited < index.asked * (0.8 if block < 512 else 1.01)
 
 
+def test_the_index_is_made_in_little_more_than_its_postings():
+    """The driver makes it: no second copy of the matrix of common terms, and no sums over all postings at once."""
+    rng = np.random.default_rng(6)
+    m, n = 3000, 300
+    terms = np.sort(np.argsort(rng.random((m, 2 * n)), axis=1)[:, :n], axis=1)
+    table = pa.table({"doc_id": pa.array(range(m), pa.int64()), "label": pa.array(rng.integers(0, 2, m), pa.int32()), **{c: list_array(x.ravel(), np.full(m, n), pa.int32()) for c, x in (("terms", terms), ("counts", terms % 3 + 1))}})
+    idf = rng.random(2 * n) + 1
+    tracemalloc.start()
+    index = toxicity._index(np.arange(2 * n, dtype=np.uint64), idf, table, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(index.term[a:b], terms[i]) for i, a, b in zip(index.ids, index.begin, index.begin[1:]))
+    assert peak < 1.6 * 4 * m * 2 * n + 24 * m * n
+
+
 @pytest.mark.parametrize("stress", [1.0, 10.0])
 def test_scores_by_brute_force(spark, stress):
     """From texts to scores in plain Python: terms, weights (the query's own stress too), votes, and an isotonic fit by its max-min formula."""
