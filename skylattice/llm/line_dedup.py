@@ -61,13 +61,17 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def without_each(hashes: np.ndarray) -> np.ndarray:
-    """Hash of a line without word i, for each i, equal to that of the shorter line itself."""
-    n = len(hashes)
-    by = factors(n)
-    left = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * by)])
-    right = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[1:] * by[: n - 1])])
-    return mix(left[:n] + (right[n - 1] - right) + np.uint64(n - 1))
+def without_each(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines ``first:first + count`` of the words: hash of a line without word i, for each line and each i, equal to that of the shorter line itself; the lines' numbers; i."""
+    line = np.repeat(np.arange(len(count)), count)
+    start = np.cumsum(count) - count
+    place = np.arange(len(line)) - start[line]
+    h, by = hashes[first[line] + place], factors(int(count.max(initial=1)))
+    left, right = (np.zeros(len(line) + 1, np.uint64) for _ in range(2))  # sums over all lines: only differences inside a line are used
+    np.cumsum(h * by[place], out=left[1:])
+    np.cumsum(np.where(place > 0, h * by[place - 1], np.uint64(0)), out=right[1:])
+    end = np.repeat(right[start + count], count)
+    return mix((left[:-1] - left[start][line]) + (end - right[1:]) + (count.astype(np.uint64) - np.uint64(1))[line]), line, place
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -103,22 +107,17 @@ _KEYS = pa.schema([("key", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int
 def _neighbourhoods(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1 << 20):
+            batch = batch.take(pa.array(np.lexsort((batch.column("line").to_numpy(), batch.column("doc_id").to_numpy()))))
             w = Words(batch.column("text"))
             h = w.hashes()
-            keys, places, rows = [], [], []
-            for k, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-                n = b - a
-                own = run_hashes(h[a:b], np.zeros(1, np.int64), n)
-                keys.append(own)
-                places.append(np.array([-1]))  # the whole line
-                if n >= least:
-                    keys.append(without_each(h[a:b]))
-                    places.append(np.arange(n))
-                rows.append(np.full(sum(map(len, places[-1 - (n >= least) :])), k))
-            key, place, row = np.concatenate(keys), np.concatenate(places), np.concatenate(rows)
+            some = np.flatnonzero(w.counts >= least)
+            cut, of, place = without_each(h, w.first[some], w.counts[some])
+            key = np.concatenate([run_hashes(h, w.first[:-1], w.counts), cut])
+            place = np.concatenate([np.full(len(w.counts), -1), place])  # -1: the whole line
+            row = np.concatenate([np.arange(len(w.counts)), some[of]])
             doc, line = (batch.column(c).to_numpy()[row] for c in ("doc_id", "line"))
             # of replacements that meet here already, the earliest goes on and the others have found a partner
-            order = np.lexsort((line, doc, place, key))
+            order = np.lexsort((place, key))  # rows of one key and place stay by document and line
             fresh = np.ones(len(order), bool)
             fresh[1:] = (key[order][1:] != key[order][:-1]) | (place[order][1:] != place[order][:-1])
             least_at = order[fresh][np.cumsum(fresh) - 1]

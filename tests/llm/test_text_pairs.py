@@ -198,6 +198,17 @@ def one_edit(a, b):
     return len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
 
 
+def test_lines_lose_a_word_at_once():
+    """Lines of a batch lose each of their words in one pass, with the hashes of the shorter lines."""
+    w = Words(pa.array(["a b c d e", "", "x", "e d c b a " * 40, "a a b b a a"]))
+    h = w.hashes()
+    some = np.flatnonzero(w.counts)
+    got, line, place = line_dedup.without_each(h, w.first[some], w.counts[some])
+    want = [(k, i, run_hashes(np.delete(h[w.first[t] : w.first[t + 1]], i), np.zeros(1, np.int64), w.counts[t] - 1)[0]) for k, t in enumerate(some) for i in range(w.counts[t])]
+    assert list(zip(line.tolist(), place.tolist(), got.tolist())) == [(k, i, int(x)) for k, i, x in want]
+    assert [len(x) for x in line_dedup.without_each(h, w.first[:0], w.counts[:0])] == [0, 0, 0]
+
+
 def test_within_one_is_edit_distance():
     rng = np.random.default_rng(0)
     for _ in range(500):
