@@ -6,7 +6,8 @@ import re
 
 import pytest
 
-from skylattice.plans import explain, report
+from skylattice.operators import lag, spectrum, steps
+from skylattice.plans import analysis, explain, report
 from skylattice.streaming import live
 
 DOCUMENT = {
@@ -80,3 +81,27 @@ def test_documents_in_a_language(spark):
     assert json.loads(language.localised(table, language.texts(spark).union(own), "de").filter("log_id = 1").first().document)["metrics"]["altitude"]["dynamic_metrics_reason"] == "Kein Sprung"
     with pytest.raises(ValueError, match="no texts"):
         language.localised(table, own, "fr")
+
+
+def test_steps_and_spectra_are_computed_once(spark, monkeypatch):
+    """A document's metrics and lists come from the same steps and spectrum; a payload shows no lists and makes none."""
+    calls = {"plateaus": 0, "welch_segments": 0, "step_state": 0, "motor_metrics": 0}
+
+    def counted(module, name):
+        own = getattr(module, name)
+
+        def call(*args, **more):
+            calls[name] += 1
+            return own(*args, **more)
+
+        monkeypatch.setattr(module, name, call)
+
+    for module, name in ((steps, "plateaus"), (spectrum, "welch_segments"), (steps, "step_state"), (analysis, "motor_metrics")):
+        counted(module, name)
+    for module in (analysis, lag):
+        monkeypatch.setattr(module, "stored", lambda df, name: df)  # only the plans are looked at
+    log = spark.createDataFrame([], "log_id long, ord long, timestamp double, altitude_setpoint double, ekf_altitude double, motor_1 double")
+    assert analysis.documents(log, log).columns == ["log_id", "document"]
+    assert calls == {"plateaus": 1, "welch_segments": 1, "step_state": 1, "motor_metrics": 1}
+    assert analysis.summary_payload(log, log).columns == ["log_id", "payload"]
+    assert calls == {"plateaus": 2, "welch_segments": 2, "step_state": 1, "motor_metrics": 1}
