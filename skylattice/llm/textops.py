@@ -18,10 +18,6 @@ from ..storage import stored as stored  # noqa: PLC0414
 
 #: Words are maximal runs of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,9 +75,9 @@ class Words:
             bounds = np.zeros(1, np.int64)
         data = data[bounds[0] : bounds[-1]]
         self.bounds = bounds - bounds[0]
-        self.data = _LOWER[data] if lower else data
+        self.data = data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)) if lower else data  # A-Z
         # one virtual separator between texts keeps words of neighbours apart
-        inside = ~_SPACE[self.data]
+        inside = (self.data != 0x20) & (self.data - np.uint8(0x09) > 4)  # bytes below wrap round
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.bounds] = True
         begins = inside.copy()
@@ -94,11 +90,18 @@ class Words:
 
     def hashes(self, seed: int = 1, most: int | None = None) -> np.ndarray:
         """A 64-bit hash of each word, or of its first ``most`` bytes: a sum over its bytes of random values of (byte, place in the word)."""
-        return self.several((seed,), most)[0]
+        return self._hashes((seed,), (most,))[0]
 
     def several(self, seeds: tuple[int, ...], most: int | None = None) -> list[np.ndarray]:
         """Independent hashes of each word, one array for each seed."""
-        out = [np.empty(len(self.starts), np.uint64) for _ in seeds]
+        return self._hashes(seeds, (most,))
+
+    def prefixes(self, lengths: tuple[int | None, ...], seed: int = 1) -> list[np.ndarray]:
+        """Hashes of each word's first bytes, one array for each number of bytes (None: all); the bytes are summed once for all."""
+        return self._hashes((seed,), lengths)
+
+    def _hashes(self, seeds: tuple[int, ...], lengths: tuple[int | None, ...]) -> list[np.ndarray]:
+        out = [np.empty(len(self.starts), np.uint64) for _ in range(len(seeds) * len(lengths))]
         step, at = 1 << 17, 0
         while at < len(self.starts):  # in slices, so that the temporary sums stay small
             begin = self.starts[at]
@@ -111,16 +114,17 @@ class Words:
             long = int((e - s).max()) > _NEAR
             near = (np.minimum(place, _NEAR - 1) << 8) | piece  # blanks after a word count for nothing
             far = np.flatnonzero(place >= _NEAR) if long else None
-            if most:
-                e = np.minimum(e, s + most)
-            for hashes, seed in zip(out, seeds, strict=True):
+            ends = [np.minimum(e, s + most) if most else e for most in lengths]
+            for k, seed in enumerate(seeds):
                 total = np.empty(len(piece) + 1, np.uint64)
                 total[0] = 0
                 value = _near_values(seed).take(near)
                 if long:
                     value[far] = _byte_values(piece[far], place[far], seed)
                 np.cumsum(value, out=total[1:])
-                hashes[at:upto] = mix(total[e] - total[s] + (e - s).astype(np.uint64))
+                before = total[s]
+                for hashes, e in zip(out[k * len(lengths) :], ends):  # noqa: B905
+                    hashes[at:upto] = mix(total[e] - before + (e - s).astype(np.uint64))
             at = upto
         return out
 

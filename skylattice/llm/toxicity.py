@@ -5,8 +5,9 @@ rows (``most``, a parameter); all terms of all of them make the space.  Inverse
 documents.  Terms whose presence speaks for the label in the sample (chi-square and share) weigh ``stress`` times as much, so the cosine is
 exact in a space that the labels have weighted (plain TF-IDF at ``stress`` 1); no other term is left out.
 
-Examples are ordered so that each block holds alike ones: by cluster, then by length.  A term that is common in a block is a row
-of the block's matrix and has a maximum there; all other postings stand in inverted lists.  A query is first scored by the
+Examples are ordered so that each block holds alike ones: by cluster, then by length.  A term that is common in a block, and common
+enough among all examples that many queries have it, is a row of the block's matrix and has a maximum there; all other postings stand
+in inverted lists.  A query is first scored by the
 lists.  A block's bound is its best score so far plus the query against the block's maxima: blocks are visited from the largest
 bound on, and those whose bound stays below the k-th best score are skipped.  The nearest are scored once more in double
 precision, so the neighbours are exact.
@@ -18,6 +19,7 @@ space (null and empty texts too) get the share of toxic examples among examples
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,11 +37,13 @@ from .labels import held_out, training_sample
 from .textops import Words, list_array, mix, signed, small_batches, texts_of
 
 PREFIXES = (5,)
-COMMON = 0.1  #: a term in more than this share of a block is a row of the block's matrix; the result is the same for any share
+COMMON = 0.1  #: terms in more than this share of the examples tell which of them are alike
+DENSE, LEAST = 0.0025, 0.07  #: a term is a row of a block's matrix if its shares of the block and of all examples multiply to more than this, and that of the block is more than that; the result is the same for any values
 BLOCK = 512  #: examples of a block at most
 CLUSTERS = 32
-QUERIES = 512
+QUERIES = 640  #: queries of a group at most
 FEW = 32
+LANE = 8  #: postings of a list that are copied at once
 REMEMBERED = 4096  #: texts whose answers a task keeps for copies that follow
 _LOG = 1 + np.log(np.maximum(np.arange(1 << 16), 1))
 
@@ -48,11 +52,12 @@ def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Terms of all texts with repeats: (hashes, text numbers)."""
     w = Words(texts, lower=True)
     text = np.repeat(np.arange(len(w.counts)), w.counts)
-    hashes, owners = [w.hashes()], [text]
+    whole, *cut = w.prefixes((None, *PREFIXES))
+    hashes, owners = [whole], [text]
     length = w.ends - w.starts
-    for k in PREFIXES:
+    for k, hashed in zip(PREFIXES, cut, strict=True):
         longer = length > k
-        hashes.append(mix(w.hashes(most=k)[longer] + np.uint64(k)))
+        hashes.append(mix(hashed[longer] + np.uint64(k)))
         owners.append(text[longer])
     return np.concatenate(hashes), np.concatenate(owners)
 
@@ -63,13 +68,14 @@ def positions(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, n
     first = _first_of(vocabulary, bits)
     lead = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     at, end = first[lead], first[lead + 1]
-    hit, ask = np.zeros(len(hashes), bool), np.flatnonzero(at < end)
+    hit = vocabulary[np.minimum(at, len(vocabulary) - 1)] == hashes  # where no hash has these bits, another one stands there
+    ask = np.flatnonzero(~hit & (at + 1 < end))
     while len(ask):
+        at[ask] += 1
         found = vocabulary[at[ask]] == hashes[ask]
         hit[ask[found]] = True
         ask = ask[~found]
-        at[ask] += 1
-        ask = ask[at[ask] < end[ask]]
+        ask = ask[at[ask] + 1 < end[ask]]
     return at, hit
 
 
@@ -79,7 +85,7 @@ _FIRST: list = [None, None]
 def _first_of(vocabulary: np.ndarray, bits: int) -> np.ndarray:
     """The first place of each value of the leading bits; the last table is kept."""
     if _FIRST[0] is not vocabulary:
-        _FIRST[:] = vocabulary, np.searchsorted(vocabulary >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        _FIRST[:] = vocabulary, np.searchsorted(vocabulary >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
     return _FIRST[1]
 
 
@@ -93,6 +99,41 @@ def term_counts(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np
     return pair // len(vocabulary), pair % len(vocabulary), np.minimum(count, len(_LOG) - 1)
 
 
+class Lists:
+    """Postings by term.  Those of a list of ``LANE`` or more fill lanes, the last one with zeros, so that a lane is copied and weighed at once; those of shorter lists follow one by one."""
+
+    def __init__(self, size: np.ndarray):
+        lanes, few = np.where(size < LANE, 0, -(-size // LANE)), np.where(size < LANE, size, 0)
+        whole, n = LANE * int(lanes.sum()), int(few.sum())
+        # each term's first posting, its lanes and its single postings: side by side, as terms are looked up at random
+        self.places = np.stack([np.where(size < LANE, whole + np.cumsum(few) - few, LANE * (np.cumsum(lanes) - lanes)), lanes, few], axis=1)
+        self.owner, self.weight = np.zeros(whole + n, np.int32), np.zeros(whole + n, np.float32)
+        self.owners, self.weights = self.owner[:whole].reshape(-1, LANE), self.weight[:whole].reshape(-1, LANE)
+        self.filled = np.zeros(len(size), np.int32)
+
+    def add(self, term: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> None:
+        order = np.argsort(term, kind="stable")
+        term = term[order]
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        own, n = term[first], np.diff(first, append=len(term))
+        x, _ = spans(self.places[own, 0] + self.filled[own], n)
+        self.owner[x], self.weight[x] = owner[order], weight[order]
+        self.filled[own] += n.astype(np.int32)
+
+    def sums(self, term: np.ndarray, query: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+        """Scores of all examples (columns of ``out``) by the lists, for each of the queries ``at[i]:at[i + 1]``."""
+        first, n, few = (np.ascontiguousarray(x) for x in self.places.take(term, axis=0).T)
+        lane, times = first // LANE, np.repeat(query.astype(np.float32), LANE).reshape(-1, LANE)
+        for i, (lo, hi) in enumerate(itertools.pairwise(at.tolist())):
+            x, _ = spans(lane[lo:hi], n[lo:hi])
+            weight = self.weights.take(x, axis=0)
+            weight *= np.repeat(times[lo:hi], n[lo:hi], axis=0)
+            out[i] = np.bincount(self.owners.take(x, axis=0).ravel(), weights=weight.ravel(), minlength=out.shape[1])
+        x, _ = spans(first, few)
+        who = np.repeat(np.repeat(np.arange(len(out)) * out.shape[1], np.diff(at)), few)
+        np.add.at(out.reshape(-1), who + self.owner[x], self.weight[x] * np.repeat(times[:, 0], few))
+
+
 @dataclass
 class Index:
     """Examples as TF-IDF vectors of unit length, example by example; the lists by term are made where they are used."""
@@ -153,24 +194,24 @@ class Index:
         return self.term[x], _LOG[self.count[x]] * self.idf[self.term[x]] / np.repeat(self.norm[examples], n), n
 
     @cached_property
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], Lists]:
         """Number of each term that is common somewhere (-1: nowhere), each block's maxima by these, each block's numbers and matrix,
-        and the lists of all other postings (begin by term; example and weight side by side in eight bytes)."""
+        and the lists of all other postings."""
         edge = np.append(self.edges, len(self.ids))
         common, held = [], np.zeros(len(self.idf), np.int64)
+        # a list costs each query that has the term its postings, a row costs every query of the block its examples: by the share of queries that have it
+        asked = np.bincount(self.term, minlength=len(self.idf)) / max(len(self.ids), 1)
         for k in range(len(self.edges)):
             n = np.bincount(self.term[self.begin[edge[k]] : self.begin[edge[k + 1]]], minlength=len(self.idf))
-            common.append(np.flatnonzero(n > COMMON * (edge[k + 1] - edge[k])))
+            share = n / (edge[k + 1] - edge[k])
+            common.append(np.flatnonzero((share > LEAST) & (share * asked > DENSE)))
             n[common[-1]] = 0
             held += n
         every = np.unique(np.concatenate([np.empty(0, np.int64), *common]))
         row = np.full(len(self.idf), -1, np.int32)
         row[every] = np.arange(len(every))
         most = np.zeros((len(self.edges), len(every)), np.float32)
-        begin = np.concatenate([[0], np.cumsum(held)])
-        upto = begin[:-1].copy()  # where the next posting of a term goes
-        held_by, parts, place = np.empty(begin[-1], np.int64), [], np.full(len(self.idf), -1, np.int32)
-        owners, scores = held_by.view(np.int32)[::2], held_by.view(np.float32)[1::2]
+        lists, parts, place = Lists(held), [], np.full(len(self.idf), -1, np.int32)
         for k in range(len(self.edges)):
             term, weight, n = self.weights(np.arange(edge[k], edge[k + 1]))
             owner = np.repeat(np.arange(edge[k], edge[k + 1], dtype=np.int32), n)
@@ -182,12 +223,8 @@ class Index:
             dense[owner[near] - edge[k], at[near]] = weight[near]
             parts.append((row[common[k]].astype(np.int64), dense))
             most[k, row[common[k]]] = dense.max(0, initial=0)
-            order = np.argsort(term[~near], kind="stable")
-            t, n = np.unique(term[~near], return_counts=True)
-            x, _ = spans(upto[t], n)
-            owners[x], scores[x] = owner[~near][order], weight[~near][order]
-            upto[t] += n
-        return row, most, parts, begin, held_by
+            lists.add(term[~near], owner[~near], weight[~near])
+        return row, most, parts, lists
 
     def nearest(self, terms: np.ndarray, query: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, by (cosine, id): exact."""
@@ -199,55 +236,54 @@ class Index:
         Scores are single precision and never too large by more than the rounding error; all examples within twice that of
         the k-th are scored again in double precision.
         """
-        row, most, parts, begin, held_by = self.blocks
-        m, size, per = len(self.ids), np.diff(begin), np.diff(self.begin)
+        row, most, parts, lists = self.blocks
+        m = len(self.ids)
         full, asked = np.zeros(len(self.idf)), np.zeros(len(self.idf), bool)
         width = -(-m // FEW) * FEW
         edge = np.append(self.edges, m)
-        for g in range(0, len(cut) - 1, QUERIES):
-            at = cut[g : g + QUERIES + 1]
+        groups = -(-(len(cut) - 1) // QUERIES)
+        for g, upto in itertools.pairwise(np.linspace(0, len(cut) - 1, groups + 1).astype(np.int64).tolist()):
+            at = cut[g : upto + 1]
             some, slack = len(at) - 1, 1.2e-7 * (np.diff(at) + 16)  # products are positive, sums at most 1
             t, q = terms[at[0] : at[-1]], query[at[0] : at[-1]]
             number = row[t]
             side = np.zeros((most.shape[1], some), np.float32)
             side[number[number >= 0], np.repeat(np.arange(some), np.diff(at))[number >= 0]] = q[number >= 0]
             scores = np.empty((some, width), np.float32)
-            for i in range(some):
-                lo, hi = at[i] - at[0], at[i + 1] - at[0]
-                x, n = spans(begin[t[lo:hi]], size[t[lo:hi]])
-                posting = held_by[x]
-                scores[i, :m] = np.bincount(posting.view(np.int32)[::2], weights=posting.view(np.float32)[1::2] * np.repeat(q[lo:hi], n), minlength=m)
+            lists.sums(t, q, at - at[0], scores)
             scores[:, self.spare] = scores[:, m:] = -np.inf
             if skip is not None:
                 scores[np.arange(some), skip[g : g + some]] = -np.inf
             top = np.maximum.reduceat(scores, self.edges, axis=1)
             bound = np.maximum(top, 0) + (most @ side).T
             todo, least = bound > 0, np.zeros(some)
-            for fewest in (1, 3, len(parts)):  # the blocks of largest bound first: they raise the k-th best score
+            for fewest in (3, len(parts)):  # the blocks of largest bound first: they raise the k-th best score
                 ahead = todo & (bound >= (least - 2 * slack)[:, None])
                 if fewest < len(parts):
                     ahead &= bound >= -np.partition(-np.where(ahead, bound, 0), fewest - 1, axis=1)[:, fewest - 1 : fewest]
                 todo &= ~ahead
                 for b in np.flatnonzero(ahead.any(0)).tolist():
                     who, (rows, dense) = np.flatnonzero(ahead[:, b]), parts[b]
-                    scores[who, edge[b] : edge[b + 1]] += (dense @ side[rows[:, None], who]).T
+                    scores[who, edge[b] : edge[b + 1]] += side[rows[:, None], who].T @ dense.T
                 self.visited += int(ahead.sum())
                 if k < width // FEW:  # the k-th best of the bests of few examples is no more than the k-th best of all; alike ones stand in different groups
                     few = scores.reshape(some, FEW, -1).max(1)
                     least = np.maximum(np.partition(few, few.shape[1] - k, axis=1)[:, few.shape[1] - k], 0)
             self.asked += some * len(parts)
+            floor = np.maximum(np.nextafter((least - 2 * slack).astype(np.float32), np.float32(-1)), np.nextafter(np.float32(0), np.float32(1)))
             for i in range(some):
                 lo, hi = at[i] - at[0], at[i + 1] - at[0]
-                near = np.flatnonzero((scores[i] > 0) & (scores[i] >= least[i] - 2 * slack[i]))
+                near = np.flatnonzero(scores[i] >= floor[i])
                 if len(near) > k:
                     score = scores[i, near]
                     near = near[score >= np.partition(score, len(near) - k)[len(near) - k] - 2 * slack[i]]
                 full[t[lo:hi]], asked[t[lo:hi]] = q[lo:hi], True
-                x, n = spans(self.begin[near], per[near])
-                term = self.term[x]
-                hit = np.flatnonzero(asked[term])
-                term, owner_of = term[hit], np.repeat(np.arange(len(near)), n)[hit]
-                by = np.bincount(owner_of, weights=full[term] * (_LOG[self.count[x[hit]]] * self.idf[term]), minlength=len(near))
+                first, end = self.begin[near], self.begin[near + 1]
+                term = np.concatenate([self.term[:0], *(self.term[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True))])
+                hit, upto = np.flatnonzero(asked[term]), np.cumsum(end - first)
+                owner_of = np.repeat(np.arange(len(near)), np.diff(np.searchsorted(hit, np.append(0, upto))))
+                term, count = term[hit], self.count[hit + (end - upto)[owner_of]]
+                by = np.bincount(owner_of, weights=full[term] * (_LOG[count] * self.idf[term]), minlength=len(near))
                 by = np.round(by / self.norm[near], 12)
                 asked[t[lo:hi]] = False
                 best = np.lexsort((self.ids[near], -by))[:k]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skylattice.llm import media, mixing, quality, secrets, token_output, toxicity
 from skylattice.llm.labels import held_out
-from skylattice.llm.textops import list_array
+from skylattice.llm.textops import Words, list_array
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -343,6 +343,62 @@ def test_the_index_is_made_in_little_more_than_its_postings():
     assert peak < 1.6 * 4 * m * 2 * n + 24 * m * n
 
 
+def test_rows_of_blocks_are_terms_that_queries_have():
+    """Terms that only a block's few long texts share stay in lists, middling terms of all texts are rows, and lists of every length give exact scores."""
+    rng = np.random.default_rng(9)
+    m, rows = 600, []
+    for k in range(m):
+        own = np.flatnonzero(rng.random(120) < 0.08) if k % 60 else np.append(np.flatnonzero(rng.random(120) < 0.3), 120 + np.flatnonzero(rng.random(4000) < 0.25))
+        terms = np.unique(np.append(own, rng.integers(0, 120)))
+        rows.append((terms, rng.integers(1, 4, len(terms))))
+    table = pa.table({"doc_id": pa.array(range(m), pa.int64()), "label": pa.array(rng.integers(0, 2, m), pa.int32()), "terms": pa.array([t.tolist() for t, _ in rows], pa.list_(pa.int64())), "counts": pa.array([c.tolist() for _, c in rows], pa.list_(pa.int64()))})
+    index = toxicity._index(np.arange(4120, dtype=np.uint64), rng.random(4120) + 1, table, 0.5)
+    row, _, parts = index.blocks[:3]
+    assert (row[:120] >= 0).all() and (row[120:] < 0).mean() > 0.97
+    assert sum(dense.size for _, dense in parts) <= 130 * m
+    dense = np.zeros((m, 4120))
+    for k, (t, c) in enumerate(rows):
+        dense[k, t] = index.vector(t, c)
+    cut = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])])
+    found = index.all_nearest(np.concatenate([t for t, _ in rows]), np.concatenate([dense[k, t] for k, (t, _) in enumerate(rows)]), cut, 15)
+    for k, (near, by) in enumerate(found):
+        cosine = np.round(dense @ dense[k], 12)
+        want = np.lexsort((np.arange(m), -cosine))[:15]
+        assert np.allclose(by, cosine[want], atol=1e-9) and np.allclose(cosine[index.ids[near]], by, atol=1e-9)
+
+
+def test_lists_of_every_length_are_summed():
+    rng = np.random.default_rng(10)
+    size = np.append(np.arange(2 * toxicity.LANE + 3), rng.integers(0, 60, 30))
+    m, w = 64, np.zeros((len(size), 64), np.float32)
+    for t, n in enumerate(size):
+        w[t, rng.choice(m, n, replace=False)] = rng.random(n) + 0.1
+    lists = toxicity.Lists(size)
+    for some in np.split(np.arange(m), [0, 5, 40]):  # examples come in several parts
+        example, term = np.nonzero(w[:, some].T)
+        lists.add(term, some[example].astype(np.int32), w[term, some[example]])
+    terms, query, at = np.concatenate([np.arange(len(size)), [3, 17, 40], [1]]), rng.random(len(size) + 4), np.array([0, len(size), len(size), len(size) + 3, len(size) + 4])
+    out = np.full((4, m), np.nan, np.float32)
+    lists.sums(terms, query, at, out)
+    for i in range(4):
+        assert np.allclose(out[i], query[at[i] : at[i + 1]] @ w[terms[at[i] : at[i + 1]]], atol=1e-4)
+
+
+def test_words_are_lower_cased_cut_and_found_byte_by_byte():
+    every = "".join(map(chr, range(1, 128)))
+    texts = [every, None, "", "ÀÉ Zz@[`{ AZ", "longer words and WORDS\x0bof\x0cmany\rkinds " * 9, every.upper()]
+    w = Words(pa.array(texts, pa.string()), lower=True)
+    want = [x.lower() for t in texts for x in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+    assert [w.data[a:b].tobytes() for a, b in zip(w.starts, w.ends)] == want
+    whole, five = w.prefixes((None, 5))
+    assert np.array_equal(whole, w.hashes()) and np.array_equal(five, w.hashes(most=5))
+    vocabulary = np.unique(np.concatenate([whole[::2], np.array([0, 1, 2, 3, 1 << 63, (1 << 64) - 1], np.uint64)]))
+    for known in (vocabulary, vocabulary[:1], vocabulary[-1:]):
+        asked = np.concatenate([whole, five, vocabulary, vocabulary + np.uint64(1)])
+        at, hit = toxicity.positions(known, asked)
+        assert np.array_equal(hit, np.isin(asked, known)) and np.array_equal(known[at[hit]], asked[hit])
+
+
 @pytest.mark.parametrize("stress", [1.0, 10.0])
 def test_scores_by_brute_force(spark, stress):
     """From texts to scores in plain Python: terms, weights (the query's own stress too), votes, and an isotonic fit by its max-min formula."""
