@@ -5,10 +5,15 @@ A document's set holds its distinct word shingles.  Two documents link when
 
 1. *Classes.*  Documents with equal sets form one class; only its smallest id goes on.  Thousands of
    copies therefore cost one row each and no pair.
-2. *Index lists by position.*  Shingles stand in the order of their hashes.  Linked sets of about n shingles share the first
-   l of their common shingles within their first n - ceil(t n) + l positions, so only these enter the index.  Each set may then leave
-   out its l - 1 most popular entries: the least popular of the shared ones is among what both sets keep, so no link is lost, while
-   a passage that many documents share leaves the index.
+2. *Index lists.*  Either way linked sets share l entries or more.  Each set may then leave out its l - 1 most popular entries: the least
+   popular of the shared ones is among what both sets keep, so no link is lost, while a passage that many documents share leaves the index.
+
+   - *By part*, from 85 percent on.  Hashes are cut into d + l ranges, where d is what linked sets of that size may differ in at most: l ranges
+     hold the same shingles in both.  An entry is all shingles of a range, six to nine at 90 percent, so common phrases that recur by chance
+     chain nothing.  The number of ranges follows the larger set: sizes have levels, and a set that may link with one of the next level
+     enters the index for that level too.
+   - *By position*, below.  Shingles stand in the order of their hashes.  Linked sets of about n shingles share the first
+     l of their common shingles within their first n - ceil(t n) + l positions, so only these enter the index.
 3. *Candidate clusters.*  Lists are chained through their smallest member instead of being expanded
    into pairs; the components of these chains are clusters no link can leave.
 4. *Answers in blocks.*  A cluster is cut into blocks by size band and hash, each of bounded size; block
@@ -86,6 +91,61 @@ def droppable(sizes: np.ndarray, percent: int) -> np.ndarray:
     return slack(-(-sizes * percent // 100), percent)
 
 
+#: From this percentage on the index holds parts of sets; below it parts would be too small to tell sets apart.
+BY_PART = 85
+
+
+def levels(percent: int, upto: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each level of sizes: the smallest size, the number of parts that a set is cut into, and how many of them it may leave out.
+
+    Linked sets of a and b shingles differ in (a + b) (100 - percent) / (100 + percent) at most.  Levels whose sets link with equal ones only have no parts.
+    """
+    edges = [1]
+    while edges[-1] <= upto:
+        edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
+    edges = np.array(edges, np.int64)
+    differ = 2 * (edges[1:] - 1) * (100 - percent) // (100 + percent)
+    spare = differ // 16
+    return edges[:-1], np.where(differ > 0, differ + spare + 1, 0), spare
+
+
+def levels_of(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, level) for every level of a set that it may link with, and its own, in order of both."""
+    edges = levels(percent)[0]
+    low = np.searchsorted(edges, sizes, "right") - 1
+    n = np.where(sizes > 0, np.searchsorted(edges, sizes * 100 // percent, "right") - low, 0)
+    return np.repeat(np.arange(len(sizes)), n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def index_keys(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of the index for sets as from ``shingle_sets``: (keys, number of them per set)."""
+    if percent < BY_PART:
+        n = prefix_lengths(counts, percent)
+        at = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return hashes[at < np.repeat(n, counts)], n
+    owner, level = levels_of(counts, percent)
+    parts = levels(percent)[1][level]
+    n = np.bincount(owner, weights=parts, minlength=len(counts)).astype(np.int64)
+    owner, level, parts = owner[parts > 0], level[parts > 0], parts[parts > 0]
+    bounds, first = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(parts) - parts
+    h = _gather(bounds, hashes, owner)
+    per = counts[owner]
+    range_of = ((h >> np.uint64(32)) * np.repeat(parts, per).astype(np.uint64) >> np.uint64(32)).astype(np.int64)  # ascending, as the hashes are
+    ends = np.cumsum(np.bincount(np.repeat(first, per) + range_of, minlength=int(parts.sum())))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])[np.concatenate([[0], ends])]
+    place = np.repeat(level << 32, parts) + np.arange(len(ends)) - np.repeat(first, parts)
+    return mix(np.diff(total) + mix(place.astype(np.uint64) + np.uint64(1))), n
+
+
+def may_drop(counts: np.ndarray, percent: int) -> np.ndarray:
+    """For each entry of ``index_keys``, how many of its set (by parts: of its set and level) may stay out."""
+    if percent < BY_PART:
+        return np.repeat(droppable(counts, percent), prefix_lengths(counts, percent))
+    _, parts, spare = levels(percent)
+    level = levels_of(counts, percent)[1]
+    return np.repeat(spare[level], parts[level])
+
+
 def digests(counts: np.ndarray, *hashes: np.ndarray) -> list[np.ndarray]:
     """Sums of 64 bits, one for each kind of hash, that with its size stand for each set."""
     bounds = np.concatenate([[0], np.cumsum(counts)])
@@ -100,9 +160,7 @@ def _summaries(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             hashes, counts, others = shingle_sets(batch.column("text"), words, twice=True)
-            n = prefix_lengths(counts, percent)
-            at = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-            keys = hashes[at < np.repeat(n, counts)]
+            keys, n = index_keys(hashes, counts, percent)
             band = pa.array(np.searchsorted(edges, counts, "right") - 1, pa.int32())
             d1, d2 = digests(counts, hashes, others)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(counts), pa.array(d1), pa.array(d2), band, list_array(signed(keys), n, pa.int64())], schema=schema)
@@ -241,7 +299,7 @@ def _entries(percent: int):
             key = batch.column("keys").flatten().to_numpy()
             order = np.argsort(key, kind="stable")
             node = np.repeat(batch.column("node").to_numpy(), per)[order]
-            drop = np.repeat(droppable(batch.column("n_shingles").to_numpy(), percent), per)[order]
+            drop = may_drop(batch.column("n_shingles").to_numpy(), percent)[order]
             key = key[order]
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
@@ -261,7 +319,8 @@ def clusters(classes: DataFrame, percent: int) -> DataFrame:
     lists = lists.withColumn("n", F.sum(F.size("more") + 1).over(Window.partitionBy("key"))).filter("n > 1")
     one = F.array(F.struct("node", "drop"))
     entries = lists.select("key", "n", F.explode(F.concat(one, "more")).alias("e")).select("key", "n", "e.node", "e.drop")
-    popular = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "key"))  # at most the prefix of one set
+    # at most the entries of one set; its levels, where as many may stay out in two of them, count as one: fewer stay out
+    popular = F.row_number().over(Window.partitionBy("node", "drop").orderBy(F.desc("n"), "key"))
     kept = stored(entries.withColumn("rank", popular).filter("rank > drop").select("key", "node"), "entries")
     heads = kept.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     chains = kept.join(heads, "key").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
@@ -301,10 +360,10 @@ def _answers(source: DataFrame, words: int, percent: int) -> DataFrame:
     rows = stored(source.mapInArrow(run, schema), "sets")
     grouped = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "d1", "d2")
     first = F.min(F.struct(*_ROW)).alias("class")
-    classes = grouped.agg(first, F.any_value("band").alias("band"), F.any_value("keys").alias("keys"))
-    classes = stored(classes.select("n_shingles", "d1", "d2", "class", "class.*", "band", "keys", F.xxhash64("d1", "d2", "n_shingles").alias("node")), "classes")
-    cluster = clusters(classes, percent).withColumnRenamed("component", "cluster")
-    members = stored(classes.drop("keys").join(cluster, "node"), "members")
+    node = F.xxhash64("d1", "d2", "n_shingles").alias("node")
+    classes = stored(grouped.agg(first, F.any_value("band").alias("band")).select("n_shingles", "d1", "d2", "class", "class.*", "band", node), "classes")
+    cluster = clusters(grouped.agg(F.any_value("keys").alias("keys")).select(node, "n_shingles", "keys"), percent).withColumnRenamed("component", "cluster")
+    members = stored(classes.join(cluster, "node"), "members")
     run, schema = _sets(words)
     sets = source.join(_placed(members), list(_ROW)).mapInArrow(run, schema)
     reach = components(sets.groupBy("cluster", "pair").applyInArrow(_links(percent), "a long, b long"))

@@ -73,6 +73,41 @@ def test_jaccard_blocks_split(docs, rows, monkeypatch):
     assert sorted(map(tuple, jaccard_join.jaccard_join(docs, percent=60).collect())) == whole
 
 
+def test_common_phrases_chain_no_clusters(spark, monkeypatch):
+    """Texts that share phrases by chance are not compared, near copies among them are found."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.5, rng.integers(20, 150)) % 1000) for _ in range(400)]
+    for k in range(0, 400, 5):
+        words = texts[k].split(" ")
+        words[rng.integers(len(words))] = "x"
+        texts.append(" ".join([*words, "y"][: len(words) + k % 2]))
+    placed, sizes = jaccard_join._placed, []
+    monkeypatch.setattr(jaccard_join, "_placed", lambda members: (sizes.extend(r["count"] for r in members.groupBy("cluster").count().collect()), placed(members))[1])
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [shingles(t, 3) for t in texts]
+    assert got == reach(range(len(sets)), [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])])
+    assert len(set(got.values())) < 470 and max(sizes) < 20
+
+
+@pytest.mark.parametrize("percent", [85, 90, 97, 100])
+def test_linked_sets_keep_a_part_in_common(percent):
+    """Whatever may stay out of the index: sets at the limit, of sizes on both sides of a level."""
+    rng, links = np.random.default_rng(percent), 0
+    for _ in range(1500):
+        a = np.unique(rng.integers(0, 1 << 64, rng.integers(1, rng.choice([30, 300, 2000])), np.uint64))
+        gone, more = rng.integers(0, len(a) * (100 - percent) // 100 + 2, 2)
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 1 << 64, more, np.uint64)]))
+        both, n = len(np.intersect1d(a, b)), np.array([len(a), len(b)])
+        if 100 * both < percent * (len(a) + len(b) - both) or both == max(n) or not both:
+            continue
+        links += 1
+        keys, per = jaccard_join.index_keys(np.concatenate([a, b]), n, percent)
+        drop = jaccard_join.may_drop(n, percent)
+        x, y = [set(zip(k.tolist(), d.tolist())) for k, d in zip(np.split(keys, per[:1]), np.split(drop, per[:1]))]
+        assert max(sum(d == most for _, d in x & y) - most for most in set(drop.tolist())) > 0  # shared ones are the most popular
+    assert links > 100 or percent == 100
+
+
 def test_jaccard_edge_cases(with_null_id, nothing):
     got = [r for r in jaccard_join.jaccard_join(with_null_id).collect() if r.doc_id is None]
     assert len(got) == 2 and all(r.component_id is None for r in got)
