@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Joins the trimmed names of a header before they are hashed, as ``mapping.header_hash`` does.
 UNIT = "\x1f"
-#: Logs, and ranks, of one list: a pair of lists makes at most a million rows and travels as one.
-LIST = 1 << 10
+#: Logs, and ranks, of one list: a pair of lists makes at most a quarter of a million rows and travels as one.
+LIST = 1 << 9
 
 
 def headers_of(columns: DataFrame) -> DataFrame:
@@ -53,7 +53,11 @@ def rankings(logs: DataFrame, profiles: DataFrame, lacks: int = 0) -> DataFrame:
 
 
 def dealt(logs: DataFrame, ranking: DataFrame) -> DataFrame:
-    """Every log (log_id, header_hash) with every row of the ranking (header_hash, rank and others) of its header."""
+    """Every log (log_id, header_hash) with every row of the ranking (header_hash, rank and others) of its header.
+
+    A pair of lists becomes rows in two steps, ranks first, that Spark may not compile into one: compiled code hands on its rows only when an input row
+    is used up, so in one step a task would hold all rows of a pair at once.
+    """
     own = [c for c in ranking.columns if c != "header_hash"]
     fits = ranking.groupBy("header_hash", F.floor((F.col("rank") - 1) / LIST).alias("block")).agg(F.collect_list(F.struct(*own)).alias("fits"))
     sizes = logs.groupBy("header_hash").agg(F.ceil(F.count("*") / LIST).alias("parts"))
@@ -61,4 +65,5 @@ def dealt(logs: DataFrame, ranking: DataFrame) -> DataFrame:
     alike = logs.select("log_id", "header_hash").join(sizes, "header_hash").groupBy("header_hash", part.alias("part")).agg(F.collect_list(F.struct("log_id")).alias("logs"))
     tasks = int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = alike.join(fits, "header_hash").repartition(tasks, "header_hash", "part", "block")  # by number: a few bytes here are many rows later
-    return pairs.select(F.inline("logs"), "fits").select("log_id", F.inline("fits"))
+    ranks = pairs.select("logs", F.inline("fits")).coalesce(tasks)  # moves nothing: ends the compiled step
+    return ranks.select(F.inline("logs"), *own)

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -73,3 +74,18 @@ def test_popular_headers_are_spread_over_tasks(spark, monkeypatch):
     assert sorted((r.log_id or 0, r.rank, r.profile, r.missing) for r in got) == [(i, k + 1, p, ["x"] if k >= 25 else []) for i in range(60) for k, p in enumerate(order)]
     tasks = [sum(r.task == t for r in got) for t in {r.task for r in got}]
     assert len(tasks) == 4 and max(tasks) < len(got) / 2
+
+
+def test_rows_of_a_pair_of_lists_do_not_pile_up(spark):
+    """Ranks and logs are unrolled in compiled steps of their own; one step for both holds all rows of a pair before the first goes out."""
+    logs = spark.createDataFrame([(k, "h") for k in range(20)], "log_id long, header_hash string")
+    ranking = spark.createDataFrame([("h", k + 1, f"p{k}") for k in range(30)], "header_hash string, rank long, profile string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = catalogue.dealt(logs, ranking)
+        steps = re.findall(r"\*\((\d+)\) Generate inline", dealt._jdf.queryExecution().executedPlan().toString())
+        got = sorted(map(tuple, dealt.collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(steps) == len(set(steps)) == 2
+    assert got == [(i, k + 1, f"p{k}") for i in range(20) for k in range(30)]
